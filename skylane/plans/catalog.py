@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import experiments
+from . import experiments, listings
 
-_MODULES = [experiments]
+_MODULES = [experiments, listings]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
