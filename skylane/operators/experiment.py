@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import norm_sf2, to_count, to_double, zcrit
 from ..sources.io import require_columns
+from .common import attach
 from .ranking import global_position
 
 MONITOR_NOTE = "Monitoring only; adjust for sequential testing if making stop/go decisions."
@@ -324,7 +325,7 @@ def histogram(df: DataFrame, value_col: str, bins: int = 80, keys: Sequence[str]
     """Fixed-width histogram per key (edges from min/max of the key)."""
     v = F.col(value_col).cast("double")
     stats = df.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    j = df.join(F.broadcast(stats), list(keys), "inner") if keys else df.crossJoin(F.broadcast(stats))
+    j = attach(df, stats, keys)
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(width <= 0, F.lit(0)).otherwise(
         F.least(F.floor((v - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import experiments, listings
+from . import demand, experiments, listings
 
-_MODULES = [experiments, listings]
+_MODULES = [experiments, listings, demand]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
