@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import demand, experiments, listings
+from . import demand, experiments, listings, text
 
-_MODULES = [experiments, listings, demand]
+_MODULES = [experiments, listings, demand, text]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
