@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .common import attach
 
 _PART_SHIFT = 1 << 33  # monotonically_increasing_id = partition_index << 33 | row_index
 
@@ -53,16 +54,39 @@ def global_position(df: DataFrame, order_cols: Sequence[str], pos_col: str = "po
     return out, running
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value_col: str, group_col: str) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value_col: str, group_col: str,
+                  buckets: int | None = None) -> DataFrame:
     """Tie-averaged rank of every (key, value) with per-(key, value, group) counts.
 
     Output: keys..., value, group, cnt (rows of that group at that value),
     t (rows at that value in the key), rank (average rank of the value).
+
+    Ranks need, per distinct value, the number of rows with smaller values in
+    the same key -- a prefix sum. Rather than one window over all distinct
+    values of a key (a single task per key), distinct values are split into
+    ``buckets`` approximate-quantile ranges: bucket totals get a prefix over at
+    most ``buckets`` rows per key, and the exact within-bucket prefix runs on
+    one window partition per (key, bucket). Approximate bounds only balance
+    the work; the ranks are exact.
     """
+    spark = df.sparkSession
+    nb = buckets or max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     per_group = df.groupBy(*keys, value_col, group_col).agg(F.count(F.lit(1)).alias("cnt"))
     per_value = per_group.groupBy(*keys, value_col).agg(F.sum("cnt").alias("t"))
-    w = Window.partitionBy(*keys).orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_value.withColumn("_before", F.coalesce(F.sum("t").over(w), F.lit(0))) \
-                      .withColumn("rank", F.col("_before") + (F.col("t") + 1) / F.lit(2.0)) \
-                      .drop("_before")
+    if nb > 1:
+        probs = [i / nb for i in range(1, nb)]
+        bounds = per_value.groupBy(*keys).agg(F.percentile_approx(value_col, probs).alias("_bounds"))
+        per_value = attach(per_value, bounds, keys)
+        per_value = per_value.withColumn(
+            "_b", F.size(F.filter("_bounds", lambda b: b < F.col(value_col)))).drop("_bounds")
+    else:
+        per_value = per_value.withColumn("_b", F.lit(0))
+    totals = per_value.groupBy(*keys, "_b").agg(F.sum("t").alias("_bt"))
+    wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_boff", F.coalesce(F.sum("_bt").over(wk), F.lit(0))).drop("_bt")
+    wv = Window.partitionBy(*keys, "_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (per_value.join(totals, [*keys, "_b"])
+              .withColumn("_before", F.col("_boff") + F.coalesce(F.sum("t").over(wv), F.lit(0)))
+              .withColumn("rank", F.col("_before") + (F.col("t") + 1) / F.lit(2.0))
+              .drop("_before", "_boff", "_b"))
     return per_group.join(ranked, [*keys, value_col])

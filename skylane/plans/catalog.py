@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import demand, experiments, listings, text
+from . import demand, experiments, listings, segment, text
 
-_MODULES = [experiments, listings, demand, text]
+_MODULES = [experiments, listings, demand, text, segment]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
