@@ -104,7 +104,7 @@ def pca_components(df: DataFrame, features: Sequence[str] = FEATURES, pca_varian
 
 
 def fit_kmeans(vectors: DataFrame, k: int, seed: int = 42, n_init: int = 15, max_iter: int = 500,
-               parallelism: int = 4):
+               parallelism: int = 8):
     """H4: ``n_init`` independent K-Means fits (different seeds), lowest training cost wins."""
     def one(i):
         return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="CLUSTER").fit(vectors)
@@ -116,8 +116,8 @@ def fit_kmeans(vectors: DataFrame, k: int, seed: int = 42, n_init: int = 15, max
 
 def run_kmeans(df: DataFrame, k: int = 4, features: Sequence[str] = FEATURES, seed: int = 42, use_pca: bool = True,
                pca_variance: float = 0.90, n_init: int = 15, max_iter: int = 500) -> DataFrame:
-    """H4: cluster labels (``CLUSTER``) and the first two components as PCA_1 / PCA_2."""
-    vec, info = feature_vectors(df, features, use_pca, pca_variance)
+    """H4: cluster labels (``CLUSTER``, replacing any given labels) and the first two components."""
+    vec, info = feature_vectors(df.drop("CLUSTER"), features, use_pca, pca_variance)
     vec = vec.cache()  # every restart iterates over the same vectors
     model = fit_kmeans(vec, k, seed, n_init, max_iter)
     out = model.transform(vec)
@@ -151,7 +151,7 @@ def k_evaluation(df: DataFrame, k_values: Sequence[int] = range(2, 9), features:
                  seed: int = 42, use_pca: bool = True, pca_variance: float = 0.90, n_init: int = 15,
                  max_iter: int = 500) -> DataFrame:
     """H5/H6/H8: per K inertia, silhouette (Spark's squared-Euclidean, linear time), CH; best K flagged."""
-    vec, info = feature_vectors(df, features, use_pca, pca_variance)
+    vec, info = feature_vectors(df.drop("CLUSTER").select(*features), features, use_pca, pca_variance)
     vec = vec.cache()
     dims = info.get("n_components", len(features))
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="CLUSTER")
