@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import demand, experiments, listings, segment, text
+from . import demand, experiments, landing, listings, segment, text
 
-_MODULES = [experiments, listings, demand, text, segment]
+_MODULES = [experiments, listings, demand, text, segment, landing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
