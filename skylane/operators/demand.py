@@ -34,14 +34,21 @@ def index_series(df: DataFrame, keys: Sequence[str] = (), ds: str = "ds", y: str
                           "n": F.count(F.lit(1)).over(Window.partitionBy(*keys) if keys else Window.partitionBy())})
 
 
+SPLIT_ERROR = "Not enough observations for stable split."
+
+
 def train_test_split(df: DataFrame, test_periods: int = 12, keys: Sequence[str] = (),
                      check: bool = True) -> DataFrame:
-    """Flag the last ``test_periods`` rows of each series as test (``is_test``)."""
+    """Flag the last ``test_periods`` rows of each series as test (``is_test``).
+
+    A series with ``test_periods + 6`` rows or fewer fails the job with
+    ``SPLIT_ERROR``; the check is evaluated inside the plan (``raise_error``), so
+    it costs no separate job.
+    """
     x = index_series(df, keys)
     if check:
-        shortest = x.agg(F.min("n").alias("m")).first()["m"]
-        if shortest is None or shortest <= test_periods + 6:
-            raise ValueError("Not enough observations for stable split.")
+        ok = F.when(F.col("n") <= test_periods + 6, F.raise_error(F.lit(SPLIT_ERROR))).otherwise(F.lit(True))
+        x = x.filter(ok)
     return x.withColumn("is_test", F.col("idx") >= F.col("n") - test_periods)
 
 

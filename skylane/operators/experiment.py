@@ -21,6 +21,7 @@ from .common import attach
 from .ranking import global_position
 
 MONITOR_NOTE = "Monitoring only; adjust for sequential testing if making stop/go decisions."
+MAX_OUTCOME_VALUES = 100_000  # distinct (arm, outcome) pairs the bootstrap broadcasts
 
 
 def coerce_outcome(c: Column | str) -> Column:
@@ -286,18 +287,23 @@ def bootstrap_replicates(df: DataFrame, group_col: str = "GROUP", outcome_col: s
     """One row per replicate: (rep, diff). Empty arm -> ValueError."""
     y = coerce_outcome(outcome_col)
     g = F.col(group_col)
-    hist_rows = (df.filter(g.isin(control_label, treatment_label))
-                   .groupBy(F.when(g == control_label, 0).otherwise(1).alias("arm"), y.alias("v"))
-                   .agg(F.count(F.lit(1)).alias("c"))
-                   .collect())  # one row per (arm, distinct outcome value): driver-sized aggregate
-    hist = {0: ([], []), 1: ([], [])}
+    hist = (df.filter(g.isin(control_label, treatment_label))
+              .groupBy(F.when(g == control_label, 0).otherwise(1).alias("arm"), y.alias("v"))
+              .agg(F.count(F.lit(1)).alias("c")))
+    # one row per (arm, distinct integer outcome): 4 rows for conversions. Checked before it is
+    # collected and broadcast to the replicate tasks.
+    hist_rows = hist.limit(MAX_OUTCOME_VALUES + 1).collect()
+    if len(hist_rows) > MAX_OUTCOME_VALUES:
+        raise ValueError(f"outcome has more than {MAX_OUTCOME_VALUES} distinct values; "
+                         "bootstrap_conversion_diff resamples integer outcomes such as conversions")
+    by_arm = {0: ([], []), 1: ([], [])}
     for r in hist_rows:
-        hist[r["arm"]][0].append(float(r["v"]))
-        hist[r["arm"]][1].append(int(r["c"]))
-    if not hist[0][0] or not hist[1][0]:
+        by_arm[r["arm"]][0].append(float(r["v"]))
+        by_arm[r["arm"]][1].append(int(r["c"]))
+    if not by_arm[0][0] or not by_arm[1][0]:
         raise ValueError("Control or treatment group is empty.")
     spark = df.sparkSession
-    params = spark.sparkContext.broadcast({a: (np.array(v), np.array(c)) for a, (v, c) in hist.items()})
+    params = spark.sparkContext.broadcast({a: (np.array(v), np.array(c)) for a, (v, c) in by_arm.items()})
     slices = num_slices or max(1, min(64, n_bootstrap // 500))
 
     def draw(it):

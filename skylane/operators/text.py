@@ -37,15 +37,17 @@ TOPIC_KEYWORDS = {
 POS_THRESHOLD, NEG_THRESHOLD = 0.05, -0.05
 VALENCE_ALPHA = 15.0
 REVIEW_SEPARATOR = "|||"
-# Python's str.strip() whitespace set, as a regex class usable by Java and RE2.
-WS_CLASS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
-            r"\x{202f}\x{205f}\x{3000}]")
-# Unicode word characters (letters, numbers, underscore) -- Python's ``\w``.
+# Python's str.strip() whitespace: every code point for which str.isspace() holds (derived, not typed).
+WS_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+# Unicode word characters (letters, numbers, underscore) -- Python's ``\w``; NON_WORD splits on the rest
+# (ASCII ranges first only so the common case is decided before the Unicode property lookups).
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
+NON_WORD = r"[^a-z0-9_\p{L}\p{N}]+"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """Python ``str.strip()``: remove leading/trailing characters of the whitespace set (no regex)."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def extract_reviews(df: DataFrame, text_col: str = "REVIEW_TEXTS") -> DataFrame:
@@ -66,8 +68,9 @@ def extract_reviews(df: DataFrame, text_col: str = "REVIEW_TEXTS") -> DataFrame:
 
 
 def words(c: Column | str, distinct: bool = True) -> Column:
+    """Lower-case word tokens (Python ``re.findall(r"\\w+", text.lower())``): split on non-word runs."""
     c = F.col(c) if isinstance(c, str) else c
-    w = F.regexp_extract_all(F.lower(c), F.lit(WORD_PATTERN), 0)
+    w = F.filter(F.split(F.lower(c), NON_WORD, -1), lambda x: x != F.lit(""))
     return F.array_distinct(w) if distinct else w
 
 
@@ -89,11 +92,11 @@ def score_lexicon(df: DataFrame, positive: Sequence[str] = POSITIVE_WORDS, negat
     ``SENT_UNITS`` is compound * ``lexicon_scale`` as an exact integer so group
     means can be summed exactly (see ``mean_compound``).
     """
-    w = words(text_col)
+    w = F.col("_w")
     p = F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in positive])))
     n = F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in negative])))
     scale = lexicon_scale(positive, negative)
-    x = df.withColumns({"_p": p, "_n": n})
+    x = df.withColumn("_w", words(text_col)).withColumns({"_p": p, "_n": n}).drop("_w")
     tot = F.col("_p") + F.col("_n")
     c = F.when(tot == 0, F.lit(0.0)).otherwise((F.col("_p") - F.col("_n")) / tot)
     units = F.when(tot == 0, F.lit(0)).otherwise((F.col("_p") - F.col("_n")) * (F.lit(scale) / tot).cast("bigint"))

@@ -44,9 +44,10 @@ def search_results(spark, sf):
 
 
 def parsed_first_seen(spark, sf):
-    res = ld.parse(search_results(spark, sf), "payload", ld.PLACE_SCHEMA)
-    res = res.select(F.col("p.place_id").alias("PLACE_KEY"), "QUERY_IDX", "POS", "p")
-    return ld.dedup_first_seen(res, "PLACE_KEY", ["QUERY_IDX", "POS"])
+    # dedup the raw payloads on their key first, then parse only the first-seen ones
+    res = search_results(spark, sf).withColumn("PLACE_KEY", F.get_json_object("payload", "$.place_id"))
+    first = ld.dedup_first_seen(res, "PLACE_KEY", ["QUERY_IDX", "POS"])
+    return ld.parse(first, "payload", ld.PLACE_SCHEMA).drop("payload")
 
 
 def places(spark, sf):

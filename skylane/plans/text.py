@@ -115,6 +115,7 @@ QUERIES = {
 # ----------------------------------------------------------------------------- oracle
 
 _SCALE = tx.lexicon_scale(TEST_POS, TEST_NEG)
+_WS = "(" + " || ".join(f"chr({ord(c)})" for c in tx.WS_CHARS) + ")"
 
 
 def _lst(ws):
@@ -124,7 +125,7 @@ def _lst(ws):
 _RV = f""", rv as (select place_id as PLACE_ID, name as HOTEL_NAME, market as MARKET, '' as NEIGHBORHOOD,
   price_tier as PRICE_TIER, cast(rating as double) as RATING,
   list_filter(list_transform(string_split(review_texts, '|||'),
-    lambda x: regexp_replace(x, '^{tx.WS_CLASS}+|{tx.WS_CLASS}+$', '', 'g')), lambda x: x <> '') as parts
+    lambda x: trim(x, {_WS})), lambda x: x <> '') as parts
   from fx_hotel_reviews),
 reviews as (select PLACE_ID, HOTEL_NAME, MARKET, NEIGHBORHOOD, PRICE_TIER, RATING,
   unnest(range(len(parts))) as REVIEW_INDEX, unnest(parts) as REVIEW_TEXT from rv),
@@ -196,7 +197,7 @@ lc as (select KIND, VALUE, count(*) as COUNT from lg where VALUE is not null gro
 select KIND, VALUE, COUNT, COUNT / sum(COUNT) over (partition by KIND) * 100 as PCT from lc"""),
     "review_qc": _t(f""" select count(*) as N_REVIEWS, count(distinct PLACE_ID) as N_HOTELS_WITH_REVIEWS,
   avg(length(REVIEW_TEXT)) as AVG_REVIEW_LEN,
-  avg(case when regexp_replace(REVIEW_TEXT, '^{tx.WS_CLASS}+|{tx.WS_CLASS}+$', '', 'g') = '' then 1e0 else 0e0 end) * 100
+  avg(case when trim(REVIEW_TEXT, {_WS}) = '' then 1e0 else 0e0 end) * 100
     as PCT_EMPTY_TEXT from reviews"""),
     "topic_drivers": _t(_DRIVERS + " select * from drv order by NET_SENTIMENT desc, REVIEW_COUNT desc, PRIMARY_TOPIC"),
     "topic_drivers_top": _t(_DRIVERS + " select * from drv order by NET_SENTIMENT desc, REVIEW_COUNT desc, PRIMARY_TOPIC limit 10"),

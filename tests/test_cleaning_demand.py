@@ -64,7 +64,7 @@ def _series(spark, ys):
 
 
 def test_split_needs_enough_rows(spark):
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="Not enough observations"):
         dm.forecast_predictions(_series(spark, range(12)), test_periods=6).collect()  # 12 <= 6 + 6
     assert dm.forecast_predictions(_series(spark, range(13)), test_periods=6).count() == 18
 
