@@ -1,26 +1,26 @@
 """Traveler segmentation.
 
 Feature engineering, standardisation, cluster profiles, labels, cross-tabs
-and the rank test are aggregations and column expressions. The model steps
-use Spark ML (``PCA``, ``KMeans``, ``ClusteringEvaluator``) on a cached vector
-frame; K-Means restarts are independent fits submitted concurrently (the same
-pattern as ``CrossValidator(parallelism=...)``), the best kept by training cost.
+and the rank test are aggregations and column expressions. The model steps:
+scaler and PCA are fitted by one aggregate pass each (2·d and d·(d+1)/2 sums;
+the d x d eigen-decomposition is driver-sized) and applied as column
+expressions; K-Means fits every restart of every K with shared data passes
+(``kmeans.py``); silhouette uses Spark ML's linear-time ``ClusteringEvaluator``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import chi2_sf, np_round
+from . import kmeans as km
 from .common import attach
 from .ranking import average_ranks
 
@@ -58,43 +58,79 @@ def engineer_features(df: DataFrame) -> DataFrame:
     })
 
 
-def standardize(df: DataFrame, features: Sequence[str] = FEATURES, suffix: str = "_Z") -> DataFrame:
-    """H2: missing -> 0, then (x - mean) / population std (std 0 -> 1), one aggregate pass."""
-    filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features}
-    x = df.withColumns(filled)
-    stats = x.agg(*[F.avg(f).alias(f"_m_{f}") for f in features], *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])
-    x = attach(x, stats)
-    z = {f + suffix: (F.col(f) - F.col(f"_m_{f}")) / F.when(F.col(f"_s_{f}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{f}"))
-         for f in features}
-    return x.withColumns(z).drop(*[f"_m_{f}" for f in features], *[f"_s_{f}" for f in features])
+def fit_scaler(df: DataFrame, features: Sequence[str] = FEATURES) -> tuple[list[float], list[float]]:
+    """H2 fit: mean and population std of every feature (missing -> 0), one aggregate pass.
+
+    The result is 2 x d numbers; they are applied as literals, so every later use
+    (fit, labels, output) sees bit-identical scaled values.
+    """
+    filled = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(filled)],
+                 *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(filled)]).first()
+    means = [row[f"m{i}"] for i in range(len(features))]
+    stds = [row[f"s{i}"] for i in range(len(features))]
+    return means, [1.0 if (v is None or v == 0) else v for v in stds]
+
+
+def standardize(df: DataFrame, features: Sequence[str] = FEATURES, suffix: str = "_Z",
+                scaler: tuple[list[float], list[float]] | None = None) -> DataFrame:
+    """H2: missing -> 0, then (x - mean) / population std (std 0 -> 1)."""
+    means, stds = scaler or fit_scaler(df, features)
+    return df.withColumns({
+        f + suffix: (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - F.lit(means[i])) / F.lit(stds[i])
+        for i, f in enumerate(features)})
+
+
+def fit_pca(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """H3 fit: eigen-decomposition of the sample covariance of ``cols`` (one aggregate pass).
+
+    Returns (explained-variance ratios, loadings d x d), components sorted by
+    variance, each loading's largest-magnitude entry made positive.
+    """
+    d = len(cols)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)],
+                 *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"p{i}_{j}") for i, j in pairs]).first()
+    n = float(row["n"])
+    mean = np.array([row[f"s{i}"] for i in range(d)]) / n
+    cov = np.zeros((d, d))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = (row[f"p{i}_{j}"] - n * mean[i] * mean[j]) / (n - 1)
+    vals, vecs = np.linalg.eigh(cov)
+    order = np.argsort(vals)[::-1]
+    vals, vecs = np.clip(vals[order], 0.0, None), vecs[:, order]
+    for j in range(d):
+        if vecs[np.argmax(np.abs(vecs[:, j])), j] < 0:
+            vecs[:, j] = -vecs[:, j]
+    return vals / vals.sum(), vecs
+
+
+def n_components_for(ratios: Sequence[float], pca_variance: float) -> int:
+    """Smallest number of components whose cumulative ratio exceeds ``pca_variance``."""
+    cum = np.cumsum(ratios)
+    hit = np.nonzero(cum > pca_variance)[0]
+    return int(hit[0]) + 1 if len(hit) else len(ratios)
 
 
 def feature_vectors(df: DataFrame, features: Sequence[str] = FEATURES, use_pca: bool = True,
-                    pca_variance: float = 0.90) -> tuple[DataFrame, dict]:
-    """H2/H3: standardised vector column ``features`` (PCA-reduced when ``use_pca``) + fit info."""
+                    pca_variance: float = 0.90) -> tuple[DataFrame, list[str], dict]:
+    """H2/H3: ``df`` plus the clustering coordinates (``PC_1..PC_m`` or the scaled features)."""
     z = standardize(df, features)
     zc = [f + "_Z" for f in features]
-    vec = VectorAssembler(inputCols=zc, outputCol="_zvec").transform(z)
-    info = {"n_features": len(features)}
+    info: dict = {"n_features": len(features)}
     if not use_pca:
-        return vec.withColumnRenamed("_zvec", "features"), info
-    model = PCA(k=len(features), inputCol="_zvec", outputCol="_pcs").fit(vec)
-    ratios = [float(v) for v in model.explainedVariance.toArray()]
-    cum, m = 0.0, len(ratios)
-    for i, r in enumerate(ratios):
-        cum += r
-        if cum > pca_variance:
-            m = i + 1
-            break
-    info.update(ratios=ratios, n_components=m, explained=sum(ratios[:m]))
-    out = model.transform(vec)
-    out = VectorSlicer(inputCol="_pcs", outputCol="features", indices=list(range(m))).transform(out)
-    return out.drop("_zvec", "_pcs"), info
+        return z, zc, info
+    ratios, vecs = fit_pca(z, zc)
+    m = n_components_for(ratios, pca_variance)
+    info.update(ratios=[float(r) for r in ratios], n_components=m, explained=float(sum(ratios[:m])))
+    pcs = {f"PC_{j + 1}": sum((F.col(zc[i]) * F.lit(float(vecs[i, j])) for i in range(len(zc))), F.lit(0.0))
+           for j in range(m)}
+    return z.withColumns(pcs), list(pcs), info
 
 
 def pca_components(df: DataFrame, features: Sequence[str] = FEATURES, pca_variance: float = 0.90) -> DataFrame:
     """H3: explained-variance ratio per component and the kept count (ratio cut > ``pca_variance``)."""
-    _, info = feature_vectors(df, features, True, pca_variance)
+    _, _, info = feature_vectors(df, features, True, pca_variance)
     rows, cum = [], 0.0
     for i, r in enumerate(info["ratios"]):
         cum += r
@@ -103,71 +139,79 @@ def pca_components(df: DataFrame, features: Sequence[str] = FEATURES, pca_varian
                                                  "CUMULATIVE_RATIO double, KEPT boolean")
 
 
-def fit_kmeans(vectors: DataFrame, k: int, seed: int = 42, n_init: int = 15, max_iter: int = 500,
-               parallelism: int = 8):
-    """H4: ``n_init`` independent K-Means fits (different seeds), lowest training cost wins."""
-    def one(i):
-        return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="CLUSTER").fit(vectors)
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
-        models = list(pool.map(one, range(n_init)))
-    return min(models, key=lambda m: m.summary.trainingCost)
+def _fit_frame(x: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Cache the clustering coordinates, spread over at least one partition per core."""
+    spark = x.sparkSession
+    coords = x.select(*cols)
+    par = spark.sparkContext.defaultParallelism
+    coords = coords.repartition(par) if coords.rdd.getNumPartitions() < par else coords
+    return coords.cache()
 
 
 def run_kmeans(df: DataFrame, k: int = 4, features: Sequence[str] = FEATURES, seed: int = 42, use_pca: bool = True,
                pca_variance: float = 0.90, n_init: int = 15, max_iter: int = 500) -> DataFrame:
-    """H4: cluster labels (``CLUSTER``, replacing any given labels) and the first two components."""
-    vec, info = feature_vectors(df.drop("CLUSTER"), features, use_pca, pca_variance)
-    vec = vec.cache()  # every restart iterates over the same vectors
-    model = fit_kmeans(vec, k, seed, n_init, max_iter)
-    out = model.transform(vec)
-    if use_pca and info["n_components"] >= 2:
-        arr = vector_to_array("features")
-        out = out.withColumns({"PCA_1": arr[0], "PCA_2": arr[1]})
-    return out.drop("features")
-
-
-def calinski_harabasz(df: DataFrame, value_cols: Sequence[str], label_col: str = "CLUSTER") -> DataFrame:
+    """H4: cluster labels (``CLUSTER``, replacing any given labels) and the first two components.
+
+    ``n_init`` k-means++ restarts share every data pass (``kmeans.fit_batched``);
+    the restart with the lowest inertia labels the rows.
+    """
+    x, cols, info = feature_vectors(df.drop("CLUSTER"), features, use_pca, pca_variance)
+    coords = _fit_frame(x, cols)
+    best = km.best_per_k(km.fit_batched(coords, cols, [k], n_init, seed, max_iter))[k]
+    coords.unpersist()
+    out = x.withColumn("CLUSTER", km.assign(cols, best.centers))
+    if use_pca and len(cols) >= 2:
+        out = out.withColumns({"PCA_1": F.col(cols[0]), "PCA_2": F.col(cols[1])})
+    return out.drop(*[f + "_Z" for f in features], *[c for c in cols if c.startswith("PC_")])
+
+
+def calinski_harabasz(df: DataFrame, value_cols: Sequence[str], label_col: str = "CLUSTER",
+                      by: Sequence[str] = ()) -> DataFrame:
     """H7: CH index from cluster sizes, sums and squared norms -- pure aggregation.
 
     B = sum_c n_c |mu_c|^2 - n |mu|^2,  W = sum |x|^2 - sum_c n_c |mu_c|^2,
     CH = (B / (k - 1)) / (W / (n - k)).
     """
     sq = sum((F.col(c) * F.col(c) for c in value_cols), F.lit(0.0))
-    per = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"), F.sum(sq).alias("ss_c"),
+    per = df.groupBy(*by, label_col).agg(F.count(F.lit(1)).alias("n_c"), F.sum(sq).alias("ss_c"),
                                     *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(value_cols)])
     between_c = sum((F.col(f"s_{i}") * F.col(f"s_{i}") for i in range(len(value_cols))), F.lit(0.0)) / F.col("n_c")
-    tot = per.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("ss_c").alias("ss"),
+    tot = per.groupBy(*by).agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("ss_c").alias("ss"),
                   F.sum(between_c).alias("sb"), *[F.sum(f"s_{i}").alias(f"t_{i}") for i in range(len(value_cols))])
     grand = sum((F.col(f"t_{i}") * F.col(f"t_{i}") for i in range(len(value_cols))), F.lit(0.0)) / F.col("n")
     b = F.col("sb") - grand
     w = F.col("ss") - F.col("sb")
     ch = F.when((F.col("k") > 1) & (F.col("n") > F.col("k")) & (w > 0),
                 (b / (F.col("k") - 1)) / (w / (F.col("n") - F.col("k"))))
-    return tot.select("n", "k", b.alias("BETWEEN_SS"), w.alias("WITHIN_SS"), ch.alias("CALINSKI_HARABASZ"))
+    return tot.select(*by, "n", "k", b.alias("BETWEEN_SS"), w.alias("WITHIN_SS"), ch.alias("CALINSKI_HARABASZ"))
 
 
 def k_evaluation(df: DataFrame, k_values: Sequence[int] = range(2, 9), features: Sequence[str] = FEATURES,
                  seed: int = 42, use_pca: bool = True, pca_variance: float = 0.90, n_init: int = 15,
                  max_iter: int = 500) -> DataFrame:
-    """H5/H6/H8: per K inertia, silhouette (Spark's squared-Euclidean, linear time), CH; best K flagged."""
-    vec, info = feature_vectors(df.drop("CLUSTER").select(*features), features, use_pca, pca_variance)
-    vec = vec.cache()
-    dims = info.get("n_components", len(features))
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="CLUSTER")
+    """H5/H6/H8: per K inertia, silhouette (Spark's squared-Euclidean, linear time), CH; best K flagged.
+
+    All K x restarts models are fitted with shared passes; CH for every K comes
+    from one aggregation over the stacked labelings.
+    """
+    x, cols, info = feature_vectors(df.drop("CLUSTER").select(*features), features, use_pca, pca_variance)
+    coords = _fit_frame(x, cols)
+    best = km.best_per_k(km.fit_batched(coords, cols, list(k_values), n_init, seed, max_iter))
+    labelled = coords.select(*cols, *[km.assign(cols, best[k].centers).alias(f"L{k}") for k in k_values])
+    stacked = labelled.select(*cols, F.explode(F.array(*[
+        F.struct(F.lit(int(k)).alias("KVAL"), F.col(f"L{k}").alias("CLUSTER")) for k in k_values])).alias("s")) \
+        .select(*cols, "s.KVAL", "s.CLUSTER")
+    ch = {r["KVAL"]: r["CALINSKI_HARABASZ"] for r in calinski_harabasz(stacked, cols, "CLUSTER", by=["KVAL"]).collect()}
+    vec = VectorAssembler(inputCols=list(cols), outputCol="features").transform(labelled)
     rows = []
     for k in k_values:
-        model = fit_kmeans(vec, k, seed, n_init, max_iter)
-        pred = model.transform(vec)
-        sil = ev.evaluate(pred)
-        arr = pred.select("CLUSTER", vector_to_array("features").alias("a"))
-        flat = arr.select("CLUSTER", *[F.col("a")[i].alias(f"f{i}") for i in range(dims)])
-        ch = calinski_harabasz(flat, [f"f{i}" for i in range(dims)]).first()["CALINSKI_HARABASZ"]
-        rows.append((int(k), float(round(model.summary.trainingCost, 1)), float(round(sil, 4)),
-                     None if ch is None else float(round(ch, 1))))
-    vec.unpersist()
-    best = max(rows, key=lambda r: (r[2], -r[0]))[0] if rows else None
-    out = [(k, i, s, c, k == best) for k, i, s, c in rows]
+        sil = ClusteringEvaluator(featuresCol="features", predictionCol=f"L{k}").evaluate(vec)
+        c = ch.get(int(k))
+        rows.append((int(k), float(round(best[k].inertia, 1)), float(round(sil, 4)),
+                     None if c is None else float(round(c, 1))))
+    coords.unpersist()
+    top = max(rows, key=lambda r: (r[2], -r[0]))[0] if rows else None
+    out = [(k, i, s_, c, k == top) for k, i, s_, c in rows]
     return df.sparkSession.createDataFrame(out, "K int, INERTIA double, SILHOUETTE_SQ double, "
                                                 "CALINSKI_HARABASZ double, BEST boolean")
 

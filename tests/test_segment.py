@@ -106,3 +106,34 @@ def test_calinski_harabasz_matches_numpy(spark):
     b = sum((lab == k).sum() * ((x[lab == k].mean(0) - mu) ** 2).sum() for k in range(4))
     w = sum(((x[lab == k] - x[lab == k].mean(0)) ** 2).sum() for k in range(4))
     assert abs(got - (b / 3) / (w / (300 - 4))) < 1e-9
+
+
+def test_batched_kmeans_recovers_blobs_and_invariants(spark):
+    from skylane.operators import kmeans as km
+    rng = np.random.default_rng(9)
+    centers = np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 10.0]])
+    pts = np.vstack([c + rng.normal(scale=0.5, size=(200, 2)) for c in centers])
+    df = spark.createDataFrame([tuple(map(float, p)) for p in pts], "a double, b double").repartition(4).cache()
+    fits = km.fit_batched(df, ["a", "b"], [2, 3, 4], n_init=5, seed=1)
+    best = km.best_per_k(fits)
+    assert len(fits) == 15
+    assert best[2].inertia >= best[3].inertia >= best[4].inertia
+    got = sorted(map(tuple, np.round(best[3].centers)))
+    assert got == sorted(map(tuple, np.round(centers)))
+    labels = df.select(km.assign(["a", "b"], best[3].centers).alias("c")).groupBy("c").count().collect()
+    assert sorted(r["count"] for r in labels) == [200, 200, 200]
+    # inertia reported by the passes equals the sum of squared distances to the assigned centers
+    lab = np.argmin(((pts[:, None, :] - best[3].centers[None]) ** 2).sum(-1), 1)
+    assert abs(best[3].inertia - ((pts - best[3].centers[lab]) ** 2).sum()) < 1e-6
+
+
+def test_pca_cut_and_ratios_match_numpy(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 4)) @ np.array([[3, 0, 0, 0], [1, 1, 0, 0], [0, 0, 0.3, 0], [0, 0, 0, 0.1]])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double")
+    ratios, _ = sg.fit_pca(df, ["a", "b", "c", "d"])
+    xc = x - x.mean(0)
+    sv = np.linalg.svd(xc, compute_uv=False) ** 2
+    assert np.allclose(ratios, sv / sv.sum(), atol=1e-10)
+    m = sg.n_components_for(ratios, 0.90)
+    assert np.cumsum(ratios)[m - 1] > 0.90 and (m == 1 or np.cumsum(ratios)[m - 2] <= 0.90)
