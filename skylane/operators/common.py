@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str] = (), how: str = "inner") -> DataFrame:
     """Join a per-key aggregate back onto ``df``.
 
-    With no keys the aggregate has exactly one row; it is attached through a
-    constant equi-join key (a one-row broadcast), never a cartesian product.
-    The keyed case is left to AQE, which broadcasts only when the runtime size
-    of ``per_key`` is under the threshold and otherwise splits skewed keys.
+    With no keys the aggregate has exactly one row; it is attached as a single
+    scalar subquery (one struct, evaluated once, its fields read per row) --
+    no join at all. The keyed case is a plain join left to AQE, which
+    broadcasts only when the runtime size of ``per_key`` is under the
+    threshold and otherwise splits skewed keys.
     """
     if keys:
         return df.join(per_key, list(keys), how)
-    return (df.withColumn("_one", F.lit(1))
-              .join(F.broadcast(per_key.withColumn("_one", F.lit(1))), "_one", how)
-              .drop("_one"))
+    cols = per_key.columns
+    one = per_key.select(F.struct(*cols).alias("_one")).scalar()
+    return df.withColumn("_one", one).withColumns({c: F.col(f"_one.{c}") for c in cols}).drop("_one")

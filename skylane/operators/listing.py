@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, np_round, to_count, to_double
 from ..sources.io import require_columns
+from .common import attach
 
 # Price level -> tier names.
 PRICE_TIERS = {1: "Budget", 2: "Mid-Range", 3: "Upscale", 4: "Luxury"}
@@ -146,10 +147,8 @@ def category_counts(df: DataFrame, columns: Sequence[str] = ("MARKET", "PRICE_TI
     counts = stacked.groupBy("COLUMN_NAME", "VALUE").agg(F.count(F.lit(1)).alias("COUNT"))
     total = df.agg(F.count(F.lit(1)).alias("_n"),
                    F.avg(F.col("IS_BOOKABLE").cast("int")).alias("BOOKABLE_SHARE"))
-    # one-row aggregate attached through a constant key (never more than one row on that side)
-    return (counts.withColumn("_k", F.lit(1))
-            .join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")
-            .select("COLUMN_NAME", "VALUE", "COUNT", (F.col("COUNT") / F.col("_n")).alias("SHARE"), "BOOKABLE_SHARE"))
+    return attach(counts, total).select("COLUMN_NAME", "VALUE", "COUNT", (F.col("COUNT") / F.col("_n")).alias("SHARE"),
+                                        "BOOKABLE_SHARE")
 
 
 def score_histogram(df: DataFrame, value_col: str = "VISIBILITY_SCORE", key: str = "MARKET",

@@ -49,3 +49,9 @@ def test_oracle_small(spark, sf_small, name):
     con = duck(sf_small)
     res = compare(entry_mod.queries()[name](spark, sf_small), entry_mod.oracle_sql()[name], con)
     assert res["names_match"] and res["rows_match"] and res["approx"], res
+
+
+@pytest.mark.parametrize("name", sorted(set(entry_mod.queries()) - {"k_evaluation", "segmentation_pipeline"}))
+def test_no_cartesian_or_nested_loop_join(spark, sf_small, name):
+    plan = _plan(entry_mod.queries()[name](spark, sf_small))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
