@@ -175,7 +175,7 @@ bd as (select bp.model, ds, y, pred as yhat, y - pred as residual, s.resid_std,
        from bp, (select coalesce(stddev_samp(y - pred), 0e0) as resid_std from bp) s)
 """
 
-_SPK = f""", sx as (select DATE, cast(kw_sparse as double) as kw_sparse from tr where kw_sparse is not null and DATE is not null),
+_SPK = f""", sx as (select DATE, cast(kw_sparse as bigint) as kw_sparse from tr where kw_sparse is not null and DATE is not null),
 sw as (select DATE, kw_sparse, count(kw_sparse) over w6 as c, avg(kw_sparse) over w6 as m, stddev_samp(kw_sparse) over w6 as s
        from sx window w6 as (order by DATE rows between 5 preceding and current row)),
 sk as (select DATE, kw_sparse, (kw_sparse - case when c >= 3 then m end) / case when c >= 3 then nullif(s, 0e0) end as z from sw)
@@ -203,7 +203,7 @@ select rsp.DATE, {", ".join(f"round_even(rm0.{c}, 1) as {c}" for c in KW)} from
     "forecast_best_model": f"{_BASE} select * from best",
     "forecast_band": f"""{_BASE} select model, ds, y, round_even(yhat, {P4}) as yhat, round_even(residual, {P4}) as residual,
   round_even(resid_std, {P4}) as resid_std, round_even(lower, {P4}) as lower, round_even(upper, {P4}) as upper from bd""",
-    "seasonal_index": f"""{_BASE}{_SEAS} select N_ROWS, FIRST_DATE, LAST_DATE, MONTH, AVG_VALUE, round_even(mom, {Z9}) as MEAN_OF_MONTHS,
+    "seasonal_index": f"""{_BASE}{_SEAS} select N_ROWS, FIRST_DATE, LAST_DATE, cast(MONTH as integer) as MONTH, AVG_VALUE, round_even(mom, {Z9}) as MEAN_OF_MONTHS,
   case when AVG_VALUE > mom then 'peak' when AVG_VALUE <= mom then 'trough' end as SEASON from sm""",
     "spikes": f"{_BASE}{_SPK} select DATE, kw_sparse, round_even(z, {Z9}) as SPIKE_MAGNITUDE from sk where z >= 1.5",
     "spikes_top": f"{_BASE}{_SPK} select DATE, kw_sparse, round_even(z, {Z9}) as SPIKE_MAGNITUDE from sk where z >= 1.5 order by round_even(z, {Z9}) desc, DATE limit 5",
@@ -214,11 +214,11 @@ select round_even(PRE_MEAN, {Z9}) as PRE_MEAN, round_even(TROUGH_MEAN, {Z9}) as
   round_even((TROUGH_MEAN - PRE_MEAN) / nullif(PRE_MEAN, 0) * 100, {Z9}) as TROUGH_VS_PRE_PCT,
   round_even((POST_MEAN - PRE_MEAN) / nullif(PRE_MEAN, 0) * 100, {Z9}) as POST_VS_PRE_PCT from rg""",
     "yoy_growth": f"""{_BASE}, yr as (select year(ds) as YEAR, sum(y) as TOTAL from fr group by 1)
-select YEAR, TOTAL, round_even((TOTAL / nullif(lag(TOTAL) over (order by YEAR), 0) - 1) * 100, {Z9}) as YOY_PCT from yr""",
+select cast(YEAR as integer) as YEAR, TOTAL, round_even((TOTAL / nullif(lag(TOTAL) over (order by YEAR), 0) - 1) * 100, {Z9}) as YOY_PCT from yr""",
     "lag_correlation": f"""{_BASE}, lx as (select ds, y, trend_kw_urgent as s from fr where ds is not null and trend_kw_urgent is not null and y is not null),
 ll as (select l.k as lag_months, lag(s, l.k) over (partition by l.k order by ds) as sl, y from lx, (select unnest(range(0, 7)) as k) l),
 lc as (select lag_months, count(*) as n, corr(sl, y) as r from ll where sl is not null group by 1)
-select k.lag_months, round_even(case when coalesce(n, 0) >= 6 then r end, {Z9}) as correlation,
+select cast(k.lag_months as integer) as lag_months, round_even(case when coalesce(n, 0) >= 6 then r end, {Z9}) as correlation,
   coalesce(abs(case when coalesce(n, 0) >= 6 then r end) >= 0.5, false) as significant, coalesce(n, 0) as n
 from (select unnest(range(0, 7)) as lag_months) k left join lc on lc.lag_months = k.lag_months""",
     "push_timing": f"""{_BASE}, pk as (select bd.*, q.thr from bd, (select quantile_cont(yhat, 0.75) as thr from bd) q

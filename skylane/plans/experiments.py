@@ -116,7 +116,7 @@ from ({_ztest_select('n_c', 'x_c', 'n_t', 'x_t', 'segc', extra='*, n_c < 50 or n
 
 ORACLE = {
     "ab_summary": with_views(f"""
-select ab_group, count(*) as N, sum({_Y}) as CONVERSIONS, sum({_Y}) / greatest(count(*), 1) as CVR
+select ab_group, count(*) as N, cast(sum({_Y}) as bigint) as CONVERSIONS, sum({_Y}) / greatest(count(*), 1) as CVR
 from fx_ab where ab_group is not null group by ab_group""", "fx_ab"),
 
     "ab_ztest": with_views(_ztest_select("n_c", "x_c", "n_t", "x_t", f"({_COUNTS} from fx_ab) c"), "fx_ab"),
@@ -170,14 +170,14 @@ select CHECKPOINT_N, CVR_CONTROL, CVR_TREATMENT, ABS_DIFF, P_VALUE, SIGNIFICANT,
     "ab_revenue": with_views(f"""
 select ab_group, VISITORS, BOOKINGS, {S.rnd('REVENUE', 2)} as REVENUE, BOOKINGS / VISITORS as CVR,
   {S.rnd('REVENUE / VISITORS', 6)} as RPV, {S.rnd('case when BOOKINGS > 0 then REVENUE / BOOKINGS end', 6)} as AOV
-from (select ab_group, count(*) as VISITORS, sum({_Y}) as BOOKINGS,
+from (select ab_group, count(*) as VISITORS, cast(sum({_Y}) as bigint) as BOOKINGS,
         sum(case when {_Y} = 1 then coalesce(display_price, 0e0) else 0e0 end) as REVENUE
       from fx_ab where ab_group is not null group by ab_group) r""", "fx_ab"),
 
     "ab_revenue_by_fare": with_views(f"""
 select fare_class, ab_group, VISITORS, BOOKINGS, {S.rnd('REVENUE', 2)} as REVENUE, BOOKINGS / VISITORS as CVR,
   {S.rnd('REVENUE / VISITORS', 6)} as RPV, {S.rnd('case when BOOKINGS > 0 then REVENUE / BOOKINGS end', 6)} as AOV
-from (select fare_class, ab_group, count(*) as VISITORS, sum({_Y}) as BOOKINGS,
+from (select fare_class, ab_group, count(*) as VISITORS, cast(sum({_Y}) as bigint) as BOOKINGS,
         sum(case when {_Y} = 1 then coalesce(display_price, 0e0) else 0e0 end) as REVENUE
       from fx_ab where ab_group is not null group by fare_class, ab_group) r""", "fx_ab"),
 

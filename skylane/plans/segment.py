@@ -198,7 +198,7 @@ ORACLE = {
                                     + ", TOTAL_SPEND_PP, IS_REPEAT, IS_MOBILE from fe", "fx_travelers"),
     "standardized": with_views(_Z + " select TRAVELER_ID, " + ", ".join(
         f"round_even({f}_Z, {Z9}) as {f}_Z" for f in sg.FEATURES) + " from z", "fx_travelers"),
-    "ch_index": with_views(_CH + """ select n, k, round_even(b, 4) as BETWEEN_SS, round_even(w, 4) as WITHIN_SS,
+    "ch_index": with_views(_CH + """ select cast(n as bigint) as n, k, round_even(b, 4) as BETWEEN_SS, round_even(w, 4) as WITHIN_SS,
   round_even(case when k > 1 and n > k and w > 0 then (b / (k - 1)) / (w / (n - k)) end, 1) as CALINSKI_HARABASZ from chv""",
                            "fx_travelers"),
     "cluster_profile": with_views(_PROF + " select * from prof", "fx_travelers"),

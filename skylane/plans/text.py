@@ -216,7 +216,8 @@ union all select 'Medium', 'Reputation Risk',
     "video_engagement": with_views("""
 select video_id as VIDEO_ID, published_at as PUBLISHED_AT, cast(view_count as bigint) as VIEW_COUNT,
   cast(like_count as bigint) as LIKE_COUNT, cast(comment_count as bigint) as COMMENT_COUNT,
-  year(published_at) as PUBLISH_YEAR, month(published_at) as PUBLISH_MONTH, dayname(published_at) as PUBLISH_DOW,
+  cast(year(published_at) as integer) as PUBLISH_YEAR, cast(month(published_at) as integer) as PUBLISH_MONTH,
+  dayname(published_at) as PUBLISH_DOW,
   round_even(like_count / greatest(view_count, 1) * 100, 3) as LIKE_RATE,
   round_even(comment_count / greatest(view_count, 1) * 100, 3) as COMMENT_RATE,
   round_even((like_count + comment_count) / greatest(view_count, 1) * 100, 3) as ENGAGEMENT_RATE

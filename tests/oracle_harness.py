@@ -62,16 +62,27 @@ def _close(a, b, rel=1e-9):
     return a == b
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+                 "timestamp": "TIMESTAMP WITH TIME ZONE", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
 def compare(spark_df, sql: str, con) -> dict:
     s_cols = spark_df.columns
+    s_types = dict(spark_df.dtypes)
     s_rows = [tuple(r) for r in spark_df.collect()]
     rel = con.execute(sql)
     o_cols = [d[0] for d in rel.description]
     o_rows = rel.fetchall()
+    o_types = {c: str(t) for c, t in zip(con.sql(sql).columns, con.sql(sql).types)}
+    type_diff = [(c, s_types[c], o_types.get(c)) for c in s_cols
+                 if SPARK_TO_DUCK.get(s_types[c], s_types[c]) != o_types.get(c)]
     sc, sr = rows_of(s_cols, s_rows)
     oc, orr = rows_of(o_cols, o_rows)
     out = {"spark_rows": len(sr), "oracle_rows": len(orr), "spark_cols": sc, "oracle_cols": oc,
-           "names_match": sc == oc, "rows_match": len(sr) == len(orr)}
+           "names_match": sc == oc, "rows_match": len(sr) == len(orr), "types_match": not type_diff}
+    if type_diff:
+        out["type_diff"] = type_diff
     if not out["names_match"] or not out["rows_match"]:
         out.update(exact=False, approx=False)
         return out

@@ -48,7 +48,7 @@ def test_segment_scan_is_pruned_and_aggregated_partially(spark, sf_small):
 def test_oracle_small(spark, sf_small, name):
     con = duck(sf_small)
     res = compare(entry_mod.queries()[name](spark, sf_small), entry_mod.oracle_sql()[name], con)
-    assert res["names_match"] and res["rows_match"] and res["approx"], res
+    assert res["names_match"] and res["rows_match"] and res["types_match"] and res["approx"], res
 
 
 @pytest.mark.parametrize("name", sorted(set(entry_mod.queries()) - {"k_evaluation", "segmentation_pipeline"}))
