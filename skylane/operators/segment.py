@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import chi2_sf, np_round
 from . import kmeans as km
 from .common import attach
-from .ranking import average_ranks
+from .ranking import average_ranks, exact_quantile
 
 # Lead-time bins (right-closed) -> bucket 1..5, tier numbers (other -> 2), feature list.
 LEAD_BINS = [(0, 7), (7, 21), (21, 45), (45, 90), (90, 365)]
@@ -237,7 +237,6 @@ def profile_clusters(df: DataFrame, label_col: str = "CLUSTER") -> DataFrame:
         np_round(F.avg("FLIGHT_SPEND"), 0).alias("AVG_FLIGHT_SPEND"),
         np_round(F.avg("HOTEL_SPEND_PER_NIGHT"), 0).alias("AVG_HOTEL_PER_NIGHT"),
         np_round(F.avg("TOTAL_TRIP_SPEND"), 0).alias("AVG_TOTAL_SPEND"),
-        np_round(F.median("TOTAL_TRIP_SPEND"), 0).alias("MEDIAN_TOTAL_SPEND"),
         np_round(F.avg((F.col("PREFERRED_MARKET") == "Dubai").cast("double")) * 100, 1).alias("PCT_DUBAI_PREF"),
         np_round(F.avg(F.col("LOYALTY_MEMBER").cast("double")) * 100, 1).alias("PCT_LOYALTY"),
         np_round(F.avg(F.col("REPEAT_VISITOR").cast("double")) * 100, 1).alias("PCT_REPEAT"),
@@ -245,6 +244,9 @@ def profile_clusters(df: DataFrame, label_col: str = "CLUSTER") -> DataFrame:
     )
     total = df.agg(F.count(F.lit(1)).alias("_all"))
     g = attach(g, total).withColumn("PCT_OF_TOTAL", np_round(F.col("SIZE") / F.col("_all") * 100, 1)).drop("_all")
+    # continuous spend: exact median without one per-cluster value buffer (see ranking.exact_quantile)
+    med = exact_quantile(df, [label_col], "TOTAL_TRIP_SPEND", 0.5, out_col="_med")
+    g = g.join(med, label_col, "left").withColumn("MEDIAN_TOTAL_SPEND", np_round("_med", 0)).drop("_med")
     for col in ["TRIP_PURPOSE", "PREFERRED_PRICE_TIER", "BOOKING_CHANNEL", "DEVICE", "FARE_CLASS"]:
         g = g.join(_mode_and_share(df, col, label_col), label_col, "left")
     return g.select(

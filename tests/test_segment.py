@@ -137,3 +137,16 @@ def test_pca_cut_and_ratios_match_numpy(spark):
     assert np.allclose(ratios, sv / sv.sum(), atol=1e-10)
     m = sg.n_components_for(ratios, 0.90)
     assert np.cumsum(ratios)[m - 1] > 0.90 and (m == 1 or np.cumsum(ratios)[m - 2] <= 0.90)
+
+
+def test_exact_quantile_matches_numpy(spark):
+    from skylane.operators.ranking import exact_quantile
+    rng = np.random.default_rng(12)
+    rows = [(int(g), float(v)) for g in range(3) for v in rng.normal(size=101 + 50 * g)] + [(3, 7.0), (3, 7.0), (4, 1.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for q in (0.5, 0.99, 0.0, 0.25):
+        got = {r["g"]: r["QUANTILE"] for r in exact_quantile(df, ["g"], "v", q, buckets=6).collect()}
+        for g in range(5):
+            vals = np.array([v for gg, v in rows if gg == g])
+            want = np.median(vals) if q == 0.5 else np.quantile(vals, q)
+            assert abs(got[g] - want) < 1e-12, (q, g)
