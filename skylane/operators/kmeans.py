@@ -28,6 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _reducers(n_models: int) -> int:
+    return max(1, min(8, n_models // 16))
+
+
 @dataclass
 class KMeansFit:
     k: int
@@ -37,23 +41,20 @@ class KMeansFit:
     iterations: int
 
 
-def _matrix(pdf, cols):
-    return np.column_stack([pdf[c].to_numpy(dtype=float) for c in cols]) if len(pdf) else np.zeros((0, len(cols)))
-
-
 def _seed_pass(df: DataFrame, cols: Sequence[str], models: list, step: int, seed: int) -> dict:
     """One k-means++ step for every model that still needs a center; returns model -> new center."""
     d = len(cols)
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast([(mid, np.asarray(c, dtype=float)) for mid, c in models])
 
-    def pick(it):
+    def pick(it):  # self-contained: runs in Python workers without this package installed
+        import numpy as np
         import pandas as pd
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
         best = {}
         for b, pdf in enumerate(it):
-            x = _matrix(pdf, cols)
+            x = np.column_stack([pdf[c].to_numpy(dtype=float) for c in cols]) if len(pdf) else np.zeros((0, d))
             if not len(x):
                 continue
             for mid, centers in bc.value:
@@ -72,7 +73,8 @@ def _seed_pass(df: DataFrame, cols: Sequence[str], models: list, step: int, seed
         yield pd.DataFrame(rows, columns=["model", "key", *[f"c{j}" for j in range(d)]])
 
     schema = "model int, key double, " + ", ".join(f"c{j} double" for j in range(d))
-    picked = df.select(*cols).mapInPandas(pick, schema).groupBy("model").agg(
+    # partials are one row per (task, model): route them by model to a few reducers
+    picked = df.select(*cols).mapInPandas(pick, schema).repartition(_reducers(len(models)), "model").groupBy("model").agg(
         F.max_by(F.struct(*[F.col(f"c{j}") for j in range(d)]), "key").alias("p"))
     out = {r["model"]: np.array([r["p"][f"c{j}"] for j in range(d)]) for r in picked.collect()}
     bc.unpersist()
@@ -85,11 +87,12 @@ def _lloyd_pass(df: DataFrame, cols: Sequence[str], models: list) -> dict:
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast([(mid, np.asarray(c, dtype=float)) for mid, c in models])
 
-    def part(it):
+    def part(it):  # self-contained: runs in Python workers without this package installed
+        import numpy as np
         import pandas as pd
         acc = {}
         for pdf in it:
-            x = _matrix(pdf, cols)
+            x = np.column_stack([pdf[c].to_numpy(dtype=float) for c in cols]) if len(pdf) else np.zeros((0, d))
             if not len(x):
                 continue
             xx = (x * x).sum(1)
@@ -118,7 +121,8 @@ def _lloyd_pass(df: DataFrame, cols: Sequence[str], models: list) -> dict:
         yield pd.DataFrame(rows, columns=["model", "cluster", "n", "cost", *[f"s{j}" for j in range(d)]])
 
     schema = "model int, cluster int, n double, cost double, " + ", ".join(f"s{j} double" for j in range(d))
-    agg = df.select(*cols).mapInPandas(part, schema).groupBy("model", "cluster").agg(
+    # partials are already one row per (task, model, cluster): route them by model to a few reducers
+    agg = df.select(*cols).mapInPandas(part, schema).repartition(_reducers(len(models)), "model").groupBy("model", "cluster").agg(
         F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
     out: dict = {}
     for r in agg.collect():

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -25,6 +25,26 @@ from .common import attach
 _PART_SHIFT = 1 << 33  # monotonically_increasing_id = partition_index << 33 | row_index
 
 
+def bucket_of(bounds: str, value: str, n_bounds: int) -> Column:
+    """Number of entries of the ascending array ``bounds`` smaller than ``value`` (binary search).
+
+    Folded with ``aggregate`` over ceil(log2(n + 1)) steps, so routing a row to
+    one of many quantile buckets costs O(log n), not a scan of the bounds.
+    """
+    steps = max(1, int(n_bounds).bit_length())
+    b, v = F.col(bounds), F.col(value)
+    init = F.struct(F.lit(0).alias("lo"), F.size(b).alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        below = F.element_at(b, mid + 1) < v
+        return F.when(lo < hi, F.when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
+                      .otherwise(F.struct(lo.alias("lo"), mid.alias("hi")))).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
+
+
 def global_position(df: DataFrame, order_cols: Sequence[str], pos_col: str = "pos",
                     num_partitions: int | None = None) -> tuple[DataFrame, int]:
     """Attach a 1-based position in ``order_cols`` order; returns (frame, row count).
@@ -77,8 +97,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value_col: str, group_col:
         probs = [i / nb for i in range(1, nb)]
         bounds = per_value.groupBy(*keys).agg(F.percentile_approx(value_col, probs).alias("_bounds"))
         per_value = attach(per_value, bounds, keys)
-        per_value = per_value.withColumn(
-            "_b", F.size(F.filter("_bounds", lambda b: b < F.col(value_col)))).drop("_bounds")
+        per_value = per_value.withColumn("_b", bucket_of("_bounds", value_col, nb - 1)).drop("_bounds")
     else:
         per_value = per_value.withColumn("_b", F.lit(0))
     totals = per_value.groupBy(*keys, "_b").agg(F.sum("t").alias("_bt"))
@@ -108,8 +127,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value_col: str, q: float
     x = df.select(*keys, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     if nb > 1:
         bounds = x.groupBy(*keys).agg(F.percentile_approx("_v", [i / nb for i in range(1, nb)]).alias("_bounds"))
-        x = attach(x, bounds, keys).withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))) \
-            .drop("_bounds")
+        x = attach(x, bounds, keys).withColumn("_b", bucket_of("_bounds", "_v", nb - 1)).drop("_bounds")
     else:
         x = x.withColumn("_b", F.lit(0))
     per_b = x.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
