@@ -22,3 +22,40 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str] = (), how: str
     cols = per_key.columns
     one = per_key.select(F.struct(*cols).alias("_one")).scalar()
     return df.withColumn("_one", one).withColumns({c: F.col(f"_one.{c}") for c in cols}).drop("_one")
+
+
+def fixed_width_histogram(df: DataFrame, value_col: str, bins: int, keys: Sequence[str] = (),
+                          with_median: bool = False) -> DataFrame:
+    """numpy.histogram-style fixed-width bins per key (edges from the key's min/max).
+
+    Edges are ``i * step + lo`` (last edge = max), a value equal to the max falls in
+    the last bin, and the computed bin is corrected against the edges as numpy does;
+    a constant key gets the range [v - 0.5, v + 0.5].
+    """
+    v = F.col(value_col).cast("double")
+    base = df.filter(v.isNotNull())
+    for k in keys:
+        base = base.filter(F.col(k).isNotNull())
+    aggs = [F.min(v).alias("_lo0"), F.max(v).alias("_hi0")]
+    if with_median:
+        aggs.append(F.median(v).alias("MEDIAN"))
+    stats = base.groupBy(*keys).agg(*aggs)
+    same = F.col("_lo0") == F.col("_hi0")
+    stats = stats.withColumns({
+        "_lo": F.when(same, F.col("_lo0") - 0.5).otherwise(F.col("_lo0")),
+        "_hi": F.when(same, F.col("_hi0") + 0.5).otherwise(F.col("_hi0")),
+    }).drop("_lo0", "_hi0")
+    j = attach(base, stats, keys)
+    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+
+    def edge(i):
+        return F.when(i == bins, F.col("_hi")).otherwise(i * step + F.col("_lo"))
+
+    idx0 = F.least(((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins))).cast("int"), F.lit(bins - 1))
+    idx1 = F.when(v < edge(idx0), idx0 - 1).otherwise(idx0)
+    idx = F.when((v >= edge(idx1 + 1)) & (idx1 != bins - 1), idx1 + 1).otherwise(idx1)
+    counts = j.groupBy(*keys, idx.alias("BIN")).agg(F.count(F.lit(1)).alias("COUNT"))
+    out = attach(counts, stats, keys)
+    extra = ["MEDIAN"] if with_median else []
+    return out.select(*keys, "BIN", edge(F.col("BIN")).alias("BIN_LOW"), edge(F.col("BIN") + 1).alias("BIN_HIGH"),
+                      "COUNT", *extra)

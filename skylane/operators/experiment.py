@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import norm_sf2, to_count, to_double, zcrit
 from ..sources.io import require_columns
-from .common import attach
+from .common import fixed_width_histogram
 from .ranking import global_position
 
 MONITOR_NOTE = "Monitoring only; adjust for sequential testing if making stop/go decisions."
@@ -328,13 +328,5 @@ def bootstrap_replicates(df: DataFrame, group_col: str = "GROUP", outcome_col: s
 
 
 def histogram(df: DataFrame, value_col: str, bins: int = 80, keys: Sequence[str] = ()) -> DataFrame:
-    """Fixed-width histogram per key (edges from min/max of the key)."""
-    v = F.col(value_col).cast("double")
-    stats = df.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    j = attach(df, stats, keys)
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.when(width <= 0, F.lit(0)).otherwise(
-        F.least(F.floor((v - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
-    out = j.filter(v.isNotNull()).groupBy(*keys, b.alias("BIN"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("COUNT"))
-    return out.select(*keys, "BIN", (F.col("_lo") + F.col("BIN") * width).alias("BIN_LOW"),
-                      (F.col("_lo") + (F.col("BIN") + 1) * width).alias("BIN_HIGH"), "COUNT")
+    """Numpy-style fixed-width histogram (e.g. of bootstrap differences), optionally per key."""
+    return fixed_width_histogram(df, value_col, bins, keys)

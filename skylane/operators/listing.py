@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, np_round, to_count, to_double
 from ..sources.io import require_columns
-from .common import attach
+from .common import attach, fixed_width_histogram
 
 # Price level -> tier names.
 PRICE_TIERS = {1: "Budget", 2: "Mid-Range", 3: "Upscale", 4: "Luxury"}
@@ -154,23 +154,4 @@ def category_counts(df: DataFrame, columns: Sequence[str] = ("MARKET", "PRICE_TI
 def score_histogram(df: DataFrame, value_col: str = "VISIBILITY_SCORE", key: str = "MARKET",
                     bins: int = 20) -> DataFrame:
     """Numpy-style fixed-width histogram per key (edges from the key's min/max) plus median."""
-    v = F.col(value_col).cast("double")
-    stats = df.filter(F.col(key).isNotNull() & v.isNotNull()).groupBy(key).agg(
-        F.min(v).alias("_lo0"), F.max(v).alias("_hi0"), F.median(v).alias("MEDIAN"))
-    same = F.col("_lo0") == F.col("_hi0")
-    stats = stats.withColumns({
-        "_lo": F.when(same, F.col("_lo0") - 0.5).otherwise(F.col("_lo0")),
-        "_hi": F.when(same, F.col("_hi0") + 0.5).otherwise(F.col("_hi0")),
-    })
-    j = df.filter(v.isNotNull()).join(stats, key)
-    step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-
-    def edge(i):
-        return F.when(i == bins, F.col("_hi")).otherwise(i * step + F.col("_lo"))
-
-    idx0 = F.least(((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins))).cast("int"), F.lit(bins - 1))
-    idx1 = F.when(v < edge(idx0), idx0 - 1).otherwise(idx0)
-    idx = F.when((v >= edge(idx1 + 1)) & (idx1 != bins - 1), idx1 + 1).otherwise(idx1)
-    counts = j.groupBy(key, idx.alias("BIN")).agg(F.count(F.lit(1)).alias("COUNT"))
-    return counts.join(stats, key).select(
-        key, "BIN", edge(F.col("BIN")).alias("BIN_LOW"), edge(F.col("BIN") + 1).alias("BIN_HIGH"), "COUNT", "MEDIAN")
+    return fixed_width_histogram(df, value_col, bins, [key], with_median=True)

@@ -33,8 +33,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def read_format(spark: SparkSession, path: str, fmt: str, schema: StructType | None = None) -> DataFrame:
-    reader = spark.read
+def read_format(spark: SparkSession, path: str, fmt: str, schema: StructType | None = None,
+                options: Mapping[str, str] | None = None) -> DataFrame:
+    """Read one path; ``options`` pass through (e.g. ``timestampFormat`` for landed CSV)."""
+    reader = spark.read.options(**dict(options or {}))
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
@@ -50,12 +52,13 @@ def read_format(spark: SparkSession, path: str, fmt: str, schema: StructType | N
 
 
 def load_table(spark: SparkSession, base: str, name: str, formats: Sequence[str] = DEFAULT_FORMATS,
-               schema: StructType | None = None) -> DataFrame:
+               schema: StructType | None = None, options: Mapping[str, str] | None = None) -> DataFrame:
     """A1: load ``base/name.<fmt>`` for the first format that exists."""
-    return load_first(spark, [f"{base.rstrip('/')}/{name}.{fmt}" for fmt in formats], schema=schema)
+    return load_first(spark, [f"{base.rstrip('/')}/{name}.{fmt}" for fmt in formats], schema=schema, options=options)
 
 
-def load_first(spark: SparkSession, paths: Iterable[str], schema: StructType | None = None) -> DataFrame:
+def load_first(spark: SparkSession, paths: Iterable[str], schema: StructType | None = None,
+               options: Mapping[str, str] | None = None) -> DataFrame:
     """A2: first existing of a list of candidate paths; error lists every candidate."""
     tried = []
     for p in paths:
@@ -64,7 +67,7 @@ def load_first(spark: SparkSession, paths: Iterable[str], schema: StructType | N
             fmt = p.rsplit(".", 1)[-1].lower()
             if fmt not in ("parquet", "csv", "json", "orc"):
                 fmt = "parquet"
-            return read_format(spark, p, fmt, schema)
+            return read_format(spark, p, fmt, schema, options)
     raise MissingInputError("no readable input among: " + ", ".join(tried))
 
 

@@ -126,3 +126,14 @@ def test_revenue_lens(golden):
     rows = {r["GROUP"]: r for r in ab.revenue_lens(golden, []).collect()}
     assert rows["control"]["REVENUE"] == 19400.0 and rows["control"]["AOV"] == 100.0
     assert rows["treatment"]["BOOKINGS"] == 221
+
+
+def test_histogram_matches_numpy(spark):
+    rng = np.random.default_rng(8)
+    vals = np.round(rng.normal(size=500), 2)
+    df = spark.createDataFrame([(float(v), "a" if i % 2 else "b") for i, v in enumerate(vals)], "x double, k string")
+    got = sorted((r["BIN"], r["COUNT"]) for r in ab.histogram(df, "x", bins=80).collect())
+    counts, _ = np.histogram(vals, bins=80)
+    assert [c for _, c in got] == [int(c) for c in counts if c > 0]
+    per_key = ab.histogram(df, "x", bins=10, keys=["k"]).collect()
+    assert sum(r["COUNT"] for r in per_key) == 500

@@ -66,3 +66,13 @@ def test_detail_rollup_and_routes(spark):
     routes = spark.createDataFrame([("JFK", "DXB"), ("EWR", "DXB"), ("JFK", "LHR")], "`from` string, `to` string")
     assert ld.filter_routes(routes, ["JFK"], "DXB").count() == 1
     assert ld.filter_routes(routes.toDF("a", "b"), ["JFK"], "DXB").count() == 3   # no known columns: unfiltered
+
+
+def test_landed_csv_with_timestamp_format(spark):
+    base = tempfile.mkdtemp(prefix="skylane-io-")
+    with open(os.path.join(base, "trends.csv"), "w") as fh:
+        fh.write("DATE,kw\n03/01/2024 10:00,5\n04/01/2024 11:30,7\n")
+    df = io.load_table(spark, base, "trends", formats=("csv",), schema="DATE timestamp, kw int",
+                       options={"timestampFormat": "dd/MM/yyyy HH:mm"})
+    rows = df.orderBy("DATE").collect()
+    assert [(r["DATE"].day, r["DATE"].month, r["kw"]) for r in rows] == [(3, 1, 5), (4, 1, 7)]
