@@ -56,3 +56,14 @@ def test_group_mean_is_exact(spark):
     r = tx.aggregate_sentiment(tx.score_lexicon(df), "MARKET").first()
     assert r["AVG_COMPOUND"] == -0.6 and r["REVIEW_COUNT"] == 10
     assert r["PCT_POSITIVE"] == 30.0 and r["PCT_NEGATIVE"] == 70.0
+
+
+def test_rating_alignment_thresholds(spark):
+    # rating 4.0 with a negative mean; 3.4 with a mean just above / at 0.3 (strict >)
+    from pyspark.sql import functions as F
+    rows = [(1, 4.0, -0.2), (2, 3.4, 0.31), (3, 3.4, 0.30), (4, None, -1.0)]
+    df = spark.createDataFrame([(p, f"h{p}", "M", r, 0, "x", c) for p, r, c in rows],
+                               "PLACE_ID long, HOTEL_NAME string, MARKET string, RATING double, REVIEW_INDEX long, "
+                               "REVIEW_TEXT string, VADER_COMPOUND double")
+    out = {r["PLACE_ID"]: r["MISMATCH"] for r in tx.rating_alignment(df).collect()}
+    assert out == {1: "HighRating_NegSent", 2: "LowRating_PosSent", 3: "Aligned", 4: "Aligned"}
