@@ -69,15 +69,16 @@ def parse(df: DataFrame, payload_col: str, schema: T.StructType, alias: str = "p
 def dedup_first_seen(df: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
     """B2: one row per non-empty key, the one first in ``order_cols`` order (query order, position).
 
-    ``min_by`` over the ordering struct is an aggregate with map-side partial
-    aggregation, so a key repeated across a third of all results is reduced in
-    every task before the shuffle (a window would send all its rows to one task).
+    The minimum of a struct that starts with the ordering columns is that row
+    (remaining fields only break exact ties, deterministically). It is an
+    aggregate with map-side partial aggregation, so a key repeated across a
+    third of all results is reduced in every task before the shuffle (a window
+    would send all its rows to one task).
     """
-    others = [c for c in df.columns if c != key]
-    rank = F.struct(*[F.col(c) for c in order_cols])
+    others = [c for c in df.columns if c != key and c not in order_cols]
     x = df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    best = x.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in others]), rank).alias("_first"))
-    return best.select(key, *[F.col(f"_first.{c}").alias(c) for c in others])
+    first = x.groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in [*order_cols, *others]])).alias("_first"))
+    return first.select(key, *[F.col(f"_first.{c}").alias(c) for c in [*order_cols, *others]])
 
 
 def flatten_places(parsed: DataFrame, market: Column | str, col: str = "p") -> DataFrame:
