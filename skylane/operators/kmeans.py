@@ -28,6 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_DRIVER_PARTIALS = 100_000  # partial rows a pass may hand to the driver before reducing on the cluster
+
+
 def _reducers(n_models: int) -> int:
     return max(1, min(8, n_models // 16))
 
@@ -121,12 +124,22 @@ def _lloyd_pass(df: DataFrame, cols: Sequence[str], models: list) -> dict:
         yield pd.DataFrame(rows, columns=["model", "cluster", "n", "cost", *[f"s{j}" for j in range(d)]])
 
     schema = "model int, cluster int, n double, cost double, " + ", ".join(f"s{j} double" for j in range(d))
-    # partials are already one row per (task, model, cluster): route them by model to a few reducers
-    agg = df.select(*cols).mapInPandas(part, schema).repartition(_reducers(len(models)), "model").groupBy("model", "cluster").agg(
-        F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
+    partials = df.select(*cols).mapInPandas(part, schema)
+    n_rows = df.rdd.getNumPartitions() * sum(len(c) for _, c in models)
     out: dict = {}
-    for r in agg.collect():
-        out.setdefault(r["model"], {})[r["cluster"]] = (r["n"], r["cost"], np.array([r[f"s{j}"] for j in range(d)]))
+    if n_rows <= MAX_DRIVER_PARTIALS:
+        # bounded (tasks x models x k rows, checked above): add the partials up on the driver, no reduce stage
+        for r in partials.collect():
+            cur = out.setdefault(r["model"], {}).get(r["cluster"])
+            vec = np.array([r[f"s{j}"] for j in range(d)])
+            out[r["model"]][r["cluster"]] = (r["n"], r["cost"], vec) if cur is None else \
+                (cur[0] + r["n"], cur[1] + r["cost"], cur[2] + vec)
+    else:
+        # many tasks: route the per-(task, model, cluster) partials by model to a few reducers
+        agg = partials.repartition(_reducers(len(models)), "model").groupBy("model", "cluster").agg(
+            F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
+        for r in agg.collect():
+            out.setdefault(r["model"], {})[r["cluster"]] = (r["n"], r["cost"], np.array([r[f"s{j}"] for j in range(d)]))
     bc.unpersist()
     return out
 
