@@ -76,10 +76,20 @@ def _seed_pass(df: DataFrame, cols: Sequence[str], models: list, step: int, seed
         yield pd.DataFrame(rows, columns=["model", "key", *[f"c{j}" for j in range(d)]])
 
     schema = "model int, key double, " + ", ".join(f"c{j} double" for j in range(d))
-    # partials are one row per (task, model): route them by model to a few reducers
-    picked = df.select(*cols).mapInPandas(pick, schema).repartition(_reducers(len(models)), "model").groupBy("model").agg(
-        F.max_by(F.struct(*[F.col(f"c{j}") for j in range(d)]), "key").alias("p"))
-    out = {r["model"]: np.array([r["p"][f"c{j}"] for j in range(d)]) for r in picked.collect()}
+    partials = df.select(*cols).mapInPandas(pick, schema)
+    out: dict = {}
+    if df.rdd.getNumPartitions() * len(models) <= MAX_DRIVER_PARTIALS:
+        # bounded (one row per task and model, checked): keep the best key per model on the driver
+        best: dict = {}
+        for r in partials.collect():
+            if r["model"] not in best or r["key"] > best[r["model"]][0]:
+                best[r["model"]] = (r["key"], np.array([r[f"c{j}"] for j in range(d)]))
+        out = {m: v for m, (_, v) in best.items()}
+    else:
+        # many tasks: route the per-(task, model) candidates by model to a few reducers
+        picked = partials.repartition(_reducers(len(models)), "model").groupBy("model").agg(
+            F.max_by(F.struct(*[F.col(f"c{j}") for j in range(d)]), "key").alias("p"))
+        out = {r["model"]: np.array([r["p"][f"c{j}"] for j in range(d)]) for r in picked.collect()}
     bc.unpersist()
     return out
 
