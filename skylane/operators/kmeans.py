@@ -209,9 +209,18 @@ def best_per_k(fits: Sequence[KMeansFit]) -> dict[int, KMeansFit]:
 def assign(cols: Sequence[str], centers: np.ndarray) -> Column:
     """Nearest-center label as a JVM expression (first center on exact ties).
 
-    Each squared distance is evaluated once into an array; the label is the
-    position of its minimum.
+    One fold over the literal centers keeps (index, best distance, argmin), so
+    the coordinate expressions appear once in the plan whatever k is -- an
+    unrolled per-center expression would be copied into every consumer plan.
     """
-    dists = F.array(*[sum(((F.col(c) - F.lit(float(ctr[j]))) ** 2 for j, c in enumerate(cols)), F.lit(0.0))
-                      for ctr in centers])
-    return (F.array_position(dists, F.array_min(dists)) - 1).cast("int")
+    point = F.array(*[F.col(c).cast("double") for c in cols])
+    cen = F.array(*[F.array(*[F.lit(float(v)) for v in ctr]) for ctr in centers])
+
+    def step(acc, c):
+        d = F.aggregate(F.zip_with(point, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
+        better = d < acc["best"]
+        return F.struct((acc["i"] + 1).alias("i"), F.when(better, d).otherwise(acc["best"]).alias("best"),
+                        F.when(better, acc["i"]).otherwise(acc["arg"]).alias("arg"))
+
+    init = F.struct(F.lit(0).alias("i"), F.lit(float("inf")).alias("best"), F.lit(0).alias("arg"))
+    return F.aggregate(cen, init, step, lambda acc: acc["arg"])

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import chi2_sf, np_round
+from ..session import ensure_checkpoint_dir
 from . import kmeans as km
 from .common import attach
 from .ranking import average_ranks, exact_quantile
@@ -162,7 +163,12 @@ def run_kmeans(df: DataFrame, k: int = 4, features: Sequence[str] = FEATURES, se
     out = x.withColumn("CLUSTER", km.assign(cols, best.centers))
     if use_pca and len(cols) >= 2:
         out = out.withColumns({"PCA_1": F.col(cols[0]), "PCA_2": F.col(cols[1])})
-    return out.drop(*[f + "_Z" for f in features], *[c for c in cols if c.startswith("PC_")])
+    out = out.drop(*[f + "_Z" for f in features], *[c for c in cols if c.startswith("PC_")])
+    # The labelled table feeds profiles, rank tests and crosstabs; checkpointing it (into the
+    # session's spark.checkpoint.dir) computes scaling, projection and labels once and keeps the
+    # literal-heavy label expressions out of every downstream plan.
+    ensure_checkpoint_dir(x.sparkSession)
+    return out.checkpoint(eager=True)
 
 
 def calinski_harabasz(df: DataFrame, value_cols: Sequence[str], label_col: str = "CLUSTER",

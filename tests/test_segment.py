@@ -150,3 +150,21 @@ def test_exact_quantile_matches_numpy(spark):
             vals = np.array([v for gg, v in rows if gg == g])
             want = np.median(vals) if q == 0.5 else np.quantile(vals, q)
             assert abs(got[g] - want) < 1e-12, (q, g)
+
+
+def test_full_segmentation_invariants(spark, sf_small):
+    from skylane.plans import segment as P
+    travelers = P.travelers(spark, sf_small)
+    n = travelers.count()
+    res = sg.run_full_segmentation(travelers, k=None, n_init=3, k_values=range(2, 5))
+    k_eval = res["k_evaluation"].orderBy("K").collect()
+    best_k = [r["K"] for r in k_eval if r["BEST"]]
+    assert len(best_k) == 1 and best_k[0] == max(k_eval, key=lambda r: (r["SILHOUETTE_SQ"], -r["K"]))["K"]
+    inertia = [r["INERTIA"] for r in k_eval]
+    assert inertia == sorted(inertia, reverse=True)
+    prof = res["profiles"].collect()
+    assert len(prof) == best_k[0] and sum(r["SIZE"] for r in prof) == n
+    assert all(r["ARCHETYPE"] for r in prof)
+    assert res["validation"].count() == len(sg.KW_METRICS)
+    assert {r["ARCHETYPE"] for r in res["market_crosstab"].collect()} >= {"All"}
+    assert res["recommendations"].count() == len(prof)
