@@ -7,6 +7,7 @@ exist for tests, ``bench.py`` and the driver entry point.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -59,3 +60,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="skylane-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``skylane`` importable in Python workers (the ``--py-files`` mechanism), once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="skylane-pyfiles-"), "skylane"), "zip",
+                                  root_dir=root, base_dir="skylane")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every registered query needs: the time zone, a checkpoint folder and the package on the workers.
+
+    Only settings that change results are forced; everything else is left to the cluster.
+    """
+    spark.conf.set("spark.sql.session.timeZone", BASE_CONF["spark.sql.session.timeZone"])
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
