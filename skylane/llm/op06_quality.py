@@ -18,7 +18,7 @@ from .common import SPACES, fresh, let, small, stored, words
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]+"
 
 #: A line is boilerplate if more documents of its host than both limits carry it.
 LINE_DOCS = 20
@@ -33,7 +33,7 @@ def _lines(text: Column) -> Column:
 
 def line_hash(line: Column) -> Column:
     plain = F.regexp_replace(F.lower(F.btrim(line, F.lit(SPACES))), r"[\x20\x09-\x0D]+", " ")
-    return F.xxhash64(F.translate(plain, "123456789", "000000000"))
+    return F.xxhash64(F.regexp_replace(plain, "[1-9]", "0"))
 
 
 def _host(host: Column) -> Column:
@@ -95,8 +95,8 @@ def with_quality(docs: DataFrame, text: str = "text", host: str = "source", pref
     lines = _lines(t)
     out = out.withColumns({
         f"{p}n_words": F.size(f"{p}words").cast("long"),
-        f"{p}word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
-        f"{p}n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        f"{p}word_chars": F.length(F.array_join(f"{p}words", "")).cast("long"),
+        f"{p}n_symbols": (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long"),
         f"{p}n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         f"{p}n_repeat_words": _repeat_words(F.col(f"{p}words")).cast("long"),
         f"{p}removed_words": F.aggregate(f"{p}removed", F.lit(0), lambda a, s: a + F.size(words(s))).cast("long"),
