@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import batch_bytes, fresh
 
-TOXIC_DOCS, CLEAN_DOCS, EXCERPT = 1500, 3000, 20_000
+TOXIC_DOCS, CLEAN_DOCS, EXCERPT = 1000, 2000, 8000
 SEGMENT = 400
 FEATURES = 1 << 18
-STEPS, RATE, DECAY = 40, 0.25, 2e-4
+STEPS, RATE, DECAY = 30, 0.3, 2e-4
 SEED = 2
 
 _TOKEN = re.compile(r"\w+")
