@@ -2,10 +2,11 @@
 
 Two sets of similarity J >= g differ in at most (1 - g) / (1 + g) * (|r| + |s|) shingles. Sizes are cut into bands whose
 ends differ by the factor 1 / g, so similar sets lie in one band or in neighbouring ones; a set signs for its own band and
-for the next. For a band with the bound k, the shingle domain is partitioned into k + 1 + SPARE parts by hash; of the
-enumerated subsets of parts, those of one part each suffice: sets that differ in at most k shingles agree in SPARE + 1 parts.
-A part in which a set has nothing is no signature unless the set has more than SPARE such parts, so empty parts do
-not bring strangers together.
+for the next. For a band with the bound k, the shingle domain is partitioned by hash into k + 1 parts and a third more
+as spares, and subsets of one part each are enumerated: sets that differ in at most k shingles agree in more parts than
+there are spares. Each set leaves out as many of its smallest parts as there are spares (in the order of size and
+number). Of the parts in which two sets agree, the largest is left out by neither, so they still share a signature,
+and parts with next to nothing in them, which bring strangers together, are gone.
 
 Sets that share a signature are candidates; only the members of a signature are ever compared:
 
@@ -38,10 +39,12 @@ from .common import batch_bytes, fresh, stored
 WORDS = 4
 #: Similarity in percent.
 PERCENT = 85
-SPARE = 2
+#: One spare part for so many parts that the bound asks for.
+SPARE = 3
 #: Signatures with more members are compared in blocks inside tasks, smaller ones as pairs.
-PAIR_MEMBERS = 32
+PAIR_MEMBERS = 64
 BLOCK = 512
+SKETCH = 256
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -82,8 +85,9 @@ def shingle_sets(texts, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
             inside = length > k
             word = h[np.minimum(at + k, len(h) - 1)] if len(h) else s
             s = np.where(inside, _mix(s * _M1 + word + np.uint64(k + 1)), s)
-    order = np.lexsort((s, doc))
-    s, doc = s[order], doc[order]
+    ends = np.cumsum(count)
+    for a, b in zip(ends - count, ends):
+        s[a:b].sort()
     new = np.ones(len(s), dtype=bool)
     new[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
     s, doc = s[new], doc[new]
@@ -114,28 +118,24 @@ def signatures(s: np.ndarray, start: np.ndarray, percent: int = PERCENT) -> tupl
     own = np.searchsorted(ends, size)
     doc = np.repeat(np.arange(len(size)), size)
     part_hash, value = _mix(s ^ _M2) >> np.uint64(20), _mix(s)
+    low_half, high_half = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
     out_doc, out_sig = [], []
     for step in (0, 1):
         band = own + step
-        parts = bound[band] + 1 + np.where(bound[band] > 8, SPARE, 0)
-        spare = np.where(bound[band] > 8, SPARE, 0)
+        spare = (bound[band] + 1) // SPARE
+        parts = bound[band] + 1 + spare
         first = np.cumsum(parts) - parts
         cell = first[doc] + (part_hash % parts[doc].astype(np.uint64)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        c = cell[order]
-        at = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        # exact sums modulo 2^64 of the values in each part, from sums of their halves
+        held = np.bincount(cell, minlength=parts.sum())
+        low = np.bincount(cell, weights=low_half, minlength=parts.sum()).astype(np.uint64)
+        high = np.bincount(cell, weights=high_half, minlength=parts.sum()).astype(np.uint64)
+        owner = np.repeat(np.arange(len(size)), parts)
+        by_size = np.lexsort((held, owner))  # stable: parts of equal size in their order
+        cells = by_size[(np.arange(len(owner)) - first[owner] >= spare[owner]) & (size[owner] > 0)]
+        owner = owner[cells]
         with np.errstate(over="ignore"):
-            sums = np.add.reduceat(value[order], at)
-        cells, owner = c[at], doc[order][at]
-        empty = parts - np.bincount(owner, minlength=len(size))
-        many = (empty > spare) & (size > 0)
-        if many.any():  # these sign with their empty parts as well
-            every = np.repeat(np.arange(len(size)), np.where(many, parts, 0))
-            which = np.repeat(first, np.where(many, parts, 0)) + np.arange(len(every)) - np.repeat(
-                np.cumsum(np.where(many, parts, 0)) - np.where(many, parts, 0), np.where(many, parts, 0))
-            gone = ~np.isin(which, cells)
-            cells, owner = np.r_[cells, which[gone]], np.r_[owner, every[gone]]
-            sums = np.r_[sums, np.zeros(gone.sum(), dtype=np.uint64)]
+            sums = low[cells] + (high[cells] << np.uint64(32))
         with np.errstate(over="ignore"):
             tag = band[owner].astype(np.uint64) * _M2 + (cells - first[owner]).astype(np.uint64) * _M1
             out_sig.append(_mix(_mix(sums + tag) + tag))
@@ -175,8 +175,17 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = node_ids(s, start)
         asked = b.column("node").to_numpy()
         rows = np.flatnonzero(nodes == asked)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array([s[start[i]:start[i + 1]].tobytes() for i in rows], pa.binary())],
-                                         ["node", "shingles"])
+        parts = [s[start[i]:start[i + 1]] for i in rows]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes[rows]), pa.array(np.diff(start)[rows]), pa.array([sketch(x) for x in parts], pa.binary()),
+             pa.array([x.tobytes() for x in parts], pa.binary())], ["node", "size", "sketch", "shingles"])
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of SKETCH cells (at most 255). Two sets differ in as many shingles, at least, as
+    their counts differ in sum."""
+    cells = (_mix(shingles + _M2) >> np.uint64(40)) % np.uint64(SKETCH)
+    return np.minimum(np.bincount(cells.astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -187,21 +196,37 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _possible(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("x", "y"))
+            together = b.column("nx").to_numpy() + b.column("ny").to_numpy()
+            ok = pa.array((100 + percent) * np.abs(x - y).sum(axis=1) <= (100 - percent) * together)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+    return run
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left = [np.frombuffer(x, dtype=np.uint64) for x in b.column("left").to_pylist()]
-            right = [np.frombuffer(x, dtype=np.uint64) for x in b.column("right").to_pylist()]
+            left = [np.frombuffer(x, dtype=np.uint64) for x in b.column("x").to_pylist()]
+            right = [np.frombuffer(x, dtype=np.uint64) for x in b.column("y").to_pylist()]
             ok = pa.array([similar(x, y, percent) for x, y in zip(left, right)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
     return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(right, "b").join(left, "a").mapInArrow(_verified(percent), "a long, b long")
+    """The pairs (a, b) of nodes whose sets are similar: first the small sketches rule pairs out, then whole sets decide."""
+    def both(p: DataFrame, **columns: str) -> DataFrame:
+        for side, names in (("a", "x"), ("b", "y")):
+            p = p.join(sets.select(F.col("node").alias(side), *[F.col(c).alias(f"{k}{names}") for k, c in columns.items()]), side)
+        return p.select("a", "b", *[f"{k}{n}" for k in columns for n in "xy"])
+    low = both(pairs, s="sketch", n="size").withColumnsRenamed({"sx": "x", "sy": "y"})
+    near = low.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent).mapInArrow(_possible(percent), "a long, b long")
+    return both(near, s="shingles").withColumnsRenamed({"sx": "x", "sy": "y"}).mapInArrow(_verified(percent), "a long, b long")
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -279,7 +304,7 @@ def linked(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
     asked = members.select("node").distinct()
     one_each = base.groupBy("node").agg(F.min("doc_id").alias("d")).join(asked, "node")
     found = source.join(one_each, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
-    sets = stored(found.mapInArrow(_set_rows, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = stored(found.mapInArrow(_set_rows, "node long, size long, sketch binary, shingles binary").dropDuplicates(["node"]), "sets")
     first = stored(verified(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "links")
     labels = components(first, "first")
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -295,7 +320,7 @@ def linked(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     sub = F.pmod(F.xxhash64("node"), blocks).cast("int")
     grid = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("sub")).alias("i"), F.greatest(j, F.col("sub")).alias("j")))
-    dealt = (many.withColumn("sub", sub).withColumn("pair", F.explode(grid)).join(sets, "node")
+    dealt = (many.withColumn("sub", sub).withColumn("pair", F.explode(grid)).join(sets.select("node", "shingles"), "node")
              .groupBy("sig", "pair").applyInPandas(_block_links(percent), "a long, b long"))
     second = second.unionByName(stored(dealt, "blocks"))
     final = components(second, "all")
