@@ -117,10 +117,10 @@ def zcrit(alpha: float = 0.05) -> float:
 
 
 def to_double(c: ColumnOrName) -> Column:
-    """Numeric coerce: anything unparsable becomes NULL (ANSI-safe ``try_cast``)."""
-    return _c(c).try_cast("double")
+    """Numeric coerce: anything unparsable, and NaN, becomes NULL (ANSI-safe ``try_cast``)."""
+    return F.nanvl(_c(c).try_cast("double"), F.lit(None).cast("double"))
 
 
 def to_count(c: ColumnOrName) -> Column:
     """Coerce, fill 0, truncate to an integer (``to_numeric -> fillna(0) -> astype(int)``)."""
-    return F.coalesce(to_double(c), F.lit(0.0)).cast("bigint")
+    return F.coalesce(to_double(c).try_cast("bigint"), F.lit(0).cast("bigint"))

@@ -175,13 +175,14 @@ def lag_correlation(df: DataFrame, search_col: str, y_col: str = "y", date_col:
                   .select(*keys, "yv", "l.lag_months", "l.s").filter(F.col("s").isNotNull())
     # every lag appears even when no row survives the shift
     lag_spine = df.select(*keys).distinct() if keys else None
-    r = long.groupBy(*keys, "lag_months").agg(F.count(F.lit(1)).alias("n"), F.corr("s", "yv").alias("_r"))
+    r = long.groupBy(*keys, "lag_months").agg(F.count(F.lit(1)).alias("n"), 
+                                              F.try_divide(F.covar_pop("s", "yv"), F.stddev_pop("s") * F.stddev_pop("yv")).alias("_r"))
     if lag_spine is not None:
         spine = lag_spine.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag_months"))
     else:
         spine = df.sparkSession.range(0, max_lag + 1).select(F.col("id").cast("int").alias("lag_months"))
     out = spine.join(r, [*keys, "lag_months"], "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
-    corr = F.when(F.col("n") >= min_n, F.col("_r"))
+    corr = F.when(F.col("n") >= min_n, F.nanvl("_r", F.lit(None).cast("double")))  # a constant side has no correlation
     return out.select(*keys, "lag_months", corr.alias("correlation"),
                       F.coalesce(F.abs(corr) >= threshold, F.lit(False)).alias("significant"), "n")
 

@@ -161,8 +161,9 @@ def revenue_lens(df: DataFrame, keys: Sequence[str], group_col: str = "GROUP", o
     y = coerce_outcome(outcome_col)
     price = F.coalesce(to_double(price_col), F.lit(0.0))
     rev = F.when(y == 1, price).otherwise(F.lit(0.0))
-    out = (df.filter(F.col(group_col).isNotNull())
-             .groupBy(*keys, group_col)
+    for k in (*keys, group_col):  # groups with a missing key are no groups
+        df = df.filter(F.col(k).isNotNull())
+    out = (df.groupBy(*keys, group_col)
              .agg(F.count(F.lit(1)).alias("VISITORS"), F.sum(y).alias("BOOKINGS"), F.sum(rev).alias("REVENUE")))
     return out.withColumns({
         "CVR": F.col("BOOKINGS") / F.col("VISITORS"),
@@ -183,7 +184,7 @@ def revenue_pivot(df: DataFrame, key: str, group_col: str = "GROUP", outcome_col
         n = F.count(F.when(g == a, 1))
         aggs.append(F.try_divide(F.sum(F.when(g == a, y)), n).alias(f"CVR_{a}"))
         aggs.append(F.try_divide(F.sum(F.when(g == a, rev)), n).alias(f"RPV_{a}"))
-    return df.groupBy(key).agg(*aggs)
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
 
 def linspace_cuts(n: int, checkpoints: int) -> list[int]:
@@ -198,11 +199,13 @@ def sequential_monitoring(df: DataFrame, time_col: str, group_col: str = "GROUP"
     Each row is read once: rows get a global position in (time, tie) order
     (range partitioning + per-partition offsets, see ``ranking``), positions are
     mapped to the first checkpoint that covers them, and per-checkpoint counts
-    are running sums over at most ``checkpoints`` buckets.
+    are running sums over at most ``checkpoints`` buckets. Without ``tie_col``
+    rows of one time are ordered by a hash of the row, whatever the layout.
     """
     require_columns(df, [time_col, group_col, outcome_col], "experiment table")
     ts = F.col(time_col).try_cast("timestamp") if dict(df.dtypes)[time_col] == "string" else F.col(time_col)
-    base = df.select(ts.alias("_t"), (F.col(tie_col) if tie_col else F.lit(0)).alias("_tie"),
+    tie = F.col(tie_col) if tie_col else F.xxhash64(*df.columns)  # rows with one hash are alike
+    base = df.select(ts.alias("_t"), tie.alias("_tie"),
                      F.col(group_col).alias("_g"), coerce_outcome(outcome_col).alias("_y")) \
              .filter(F.col("_t").isNotNull())
     positioned, n = global_position(base, ["_t", "_tie"], "_pos")

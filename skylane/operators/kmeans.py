@@ -14,8 +14,8 @@ iteration; here one pass per iteration serves all models still moving:
   only thing that reaches the driver.
 * **Labels and inertia** for a chosen model are JVM column expressions.
 
-Randomness is seeded by (seed, model, step, partition), so results are
-reproducible for a given input layout.
+A row's random number is a hash of its id, the seed, the model and the step, so
+the same rows give the same fit in any number of partitions.
 """
 
 from __future__ import annotations
@@ -28,13 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-MAX_DRIVER_PARTIALS = 100_000  # partial rows a pass may hand to the driver before reducing on the cluster
-
-
-def _reducers(n_models: int) -> int:
-    return max(1, min(8, n_models // 16))
-
-
 @dataclass
 class KMeansFit:
     k: int
@@ -44,31 +37,35 @@ class KMeansFit:
     iterations: int
 
 
-def _seed_pass(df: DataFrame, cols: Sequence[str], models: list, step: int, seed: int) -> dict:
+def _seed_pass(df: DataFrame, cols: Sequence[str], models: list, step: int, seed: int, id_col: str) -> dict:
     """One k-means++ step for every model that still needs a center; returns model -> new center."""
     d = len(cols)
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast([(mid, np.asarray(c, dtype=float)) for mid, c in models])
+    bc = df.sparkSession.sparkContext.broadcast([(mid, np.asarray(c, dtype=float)) for mid, c in models])
 
     def pick(it):  # self-contained: runs in Python workers without this package installed
         import numpy as np
         import pandas as pd
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
+
+        def mixed(x):  # an avalanche of 64 bits
+            with np.errstate(over="ignore"):
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            return x ^ (x >> np.uint64(31))
+
         best = {}
-        for b, pdf in enumerate(it):
-            x = np.column_stack([pdf[c].to_numpy(dtype=float) for c in cols]) if len(pdf) else np.zeros((0, d))
-            if not len(x):
+        for pdf in it:
+            if not len(pdf):
                 continue
+            x = np.column_stack([pdf[c].to_numpy(dtype=float) for c in cols])
+            ids = pdf[id_col].to_numpy(np.int64).view(np.uint64)
             for mid, centers in bc.value:
-                rng = np.random.default_rng([seed, mid, step, pid, b])
-                u = rng.random(len(x))
+                salt = mixed(mixed(mixed(np.array([seed + 1], dtype=np.uint64)) + np.uint64(mid + 1)) + np.uint64(step + 1))
+                u = ((mixed(mixed(ids) ^ salt) >> np.uint64(11)).astype(float) + 0.5) * 2.0 ** -53
                 if len(centers) == 0:
                     key = np.log(u)
                 else:
                     d2 = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(-1).min(1)
-                    with np.errstate(divide="ignore"):
-                        key = np.where(d2 > 0, np.log(u) / np.where(d2 > 0, d2, 1.0), -np.inf)
+                    key = np.where(d2 > 0, np.log(u) / np.where(d2 > 0, d2, 1.0), -np.inf)
                 i = int(np.argmax(key))
                 if mid not in best or key[i] > best[mid][0]:
                     best[mid] = (float(key[i]), x[i])
@@ -76,20 +73,9 @@ def _seed_pass(df: DataFrame, cols: Sequence[str], models: list, step: int, seed
         yield pd.DataFrame(rows, columns=["model", "key", *[f"c{j}" for j in range(d)]])
 
     schema = "model int, key double, " + ", ".join(f"c{j} double" for j in range(d))
-    partials = df.select(*cols).mapInPandas(pick, schema)
-    out: dict = {}
-    if df.rdd.getNumPartitions() * len(models) <= MAX_DRIVER_PARTIALS:
-        # bounded (one row per task and model, checked): keep the best key per model on the driver
-        best: dict = {}
-        for r in partials.collect():
-            if r["model"] not in best or r["key"] > best[r["model"]][0]:
-                best[r["model"]] = (r["key"], np.array([r[f"c{j}"] for j in range(d)]))
-        out = {m: v for m, (_, v) in best.items()}
-    else:
-        # many tasks: route the per-(task, model) candidates by model to a few reducers
-        picked = partials.repartition(_reducers(len(models)), "model").groupBy("model").agg(
-            F.max_by(F.struct(*[F.col(f"c{j}") for j in range(d)]), "key").alias("p"))
-        out = {r["model"]: np.array([r["p"][f"c{j}"] for j in range(d)]) for r in picked.collect()}
+    picked = df.select(id_col, *cols).mapInPandas(pick, schema).groupBy("model").agg(
+        F.max_by(F.struct(*[F.col(f"c{j}") for j in range(d)]), "key").alias("p"))
+    out = {r["model"]: np.array([r["p"][f"c{j}"] for j in range(d)]) for r in picked.collect()}  # one row per model
     bc.unpersist()
     return out
 
@@ -134,40 +120,33 @@ def _lloyd_pass(df: DataFrame, cols: Sequence[str], models: list) -> dict:
         yield pd.DataFrame(rows, columns=["model", "cluster", "n", "cost", *[f"s{j}" for j in range(d)]])
 
     schema = "model int, cluster int, n double, cost double, " + ", ".join(f"s{j} double" for j in range(d))
-    partials = df.select(*cols).mapInPandas(part, schema)
-    n_rows = df.rdd.getNumPartitions() * sum(len(c) for _, c in models)
+    agg = df.select(*cols).mapInPandas(part, schema).groupBy("model", "cluster").agg(
+        F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
     out: dict = {}
-    if n_rows <= MAX_DRIVER_PARTIALS:
-        # bounded (tasks x models x k rows, checked above): add the partials up on the driver, no reduce stage
-        for r in partials.collect():
-            cur = out.setdefault(r["model"], {}).get(r["cluster"])
-            vec = np.array([r[f"s{j}"] for j in range(d)])
-            out[r["model"]][r["cluster"]] = (r["n"], r["cost"], vec) if cur is None else \
-                (cur[0] + r["n"], cur[1] + r["cost"], cur[2] + vec)
-    else:
-        # many tasks: route the per-(task, model, cluster) partials by model to a few reducers
-        agg = partials.repartition(_reducers(len(models)), "model").groupBy("model", "cluster").agg(
-            F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
-        for r in agg.collect():
-            out.setdefault(r["model"], {})[r["cluster"]] = (r["n"], r["cost"], np.array([r[f"s{j}"] for j in range(d)]))
+    for r in agg.collect():  # models x k rows
+        out.setdefault(r["model"], {})[r["cluster"]] = (r["n"], r["cost"], np.array([r[f"s{j}"] for j in range(d)]))
     bc.unpersist()
     return out
 
 
 def fit_batched(df: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: int = 15, seed: int = 42,
-                max_iter: int = 500, tol: float = 1e-4) -> list[KMeansFit]:
+                max_iter: int = 500, tol: float = 1e-4, id_col: str | None = None) -> list[KMeansFit]:
     """Fit ``n_init`` k-means++ restarts for every K in ``ks`` with shared data passes.
 
     A model stops when the total squared shift of its centers is at most
     ``tol`` times the mean per-feature variance; models that stopped leave the
     later passes. ``df`` should be cached by the caller (it is read once per
-    seeding step and iteration).
+    seeding step and iteration). ``id_col`` is a long that names a row in any
+    layout (default: a hash of the coordinates).
     """
+    if id_col is None:
+        id_col = "_row_id"
+        df = df.withColumn(id_col, F.xxhash64(*cols))
     specs = [(int(k), r) for k in ks for r in range(n_init)]
     centers = {m: np.zeros((0, len(cols))) for m in range(len(specs))}
     for step in range(max(k for k, _ in specs)):
         need = [(m, centers[m]) for m, (k, _) in enumerate(specs) if len(centers[m]) < k]
-        picks = _seed_pass(df, cols, need, step, seed)
+        picks = _seed_pass(df, cols, need, step, seed, id_col)
         for m, p in picks.items():
             centers[m] = np.vstack([centers[m], p[None, :]])
     # convergence as in the reference's K-Means: total squared center shift <= tol * mean feature variance

@@ -117,20 +117,21 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value_col: str, q: float
 
     ``percentile``/``median`` keep every distinct value of a group in one
     aggregation buffer -- unbounded for continuous values in a hot group.
-    Here values are routed into approximate-quantile buckets, per-bucket counts
-    locate the bucket holding the target ranks, and only the rows of those (at
+    Here distinct values with their counts are routed into approximate-quantile buckets, per-bucket counts
+    locate the bucket holding the target ranks, and only the values of those (at
     most two) buckets per key are ordered. With ``q = 0.5`` and an even count
     the result is the mean of the two middle values, as ``numpy.median``.
     """
     spark = df.sparkSession
     nb = buckets or max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    x = df.select(*keys, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    x = (df.select(*keys, F.col(value_col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+         .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m")))  # one row per value, however many rows hold it
     if nb > 1:
         bounds = x.groupBy(*keys).agg(F.percentile_approx("_v", [i / nb for i in range(1, nb)]).alias("_bounds"))
         x = attach(x, bounds, keys).withColumn("_b", bucket_of("_bounds", "_v", nb - 1)).drop("_bounds")
     else:
         x = x.withColumn("_b", F.lit(0))
-    per_b = x.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    per_b = x.groupBy(*keys, "_b").agg(F.sum("_m").alias("_c"))
     wk = Window.partitionBy(*keys).orderBy("_b")
     per_b = (per_b.withColumn("_start", F.coalesce(F.sum("_c").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                   .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys))))
@@ -140,11 +141,11 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value_col: str, q: float
     in_b = lambda r: (F.col(r) >= F.col("_start")) & (F.col(r) < F.col("_start") + F.col("_c"))
     targets = per_b.filter(in_b("_lo") | in_b("_hi")).select(*keys, "_b", "_start", "_lo", "_hi", "_frac")
     rows = x.join(targets, [*keys, "_b"])
-    rank = F.col("_start") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_v")) - 1
-    picked = rows.withColumn("_r", rank).filter((F.col("_r") == F.col("_lo")) | (F.col("_r") == F.col("_hi")))
-    out = picked.groupBy(*keys).agg(F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_v"))).alias("_a"),
-                                    F.max(F.when(F.col("_r") == F.col("_hi"), F.col("_v"))).alias("_z"),
-                                    F.first("_frac").alias("_frac"))
+    upto = F.col("_start") + F.sum("_m").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumn("_upto", upto)
+    holds = lambda r: (F.col("_upto") > F.col(r)) & (F.col("_upto") - F.col("_m") <= F.col(r))
+    out = placed.filter(holds("_lo") | holds("_hi")).groupBy(*keys).agg(
+        F.max(F.when(holds("_lo"), F.col("_v"))).alias("_a"), F.max(F.when(holds("_hi"), F.col("_v"))).alias("_z"), F.first("_frac").alias("_frac"))
     val = F.when(F.col("_frac") == 0.5, (F.col("_a") + F.col("_z")) / 2) \
            .otherwise(F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_frac"))
     return out.select(*keys, val.alias(out_col))

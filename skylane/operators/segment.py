@@ -16,7 +16,7 @@ from functools import reduce
 import numpy as np
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import chi2_sf, np_round
@@ -37,6 +37,11 @@ KW_METRICS = ["TOTAL_TRIP_SPEND", "STAY_NIGHTS", "LEAD_TIME_DAYS", "FLIGHT_SPEND
 KW_MIN_GROUP = 5
 
 
+def _is(col: str, value: str):
+    """Equality in which a missing value is not equal."""
+    return F.coalesce(F.col(col) == value, F.lit(False))
+
+
 def engineer_features(df: DataFrame) -> DataFrame:
     """H1: ratios, per-person spends, lead-time bucket, 0/1 flags, tier number."""
     lt = F.col("LEAD_TIME_DAYS")
@@ -53,8 +58,8 @@ def engineer_features(df: DataFrame) -> DataFrame:
         "LEAD_TIME_BUCKET": bucket,
         "IS_LOYALTY": F.col("LOYALTY_MEMBER").cast("int"),
         "IS_REPEAT": F.col("REPEAT_VISITOR").cast("int"),
-        "IS_MOBILE": (F.col("DEVICE") == "mobile").cast("int"),
-        "IS_DUBAI_PREF": (F.col("PREFERRED_MARKET") == "Dubai").cast("int"),
+        "IS_MOBILE": _is("DEVICE", "mobile").cast("int"),
+        "IS_DUBAI_PREF": _is("PREFERRED_MARKET", "Dubai").cast("int"),
         "PRICE_TIER_NUM": tier,
     })
 
@@ -140,13 +145,13 @@ def pca_components(df: DataFrame, features: Sequence[str] = FEATURES, pca_varian
                                                  "CUMULATIVE_RATIO double, KEPT boolean")
 
 
-def _fit_frame(x: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Cache the clustering coordinates, spread over at least one partition per core."""
-    spark = x.sparkSession
-    coords = x.select(*cols)
-    par = spark.sparkContext.defaultParallelism
-    coords = coords.repartition(par) if coords.rdd.getNumPartitions() < par else coords
-    return coords.cache()
+ROW_ID = "_row_id"
+
+
+def _fit_frame(x: DataFrame, cols: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Cache the clustering coordinates with a row id that is the same in every layout."""
+    key = ["TRAVELER_ID"] if "TRAVELER_ID" in x.columns else list(features)
+    return x.select(F.xxhash64(*key).alias(ROW_ID), *cols).cache()
 
 
 def run_kmeans(df: DataFrame, k: int = 4, features: Sequence[str] = FEATURES, seed: int = 42, use_pca: bool = True,
@@ -157,8 +162,8 @@ def run_kmeans(df: DataFrame, k: int = 4, features: Sequence[str] = FEATURES, se
     the restart with the lowest inertia labels the rows.
     """
     x, cols, info = feature_vectors(df.drop("CLUSTER"), features, use_pca, pca_variance)
-    coords = _fit_frame(x, cols)
-    best = km.best_per_k(km.fit_batched(coords, cols, [k], n_init, seed, max_iter))[k]
+    coords = _fit_frame(x, cols, features)
+    best = km.best_per_k(km.fit_batched(coords, cols, [k], n_init, seed, max_iter, id_col=ROW_ID))[k]
     coords.unpersist()
     out = x.withColumn("CLUSTER", km.assign(cols, best.centers))
     if use_pca and len(cols) >= 2:
@@ -200,9 +205,10 @@ def k_evaluation(df: DataFrame, k_values: Sequence[int] = range(2, 9), features:
     All K x restarts models are fitted with shared passes; CH for every K comes
     from one aggregation over the stacked labelings.
     """
-    x, cols, info = feature_vectors(df.drop("CLUSTER").select(*features), features, use_pca, pca_variance)
-    coords = _fit_frame(x, cols)
-    best = km.best_per_k(km.fit_batched(coords, cols, list(k_values), n_init, seed, max_iter))
+    x, cols, info = feature_vectors(
+        df.drop("CLUSTER").select(*features, *[c for c in ("TRAVELER_ID",) if c in df.columns]), features, use_pca, pca_variance)
+    coords = _fit_frame(x, cols, features)
+    best = km.best_per_k(km.fit_batched(coords, cols, list(k_values), n_init, seed, max_iter, id_col=ROW_ID))
     labelled = coords.select(*cols, *[km.assign(cols, best[k].centers).alias(f"L{k}") for k in k_values])
     stacked = labelled.select(*cols, F.explode(F.array(*[
         F.struct(F.lit(int(k)).alias("KVAL"), F.col(f"L{k}").alias("CLUSTER")) for k in k_values])).alias("s")) \
@@ -222,14 +228,25 @@ def k_evaluation(df: DataFrame, k_values: Sequence[int] = range(2, 9), features:
                                                 "CALINSKI_HARABASZ double, BEST boolean")
 
 
-def _mode_and_share(df: DataFrame, col: str, label_col: str = "CLUSTER") -> DataFrame:
-    """Most frequent value per cluster (smallest on ties) and its share of the cluster."""
-    c = df.groupBy(label_col, col).agg(F.count(F.lit(1)).alias("_n"))
-    best = c.groupBy(label_col).agg(
-        F.min(F.struct((-F.col("_n")).alias("neg"), F.col(col).alias("v"))).alias("_m"),
-        F.sum("_n").alias("_tot"))
-    return best.select(label_col, F.col("_m.v").alias(f"_mode_{col}"),
-                       (-F.col("_m.neg") / F.col("_tot")).alias(f"_share_{col}"))
+MODE_COLUMNS = ("TRIP_PURPOSE", "PREFERRED_PRICE_TIER", "BOOKING_CHANNEL", "DEVICE", "FARE_CLASS")
+
+
+def _modes_and_shares(df: DataFrame, cols: Sequence[str], label_col: str = "CLUSTER") -> DataFrame:
+    """Per cluster and column the most frequent value (smallest on ties; missing values don't count) and its share.
+
+    One scan: the columns are stacked, counted together and spread again.
+    """
+    stacked = df.select(label_col, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("s")).select(label_col, "s.c", "s.v")
+    n = stacked.filter(F.col("v").isNotNull()).groupBy(label_col, "c", "v").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy(label_col, "c").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v"))).alias("m"),
+                                         F.sum("n").alias("of"))
+    spread = []
+    for c in cols:
+        here = F.col("c") == c
+        spread += [F.max(F.when(here, F.col("m.v"))).alias(f"_mode_{c}"),
+                   F.max(F.when(here, -F.col("m.neg") / F.col("of"))).alias(f"_share_{c}")]
+    return best.groupBy(label_col).agg(*spread)
 
 
 def profile_clusters(df: DataFrame, label_col: str = "CLUSTER") -> DataFrame:
@@ -243,18 +260,17 @@ def profile_clusters(df: DataFrame, label_col: str = "CLUSTER") -> DataFrame:
         np_round(F.avg("FLIGHT_SPEND"), 0).alias("AVG_FLIGHT_SPEND"),
         np_round(F.avg("HOTEL_SPEND_PER_NIGHT"), 0).alias("AVG_HOTEL_PER_NIGHT"),
         np_round(F.avg("TOTAL_TRIP_SPEND"), 0).alias("AVG_TOTAL_SPEND"),
-        np_round(F.avg((F.col("PREFERRED_MARKET") == "Dubai").cast("double")) * 100, 1).alias("PCT_DUBAI_PREF"),
+        np_round(F.avg(_is("PREFERRED_MARKET", "Dubai").cast("double")) * 100, 1).alias("PCT_DUBAI_PREF"),
         np_round(F.avg(F.col("LOYALTY_MEMBER").cast("double")) * 100, 1).alias("PCT_LOYALTY"),
         np_round(F.avg(F.col("REPEAT_VISITOR").cast("double")) * 100, 1).alias("PCT_REPEAT"),
-        np_round(F.avg((F.col("FARE_CLASS") == "business").cast("double")) * 100, 1).alias("PCT_BUSINESS_CLASS"),
+        np_round(F.avg(_is("FARE_CLASS", "business").cast("double")) * 100, 1).alias("PCT_BUSINESS_CLASS"),
     )
-    total = df.agg(F.count(F.lit(1)).alias("_all"))
-    g = attach(g, total).withColumn("PCT_OF_TOTAL", np_round(F.col("SIZE") / F.col("_all") * 100, 1)).drop("_all")
+    everything = F.sum("SIZE").over(Window.partitionBy())  # one row per cluster
+    g = g.withColumn("PCT_OF_TOTAL", np_round(F.col("SIZE") / everything * 100, 1))
     # continuous spend: exact median without one per-cluster value buffer (see ranking.exact_quantile)
     med = exact_quantile(df, [label_col], "TOTAL_TRIP_SPEND", 0.5, out_col="_med")
     g = g.join(med, label_col, "left").withColumn("MEDIAN_TOTAL_SPEND", np_round("_med", 0)).drop("_med")
-    for col in ["TRIP_PURPOSE", "PREFERRED_PRICE_TIER", "BOOKING_CHANNEL", "DEVICE", "FARE_CLASS"]:
-        g = g.join(_mode_and_share(df, col, label_col), label_col, "left")
+    g = g.join(_modes_and_shares(df, MODE_COLUMNS, label_col), label_col, "left")
     return g.select(
         label_col, "SIZE", "PCT_OF_TOTAL", "AVG_AGE", "AVG_GROUP_SIZE", "AVG_STAY_NIGHTS", "AVG_LEAD_TIME",
         F.col("_mode_TRIP_PURPOSE").alias("TOP_PURPOSE"),
@@ -284,6 +300,9 @@ def label_clusters(profile: DataFrame, label_col: str = "CLUSTER") -> DataFrame:
     return profile.withColumn("ARCHETYPE", arche)
 
 
+MAX_MARKETS = 1000
+
+
 def segment_market_crosstab(df: DataFrame, labels: DataFrame, markets: Sequence[str] | None = None,
                             label_col: str = "CLUSTER", market_col: str = "PREFERRED_MARKET") -> DataFrame:
     """Archetype x market shares per row with an ``All`` row; round 3 then x 100.
@@ -291,13 +310,16 @@ def segment_market_crosstab(df: DataFrame, labels: DataFrame, markets: Sequence[
     Clusters sharing an archetype merge. Market columns come from ``markets``
     (or the distinct markets, a bounded category list).
     """
-    if markets is None:
-        markets = sorted(r[0] for r in df.select(market_col).distinct().collect() if r[0] is not None)
     x = df.filter(F.col(market_col).isNotNull()).join(labels.select(label_col, "ARCHETYPE"), label_col)
-    x = x.filter(F.col("ARCHETYPE").isNotNull())
-    aggs = [np_round(F.avg((F.col(market_col) == m).cast("double")), 3) * 100 for m in markets]
-    out = x.rollup("ARCHETYPE").agg(*[a.alias(f"PCT_{m.upper()}") for a, m in zip(aggs, markets)],
-                                    F.grouping("ARCHETYPE").alias("_g"))
+    counts = x.filter(F.col("ARCHETYPE").isNotNull()).groupBy("ARCHETYPE", F.col(market_col).alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
+    if markets is None:  # the result's columns: as a pivot, at most MAX_MARKETS distinct values
+        found = [r[0] for r in df.select(market_col).distinct().limit(MAX_MARKETS + 1).collect() if r[0] is not None]
+        if len(found) > MAX_MARKETS:
+            raise ValueError(f"more than {MAX_MARKETS} markets; name those wanted")
+        markets = sorted(found)
+    aggs = [np_round(F.sum(F.when(F.col("_m") == m, F.col("_n")).otherwise(0)) / F.sum("_n"), 3) * 100 for m in markets]
+    out = counts.rollup("ARCHETYPE").agg(*[a.alias(f"PCT_{m.upper()}") for a, m in zip(aggs, markets)],
+                                         F.grouping("ARCHETYPE").alias("_g"))
     return out.withColumn("ARCHETYPE", F.when(F.col("_g") == 1, F.lit("All")).otherwise(F.col("ARCHETYPE"))).drop("_g")
 
 

@@ -2,15 +2,14 @@
 
 All text work is JVM-side column expressions over whole texts: ``split`` +
 ``transform``/``filter`` + ``posexplode`` for packed reviews, tokenisation with
-``regexp_extract_all``, lexicon matching with ``array_intersect`` or a map
-lookup folded with ``aggregate`` (narrow, no shuffle), substring topic flags
+``split`` on non-word runs, lexicon matching with ``array_intersect`` or a join
+of tokens to a lexicon table, substring topic flags
 with ``contains``. Aggregations are ordinary ``groupBy`` with partial
 aggregation.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -80,26 +79,25 @@ def label(compound: Column) -> Column:
             .otherwise("Neutral"))
 
 
-def lexicon_scale(positive: Sequence[str], negative: Sequence[str]) -> int:
-    """lcm(1..|pos|+|neg|): every lexicon compound times this is an integer."""
-    return reduce(lambda a, b: a * b // math.gcd(a, b), range(1, len(positive) + len(negative) + 1), 1)
+#: Compounds are summed as integers of this unit, so that means do not depend on the order of the sum.
+SENT_SCALE = 10 ** 12
 
 
 def score_lexicon(df: DataFrame, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS,
                   text_col: str = "REVIEW_TEXT") -> DataFrame:
     """Distinct words vs the two word sets; compound (p-n)/(p+n), pos/neu/neg, label.
 
-    ``SENT_UNITS`` is compound * ``lexicon_scale`` as an exact integer so group
-    means can be summed exactly (see ``mean_compound``).
+    ``SENT_UNITS`` is compound * ``SENT_SCALE`` as an integer (see ``mean_compound``).
     """
     w = F.col("_w")
     p = F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in positive])))
     n = F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in negative])))
-    scale = lexicon_scale(positive, negative)
     x = df.withColumn("_w", words(text_col)).withColumns({"_p": p, "_n": n}).drop("_w")
     tot = F.col("_p") + F.col("_n")
     c = F.when(tot == 0, F.lit(0.0)).otherwise((F.col("_p") - F.col("_n")) / tot)
-    units = F.when(tot == 0, F.lit(0)).otherwise((F.col("_p") - F.col("_n")) * (F.lit(scale) / tot).cast("bigint"))
+    difference = (F.col("_p") - F.col("_n")).cast("bigint")
+    units = F.when(tot == 0, F.lit(0)).otherwise(
+        F.sign(difference).cast("bigint") * F.call_function("div", F.abs(difference) * F.lit(SENT_SCALE).cast("bigint"), tot.cast("bigint")))
     x = x.withColumn("VADER_COMPOUND", c)
     return x.withColumns({
         "VADER_POS": F.greatest(F.col("VADER_COMPOUND"), F.lit(0.0)),
@@ -107,21 +105,22 @@ def score_lexicon(df: DataFrame, positive: Sequence[str] = POSITIVE_WORDS, negat
         "VADER_NEG": F.greatest(-F.col("VADER_COMPOUND"), F.lit(0.0)),
         "SENTIMENT_LABEL": label(F.col("VADER_COMPOUND")),
         "SENT_UNITS": units.cast("bigint"),
-        "SENT_SCALE": F.lit(scale).cast("bigint"),
     }).drop("_p", "_n")
 
 
-def score_valence(df: DataFrame, valence: Mapping[str, float], text_col: str = "REVIEW_TEXT",
-                  alpha: float = VALENCE_ALPHA) -> DataFrame:
+def score_valence(df: DataFrame, valence: DataFrame | Mapping[str, float], text_col: str = "REVIEW_TEXT",
+                  alpha: float = VALENCE_ALPHA, keys: Sequence[str] = ("PLACE_ID", "REVIEW_INDEX")) -> DataFrame:
     """Sum of token valences (every occurrence), normalised s / sqrt(s^2 + alpha).
 
-    The lexicon is a bounded parameter, inlined as a map literal and folded
-    over the token array with ``aggregate`` -- a narrow operator, no shuffle.
+    Tokens are joined to the lexicon, a table (word, valence) of any size, so a
+    longer lexicon costs no more per token; ``keys`` name a review. Valences
+    are summed in millionths, whatever the order.
     """
-    lex = F.create_map(*[x for k, v in sorted(valence.items()) for x in (F.lit(k), F.lit(float(v)))])
-    toks = words(text_col, distinct=False)
-    s = F.aggregate(toks, F.lit(0.0), lambda acc, t: acc + F.coalesce(F.element_at(lex, t), F.lit(0.0)))
-    x = df.withColumn("VALENCE_SUM", s)
+    lex = valence if isinstance(valence, DataFrame) else df.sparkSession.createDataFrame(
+        [(k, float(v)) for k, v in sorted(valence.items())], "word string, valence double")
+    found = (df.select(*keys, F.explode(words(text_col, distinct=False)).alias("word")).join(lex, "word")
+             .groupBy(*keys).agg(F.sum(F.rint(F.col("valence") * 1e6).cast("bigint")).alias("_v")))
+    x = df.join(found, list(keys), "left").withColumn("VALENCE_SUM", F.coalesce(F.col("_v"), F.lit(0)) / F.lit(1e6)).drop("_v")
     c = F.col("VALENCE_SUM") / F.sqrt(F.col("VALENCE_SUM") * F.col("VALENCE_SUM") + F.lit(alpha))
     return x.withColumn("VADER_COMPOUND", c).withColumn("SENTIMENT_LABEL", label(F.col("VADER_COMPOUND")))
 
@@ -142,9 +141,9 @@ def topic_flags(df: DataFrame, topics: Mapping[str, Sequence[str]] = TOPIC_KEYWO
 
 
 def mean_compound(df: DataFrame) -> Column:
-    """Mean of VADER_COMPOUND; exact (integer units) when the lexicon scorer produced it."""
+    """Mean of VADER_COMPOUND; from integer units when the lexicon scorer produced it."""
     if "SENT_UNITS" in df.columns:
-        return F.sum("SENT_UNITS").cast("double") / (F.count("SENT_UNITS") * F.max("SENT_SCALE")).cast("double")
+        return F.sum(F.col("SENT_UNITS").cast("decimal(28,0)")).cast("double") / (F.count("SENT_UNITS").cast("double") * F.lit(float(SENT_SCALE)))
     return F.avg("VADER_COMPOUND")
 
 

@@ -114,7 +114,7 @@ QUERIES = {
 
 # ----------------------------------------------------------------------------- oracle
 
-_SCALE = tx.lexicon_scale(TEST_POS, TEST_NEG)
+_SCALE = 10 ** 12
 _WS = "(" + " || ".join(f"chr({ord(c)})" for c in tx.WS_CHARS) + ")"
 
 
@@ -132,7 +132,7 @@ reviews as (select PLACE_ID, HOTEL_NAME, MARKET, NEIGHBORHOOD, PRICE_TIER, RATIN
 wd as (select *, list_distinct(regexp_extract_all(lower(REVIEW_TEXT), '{tx.WORD_PATTERN}')) as w from reviews),
 pn as (select *, len(list_intersect(w, {_lst(TEST_POS)})) as p, len(list_intersect(w, {_lst(TEST_NEG)})) as n from wd),
 sc0 as (select *, case when p + n = 0 then 0e0 else (p - n) / (p + n) end as VADER_COMPOUND,
-  case when p + n = 0 then 0 else (p - n) * ({_SCALE} // (p + n)) end as SENT_UNITS from pn),
+  case when p + n = 0 then 0 else sign(p - n)::bigint * ((abs(p - n)::bigint * {_SCALE}) // (p + n)) end as SENT_UNITS from pn),
 sc as (select *, greatest(VADER_COMPOUND, 0e0) as VADER_POS, 1e0 - abs(VADER_COMPOUND) as VADER_NEU,
   greatest(-VADER_COMPOUND, 0e0) as VADER_NEG,
   case when VADER_COMPOUND >= 0.05e0 then 'Positive' when VADER_COMPOUND <= -0.05e0 then 'Negative' else 'Neutral' end
@@ -144,7 +144,7 @@ st as (select *, {", ".join(
                  for t, kws in TEST_TOPICS.items())} else 'general' end as PRIMARY_TOPIC from sc)
 """
 
-_MEAN = f"(cast(sum(SENT_UNITS) as double) / cast(count(SENT_UNITS) * {_SCALE} as double))"
+_MEAN = f"(cast(sum(SENT_UNITS) as double) / (cast(count(SENT_UNITS) as double) * {_SCALE}e0))"
 
 
 def _agg(group):
