@@ -2,7 +2,7 @@
 
 Token labels come from labelled documents: in a toxic document a token is toxic if its word, or a beginning of it, is much
 more frequent in toxic than in clean documents and occurs in several of them; all other tokens are clean. A chain of two
-states (clean, toxic) with hashed features of the word and its beginnings and endings is trained on them by full
+states (clean, toxic) with hashed features of the word and its beginnings is trained on them by full
 gradients. Forward-backward marginals of every token of a text add up to the document's score: the expected number of toxic
 tokens, its rate and the highest marginal enter a logistic calibration that is fitted on out-of-fold marginals. Spans
 are the tokens with a marginal of a half or more.
@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import batch_bytes, fresh
 
-TOXIC_DOCS, CLEAN_DOCS, EXCERPT = 1000, 2000, 8000
+TOXIC_DOCS, CLEAN_DOCS, EXCERPT = 1000, 1500, 6000
+#: Parts of the sample whose marginals come from a chain trained on the other parts.
+PARTS = 4
 SEGMENT = 400
 FEATURES = 1 << 18
-STEPS, RATE, DECAY = 30, 0.3, 2e-4
+STEPS, RATE, RIDGE = 30, 0.3, 1.5
 SEED = 2
 
 _TOKEN = re.compile(r"\w+")
@@ -49,9 +51,8 @@ def _beginnings(word: str) -> list[str]:
 
 
 def _features(word: str) -> list[int]:
-    """Hashed features: the word, its beginnings and endings (a fixed number; short words repeat the word)."""
-    parts = [word, *(word[:n] + "-" if len(word) > n else word for n in (3, 4, 5, 6, 7, 8)),
-             *("-" + word[-n:] if len(word) > n else word for n in (3, 4))]
+    """Hashed features: the word and its beginnings (a fixed number; short words repeat the word)."""
+    parts = [word, *(word[:n] + "-" if len(word) > n else word for n in (3, 4, 5, 6, 7))]
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & (FEATURES - 1) for p in parts]
 
 
@@ -100,7 +101,7 @@ class Chain:
         inner = np.flatnonzero(place > 0)  # tokens with a token before them
         seen = np.array([np.sum((label[inner - 1] == a) & (label[inner] == b)) for a, b in ((0, 1), (1, 0), (1, 1))], dtype=float)
         used, columns = np.unique(features, return_inverse=True)
-        columns = columns.reshape(features.shape)
+        columns = columns.reshape(features.shape).astype(np.int32)
         w = np.zeros(len(used))
         p = np.concatenate([w, [self.bias], self.t])
         m, v = np.zeros_like(p), np.zeros_like(p)
@@ -119,7 +120,8 @@ class Chain:
             pair = np.stack([np.zeros(len(inner)), t01 + x, t10 + r, t11 + r + x])
             pair = np.exp(pair - pair.max(axis=0))
             pair = (pair[1:] / pair.sum(axis=0)).sum(axis=1)
-            grad = np.concatenate([g_w, [g_token.sum()], pair - seen, [(marginal[first] - label[first]).sum()]]) / scale + DECAY * p
+            grad = np.concatenate([g_w, [g_token.sum()], pair - seen, [(marginal[first] - label[first]).sum()]])
+            grad = (grad + RIDGE * p) / scale
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             p = p - RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
         self.w[used] = p[:k]
@@ -153,15 +155,25 @@ def token_labels(docs: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
     return [np.array([y and is_toxic(w) for w in words], dtype=float) for words, y in zip(docs, toxic)]
 
 
+def _in_turn(toxic: list[int]) -> list[int]:
+    """The part of each document: toxic and clean ones are dealt in turn."""
+    seen = Counter()
+    out = []
+    for y in toxic:
+        out.append(seen[y] % PARTS)
+        seen[y] += 1
+    return out
+
+
 def train_chain(docs: list[list[str]], toxic: list[int]) -> Chain:
     labels = token_labels(docs, toxic)
     number: dict[str, int] = {}
-    word = np.array([number.setdefault(w, len(number)) for d in docs for w in d], dtype=np.int64)
+    word = np.fromiter((number.setdefault(w, len(number)) for d in docs for w in d), dtype=np.int32)
     label = np.concatenate([*labels, np.zeros(0)])
     sizes = [min(SEGMENT, len(d) - a) for d in docs for a in range(0, len(d), SEGMENT)]
     if not len(word) or not label.any():
         return Chain()
-    return Chain().fit(np.array([_features(w) for w in number]), word, label, *_bounds(sizes))
+    return Chain().fit(np.array([_features(w) for w in number], dtype=np.int32), word, label, *_bounds(sizes))
 
 
 class _Emissions(dict):
@@ -197,7 +209,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.nda
     mean, dev = np.average(x, axis=0, weights=weight), x.std(axis=0) + 1e-6
     z = np.c_[(x - mean) / dev, np.ones(len(x))]
     b = np.zeros(z.shape[1])
-    ridge = np.diag([*[1.0] * x.shape[1], 1e-3])
+    ridge = np.diag([*[0.1] * x.shape[1], 1e-3])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
         grad = z.T @ (weight * (p - y)) + ridge @ b
@@ -215,10 +227,11 @@ class Model:
         self.chain = None
         if 0 < sum(toxic) < len(toxic):
             x = np.zeros((len(docs), 3))
-            for half in (0, 1):  # each half is summed up by the chain of the other one
-                mine = [i for i in range(len(docs)) if i % 2 != half]
+            dealt = _in_turn(toxic)
+            for part in range(PARTS):  # each part is summed up by the chain of the others
+                mine = [i for i in range(len(docs)) if dealt[i] != part]
                 chain = train_chain([docs[i] for i in mine], [toxic[i] for i in mine])
-                other = [i for i in range(len(docs)) if i % 2 == half]
+                other = [i for i in range(len(docs)) if dealt[i] == part]
                 for i, m in zip(other, text_marginals(chain, [docs[i] for i in other], _Emissions(chain))):
                     x[i] = summary(m)
             y = np.array(toxic, dtype=float)
