@@ -7,18 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
+
+#: Most rows of a table that may be broadcast, and the tasks over which a key is spread beyond.
+BROADCAST_ROWS = 200_000
+SALTS = 32
+
+
+def counted(per_key: DataFrame) -> tuple[DataFrame, int]:
+    """A per-key aggregate, computed once into the checkpoint folder, and its row count."""
+    ensure_checkpoint_dir(per_key.sparkSession)
+    side = per_key.checkpoint(eager=True)
+    return side, side.count()
+
+
+def join_counted(df: DataFrame, side: tuple[DataFrame, int], keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a counted per-key table to ``df``: broadcast if small, salted otherwise."""
+    table, rows = side
+    if rows <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), list(keys), how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    return spread.join(salted, [*keys, "_salt"], how).drop("_salt")
+
 
 def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str] = (), how: str = "inner") -> DataFrame:
     """Join a per-key aggregate back onto ``df``.
 
     With no keys the aggregate has exactly one row; it is attached as a single
     scalar subquery (one struct, evaluated once, its fields read per row) --
-    no join at all. The keyed case is a plain join left to AQE, which
-    broadcasts only when the runtime size of ``per_key`` is under the
-    threshold and otherwise splits skewed keys.
+    no join at all. A keyed aggregate is computed once (checkpointed) and
+    counted: up to ``BROADCAST_ROWS`` rows it is broadcast, so the rows of
+    ``df`` don't move; a larger one is joined by key and salt, so a hot key
+    is spread over ``SALTS`` tasks.
     """
     if keys:
-        return df.join(per_key, list(keys), how)
+        return join_counted(df, counted(per_key), keys, how)
     cols = per_key.columns
     one = per_key.select(F.struct(*cols).alias("_one")).scalar()
     return df.withColumn("_one", one).withColumns({c: F.col(f"_one.{c}") for c in cols}).drop("_one")
@@ -45,7 +70,8 @@ def fixed_width_histogram(df: DataFrame, value_col: str, bins: int, keys: Sequen
         "_lo": F.when(same, F.col("_lo0") - 0.5).otherwise(F.col("_lo0")),
         "_hi": F.when(same, F.col("_hi0") + 0.5).otherwise(F.col("_hi0")),
     }).drop("_lo0", "_hi0")
-    j = attach(base, stats, keys)
+    side = counted(stats) if keys else None
+    j = join_counted(base, side, keys) if keys else attach(base, stats)
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
 
     def edge(i):
@@ -55,7 +81,7 @@ def fixed_width_histogram(df: DataFrame, value_col: str, bins: int, keys: Sequen
     idx1 = F.when(v < edge(idx0), idx0 - 1).otherwise(idx0)
     idx = F.when((v >= edge(idx1 + 1)) & (idx1 != bins - 1), idx1 + 1).otherwise(idx1)
     counts = j.groupBy(*keys, idx.alias("BIN")).agg(F.count(F.lit(1)).alias("COUNT"))
-    out = attach(counts, stats, keys)
+    out = join_counted(counts, side, keys) if keys else attach(counts, stats)
     extra = ["MEDIAN"] if with_median else []
     return out.select(*keys, "BIN", edge(F.col("BIN")).alias("BIN_LOW"), edge(F.col("BIN") + 1).alias("BIN_HIGH"),
                       "COUNT", *extra)

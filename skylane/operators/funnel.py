@@ -1,28 +1,19 @@
-"""Booking funnel operators.
-
-E9 is a deterministic cascade of column expressions: the only cross-row input
-is each market's total visibility, one ``groupBy`` joined back (AQE decides
-broadcast vs skew-split join at runtime). E10/E11 work on per-market sums.
-E15 re-aims the funnel at an event log: the first time each stage is reached
-after the previous one, per entity and day, computed as a chain of
-aggregate-and-join passes; every pass reads only that stage's events (the
-event-type filter reaches the parquet scan).
+"""Booking funnel operators (E10-E12, E15) on an event log.
+
+A stage counts when it is first reached after the previous one, per entity and
+day. The times of all stages are kept in one frame that goes through the
+stages once: each stage reads only its own events (the event-type filter
+reaches the parquet scan) and adds one column; counts, drop-offs per group and
+their diagnosis are sums over that frame.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip
-
-# Stage rates (view, compare, intent, book) by market; any other market uses DEFAULT_RATES.
-MARKET_RATES = {"Dubai": (0.55, 0.35, 0.50, 0.65)}
-DEFAULT_RATES = (0.40, 0.50, 0.55, 0.70)
-TOTAL_VISITORS = 10000
-STAGES = ["STAGE_1_SEARCH", "STAGE_2_VIEW", "STAGE_3_COMPARE", "STAGE_4_INTENT", "STAGE_5_BOOK"]
 STAGE_LABELS = ["Search", "View", "Compare", "Intent", "Book"]
 # Drop-off diagnosis text per stage.
 DIAGNOSIS = {
@@ -34,39 +25,6 @@ DIAGNOSIS = {
 DIAGNOSIS_DEFAULT = "Top-of-funnel mismatch"
 
 
-def _rate(i: int, market: Column, rates: Mapping[str, Sequence[float]], default: Sequence[float]) -> Column:
-    out = F.lit(default[i])
-    for m, r in rates.items():
-        out = F.when(market == F.lit(m), F.lit(r[i])).otherwise(out)
-    return out
-
-
-def project_funnel(df: DataFrame, markets: Sequence[str] | None = None,
-                   rates: Mapping[str, Sequence[float]] = MARKET_RATES,
-                   default_rates: Sequence[float] = DEFAULT_RATES,
-                   total_visitors: int = TOTAL_VISITORS) -> DataFrame:
-    """Per-listing stage probabilities and integer visitors, every market at once."""
-    x = df.filter(F.col("MARKET").isNotNull())
-    if markets is not None:
-        x = x.filter(F.col("MARKET").isin(*markets))
-    m = F.col("MARKET")
-    vis = F.col("VISIBILITY_SCORE")
-    # visibility scores carry one decimal: sum them as exact tenths
-    tot = x.groupBy("MARKET").agg((F.sum(F.rint(vis * 10.0).cast("bigint")) / F.lit(10.0)).alias("_vis_total"))
-    x = x.join(tot, "MARKET")
-    p_view = clip(_rate(0, m, rates, default_rates) * (vis / F.lit(50.0)), 0.05, 0.95)
-    p_cmp = clip(_rate(1, m, rates, default_rates) * (F.coalesce(F.col("RATING"), F.lit(3.0)) / F.lit(4.0)), 0.05, 0.95)
-    p_int = clip(_rate(2, m, rates, default_rates) * (F.lit(1.0) - F.coalesce(F.col("PRICE_LEVEL"), F.lit(2.0)) / F.lit(6.0)), 0.05, 0.90)
-    p_book = clip(_rate(3, m, rates, default_rates) * (clip(F.col("TOTAL_RATINGS"), 0, 5000) / F.lit(3000.0)), 0.05, 0.90)
-    share = vis / F.greatest(F.col("_vis_total"), F.lit(1.0))
-    s1 = F.greatest(F.rint(F.lit(float(total_visitors)) * share).cast("bigint"), F.lit(1))
-    x = x.withColumns({"P_VIEW": p_view, "P_COMPARE": p_cmp, "P_INTENT": p_int, "P_BOOK": p_book})
-    x = x.withColumn("STAGE_1_SEARCH", s1)
-    for prev, cur, p in zip(STAGES[:-1], STAGES[1:], ["P_VIEW", "P_COMPARE", "P_INTENT", "P_BOOK"]):
-        x = x.withColumn(cur, (F.col(prev) * F.col(p)).cast("bigint"))
-    return x.drop("_vis_total")
-
-
 def _stage_table(sums: DataFrame, key: str, labels: Sequence[str], count_name: str) -> DataFrame:
     """Unpivot wide stage sums to rows with drop-off vs previous stage and overall conversion."""
     cols = [f"_s{i}" for i in range(len(labels))]
@@ -81,10 +39,9 @@ def _stage_table(sums: DataFrame, key: str, labels: Sequence[str], count_name: s
     return sums.select(key, F.explode(F.array(*items)).alias("s")).select(key, "s.*")
 
 
-def funnel_summary(projected: DataFrame, stage_cols: Sequence[str] = STAGES,
-                   labels: Sequence[str] = STAGE_LABELS) -> DataFrame:
-    """Per market and stage: visitors, drop-off % vs previous, overall % vs first."""
-    sums = projected.groupBy("MARKET").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(stage_cols)])
+def funnel_summary(frame: DataFrame, stage_cols: Sequence[str], labels: Sequence[str] = STAGE_LABELS) -> DataFrame:
+    """Per market and stage: visitors, drop-off % vs previous, overall % vs first."""
+    sums = frame.groupBy("MARKET").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(stage_cols)])
     return _stage_table(sums, "MARKET", labels, "VISITORS")
 
 
@@ -110,28 +67,37 @@ def dropoff_diagnosis(summary: DataFrame, market_a: str, market_b: str) -> DataF
 EVENT_STAGES = ("view", "click", "signup", "purchase")
 
 
-def event_funnel(events: DataFrame, entity_col: str = "user_id", time_col: str = "ts",
-                 type_col: str = "event_type", stages: Sequence[str] = EVENT_STAGES) -> DataFrame:
-    """Per (entity, day) the first time each stage occurs strictly after the previous one.
+#: Their places among the booking stages.
+EVENT_LABELS = ("Search", "View", "Intent", "Book")
+
 
-    Returns per stage: ENTITY_DAYS reaching it, drop-off % and overall %.
-    """
-    day = F.to_date(F.col(time_col)).alias("_day")
-    keys = [entity_col, "_day"]
+def stage_times(events: DataFrame, entity_col: str = "user_id", time_col: str = "ts", type_col: str = "event_type",
+                stages: Sequence[str] = EVENT_STAGES, groups: Sequence[str] = ()) -> DataFrame:
+    """Per (entity, day) with the first stage: the time ``_t<i>`` each stage is first reached after the previous one."""
+    keys = [entity_col, "_day", *groups]
 
     def stage_events(s):
-        return events.filter(F.col(type_col) == s).select(F.col(entity_col), day, F.col(time_col).alias("_t"))
+        return events.filter(F.col(type_col) == s).select(entity_col, F.to_date(F.col(time_col)).alias("_day"), *groups, F.col(time_col).alias("_t"))
 
-    reached = stage_events(stages[0]).groupBy(*keys).agg(F.min("_t").alias("_prev"))
-    counts = [reached.agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.lit(0))]
+    wide = stage_events(stages[0]).groupBy(*keys).agg(F.min("_t").alias("_t0"))
     for i, s in enumerate(stages[1:], start=1):
-        reached = (stage_events(s).join(reached, keys)
-                   .filter(F.col("_t") > F.col("_prev"))
-                   .groupBy(*keys).agg(F.min("_t").alias("_prev")))
-        counts.append(reached.agg(F.count(F.lit(1)).alias("n")).withColumn("i", F.lit(i)))
-    long = counts[0]
-    for c in counts[1:]:
-        long = long.unionByName(c)
-    sums = long.agg(*[F.max(F.when(F.col("i") == i, F.col("n"))).alias(f"_s{i}") for i in range(len(stages))]) \
-               .withColumn("_all", F.lit("all"))
+        later = F.when(F.col("_t") > F.col(f"_t{i - 1}"), F.col("_t"))
+        wide = wide.join(stage_events(s), keys, "left").groupBy(*keys).agg(
+            *[F.min(f"_t{j}").alias(f"_t{j}") for j in range(i)], F.min(later).alias(f"_t{i}"))
+    return wide
+
+
+def event_funnel(events: DataFrame, entity_col: str = "user_id", time_col: str = "ts",
+                 type_col: str = "event_type", stages: Sequence[str] = EVENT_STAGES) -> DataFrame:
+    """Per stage the ENTITY_DAYS reaching it, drop-off % and overall %."""
+    wide = stage_times(events, entity_col, time_col, type_col, stages)
+    sums = wide.agg(*[F.count(f"_t{i}").alias(f"_s{i}") for i in range(len(stages))]).withColumn("_all", F.lit("all"))
     return _stage_table(sums, "_all", list(stages), "ENTITY_DAYS").drop("_all")
+
+
+def event_funnel_by_market(events: DataFrame, market_col: str = "MARKET", stages: Sequence[str] = EVENT_STAGES,
+                           labels: Sequence[str] = EVENT_LABELS) -> DataFrame:
+    """E10 on an event log: the funnel of every market."""
+    wide = stage_times(events, stages=stages, groups=[market_col])
+    reached = wide.select(F.col(market_col).alias("MARKET"), *[F.col(f"_t{i}").isNotNull().cast("bigint").alias(f"_r{i}") for i in range(len(stages))])
+    return funnel_summary(reached, [f"_r{i}" for i in range(len(stages))], labels)

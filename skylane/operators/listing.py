@@ -29,6 +29,7 @@ RATING_TIER_LOW, RATING_TIER_NONE = "Low", "Unrated"
 VIS_W_RATINGS, VIS_W_RATING, VIS_W_PHOTOS = 0.50, 0.35, 0.15
 BOOKABLE_MIN_RATINGS = 10
 BOOKABLE_STATUSES = ("OPERATIONAL", "")
+ENRICHED_COLUMNS = ("PRICE_TIER", "RATING_TIER", "VISIBILITY_SCORE", "IS_BOOKABLE")
 # Trust quadrant labels.
 Q_STAR, Q_HIDDEN, Q_RISKY, Q_LOW = "Star Performer", "Hidden Gem", "Known but Risky", "Low Signal"
 
@@ -59,7 +60,7 @@ def rating_tier(rating: Column) -> Column:
     return expr.otherwise(F.lit(RATING_TIER_LOW))
 
 
-def prepare_listings(df: DataFrame, exact_percentile: bool = True) -> DataFrame:
+def prepare_listings(df: DataFrame) -> DataFrame:
     """Coerce numerics, PRICE_TIER, RATING_TIER, per-market VISIBILITY_SCORE, IS_BOOKABLE."""
     require_columns(df, ["MARKET", "RATING", "TOTAL_RATINGS", "PRICE_LEVEL", "BUSINESS_STATUS"], "listings")
     photos = to_count("NUM_PHOTOS") if "NUM_PHOTOS" in df.columns else F.lit(0).cast("bigint")
@@ -70,17 +71,15 @@ def prepare_listings(df: DataFrame, exact_percentile: bool = True) -> DataFrame:
         "NUM_PHOTOS": photos,
     })
     x = x.withColumns({"PRICE_TIER": price_tier(F.col("PRICE_LEVEL")), "RATING_TIER": rating_tier(F.col("RATING"))})
-    p99 = (F.percentile("TOTAL_RATINGS", 0.99) if exact_percentile
-           else F.percentile_approx("TOTAL_RATINGS", 0.99).cast("double"))
     per_market = x.filter(F.col("MARKET").isNotNull()).groupBy("MARKET").agg(
-        p99.alias("_max_ratings"), F.max("NUM_PHOTOS").alias("_max_photos"))
+        F.percentile("TOTAL_RATINGS", 0.99).alias("_max_ratings"), F.max("NUM_PHOTOS").alias("_max_photos"))
     # "quantile or 1" / "max or 1": only an exact 0 is replaced
     mr = F.coalesce(F.nullif(F.col("_max_ratings"), F.lit(0.0)), F.lit(1.0))
     mp = F.coalesce(F.nullif(F.col("_max_photos").cast("double"), F.lit(0.0)), F.lit(1.0))
     score = (F.lit(VIS_W_RATINGS) * clip(F.col("TOTAL_RATINGS") / mr, 0.0, 1.0)
              + F.lit(VIS_W_RATING) * (F.coalesce(F.col("RATING"), F.lit(0.0)) / F.lit(5.0))
              + F.lit(VIS_W_PHOTOS) * clip(F.col("NUM_PHOTOS") / mp, 0.0, 1.0)) * F.lit(100.0)
-    j = x.join(per_market, "MARKET", "left")
+    j = attach(x, per_market, ["MARKET"], "left")
     bookable = F.coalesce(
         F.col("RATING").isNotNull() & (F.col("TOTAL_RATINGS") >= BOOKABLE_MIN_RATINGS)
         & F.col("BUSINESS_STATUS").isin(*BOOKABLE_STATUSES), F.lit(False))
@@ -119,17 +118,16 @@ def price_tier_mix(df: DataFrame) -> DataFrame:
         np_round(F.col("COUNT") / F.col("_tot") * 100, 1).alias("PCT_OF_MARKET"))
 
 
-def trust_quadrant(df: DataFrame, exact: bool = True) -> DataFrame:
+def trust_quadrant(df: DataFrame) -> DataFrame:
     """Rating and review volume against per-market medians."""
-    med = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5).cast("double"))
     meds = df.filter(F.col("MARKET").isNotNull()).groupBy("MARKET").agg(
-        med("RATING").alias("_rmed"), med("TOTAL_RATINGS").alias("_vmed"))
+        F.median("RATING").alias("_rmed"), F.median("TOTAL_RATINGS").alias("_vmed"))
     r, v = F.col("RATING"), F.col("TOTAL_RATINGS")
     hi_r, hi_v = r >= F.col("_rmed"), v >= F.col("_vmed")
     lo_r, lo_v = r < F.col("_rmed"), v < F.col("_vmed")
     quad = (F.when(hi_r & hi_v, Q_STAR).when(hi_r & lo_v, Q_HIDDEN).when(lo_r & hi_v, Q_RISKY)
             .otherwise(Q_LOW))
-    return df.join(meds, "MARKET", "left").withColumn("TRUST_QUADRANT", quad).drop("_rmed", "_vmed")
+    return attach(df, meds, ["MARKET"], "left").withColumn("TRUST_QUADRANT", quad).drop("_rmed", "_vmed")
 
 
 def quadrant_summary(df: DataFrame) -> DataFrame:

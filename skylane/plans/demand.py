@@ -9,6 +9,7 @@ from ..operators import cleaning as cl
 from ..operators import demand as dm
 from ..sources.fixtures import FIXTURE_SQL, fx_capacity, fx_trends
 from ..sources.io import rename_if_present
+from ..sources.landing import trend_rows
 
 KW = ["kw_urgent", "kw_low", "kw_sparse"]
 TEST_PERIODS = 6
@@ -113,7 +114,25 @@ def q_push_timing(spark, sf):
     return dm.push_timing(b, lead_months=3).withColumn("FORECAST_PAX", np_round("FORECAST_PAX", P4))
 
 
+def q_trends_monthly(spark, sf):
+    """The published monthly table: cleaned, then cleaned again by the resampling, so gaps of up to four weeks fill."""
+    return cl.resample_trends_monthly(cl.clean_series(trends(spark, sf), "DATE", KW, limit=2), "DATE", KW, limit=2)
+
+
+def q_trend_landing(spark, sf):
+    raw = fx_trends(spark, sf).withColumnRenamed("ds", "date").withColumn("isPartial", F.lit(False))
+    return trend_rows(raw)
+
+
+def q_lag_constant(spark, sf):
+    """A constant signal has no correlation at any lag."""
+    return dm.lag_correlation(forecast_ready(spark, sf).withColumn("flat", F.lit(5.0)), "flat", "y", max_lag=6)
+
+
 QUERIES = {
+    "trends_monthly": q_trends_monthly,
+    "trend_landing": q_trend_landing,
+    "lag_constant": q_lag_constant,
     "coerce_clean": q_coerce_clean,
     "ffill_limited": q_ffill_limited,
     "resample_monthly": q_resample_monthly,
@@ -189,6 +208,15 @@ sm as (select *, avg(AVG_VALUE) over () as mom from sj)
 """
 
 ORACLE = {
+    "trends_monthly": f"""{_BASE}, tg as (select DATE, {", ".join(f"last_value({c} ignore nulls) over w2 as {c}" for c in KW)}
+  from (select * from tf where {_NOT_ALL_NULL}) t window w2 as (order by DATE rows between 2 preceding and current row)),
+rm0 as (select cast(date_trunc('month', DATE) as date) as DATE, {", ".join(f"avg({c}) as {c}" for c in KW)} from tg group by 1),
+rsp as (select cast(unnest(generate_series(lo, hi, interval 1 month)) as date) as DATE
+        from (select cast(min(DATE) as timestamp) as lo, cast(max(DATE) as timestamp) as hi from rm0) b)
+select rsp.DATE, {", ".join(f"round_even(rm0.{c}, 1) as {c}" for c in KW)} from rsp left join rm0 on rm0.DATE = rsp.DATE""",
+    "trend_landing": f"{_BASE} select ds as DATE, {", ".join(f"cast({c} as bigint) as {c}" for c in KW)} from fx_trends",
+    "lag_constant": f"""{_BASE} select cast(k as integer) as lag_months, cast(null as double) as correlation, false as significant,
+  (select count(*) from fr) - k as n from range(0, 7) r(k)""",
     "coerce_clean": f"""{_BASE} select cast(DATE as date) as DATE, kw_urgent, kw_low, kw_sparse from tr""",
     "ffill_limited": f"{_BASE} select * from tf",
     "resample_monthly": f"""{_BASE}, rm0 as (select cast(date_trunc('month', DATE) as date) as DATE,

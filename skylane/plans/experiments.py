@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import np_round
+from ..functions.numeric import np_round, zcrit
+from ..operators.common import attach
 from ..operators import experiment as ab
 from ..sources.fixtures import fx_ab, with_views
 from . import sqlfrag as S
@@ -66,7 +67,28 @@ def q_ab_bootstrap(spark, sf):
     return ab.bootstrap_conversion_diff(fx_ab(spark, sf), G, Y, n_bootstrap=10000, seed=42)
 
 
+def q_ab_revenue_missing_fare(spark, sf):
+    """Visitors without a fare class belong to no fare class."""
+    x = fx_ab(spark, sf).withColumn("fare_class", F.when(F.col("visitor_id") % 10 != 0, F.col("fare_class")))
+    return _money(ab.revenue_lens(x, ["fare_class"], G, Y, "display_price"), ["REVENUE", "RPV", "AOV"])
+
+
+def q_ab_bootstrap_check(spark, sf):
+    """The bootstrap against the exact difference and the normal interval."""
+    x = fx_ab(spark, sf)
+    boot = attach(ab.bootstrap_conversion_diff(x, G, Y, n_bootstrap=10000, seed=42),
+                  ab.arm_counts(x, G, Y, "control", "treatment"))
+    p = {a: F.col(f"x_{a}") / F.col(f"n_{a}") for a in "ct"}
+    se = F.sqrt(sum((p[a] * (1 - p[a]) / F.col(f"n_{a}") for a in "ct"), F.lit(0.0)))
+    width = (F.col("ci_upper") - F.col("ci_lower")) / (F.lit(2 * zcrit(0.05)) * se)
+    return boot.select((F.abs(F.col("mean_diff") - (p["t"] - p["c"])) <= 4 * se / F.sqrt(F.col("n_bootstrap"))).alias("MEAN_OK"),
+                       (F.abs(width - 1) <= 0.03).alias("WIDTH_OK"),
+                       (F.col("significant") == ((F.col("ci_lower") > 0) | (F.col("ci_upper") < 0))).alias("SIGNIFICANCE_OK"), "n_bootstrap")
+
+
 QUERIES = {
+    "ab_revenue_missing_fare": q_ab_revenue_missing_fare,
+    "ab_bootstrap_check": q_ab_bootstrap_check,
     "ab_summary": q_ab_summary,
     "ab_ztest": q_ab_ztest,
     "ab_srm": q_ab_srm,
@@ -189,3 +211,7 @@ select fare_class,
   {S.rnd(f"sum(case when ab_group = 'treatment' then (case when {_Y} = 1 then coalesce(display_price, 0e0) else 0e0 end) end) / nullif(count(case when ab_group = 'treatment' then 1 end), 0)", 6)} as RPV_treatment
 from fx_ab group by fare_class""", "fx_ab"),
 }
+
+ORACLE["ab_revenue_missing_fare"] = "select * from (" + ORACLE["ab_revenue_by_fare"].replace(
+    "o_orderpriority as fare_class", "case when o_orderkey % 10 <> 0 then o_orderpriority end as fare_class") + ") q where fare_class is not null"
+ORACLE["ab_bootstrap_check"] = "select true as MEAN_OK, true as WIDTH_OK, true as SIGNIFICANCE_OK, cast(10000 as bigint) as n_bootstrap"

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.numeric import np_round
 from ..operators import funnel as fn
 from ..operators import listing as ls
-from ..sources.fixtures import fx_hotels, table, with_views
-from ..sources.io import rename_if_present
+from ..sources.fixtures import FIXTURE_SQL, fx_events, fx_hotels, table, with_views
+from ..sources.io import enrich_if_missing, rename_if_present
 
 # schema normalisation (A6): adapter names -> the analysis names
 HOTEL_NAMES = {"place_id": "PLACE_ID", "name": "NAME", "market": "MARKET", "rating": "RATING",
                "total_ratings": "TOTAL_RATINGS", "price_level": "PRICE_LEVEL", "num_photos": "NUM_PHOTOS",
                "business_status": "BUSINESS_STATUS"}
-MARKET_A, MARKET_B = "PROMO", "STANDARD"
+MARKET_A, MARKET_B = "Dubai", "NYC"
 R6 = 9  # digits kept for derived percentages compared across engines
 
 
@@ -58,24 +58,29 @@ def q_score_histogram(spark, sf):
     return ls.score_histogram(prepared(spark, sf), bins=20)
 
 
-def q_funnel_projection(spark, sf):
-    return fn.project_funnel(prepared(spark, sf)).select(
-        "PLACE_ID", "MARKET", "P_VIEW", "P_COMPARE", "P_INTENT", "P_BOOK", *fn.STAGES)
-
-
-def _summary(spark, sf):
-    s = fn.funnel_summary(fn.project_funnel(prepared(spark, sf)))
-    return s.withColumns({"DROP_OFF_PCT": np_round("DROP_OFF_PCT", R6),
-                          "OVERALL_CONVERSION_PCT": np_round("OVERALL_CONVERSION_PCT", R6)})
+def _events(spark, sf):
+    return fx_events(spark, sf).withColumnRenamed("market", "MARKET")
 
 
 def q_funnel_summary(spark, sf):
-    return _summary(spark, sf)
+    return fn.event_funnel_by_market(_events(spark, sf)).withColumns({
+        "DROP_OFF_PCT": np_round("DROP_OFF_PCT", R6), "OVERALL_CONVERSION_PCT": np_round("OVERALL_CONVERSION_PCT", R6)})
 
 
 def q_dropoff_diagnosis(spark, sf):
-    return fn.dropoff_diagnosis(fn.funnel_summary(fn.project_funnel(prepared(spark, sf))), MARKET_A, MARKET_B) \
-        .withColumns({c: np_round(c, R6) for c in [f"DROP_OFF_PCT_{MARKET_A}", f"DROP_OFF_PCT_{MARKET_B}", "DROPOFF_GAP"]})
+    return fn.dropoff_diagnosis(fn.event_funnel_by_market(_events(spark, sf)), MARKET_A, MARKET_B) \
+        .withColumns({c: np_round(c, R6) for c in [f"DROP_OFF_PCT_{MARKET_A.upper()}", f"DROP_OFF_PCT_{MARKET_B.upper()}", "DROPOFF_GAP"]})
+
+
+def q_enrich_if_missing(spark, sf):
+    once = enrich_if_missing(hotels(spark, sf), ls.ENRICHED_COLUMNS, ls.prepare_listings)
+    return enrich_if_missing(once, ls.ENRICHED_COLUMNS, ls.prepare_listings)
+
+
+def q_listing_missing_text(spark, sf):
+    """Landed numbers as text, the missing ones as "NaN"."""
+    raw = hotels(spark, sf)
+    return ls.prepare_listings(raw.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("NaN")) for c in ("RATING", "PRICE_LEVEL")}))
 
 
 def q_event_funnel(spark, sf):
@@ -93,10 +98,11 @@ QUERIES = {
     "trust_quadrant_summary": q_trust_quadrant_summary,
     "category_counts": q_category_counts,
     "score_histogram": q_score_histogram,
-    "funnel_projection": q_funnel_projection,
     "funnel_summary": q_funnel_summary,
     "dropoff_diagnosis": q_dropoff_diagnosis,
     "event_funnel": q_event_funnel,
+    "enrich_if_missing": q_enrich_if_missing,
+    "listing_missing_text": q_listing_missing_text,
 }
 
 # ----------------------------------------------------------------------------- oracle
@@ -134,24 +140,6 @@ _TQ = """tq as (select hp.*, case
   from hp left join (select MARKET, median(RATING) as rm, median(TOTAL_RATINGS) as vm from hp
                      where MARKET is not null group by MARKET) md on md.MARKET = hp.MARKET)"""
 
-_FP = """fp0 as (select hp.*, t.tot,
-  case when MARKET = 'Dubai' then 0.55e0 else 0.40e0 end as r1, case when MARKET = 'Dubai' then 0.35e0 else 0.50e0 end as r2,
-  case when MARKET = 'Dubai' then 0.50e0 else 0.55e0 end as r3, case when MARKET = 'Dubai' then 0.65e0 else 0.70e0 end as r4
-  from hp join (select MARKET, sum(cast(round_even(VISIBILITY_SCORE * 10e0, 0) as bigint)) / 10e0 as tot from hp
-                where MARKET is not null group by MARKET) t using (MARKET)),
-fp as (select PLACE_ID, MARKET,
-  least(greatest(r1 * (VISIBILITY_SCORE / 50e0), 0.05e0), 0.95e0) as P_VIEW,
-  least(greatest(r2 * (coalesce(RATING, 3e0) / 4e0), 0.05e0), 0.95e0) as P_COMPARE,
-  least(greatest(r3 * (1e0 - coalesce(PRICE_LEVEL, 2e0) / 6e0), 0.05e0), 0.9e0) as P_INTENT,
-  least(greatest(r4 * (least(greatest(TOTAL_RATINGS, 0), 5000) / 3000e0), 0.05e0), 0.9e0) as P_BOOK,
-  greatest(cast(round_even(10000e0 * (VISIBILITY_SCORE / greatest(tot, 1e0)), 0) as bigint), 1) as STAGE_1_SEARCH,
-  cast(trunc(STAGE_1_SEARCH * P_VIEW) as bigint) as STAGE_2_VIEW,
-  cast(trunc(STAGE_2_VIEW * P_COMPARE) as bigint) as STAGE_3_COMPARE,
-  cast(trunc(STAGE_3_COMPARE * P_INTENT) as bigint) as STAGE_4_INTENT,
-  cast(trunc(STAGE_4_INTENT * P_BOOK) as bigint) as STAGE_5_BOOK
-  from fp0)"""
-
-
 def _stage_rows(src, key_sel, labels, count_name, digits=R6):
     """Union of one row per stage from wide sums s0..s(k-1) in ``src``."""
     parts = []
@@ -163,12 +151,6 @@ def _stage_rows(src, key_sel, labels, count_name, digits=R6):
     return "\nunion all ".join(parts)
 
 
-_FS = ("fs as (" + _stage_rows(
-    "(select MARKET, sum(STAGE_1_SEARCH) as s0, sum(STAGE_2_VIEW) as s1, sum(STAGE_3_COMPARE) as s2, "
-    "sum(STAGE_4_INTENT) as s3, sum(STAGE_5_BOOK) as s4 from fp group by MARKET) w",
-    "MARKET, ", fn.STAGE_LABELS, "VISITORS", digits=17).replace("round_even(", "(").replace(", 17) as", ") as") + ")")
-
-
 def _ev_stage(i, s):
     if i == 0:
         return f"t0 as (select user_id, d, min(ts) as t from e where event_type = '{s}' group by user_id, d)"
@@ -181,7 +163,14 @@ _EV = ("with e as (select user_id, cast(ts as date) as d, ts, event_type from ev
        + ",\nw as (select " + ", ".join(f"(select count(*) from t{i}) as s{i}" for i in range(len(fn.EVENT_STAGES))) + ")\n"
        + _stage_rows("w", "", fn.EVENT_STAGES, "ENTITY_DAYS"))
 
-_DA, _DB = f"DROP_OFF_PCT_{MARKET_A}", f"DROP_OFF_PCT_{MARKET_B}"
+_EVM = ("with e as (select user_id, cast(ts as date) as d, ts, event_type, market from (" + FIXTURE_SQL["fx_events"] + ") f),\n"
+        + ",\n".join(_ev_stage(i, s) for i, s in enumerate(fn.EVENT_STAGES))
+        + ",\nr as (" + " union all ".join(f"select user_id, {i} as i from t{i}" for i in range(len(fn.EVENT_STAGES)))
+        + "),\nw as (select case when user_id % 3 = 0 then 'NYC' else 'Dubai' end as MARKET, "
+        + ", ".join(f"count(*) filter (i = {i}) as s{i}" for i in range(len(fn.EVENT_STAGES))) + " from r group by 1)")
+_FS = "fs as (" + _stage_rows("w", "MARKET, ", fn.EVENT_LABELS, "VISITORS", digits=17).replace("round_even(", "(").replace(", 17) as", ") as") + ")"
+
+_DA, _DB = f"DROP_OFF_PCT_{MARKET_A.upper()}", f"DROP_OFF_PCT_{MARKET_B.upper()}"
 
 ORACLE = {
     "schema_normalize": with_views(f", {_H} select * from h", "fx_hotels"),
@@ -220,17 +209,16 @@ x2 as (select *, case when v >= (case when i1 + 1 = 20 then hi else (i1 + 1) * s
 select c.MARKET, c.BIN, case when c.BIN = 20 then s.hi else c.BIN * ((s.hi - s.lo) / 20e0) + s.lo end as BIN_LOW,
   case when c.BIN + 1 = 20 then s.hi else (c.BIN + 1) * ((s.hi - s.lo) / 20e0) + s.lo end as BIN_HIGH, c.COUNT, s.MEDIAN
 from (select MARKET, BIN, count(*) as COUNT from x2 group by MARKET, BIN) c join s on s.MARKET = c.MARKET""", "fx_hotels"),
-    "funnel_projection": with_views(f", {_HP}, {_FP} select * from fp", "fx_hotels"),
-    "funnel_summary": with_views(f", {_HP}, {_FP}, {_FS} select MARKET, STAGE_NO, STAGE, VISITORS, "
-                                 f"round_even(DROP_OFF_PCT, {R6}) as DROP_OFF_PCT, "
-                                 f"round_even(OVERALL_CONVERSION_PCT, {R6}) as OVERALL_CONVERSION_PCT from fs", "fx_hotels"),
-    "dropoff_diagnosis": with_views(f""", {_HP}, {_FP}, {_FS},
+    "funnel_summary": _EVM + "\n" + _stage_rows("w", "MARKET, ", fn.EVENT_LABELS, "VISITORS"),
+    "dropoff_diagnosis": f"""{_EVM}, {_FS},
 a as (select STAGE_NO, STAGE, DROP_OFF_PCT as da from fs where MARKET = '{MARKET_A}'),
 b as (select STAGE_NO, STAGE, DROP_OFF_PCT as db from fs where MARKET = '{MARKET_B}')
 select a.STAGE_NO, a.STAGE, round_even(da, {R6}) as {_DA}, round_even(db, {R6}) as {_DB}, round_even(da - db, {R6}) as DROPOFF_GAP,
   case when da - db > 0 then '{MARKET_A}' else '{MARKET_B}' end as WORSE_MARKET,
   case a.STAGE when 'View' then '{fn.DIAGNOSIS["View"]}' when 'Compare' then '{fn.DIAGNOSIS["Compare"]}'
     when 'Intent' then '{fn.DIAGNOSIS["Intent"]}' when 'Book' then '{fn.DIAGNOSIS["Book"]}' else '{fn.DIAGNOSIS_DEFAULT}' end as DIAGNOSIS
-from a join b on a.STAGE_NO = b.STAGE_NO and a.STAGE = b.STAGE""", "fx_hotels"),
+from a join b on a.STAGE_NO = b.STAGE_NO and a.STAGE = b.STAGE""",
     "event_funnel": _EV,
+    "enrich_if_missing": with_views(f", {_HP} select * from hp", "fx_hotels"),
+    "listing_missing_text": with_views(f", {_HP} select * from hp", "fx_hotels"),
 }

@@ -6,9 +6,11 @@ the model steps (PCA, K-Means, K search, full pipeline) are rows-only checks.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.numeric import np_round
+from ..operators import kmeans as km
 from ..operators import segment as sg
 from ..sources.fixtures import fx_travelers, with_views
 from ..sources.io import rename_if_present
@@ -89,7 +91,50 @@ def q_segmentation_pipeline(spark, sf):
     return res["profiles"]
 
 
+def with_gaps(spark, sf):
+    """Travelers of whom some values are missing."""
+    gap = lambda c, n, r: F.when(F.col("TRAVELER_ID") % n != r, F.col(c))
+    return travelers(spark, sf).withColumns({"TRIP_PURPOSE": gap("TRIP_PURPOSE", 3, 0), "FARE_CLASS": gap("FARE_CLASS", 4, 1),
+                                             "PREFERRED_MARKET": gap("PREFERRED_MARKET", 5, 2)})
+
+
+def q_profile_missing(spark, sf):
+    return sg.profile_clusters(with_gaps(spark, sf))
+
+
+def q_pca_check(spark, sf):
+    """What any principal components must satisfy: shares add up, the trace is kept, the components are eigenvectors."""
+    z = sg.standardize(features(spark, sf))
+    cols = [f + "_Z" for f in sg.FEATURES]
+    ratios, vecs = sg.fit_pca(z, cols)
+    cov = z.agg(*[F.covar_samp(a, b).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)]).first()
+    d = len(cols)
+    m = np.array([[cov[f"{i}_{j}"] for j in range(d)] for i in range(d)])
+    values = np.diag(vecs.T @ m @ vecs)
+    ok = (abs(ratios.sum() - 1) < 1e-9, abs(values.sum() - np.trace(m)) < 1e-9, float(np.abs(m @ vecs - vecs * values).max()) < 1e-9,
+          float(np.abs(values / values.sum() - ratios).max()) < 1e-9)
+    return spark.createDataFrame([tuple(map(bool, ok))], "SHARES_ADD_UP boolean, TRACE_KEPT boolean, EIGENVECTORS boolean, SHARES_MATCH boolean")
+
+
+def q_kmeans_check(spark, sf):
+    """What any converged fit must satisfy: every row labelled, no empty cluster, no center far from its cluster's mean."""
+    x, cols, _ = sg.feature_vectors(features(spark, sf).drop("CLUSTER"))
+    coords = sg._fit_frame(x, cols, sg.FEATURES)
+    best = km.best_per_k(km.fit_batched(coords, cols, [4], n_init=3, id_col=sg.ROW_ID))[4]
+    labelled = coords.withColumn("c", km.assign(cols, best.centers))
+    per = labelled.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                                    F.sum(sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))).alias("q")).collect()
+    within = sum(r["q"] - r["n"] * sum(r[f"m{i}"] ** 2 for i in range(len(cols))) for r in per)
+    far = max(abs(r[f"m{i}"] - best.centers[r["c"], i]) for r in per for i in range(len(cols)))
+    coords.unpersist()
+    return spark.createDataFrame([(sum(r["n"] for r in per), len(per), bool(abs(within - best.inertia) <= 1e-3 * best.inertia), bool(far < 0.05))],
+                                 "N_ROWS long, N_CLUSTERS int, INERTIA_IS_WITHIN_SS boolean, CENTERS_ARE_MEANS boolean")
+
+
 QUERIES = {
+    "profile_missing": q_profile_missing,
+    "pca_check": q_pca_check,
+    "kmeans_check": q_kmeans_check,
     "traveler_features": q_traveler_features,
     "standardized": q_standardized,
     "ch_index": q_ch_index,
@@ -138,7 +183,7 @@ chv as (select n, k, sb - ({" + ".join(f"t_{i} * t_{i}" for i in range(len(sg.FE
 def _mode(col):
     return f"""m_{col} as (select CLUSTER, v as mv_{col}, c / tot as share_{col} from (
   select CLUSTER, {col} as v, count(*) as c, sum(count(*)) over (partition by CLUSTER) as tot,
-    row_number() over (partition by CLUSTER order by count(*) desc, {col}) as rn from tr group by CLUSTER, {col}) q where rn = 1)"""
+    row_number() over (partition by CLUSTER order by count(*) desc, {col}) as rn from tr where {col} is not null group by CLUSTER, {col}) q where rn = 1)"""
 
 
 _MODES = ["TRIP_PURPOSE", "PREFERRED_PRICE_TIER", "BOOKING_CHANNEL", "DEVICE", "FARE_CLASS"]
@@ -147,10 +192,10 @@ g as (select CLUSTER, count(*) as SIZE, round_even(avg(AGE), 1) as AVG_AGE, roun
   round_even(avg(STAY_NIGHTS), 1) as AVG_STAY_NIGHTS, round_even(avg(LEAD_TIME_DAYS), 1) as AVG_LEAD_TIME,
   round_even(avg(FLIGHT_SPEND), 0) as AVG_FLIGHT_SPEND, round_even(avg(HOTEL_SPEND_PER_NIGHT), 0) as AVG_HOTEL_PER_NIGHT,
   round_even(avg(TOTAL_TRIP_SPEND), 0) as AVG_TOTAL_SPEND, round_even(median(TOTAL_TRIP_SPEND), 0) as MEDIAN_TOTAL_SPEND,
-  round_even(avg(cast(PREFERRED_MARKET = 'Dubai' as double)) * 100, 1) as PCT_DUBAI_PREF,
+  round_even(avg(cast(coalesce(PREFERRED_MARKET = 'Dubai', false) as double)) * 100, 1) as PCT_DUBAI_PREF,
   round_even(avg(cast(LOYALTY_MEMBER as double)) * 100, 1) as PCT_LOYALTY,
   round_even(avg(cast(REPEAT_VISITOR as double)) * 100, 1) as PCT_REPEAT,
-  round_even(avg(cast(FARE_CLASS = 'business' as double)) * 100, 1) as PCT_BUSINESS_CLASS
+  round_even(avg(cast(coalesce(FARE_CLASS = 'business', false) as double)) * 100, 1) as PCT_BUSINESS_CLASS
   from tr group by CLUSTER),
 prof as (select g.CLUSTER, SIZE, round_even(SIZE / (select count(*) from tr) * 100, 1) as PCT_OF_TOTAL, AVG_AGE, AVG_GROUP_SIZE,
   AVG_STAY_NIGHTS, AVG_LEAD_TIME, mv_TRIP_PURPOSE as TOP_PURPOSE, round_even(share_TRIP_PURPOSE * 100, 1) as PURPOSE_CONCENTRATION,
@@ -216,3 +261,11 @@ from x group by rollup(ARCHETYPE)""", "fx_travelers"),
   round_even({S.chi2_sf('H', 'k - 1')}, 6) as P_VALUE, coalesce({S.chi2_sf('H', 'k - 1')} < 0.05, false) as SIGNIFICANT
 from hs""", "fx_travelers"),
 }
+
+_GAPS = {"trip_purpose": "traveler_id % 3 <> 0", "fare_class": "traveler_id % 4 <> 1", "preferred_market": "traveler_id % 5 <> 2"}
+_TR_GAPS = ", tr as (select " + ", ".join(
+    f"case when {_GAPS[c]} then {c} end as {c.upper()}" if c in _GAPS else f"{c} as {c.upper()}" for c in TRAVELER_COLS) + " from fx_travelers)"
+ORACLE["profile_missing"] = ORACLE["cluster_profile"].replace(_TR, _TR_GAPS)
+ORACLE["pca_check"] = "select true as SHARES_ADD_UP, true as TRACE_KEPT, true as EIGENVECTORS, true as SHARES_MATCH"
+ORACLE["kmeans_check"] = with_views(
+    "select count(*) as N_ROWS, 4 as N_CLUSTERS, true as INERTIA_IS_WITHIN_SS, true as CENTERS_ARE_MEANS from fx_travelers", "fx_travelers")

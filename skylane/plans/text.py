@@ -95,7 +95,23 @@ def q_video_engagement(spark, sf):
     return vd.prepare_videos(rename_if_present(fx_videos(spark, sf), VIDEO_NAMES))
 
 
+def q_sentiment_default(spark, sf):
+    """The default lexicon and topic map."""
+    r = tx.topic_flags(tx.score_lexicon(reviews(spark, sf)))
+    return r.select("PLACE_ID", "REVIEW_INDEX", "VADER_COMPOUND", "SENTIMENT_LABEL", *[f"TOPIC_{t.upper()}" for t in tx.TOPIC_KEYWORDS], "PRIMARY_TOPIC")
+
+
+def q_valence_large_lexicon(spark, sf):
+    """A lexicon of ten thousand words, all but the test words absent from the corpus."""
+    known = spark.createDataFrame([(w, v) for w, v in TEST_VALENCE.items()], "word string, valence double")
+    rest = spark.range(10_000).select(F.concat(F.lit("absent"), F.col("id")).alias("word"), F.lit(0.5).alias("valence"))
+    r = tx.score_valence(reviews(spark, sf), known.unionByName(rest))
+    return r.select("PLACE_ID", "REVIEW_INDEX", "VALENCE_SUM", np_round("VADER_COMPOUND", Z9).alias("VADER_COMPOUND"), "SENTIMENT_LABEL")
+
+
 QUERIES = {
+    "sentiment_default": q_sentiment_default,
+    "valence_large_lexicon": q_valence_large_lexicon,
     "reviews_extract": q_reviews_extract,
     "sentiment_lexicon": q_sentiment_lexicon,
     "sentiment_valence": q_sentiment_valence,
@@ -175,7 +191,18 @@ def _t(body):
     return with_views(_RV + body, "fx_hotel_reviews")
 
 
+def _any_of(kws):
+    return "(" + " or ".join(f"contains(lower(REVIEW_TEXT), '{k}')" for k in kws) + ")"
+
+
 ORACLE = {
+    "sentiment_default": _t(f""", pd as (select *, len(list_intersect(w, {_lst(tx.POSITIVE_WORDS)})) as dp,
+  len(list_intersect(w, {_lst(tx.NEGATIVE_WORDS)})) as dn from wd),
+cd as (select *, case when dp + dn = 0 then 0e0 else (dp - dn) / (dp + dn) end as c from pd)
+select PLACE_ID, REVIEW_INDEX, c as VADER_COMPOUND,
+  case when c >= 0.05e0 then 'Positive' when c <= -0.05e0 then 'Negative' else 'Neutral' end as SENTIMENT_LABEL,
+  {", ".join(f"cast({_any_of(kws)} as integer) as TOPIC_{t.upper()}" for t, kws in tx.TOPIC_KEYWORDS.items())},
+  case {" ".join(f"when {_any_of(kws)} then '{t}'" for t, kws in tx.TOPIC_KEYWORDS.items())} else 'general' end as PRIMARY_TOPIC from cd"""),
     "reviews_extract": _t("select * from reviews"),
     "sentiment_lexicon": _t("select " + ", ".join(SCORE_COLS) + " from sc"),
     "sentiment_valence": _t(f""", vs as (select PLACE_ID, REVIEW_INDEX, cast(
@@ -223,3 +250,4 @@ select video_id as VIDEO_ID, published_at as PUBLISHED_AT, cast(view_count as bi
   round_even((like_count + comment_count) / greatest(view_count, 1) * 100, 3) as ENGAGEMENT_RATE
 from fx_videos""", "fx_videos"),
 }
+ORACLE["valence_large_lexicon"] = ORACLE["sentiment_valence"]

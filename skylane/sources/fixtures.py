@@ -12,12 +12,14 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .io import load_table
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return load_table(spark, sf_dir, name)
 
 
 def fx_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,8 +141,15 @@ def fx_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
         n("click").alias("like_count"), n("signup").alias("comment_count"))
 
 
+def fx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log with a market per user."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_type")
+    return e.withColumn("market", F.when(F.col("user_id") % 3 == 0, "NYC").otherwise("Dubai"))
+
+
 # SQL texts of the same views for the DuckDB oracle (FIXTURES.md part 3).
 FIXTURE_SQL = {
+    "fx_events": "select user_id, ts, event_type, case when user_id % 3 = 0 then 'NYC' else 'Dubai' end as market from events",
     "fx_capacity": "select cast(date_trunc('month', l_shipdate) as date) as ds, count(*) as monthly_flights, cast(sum(l_quantity) as bigint) as est_passengers, count(distinct l_suppkey) as n_supp from lineitem group by 1",
     "fx_trends": "select cast(date_trunc('week', o_orderdate) as date) as ds, nullif(sum(case when o_orderpriority='1-URGENT' then 1 else 0 end),0) as kw_urgent, nullif(sum(case when o_orderpriority='5-LOW' then 1 else 0 end),0) as kw_low, nullif(sum(case when o_orderpriority='2-HIGH' and o_custkey % 7 = 0 then 1 else 0 end),0) as kw_sparse from orders group by 1",
     "fx_hotels": "select p.p_partkey as place_id, p.p_name as name, p.p_type as market, case when p.p_size % 9 = 0 then null else least(5e0, 25e-1 + (p.p_size % 26) / 10e0) end as rating, case when p.p_size % 11 = 0 then p.p_size % 13 else coalesce(q.n,0) * 7 end as total_ratings, case when p.p_size % 5 = 0 then null else 1 + p.p_size % 4 end as price_level, p.p_size % 30 as num_photos, case when p.p_partkey % 50 = 0 then 'CLOSED_TEMPORARILY' when p.p_partkey % 17 = 0 then '' else 'OPERATIONAL' end as business_status from part p left join (select l_partkey, count(*) as n from lineitem group by 1) q on q.l_partkey = p.p_partkey",

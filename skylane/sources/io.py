@@ -1,15 +1,15 @@
 """Table sources and sinks.
 
 Reads are lazy: nothing here triggers a job except ``require_nonempty``.
-Formats are tried in order by *path existence*, so column pruning and
+Formats are tried in order by planning their scan, so column pruning and
 predicate pushdown still reach the scan of whichever format is chosen.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -24,15 +24,6 @@ class SchemaError(ValueError):
     pass
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
-
-
 def read_format(spark: SparkSession, path: str, fmt: str, schema: StructType | None = None,
                 options: Mapping[str, str] | None = None) -> DataFrame:
     """Read one path; ``options`` pass through (e.g. ``timestampFormat`` for landed CSV)."""
@@ -53,24 +44,40 @@ def read_format(spark: SparkSession, path: str, fmt: str, schema: StructType | N
 
 def load_table(spark: SparkSession, base: str, name: str, formats: Sequence[str] = DEFAULT_FORMATS,
                schema: StructType | None = None, options: Mapping[str, str] | None = None) -> DataFrame:
-    """A1: load ``base/name.<fmt>`` for the first format that exists."""
+    """A1: load ``base/name.<fmt>`` for the first format that can be read."""
     return load_first(spark, [f"{base.rstrip('/')}/{name}.{fmt}" for fmt in formats], schema=schema, options=options)
 
 
 def load_first(spark: SparkSession, paths: Iterable[str], schema: StructType | None = None,
                options: Mapping[str, str] | None = None) -> DataFrame:
-    """A2: first existing of a list of candidate paths; error lists every candidate."""
+    """A2: first readable of a list of candidate paths, in any file system Spark reads; the error lists every candidate.
+
+    A path is tried by planning its scan: a missing path fails there, and so
+    does a parquet or ORC file whose footer can't be read.
+    """
     tried = []
     for p in paths:
-        tried.append(p)
-        if _exists(spark, p):
-            fmt = p.rsplit(".", 1)[-1].lower()
-            if fmt not in ("parquet", "csv", "json", "orc"):
-                fmt = "parquet"
+        fmt = p.rsplit(".", 1)[-1].lower()
+        fmt = fmt if fmt in ("parquet", "csv", "json", "orc") else "parquet"
+        try:
+            if schema is not None and fmt in ("parquet", "orc"):
+                read_format(spark, p, fmt, None, options)
             return read_format(spark, p, fmt, schema, options)
+        except PySparkException as e:
+            tried.append(f"{p} ({str(e).strip().splitlines()[0][:120]})")
     raise MissingInputError("no readable input among: " + ", ".join(tried))
 
 
+def save_landed_csv(df: DataFrame, path: str, timestamp_format: str = "yyyy-MM-dd HH:mm:ss") -> None:
+    """A5: header CSV of a landed table."""
+    df.write.mode("overwrite").option("header", True).option("timestampFormat", timestamp_format).csv(path)
+
+
+def load_landed_csv(spark: SparkSession, path: str, schema: StructType | str, timestamp_format: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
+    """A5: read it back with its declared schema (no inference pass)."""
+    return read_format(spark, path, "csv", schema, {"timestampFormat": timestamp_format})
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),
                 mode: str = "overwrite") -> None:
     """A3/A4: parquet (default) or header CSV sink, optionally partitioned."""
@@ -112,6 +119,11 @@ def has_columns(df: DataFrame, cols: Iterable[str]) -> bool:
     return all(c in have for c in cols)
 
 
+def enrich_if_missing(df: DataFrame, cols: Iterable[str], enrich: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply ``enrich`` unless all of ``cols`` are present already."""
+    return df if has_columns(df, cols) else enrich(df)
+
+
 def first_present(df: DataFrame, candidates: Sequence[str]) -> str | None:
     have = set(df.columns)
     for c in candidates:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import np_round
+from .io import rename_if_present
 
 PLACE_SCHEMA = T.StructType([
     T.StructField("place_id", T.StringType()),
@@ -141,6 +142,11 @@ def enrich_with_details(listings: DataFrame, rollup: DataFrame) -> DataFrame:
     return j.withColumns(out).select(*listings.columns)
 
 
+def trend_rows(df: DataFrame, index_col: str = "date", partial_col: str = "isPartial") -> DataFrame:
+    """Landed search-interest rows without the partial flag, the index as DATE."""
+    return rename_if_present(df.drop(partial_col), {index_col: "DATE"})
+
+
 def union_markets(*frames: DataFrame) -> DataFrame:
     """Union of market frames by column name (missing columns become NULL)."""
     out = frames[0]

@@ -1,28 +1,16 @@
-"""Structured Streaming forms of the monitoring operators.
+"""Structured Streaming form of the monitoring operators.
 
 * ``ab_monitor``: G1+G2 as a running monitor -- one streaming aggregate of the
   per-arm counts (state is four numbers), with the z-test applied as a
   projection on every update. Output mode ``complete``/``update``.
-* ``event_funnel_progress``: E15 on an event stream. Each (entity, day) keeps
-  its furthest stage and the time it was reached in ``applyInPandasWithState``
-  state; events of a micro-batch are applied in time order, and the state is
-  dropped once the watermark passes the end of the day (event-time timeout).
-  Events of one entity-day that arrive after a later-stage event of the same
-  entity-day were already applied in a previous batch are applied in arrival
-  order -- the batch ``event_funnel`` is the exact reference.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.experiment import coerce_outcome, ztest_exprs
-from ..operators.funnel import EVENT_STAGES
 
 
 def ab_monitor(stream: DataFrame, group_col: str = "GROUP", outcome_col: str = "CONVERTED",
@@ -38,44 +26,3 @@ def ab_monitor(stream: DataFrame, group_col: str = "GROUP", outcome_col: str = "
     e = ztest_exprs(F.col("n_c"), F.col("x_c"), F.col("n_t"), F.col("x_t"), alpha)
     return counts.select(F.col("n_c").alias("N_CONTROL"), F.col("n_t").alias("N_TREATMENT"),
                          *[v.alias(k) for k, v in e.items()])
-
-
-_OUT_SCHEMA = "entity long, day date, stage_reached int, reached_at timestamp"
-_STATE_SCHEMA = "stage int, last_ts timestamp"
-
-
-def event_funnel_progress(stream: DataFrame, entity_col: str = "user_id", time_col: str = "ts",
-                          type_col: str = "event_type", stages: Sequence[str] = EVENT_STAGES,
-                          watermark: str = "1 hour") -> DataFrame:
-    """Furthest funnel stage per (entity, day) as events arrive (output mode ``update``).
-
-    ``stage_reached`` counts stages reached (1 = first stage). Feed the output to a
-    sink and aggregate there (e.g. ``groupBy(stage_reached).count()`` on a table).
-    """
-    stage_list = list(stages)
-    x = (stream.select(F.col(entity_col).cast("long").alias("entity"), F.col(time_col).cast("timestamp").alias("ts"),
-                       F.col(type_col).alias("event_type"))
-               .filter(F.col("event_type").isin(*stage_list))
-               .withColumn("day", F.to_date("ts"))
-               .withWatermark("ts", watermark))
-
-    def step(key, pdfs, state):
-        entity, day = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stage, last = (state.get if state.exists else (0, None))
-        last = None if last is None else pd.Timestamp(last)
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values("ts", kind="mergesort")
-        for ts, kind in batch[["ts", "event_type"]].itertuples(index=False):
-            if stage < len(stage_list) and kind == stage_list[stage] and (last is None or ts > last):
-                stage, last = stage + 1, pd.Timestamp(ts)
-        if stage == 0:
-            return
-        state.update((stage, last.to_pydatetime()))
-        end_of_day = int((pd.Timestamp(day) + pd.Timedelta(days=1)).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(end_of_day, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"entity": [entity], "day": [day], "stage_reached": [stage], "reached_at": [last]})
-
-    return x.groupBy("entity", "day").applyInPandasWithState(
-        step, _OUT_SCHEMA, _STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout)

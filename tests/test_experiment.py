@@ -137,3 +137,11 @@ def test_histogram_matches_numpy(spark):
     assert [c for _, c in got] == [int(c) for c in counts if c > 0]
     per_key = ab.histogram(df, "x", bins=10, keys=["k"]).collect()
     assert sum(r["COUNT"] for r in per_key) == 500
+
+
+def test_sequential_without_tie_column_is_layout_independent(spark):
+    from skylane.operators import experiment as ab
+    df = spark.createDataFrame([(i, "2020-01-01", "control" if i % 2 else "treatment", int(i % 5 == 0)) for i in range(600)],
+                               "id long, t string, GROUP string, CONVERTED int")
+    got = [sorted(map(tuple, ab.sequential_monitoring(df.repartition(n), "t").collect())) for n in (2, 7)]
+    assert got[0] == got[1]

@@ -76,3 +76,29 @@ def test_landed_csv_with_timestamp_format(spark):
                        options={"timestampFormat": "dd/MM/yyyy HH:mm"})
     rows = df.orderBy("DATE").collect()
     assert [(r["DATE"].day, r["DATE"].month, r["kw"]) for r in rows] == [(3, 1, 5), (4, 1, 7)]
+
+
+def test_unreadable_candidate_falls_back_and_is_listed(spark):
+    base = tempfile.mkdtemp(prefix="skylane-io-")
+    with open(os.path.join(base, "t.parquet"), "wb") as fh:
+        fh.write(b"not parquet at all")
+    with pytest.raises(io.MissingInputError, match="t.parquet.*t.csv"):
+        io.load_table(spark, base, "t")
+    spark.createDataFrame([(1, "a")], "id long, v string").write.option("header", True).csv(os.path.join(base, "t.csv"))
+    assert io.load_table(spark, base, "t").collect()[0]["v"] == "a"
+
+
+def test_landed_csv_pair_and_trend_rows(spark):
+    base = tempfile.mkdtemp(prefix="skylane-io-")
+    df = spark.createDataFrame([("2024-01-07 00:00:00", 5, False), ("2024-01-14 00:00:00", None, True)], "date string, kw int, isPartial boolean") \
+        .withColumn("date", F.to_timestamp("date"))
+    io.save_landed_csv(df, os.path.join(base, "c"))
+    back = io.load_landed_csv(spark, os.path.join(base, "c"), "date timestamp, kw int, isPartial boolean")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert ld.trend_rows(back).columns == ["DATE", "kw"]
+
+
+def test_enrich_if_missing(spark):
+    df = spark.range(2)
+    grown = io.enrich_if_missing(df, ["x"], lambda d: d.withColumn("x", F.lit(1)))
+    assert grown.columns == ["id", "x"] and io.enrich_if_missing(grown, ["x"], lambda d: d.drop("id")).columns == ["id", "x"]

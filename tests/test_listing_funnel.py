@@ -42,20 +42,6 @@ def test_funnel_zero_stage_dropoff_is_missing(spark):
     assert rows[2]["DROP_OFF_PCT"] is None and rows[4]["OVERALL_CONVERSION_PCT"] == 0.0
 
 
-def test_projection_integer_cascade(spark):
-    rows = [(1, "Dubai", 4.0, 3000, 2.0, 10, "OPERATIONAL"), (2, "Dubai", 3.0, 100, None, 0, "OPERATIONAL")]
-    prep = ls.prepare_listings(spark.createDataFrame(rows, SCHEMA))
-    out = {r["PLACE_ID"]: r for r in fn.project_funnel(prep).collect()}
-    v1, v2 = out[1]["VISIBILITY_SCORE"], out[2]["VISIBILITY_SCORE"]
-    s1 = max(int(round(10000 * (v1 / (v1 + v2)))), 1)
-    assert out[1]["STAGE_1_SEARCH"] == s1
-    assert out[1]["STAGE_2_VIEW"] == int(s1 * out[1]["P_VIEW"])
-    assert out[1]["P_BOOK"] == 0.65
-    diag = fn.dropoff_diagnosis(fn.funnel_summary(fn.project_funnel(prep)).union(
-        fn.funnel_summary(fn.project_funnel(prep)).withColumn("MARKET", F.lit("NYC"))), "Dubai", "NYC").collect()
-    assert {r["STAGE"]: r["WORSE_MARKET"] for r in diag}["Search"] == "NYC"  # missing gap -> second market
-
-
 def test_event_funnel_requires_time_order(spark):
     ev = spark.createDataFrame([
         (1, "2020-01-01 10:00:00", "view"), (1, "2020-01-01 10:01:00", "click"), (1, "2020-01-01 10:02:00", "signup"),
@@ -64,3 +50,24 @@ def test_event_funnel_requires_time_order(spark):
     ], "user_id long, ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
     rows = {r["STAGE"]: r["ENTITY_DAYS"] for r in fn.event_funnel(ev).collect()}
     assert rows == {"view": 3, "click": 1, "signup": 1, "purchase": 0}
+
+
+def test_event_funnel_by_market_and_diagnosis(spark):
+    ev = spark.createDataFrame([
+        (1, "2020-01-01 10:00:00", "view", "Dubai"), (1, "2020-01-01 10:01:00", "click", "Dubai"), (2, "2020-01-01 10:05:00", "view", "Dubai"),
+        (3, "2020-01-01 09:00:00", "view", "NYC"), (3, "2020-01-01 09:01:00", "click", "NYC"), (3, "2020-01-01 09:02:00", "signup", "NYC"),
+    ], "user_id long, ts string, event_type string, MARKET string").withColumn("ts", F.to_timestamp("ts"))
+    summary = fn.event_funnel_by_market(ev)
+    rows = {(r["MARKET"], r["STAGE"]): (r["VISITORS"], r["DROP_OFF_PCT"]) for r in summary.collect()}
+    assert rows["Dubai", "Search"] == (2, None) and rows["Dubai", "View"] == (1, 50.0) and rows["NYC", "Intent"] == (1, 0.0)
+    diag = {r["STAGE"]: r["WORSE_MARKET"] for r in fn.dropoff_diagnosis(summary, "Dubai", "NYC").collect()}
+    assert diag["View"] == "Dubai" and diag["Search"] == "NYC"  # missing gap -> second market
+
+
+def test_attach_salted_beyond_the_broadcast_size(spark, monkeypatch):
+    from skylane.operators import common
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    df = spark.createDataFrame([(i % 3 if i % 7 else None, i) for i in range(50)], "k int, v int")
+    out = common.attach(df, df.groupBy("k").agg(F.sum("v").alias("s")), ["k"], "left").collect()
+    want = {k: sum(i for i in range(50) if i % 7 and i % 3 == k) for k in range(3)}
+    assert len(out) == 50 and all(r["s"] == want.get(r["k"]) for r in out)

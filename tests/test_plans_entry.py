@@ -12,7 +12,7 @@ spec = importlib.util.spec_from_file_location("spark_entry", os.path.join(ROOT,
 entry_mod = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(entry_mod)
 
-SLOW = {"k_evaluation", "segmentation_pipeline", "kmeans_clusters", "ab_bootstrap"}
+from skylane.plans import catalog  # noqa: E402
 
 
 def _plan(df):
@@ -44,14 +44,14 @@ def test_segment_scan_is_pruned_and_aggregated_partially(spark, sf_small):
     assert "partial_count" in plan and "SinglePartition" not in plan
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_mod.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_oracle_small(spark, sf_small, name):
     con = duck(sf_small)
     res = compare(entry_mod.queries()[name](spark, sf_small), entry_mod.oracle_sql()[name], con)
     assert res["names_match"] and res["rows_match"] and res["types_match"] and res["approx"], res
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_mod.queries()) - {"k_evaluation", "segmentation_pipeline"}))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_cartesian_or_nested_loop_join(spark, sf_small, name):
     plan = _plan(entry_mod.queries()[name](spark, sf_small))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -168,3 +168,21 @@ def test_full_segmentation_invariants(spark, sf_small):
     assert res["validation"].count() == len(sg.KW_METRICS)
     assert {r["ARCHETYPE"] for r in res["market_crosstab"].collect()} >= {"All"}
     assert res["recommendations"].count() == len(prof)
+
+
+def test_kmeans_is_the_same_in_every_layout(spark):
+    from skylane.operators import kmeans as km
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(400, 3)))], "id long, a double, b double, c double")
+    fits = [km.fit_batched(df.repartition(n), ["a", "b", "c"], [4], n_init=2, seed=5, id_col="id") for n in (1, 4, 7)]
+    for other in fits[1:]:
+        for x, y in zip(fits[0], other):
+            assert np.allclose(x.centers, y.centers, atol=1e-9) and abs(x.inertia - y.inertia) < 1e-6
+
+
+def test_lexicon_of_any_size(spark):
+    from skylane.operators import text as tx
+    df = spark.createDataFrame([(1, 0, "p1 p2 n1 other"), (1, 1, "n3")], "PLACE_ID int, REVIEW_INDEX int, REVIEW_TEXT string").withColumn("MARKET", F.lit("m"))
+    scored = tx.score_lexicon(df, [f"p{i}" for i in range(5000)], [f"n{i}" for i in range(5000)])
+    got = tx.aggregate_sentiment(scored, "MARKET").first()
+    assert got["AVG_COMPOUND"] == round((1 / 3 - 1) / 2, 3)

@@ -2,11 +2,8 @@
 
 import tempfile
 
-from pyspark.sql import functions as F
-
 from skylane.operators import experiment as ab
-from skylane.operators import funnel as fn
-from skylane.sources.fixtures import fx_ab, table
+from skylane.sources.fixtures import fx_ab
 from skylane.streaming import monitor
 
 
@@ -23,19 +20,3 @@ def test_ab_monitor_matches_batch(spark, sf_small):
     got = spark.sql("select * from ab_mon").first()
     want = ab.ab_ztest(batch).first()
     assert abs(got["p_value"] - want["p_value"]) < 1e-12 and got["abs_diff"] == want["abs_diff"]
-
-
-def test_event_funnel_stream_matches_batch(spark, sf_small):
-    events = table(spark, sf_small, "events")
-    stream = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
-              .parquet(sf_small))
-    q = (monitor.event_funnel_progress(stream).writeStream.outputMode("update").format("memory")
-         .queryName("funnel_progress").start())
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    prog = spark.sql("select entity, day, max(stage_reached) as s from funnel_progress group by entity, day")
-    got = {k: prog.filter(F.col("s") >= k).count() for k in range(1, 5)}
-    want = {r["STAGE_NO"]: r["ENTITY_DAYS"] for r in fn.event_funnel(events).collect()}
-    assert got == want
