@@ -80,7 +80,7 @@ def label(compound: Column) -> Column:
 
 
 #: Compounds are summed as integers of this unit, so that means do not depend on the order of the sum.
-SENT_SCALE = 10 ** 12
+SENT_SCALE = 10 ** 15
 
 
 def score_lexicon(df: DataFrame, positive: Sequence[str] = POSITIVE_WORDS, negative: Sequence[str] = NEGATIVE_WORDS,
@@ -109,16 +109,21 @@ def score_lexicon(df: DataFrame, positive: Sequence[str] = POSITIVE_WORDS, negat
 
 
 def score_valence(df: DataFrame, valence: DataFrame | Mapping[str, float], text_col: str = "REVIEW_TEXT",
-                  alpha: float = VALENCE_ALPHA, keys: Sequence[str] = ("PLACE_ID", "REVIEW_INDEX")) -> DataFrame:
+                  alpha: float = VALENCE_ALPHA, keys: Sequence[str] | None = None) -> DataFrame:
     """Sum of token valences (every occurrence), normalised s / sqrt(s^2 + alpha).
 
     Tokens are joined to the lexicon, a table (word, valence) of any size, so a
-    longer lexicon costs no more per token; ``keys`` name a review. Valences
-    are summed in millionths, whatever the order.
+    longer lexicon costs no more per token; ``keys`` name a review (default:
+    PLACE_ID and REVIEW_INDEX where given, else the text itself). Valences are
+    summed in millionths, whatever the order.
     """
+    if keys is None:
+        keys = ["PLACE_ID", "REVIEW_INDEX"] if {"PLACE_ID", "REVIEW_INDEX"} <= set(df.columns) else [text_col]
     lex = valence if isinstance(valence, DataFrame) else df.sparkSession.createDataFrame(
         [(k, float(v)) for k, v in sorted(valence.items())], "word string, valence double")
-    found = (df.select(*keys, F.explode(words(text_col, distinct=False)).alias("word")).join(lex, "word")
+    texts = df.select(*dict.fromkeys([*keys, text_col]))
+    texts = texts.distinct() if list(keys) == [text_col] else texts
+    found = (texts.select(*keys, F.explode(words(text_col, distinct=False)).alias("word")).join(lex, "word")
              .groupBy(*keys).agg(F.sum(F.rint(F.col("valence") * 1e6).cast("bigint")).alias("_v")))
     x = df.join(found, list(keys), "left").withColumn("VALENCE_SUM", F.coalesce(F.col("_v"), F.lit(0)) / F.lit(1e6)).drop("_v")
     c = F.col("VALENCE_SUM") / F.sqrt(F.col("VALENCE_SUM") * F.col("VALENCE_SUM") + F.lit(alpha))

@@ -130,7 +130,7 @@ QUERIES = {
 
 # ----------------------------------------------------------------------------- oracle
 
-_SCALE = 10 ** 12
+_SCALE = 10 ** 15
 _WS = "(" + " || ".join(f"chr({ord(c)})" for c in tx.WS_CHARS) + ")"
 
 

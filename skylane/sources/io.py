@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -63,7 +64,7 @@ def load_first(spark: SparkSession, paths: Iterable[str], schema: StructType | N
             if schema is not None and fmt in ("parquet", "orc"):
                 read_format(spark, p, fmt, None, options)
             return read_format(spark, p, fmt, schema, options)
-        except PySparkException as e:
+        except (PySparkException, Py4JError) as e:
             tried.append(f"{p} ({str(e).strip().splitlines()[0][:120]})")
     raise MissingInputError("no readable input among: " + ", ".join(tried))
 
