@@ -1,6 +1,8 @@
 """The pipeline on the smallest tables, stage by stage, and its registration."""
 
 import corpus_pipeline
+import pytest
+from oracle_harness import compare, duck
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -38,3 +40,9 @@ def test_stages(spark, sf_small):
         if name == "packing":
             assert set(ids) == {r[0] for r in rows}
         before = after
+
+
+@pytest.mark.parametrize("name", ["op5_chat", "op6_quality", "op8_search", "op9_jaccard"])
+def test_oracle(spark, sf_small, name):
+    res = compare(__spark_entry__.queries()[name](spark, sf_small), __spark_entry__.oracle_sql()[name], duck(sf_small))
+    assert res["names_match"] and res["rows_match"] and res["types_match"] and res["exact"], res
