@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import np_round, to_double
@@ -170,6 +170,12 @@ def aggregate_sentiment(df: DataFrame, group_col: str, digits: int = 3) -> DataF
     return out.orderBy(F.col("AVG_COMPOUND").desc(), F.col(group_col))
 
 
+def mismatch(rating: Column, sentiment: Column) -> Column:
+    """I8: class of a listing whose rating and mean sentiment disagree."""
+    return (F.when((rating < 3.5) & (sentiment > 0.3), "LowRating_PosSent")
+            .when((rating >= 4.0) & (sentiment < 0), "HighRating_NegSent").otherwise("Aligned"))
+
+
 def rating_alignment(df: DataFrame) -> DataFrame:
     """I8: per listing first non-null rating (review order), mean sentiment, count, mismatch class."""
     x = df.filter(F.col("PLACE_ID").isNotNull() & F.col("HOTEL_NAME").isNotNull() & F.col("MARKET").isNotNull())
@@ -178,24 +184,52 @@ def rating_alignment(df: DataFrame) -> DataFrame:
         F.min_by(r, F.when(r.isNotNull(), F.col("REVIEW_INDEX"))).alias("GOOGLE_RATING"),
         mean_compound(df).alias("AVG_SENTIMENT"),
         F.count("REVIEW_TEXT").alias("REVIEW_COUNT"))
-    g, s = F.col("GOOGLE_RATING"), F.col("AVG_SENTIMENT")
-    mism = (F.when((g < 3.5) & (s > 0.3), "LowRating_PosSent").when((g >= 4.0) & (s < 0), "HighRating_NegSent")
-            .otherwise("Aligned"))
-    return out.withColumn("MISMATCH", mism)
+    return out.withColumn("MISMATCH", mismatch(F.col("GOOGLE_RATING"), F.col("AVG_SENTIMENT")))
+
+
+def _listing_cells(scored: DataFrame) -> DataFrame:
+    """One row per listing: its mismatch class and its (label, topic) cells with counts and compound sums.
+
+    Shares, drivers and alignment all follow from it, so the texts are scored once. A listing has at most
+    labels x topics cells.
+    """
+    listing = ["PLACE_ID", "HOTEL_NAME", "MARKET"]
+    topic = F.col("PRIMARY_TOPIC") if "PRIMARY_TOPIC" in scored.columns else F.lit(None).cast("string")
+    units = F.col("SENT_UNITS").cast("decimal(28,0)") if "SENT_UNITS" in scored.columns else F.col("VADER_COMPOUND")
+    rated = F.when(F.col("RATING").isNotNull(), F.col("REVIEW_INDEX"))
+    cells = scored.groupBy(*listing, F.col("SENTIMENT_LABEL").alias("label"), topic.alias("topic")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("REVIEW_TEXT").alias("texts"), F.sum(units).cast(_units_type(scored)).alias("units"),
+        F.count(units).alias("scores"), F.min_by("RATING", rated).alias("rating"), F.min(rated).alias("rated"))
+    rows = cells.groupBy(*listing).agg(
+        F.min_by("rating", "rated").alias("GOOGLE_RATING"), _mean_of(scored, "units", "scores").alias("AVG_SENTIMENT"),
+        F.collect_list(F.struct("label", "topic", "n", "texts", "units", "scores")).alias("cells"))
+    named = F.col("PLACE_ID").isNotNull() & F.col("HOTEL_NAME").isNotNull() & F.col("MARKET").isNotNull()
+    return rows.withColumn("MISMATCH", F.when(named, mismatch(F.col("GOOGLE_RATING"), F.col("AVG_SENTIMENT"))))
+
 
+def _units_type(scored: DataFrame) -> str:
+    return "decimal(38,0)" if "SENT_UNITS" in scored.columns else "double"
 
-def label_shares(scored: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
+
+def _mean_of(scored: DataFrame, units: str, scores: str) -> Column:
+    """``mean_compound`` from sums and counts of parts."""
+    scale = F.lit(float(SENT_SCALE)) if "SENT_UNITS" in scored.columns else F.lit(1.0)
+    return F.try_divide(F.sum(units).cast("double"), F.sum(scores).cast("double") * scale)
+
+
+def label_shares(scored: DataFrame, alignment: bool = False) -> DataFrame:
     """Normalised shares of sentiment labels and primary topics (+ mismatch counts per listing)."""
-    parts = [F.struct(F.lit("SENTIMENT_LABEL").alias("KIND"), F.col("SENTIMENT_LABEL").alias("VALUE"))]
-    if "PRIMARY_TOPIC" in scored.columns:
-        parts.append(F.struct(F.lit("PRIMARY_TOPIC").alias("KIND"), F.col("PRIMARY_TOPIC").alias("VALUE")))
-    long = scored.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
-    if aligned is not None:
-        long = long.unionByName(aligned.select(F.lit("MISMATCH").alias("KIND"), F.col("MISMATCH").alias("VALUE")))
-    counts = long.filter(F.col("VALUE").isNotNull()).groupBy("KIND", "VALUE").agg(F.count(F.lit(1)).alias("COUNT"))
-    totals = counts.groupBy("KIND").agg(F.sum("COUNT").alias("_tot"))
-    return counts.join(totals, "KIND").select("KIND", "VALUE", "COUNT",
-                                               (F.col("COUNT") / F.col("_tot") * 100).alias("PCT"))
+    def entry(kind: str, value: Column, n: Column) -> Column:
+        return F.struct(F.lit(kind).alias("KIND"), value.alias("VALUE"), n.cast("bigint").alias("n"))
+
+    parts = F.concat(F.transform("cells", lambda c: entry("SENTIMENT_LABEL", c["label"], c["n"])),
+                     F.transform("cells", lambda c: entry("PRIMARY_TOPIC", c["topic"], c["n"])))
+    if alignment:
+        parts = F.concat(parts, F.array(entry("MISMATCH", F.col("MISMATCH"), F.lit(1))))
+    counts = (_listing_cells(scored).select(F.explode(parts).alias("s")).select("s.*").filter(F.col("VALUE").isNotNull())
+              .groupBy("KIND", "VALUE").agg(F.sum("n").alias("COUNT")))
+    total = F.sum("COUNT").over(Window.partitionBy("KIND"))  # a few labels, topics and classes
+    return counts.select("KIND", "VALUE", "COUNT", (F.col("COUNT") / total * 100).alias("PCT"))
 
 
 def review_qc(reviews: DataFrame) -> DataFrame:
@@ -234,27 +268,43 @@ ACTION_RISK = ("Medium", "Reputation Risk", "%s hotels show high rating but nega
                "Audit listing content and recent complaints; downgrade placement until review quality recovers")
 
 
-def marketing_actions(by_market: DataFrame, drivers: DataFrame, aligned: DataFrame) -> DataFrame:
-    """Three action rows from the market aggregate, topic drivers and the mismatch table."""
-    # best/worst by value with the name as tie-break, as one-row aggregates (no driver round trip)
-    mk = by_market.select(
-        F.struct(F.col("AVG_COMPOUND").alias("a"), F.col("MARKET").alias("m")).alias("s"))
-    mk = mk.agg(F.min(F.struct((-F.col("s.a")).alias("k"), F.col("s.m").alias("m"))).getField("m").alias("top"),
-                F.min(F.struct(F.col("s.a").alias("k"), F.col("s.m").alias("m"))).getField("m").alias("low"))
-    dr = drivers.agg(
-        F.min(F.struct((-F.col("NET_SENTIMENT")).alias("a"), (-F.col("REVIEW_COUNT")).alias("b"),
-                       F.col("PRIMARY_TOPIC").alias("t"))).getField("t").alias("best_t"),
-        F.min(F.struct(F.col("NET_SENTIMENT").alias("a"), (-F.col("REVIEW_COUNT")).alias("b"),
-                       F.col("PRIMARY_TOPIC").alias("t"))).getField("t").alias("worst_t"))
-    risk = aligned.agg(F.count(F.when(F.col("MISMATCH") == "HighRating_NegSent", 1)).alias("high_neg"))
-
-    def row(spec, insight, action, src):
-        return src.select(F.lit(spec[0]).alias("PRIORITY"), F.lit(spec[1]).alias("AREA"),
-                          insight.alias("INSIGHT"), action.alias("ACTION"))
-
-    r1 = row(ACTION_MARKET, F.format_string(ACTION_MARKET[2], "top", "low"),
-             F.format_string(ACTION_MARKET[3], "top", "low"), mk.filter(F.col("top").isNotNull()))
-    r2 = row(ACTION_TOPIC, F.format_string(ACTION_TOPIC[2], "best_t", "worst_t"),
-             F.format_string(ACTION_TOPIC[3], "best_t", "worst_t"), dr.filter(F.col("best_t").isNotNull()))
-    r3 = row(ACTION_RISK, F.format_string(ACTION_RISK[2], F.col("high_neg").cast("string")), F.lit(ACTION_RISK[3]), risk)
-    return r1.unionByName(r2).unionByName(r3)
+def marketing_actions(scored: DataFrame) -> DataFrame:
+    """Three action rows: best and worst market, best and worst topic, listings at risk.
+
+    One plan from the scored reviews to one row: cells per listing, sums per market and topic, their extremes (by
+    value, with the name as tie-break), no driver round trip.
+    """
+    def sums(kind: str, key: Column, c: Column) -> Column:
+        def only(name):
+            return F.when(c["label"] == name, c["n"]).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), c["n"].alias("n"), c["texts"].alias("texts"), c["units"].alias("units"),
+                        c["scores"].alias("scores"), only("Positive").alias("pos"), only("Negative").alias("neg"))
+
+    none = F.struct(F.lit("risk").alias("kind"), F.lit("").alias("key"), (F.col("MISMATCH") == "HighRating_NegSent").cast("bigint").alias("n"),
+                    *[F.lit(0).cast(t).alias(c) for c, t in (("texts", "bigint"), ("units", _units_type(scored)), ("scores", "bigint"),
+                                                             ("pos", "bigint"), ("neg", "bigint"))])
+    parts = F.concat(F.transform("cells", lambda c: sums("market", F.col("MARKET"), c)),
+                     F.transform("cells", lambda c: sums("topic", c["topic"], c)), F.array(none))
+    per_key = (_listing_cells(scored).select(F.explode(parts).alias("s")).select("s.*")
+               .filter((F.col("kind") != "market") | F.col("key").isNotNull()).groupBy("kind", "key").agg(
+                   F.sum("n").alias("n"), F.sum("texts").alias("texts"), _mean_of(scored, "units", "scores").alias("mean"),
+                   F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    market, topic = F.col("kind") == "market", F.col("kind") == "topic"
+    mean, net = np_round("mean", 3), F.try_divide("pos", "n") * 100 - F.try_divide("neg", "n") * 100
+
+    def least(which: Column, *order: Column) -> Column:
+        return F.min(F.when(which, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("key").alias("key"))))["key"]
+
+    ends = per_key.agg(least(market, -mean).alias("top"), least(market, mean).alias("low"),
+                       least(topic, -net, -F.col("texts")).alias("best_t"), least(topic, net, -F.col("texts")).alias("worst_t"),
+                       F.coalesce(F.sum(F.when(F.col("kind") == "risk", F.col("n"))), F.lit(0)).alias("high_neg"))
+
+    def row(spec, insight, action):
+        return F.struct(F.lit(spec[0]).alias("PRIORITY"), F.lit(spec[1]).alias("AREA"), insight.alias("INSIGHT"), action.alias("ACTION"))
+
+    def pair(spec, a, b):
+        return F.when(F.col(a).isNotNull(), row(spec, F.format_string(spec[2], a, b), F.format_string(spec[3], a, b)))
+
+    risk = row(ACTION_RISK, F.format_string(ACTION_RISK[2], F.col("high_neg").cast("string")), F.lit(ACTION_RISK[3]))
+    actions = F.array(pair(ACTION_MARKET, "top", "low"), pair(ACTION_TOPIC, "best_t", "worst_t"), risk)
+    return ends.select(F.explode(F.filter(actions, lambda a: a.isNotNull())).alias("a")).select("a.*")

@@ -70,8 +70,7 @@ def q_rating_alignment(spark, sf):
 
 
 def q_label_shares(spark, sf):
-    s = scored(spark, sf)
-    return tx.label_shares(s, tx.rating_alignment(s))
+    return tx.label_shares(scored(spark, sf), alignment=True)
 
 
 def q_review_qc(spark, sf):
@@ -87,8 +86,7 @@ def q_topic_drivers_top(spark, sf):
 
 
 def q_marketing_actions(spark, sf):
-    s = scored(spark, sf)
-    return tx.marketing_actions(tx.aggregate_sentiment(s, "MARKET"), tx.topic_drivers(s), tx.rating_alignment(s))
+    return tx.marketing_actions(scored(spark, sf))
 
 
 def q_video_engagement(spark, sf):
