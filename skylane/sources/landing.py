@@ -77,8 +77,10 @@ def dedup_first_seen(df: DataFrame, key: str, order_cols: Sequence[str]) -> Data
     would send all its rows to one task).
     """
     others = [c for c in df.columns if c != key and c not in order_cols]
-    x = df.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    first = x.groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in [*order_cols, *others]])).alias("_first"))
+    # rows without a key are dropped after the aggregate: a filter on the key itself would be pushed below it, where a key
+    # parsed from a payload would be parsed again for each comparison
+    first = df.groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in [*order_cols, *others]])).alias("_first"),
+                                F.max(F.col(key).isNotNull() & (F.col(key) != "")).alias("_keyed")).filter("_keyed")
     return first.select(key, *[F.col(f"_first.{c}").alias(c) for c in [*order_cols, *others]])
 
 

@@ -55,3 +55,15 @@ def test_oracle_small(spark, sf_small, name):
 def test_no_cartesian_or_nested_loop_join(spark, sf_small, name):
     plan = _plan(entry_mod.queries()[name](spark, sf_small))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["label_shares", "marketing_actions"])
+def test_review_texts_are_scored_once(spark, sf_small, name):
+    from skylane.plans import text
+    one, plan = (_plan(q(spark, sf_small)) for q in (text.q_sentiment_by_topic, text.QUERIES[name]))
+    assert plan.count("FileScan") <= one.count("FileScan") and plan.count("Generate posexplode") == 1
+
+
+def test_first_seen_key_is_parsed_once(spark, sf_small):
+    from skylane.plans import landing
+    assert _plan(landing.q_dedup_first_seen(spark, sf_small)).count("get_json_object") == 1
