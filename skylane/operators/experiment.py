@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import norm_sf2, to_count, to_double, zcrit
+from ..session import ensure_checkpoint_dir
 from ..sources.io import require_columns
 from .common import fixed_width_histogram
 from .ranking import global_position
 
 MONITOR_NOTE = "Monitoring only; adjust for sequential testing if making stop/go decisions."
-MAX_OUTCOME_VALUES = 100_000  # distinct (arm, outcome) pairs the bootstrap broadcasts
+BLOCK_VALUES, MOST_BLOCKS = 4096, 1024  # distinct outcomes to a bootstrap task, and the most blocks they are dealt to
 
 
 def coerce_outcome(c: Column | str) -> Column:
@@ -269,8 +270,8 @@ def bootstrap_conversion_diff(df: DataFrame, group_col: str = "GROUP", outcome_c
     Outcomes are integers after coercion, so resampling an arm of n rows with
     replacement is exactly a multinomial draw over the arm's value histogram.
     The histogram is an aggregate (one row per distinct outcome value per arm);
-    the ``n_bootstrap`` replicates are rows of ``spark.range`` drawn in parallel
-    by ``mapInPandas``, so the cost does not depend on the number of visitors.
+    blocks of it and slices of the replicates are drawn in parallel by
+    ``applyInPandas``, so the cost does not depend on the number of visitors.
     Returns one row: mean_diff, ci_lower, ci_upper, significant, n_bootstrap.
     """
     replicates = bootstrap_replicates(df, group_col, outcome_col, control_label, treatment_label,
@@ -287,47 +288,50 @@ def bootstrap_conversion_diff(df: DataFrame, group_col: str = "GROUP", outcome_c
 def bootstrap_replicates(df: DataFrame, group_col: str = "GROUP", outcome_col: str = "CONVERTED",
                          control_label: str = "control", treatment_label: str = "treatment",
                          n_bootstrap: int = 10000, seed: int = 42, num_slices: int | None = None) -> DataFrame:
-    """One row per replicate: (rep, diff). Empty arm -> ValueError."""
+    """One row per replicate: (rep, diff). Empty arm -> ValueError.
+
+    The distinct outcomes of an arm lie in blocks. A replicate's draw is split as a multinomial is: first over
+    the blocks' totals (every task draws the same split from the replicate's own seed), then inside each block.
+    So a task holds one block, however many distinct outcomes there are.
+    """
     y = coerce_outcome(outcome_col)
     g = F.col(group_col)
+    ensure_checkpoint_dir(df.sparkSession)
     hist = (df.filter(g.isin(control_label, treatment_label))
               .groupBy(F.when(g == control_label, 0).otherwise(1).alias("arm"), y.alias("v"))
-              .agg(F.count(F.lit(1)).alias("c")))
-    # one row per (arm, distinct integer outcome): 4 rows for conversions. Checked before it is
-    # collected and broadcast to the replicate tasks.
-    hist_rows = hist.limit(MAX_OUTCOME_VALUES + 1).collect()
-    if len(hist_rows) > MAX_OUTCOME_VALUES:
-        raise ValueError(f"outcome has more than {MAX_OUTCOME_VALUES} distinct values; "
-                         "bootstrap_conversion_diff resamples integer outcomes such as conversions")
-    by_arm = {0: ([], []), 1: ([], [])}
-    for r in hist_rows:
-        by_arm[r["arm"]][0].append(float(r["v"]))
-        by_arm[r["arm"]][1].append(int(r["c"]))
-    if not by_arm[0][0] or not by_arm[1][0]:
+              .agg(F.count(F.lit(1)).alias("c"))).checkpoint()
+    distinct = {r["arm"]: r["d"] for r in hist.groupBy("arm").agg(F.count(F.lit(1)).alias("d")).collect()}
+    if len(distinct) < 2:
         raise ValueError("Control or treatment group is empty.")
-    spark = df.sparkSession
-    params = spark.sparkContext.broadcast({a: (np.array(v), np.array(c)) for a, (v, c) in by_arm.items()})
-    slices = num_slices or max(1, min(64, n_bootstrap // 500))
-
-    def draw(it):
+    blocks = min(MOST_BLOCKS, -(-max(distinct.values()) // BLOCK_VALUES))
+    slices = max(1, (num_slices or max(1, min(64, n_bootstrap // 500))) // blocks)
+    hist = hist.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    totals = np.zeros((2, blocks), dtype=np.int64)
+    for r in hist.groupBy("arm", "block").agg(F.sum("c").alias("n")).collect():  # at most 2 x MOST_BLOCKS rows
+        totals[r["arm"], r["block"]] = r["n"]
+    sizes = totals.sum(axis=1)
+
+    def draw(key, part):  # self-contained: runs in Python workers without this package installed
+        import numpy as np
         import pandas as pd
-        h = params.value
-        for pdf in it:
-            ids = pdf["rep"].to_numpy()
-            out = np.empty(len(ids))
-            for i, rep in enumerate(ids):
-                rng = np.random.default_rng([seed, int(rep)])
-                means = []
-                for arm in (0, 1):
-                    vals, cnts = h[arm]
-                    n = int(cnts.sum())
-                    k = rng.multinomial(n, cnts / n)
-                    means.append(float(np.dot(k, vals)) / n)
-                out[i] = means[1] - means[0]
-            yield pd.DataFrame({"rep": ids, "diff": out})
-
-    return spark.range(0, n_bootstrap, numPartitions=slices).withColumnRenamed("id", "rep") \
-        .mapInPandas(draw, "rep long, diff double")
+        arm, block, first = (int(x) for x in key)
+        part = part.sort_values("v")
+        vals, cnts = part["v"].to_numpy(dtype=float), part["c"].to_numpy()
+        reps = np.arange(first, n_bootstrap, slices)
+        out = np.empty(len(reps))
+        for i, rep in enumerate(reps):
+            here = np.random.default_rng([seed, int(rep), arm]).multinomial(sizes[arm], totals[arm] / sizes[arm])[block]
+            inside = np.random.default_rng([seed, int(rep), arm, block + 1]).multinomial(here, cnts / cnts.sum())
+            out[i] = float(np.dot(inside, vals))
+        return pd.DataFrame({"rep": reps, "arm": arm, "total": out})
+
+    keys = ["arm", "block", "slice"]
+    dealt = hist.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).repartition(2 * blocks * slices, *keys)
+    drawn = dealt.groupBy(*keys).applyInPandas(draw, "rep long, arm int, total double")
+
+    def mean(arm):  # whole numbers: their sum does not depend on the order
+        return F.sum(F.when(F.col("arm") == arm, F.col("total"))) / F.lit(float(sizes[arm]))
+    return drawn.groupBy("rep").agg((mean(1) - mean(0)).alias("diff"))
 
 
 def histogram(df: DataFrame, value_col: str, bins: int = 80, keys: Sequence[str] = ()) -> DataFrame:

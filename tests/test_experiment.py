@@ -145,3 +145,20 @@ def test_sequential_without_tie_column_is_layout_independent(spark):
                                "id long, t string, GROUP string, CONVERTED int")
     got = [sorted(map(tuple, ab.sequential_monitoring(df.repartition(n), "t").collect())) for n in (2, 7)]
     assert got[0] == got[1]
+
+
+def test_bootstrap_of_many_distinct_outcomes(spark):
+    """Outcomes in several blocks: the replicates' mean and spread are those of resampling."""
+    import numpy as np
+    n = 12_000
+    df = spark.range(n).selectExpr("if(id % 2 = 0, 'control', 'treatment') as GROUP", "cast(id * 7 % 20011 as int) as CONVERTED")
+    rows = df.toPandas()
+    c, t = (rows.loc[rows["GROUP"] == a, "CONVERTED"].to_numpy() for a in ("control", "treatment"))
+    assert len(set(c)) > ab.BLOCK_VALUES
+    reps = ab.bootstrap_replicates(df, n_bootstrap=400, seed=3).toPandas()
+    assert sorted(reps["rep"]) == list(range(400))
+    se = float(np.sqrt(c.var() / len(c) + t.var() / len(t)))
+    assert abs(reps["diff"].mean() - (t.mean() - c.mean())) < 4 * se / 20
+    assert 0.8 * se < reps["diff"].std() < 1.2 * se
+    again = ab.bootstrap_replicates(df.repartition(5), n_bootstrap=400, seed=3).toPandas()
+    assert again.sort_values("rep")["diff"].tolist() == reps.sort_values("rep")["diff"].tolist()
