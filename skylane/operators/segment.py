@@ -149,9 +149,10 @@ ROW_ID = "_row_id"
 
 
 def _fit_frame(x: DataFrame, cols: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Cache the clustering coordinates with a row id that is the same in every layout."""
+    """Cache the clustering coordinates, dealt evenly by a row id that is the same in every layout."""
     key = ["TRAVELER_ID"] if "TRAVELER_ID" in x.columns else list(features)
-    return x.select(F.xxhash64(*key).alias(ROW_ID), *cols).cache()
+    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return x.select(F.xxhash64(*key).alias(ROW_ID), *cols).repartition(parts, ROW_ID).cache()
 
 
 def run_kmeans(df: DataFrame, k: int = 4, features: Sequence[str] = FEATURES, seed: int = 42, use_pca: bool = True,
