@@ -31,7 +31,7 @@ BOOKABLE_MIN_RATINGS = 10
 BOOKABLE_STATUSES = ("OPERATIONAL", "")
 ENRICHED_COLUMNS = ("PRICE_TIER", "RATING_TIER", "VISIBILITY_SCORE", "IS_BOOKABLE")
 # Trust quadrant labels.
-Q_STAR, Q_HIDDEN, Q_RISKY, Q_LOW = "Star Performer", "Hidden Gem", "Known but Risky", "Low Signal"
+Q_STAR, Q_HIDDEN, Q_RISKY, Q_LOW = "⭐ Star Performer", "🔍 Hidden Gem", "⚠️ Known but Risky", "❌ Low Signal"
 
 
 def mean_on_grid(c: Column | str, decimals: int = 1) -> Column:

@@ -134,9 +134,9 @@ def _grid_mean(c, d=1):
 
 
 _TQ = """tq as (select hp.*, case
-  when RATING >= rm and TOTAL_RATINGS >= vm then 'Star Performer'
-  when RATING >= rm and TOTAL_RATINGS < vm then 'Hidden Gem'
-  when RATING < rm and TOTAL_RATINGS >= vm then 'Known but Risky' else 'Low Signal' end as TRUST_QUADRANT
+  when RATING >= rm and TOTAL_RATINGS >= vm then '⭐ Star Performer'
+  when RATING >= rm and TOTAL_RATINGS < vm then '🔍 Hidden Gem'
+  when RATING < rm and TOTAL_RATINGS >= vm then '⚠️ Known but Risky' else '❌ Low Signal' end as TRUST_QUADRANT
   from hp left join (select MARKET, median(RATING) as rm, median(TOTAL_RATINGS) as vm from hp
                      where MARKET is not null group by MARKET) md on md.MARKET = hp.MARKET)"""
 

@@ -32,7 +32,7 @@ def test_trust_quadrant_missing_rating_is_low_signal(spark):
     rows = [(1, "A", 4.0, 10, 1.0, 0, ""), (2, "A", 5.0, 30, 1.0, 0, ""), (3, "A", None, 50, 1.0, 0, ""),
             (4, "A", 3.0, 5, 1.0, 0, "")]
     out = {r["PLACE_ID"]: r["TRUST_QUADRANT"] for r in ls.trust_quadrant(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert out == {1: "Hidden Gem", 2: "Star Performer", 3: "Low Signal", 4: "Low Signal"}
+    assert out == {1: "🔍 Hidden Gem", 2: "⭐ Star Performer", 3: "❌ Low Signal", 4: "❌ Low Signal"}
 
 
 def test_funnel_zero_stage_dropoff_is_missing(spark):
