@@ -92,7 +92,11 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value_col: str, group_col:
     spark = df.sparkSession
     nb = buckets or max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     per_group = df.groupBy(*keys, value_col, group_col).agg(F.count(F.lit(1)).alias("cnt"))
-    per_value = per_group.groupBy(*keys, value_col).agg(F.sum("cnt").alias("t"))
+    # a value carries its groups' counts along (one entry per group), so nothing is joined back to them
+    per_value = per_group.groupBy(*keys, value_col).agg(
+        F.sum("cnt").alias("t"), F.collect_list(F.struct(F.col(group_col).alias("g"), "cnt")).alias("_groups"))
+    ensure_checkpoint_dir(spark)
+    per_value = per_value.checkpoint()  # read for the bounds, the bucket totals and the ranks
     if nb > 1:
         probs = [i / nb for i in range(1, nb)]
         bounds = per_value.groupBy(*keys).agg(F.percentile_approx(value_col, probs).alias("_bounds"))
@@ -100,7 +104,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value_col: str, group_col:
         per_value = per_value.withColumn("_b", bucket_of("_bounds", value_col, nb - 1)).drop("_bounds")
     else:
         per_value = per_value.withColumn("_b", F.lit(0))
-    totals = per_value.groupBy(*keys, "_b").agg(F.sum("t").alias("_bt"))
+    totals = per_value.groupBy(*keys, "_b").agg(F.sum("t").alias("_bt"))  # at most ``buckets`` rows per key
     wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_boff", F.coalesce(F.sum("_bt").over(wk), F.lit(0))).drop("_bt")
     wv = Window.partitionBy(*keys, "_b").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
@@ -108,7 +112,8 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value_col: str, group_col:
               .withColumn("_before", F.col("_boff") + F.coalesce(F.sum("t").over(wv), F.lit(0)))
               .withColumn("rank", F.col("_before") + (F.col("t") + 1) / F.lit(2.0))
               .drop("_before", "_boff", "_b"))
-    return per_group.join(ranked, [*keys, value_col])
+    return (ranked.withColumn("_g", F.explode("_groups"))
+            .select(*keys, value_col, F.col("_g.g").alias(group_col), F.col("_g.cnt").alias("cnt"), "t", "rank"))
 
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], value_col: str, q: float = 0.5,

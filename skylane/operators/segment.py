@@ -387,15 +387,16 @@ def kruskal_wallis(df: DataFrame, metrics: Sequence[str] = KW_METRICS, label_col
         F.struct(F.lit(m).alias("METRIC"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("s")) \
         .select(label_col, "s.METRIC", "s.v").filter(F.col("v").isNotNull())
     r = average_ranks(long, ["METRIC"], "v", label_col)
+    t = F.col("t").cast("double")
     per_group = r.groupBy("METRIC", label_col).agg(F.sum("cnt").alias("n_c"),
-                                                    F.sum(F.col("cnt") * F.col("rank")).alias("R_c"))
-    ties = r.groupBy("METRIC", "v").agg(F.max("t").cast("double").alias("t")) \
-            .groupBy("METRIC").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie_sum"))
+                                                    F.sum(F.col("cnt") * F.col("rank")).alias("R_c"),
+                                                    # the counts at a value add up to t: in all t^3 - t for each value
+                                                    F.sum(F.col("cnt") * (t * t - 1)).alias("tie_part"))
     all_groups = df.select(label_col).distinct().agg(F.count(F.lit(1)).alias("n_groups"))
     h = per_group.groupBy("METRIC").agg(F.sum("n_c").cast("double").alias("N"),
                                         F.sum(F.col("R_c") * F.col("R_c") / F.col("n_c")).alias("sr"),
-                                        F.min("n_c").alias("min_n"), F.count(F.lit(1)).alias("k"))
-    h = h.join(ties, "METRIC")
+                                        F.min("n_c").alias("min_n"), F.count(F.lit(1)).alias("k"),
+                                        F.sum("tie_part").alias("tie_sum"))
     h = attach(h, all_groups)
     n = F.col("N")
     raw = F.lit(12.0) / (n * (n + 1)) * F.col("sr") - 3 * (n + 1)
