@@ -7,8 +7,9 @@ gradients. Forward-backward marginals of every token of a text add up to the doc
 tokens, its rate and the highest marginal enter a logistic calibration that is fitted on out-of-fold marginals. Spans
 are the tokens with a marginal of a half or more.
 
-Only the fit uses a sample, bounded by TOXIC_DOCS + CLEAN_DOCS labelled documents, of which EXCERPT characters are read;
-every document is scored whole. Labels are read from the rows the caller gives, and nothing but the text is an input of a score.
+Only the fit uses a sample: at most TOXIC_DOCS + CLEAN_DOCS labelled documents of at most LONGEST characters each and
+SAMPLE_CHARS together, read whole. Every document is scored whole. Labels are read from the rows the caller gives, and
+nothing but the text is an input of a score.
 
 Results in special cases: null and empty texts have no tokens and score as such; with no toxic (or no clean) label the score
 is the smoothed share of toxic labels for all; labels that name no document are ignored, of several labels for one
@@ -25,19 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from .common import batch_bytes, fresh
 
-TOXIC_DOCS, CLEAN_DOCS, EXCERPT = 1000, 1500, 6000
+#: Bounds of the sample that the model is fitted on: documents of each label, characters of one document and of all.
+TOXIC_DOCS, CLEAN_DOCS, LONGEST, SAMPLE_CHARS = 1000, 1500, 60_000, 8_000_000
 #: Parts of the sample whose marginals come from a chain trained on the other parts.
 PARTS = 4
 SEGMENT = 400
 FEATURES = 1 << 18
 STEPS, RATE, RIDGE = 30, 0.3, 1.5
 SEED = 2
+#: How many times more frequent a toxic word is in toxic documents than in clean ones.
+CONTRAST = 12
 
 _TOKEN = re.compile(r"\w+")
 
@@ -150,7 +154,7 @@ def token_labels(docs: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
 
     def is_toxic(word: str) -> bool:
         if word not in cut:
-            cut[word] = any(support[b] >= least and (rate[1][b] + 0.1) / total[1] > 6 * (rate[0][b] + 0.5) / total[0] for b in _beginnings(word))
+            cut[word] = any(support[b] >= least and (rate[1][b] + 0.1) / total[1] > CONTRAST * (rate[0][b] + 0.5) / total[0] for b in _beginnings(word))
         return cut[word]
     return [np.array([y and is_toxic(w) for w in words], dtype=float) for words, y in zip(docs, toxic)]
 
@@ -248,17 +252,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), m
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS,
+        longest: int = LONGEST, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit on a bounded sample, in the order of a hash of the id, of the labelled documents. labels: doc_id, toxic."""
-    own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {int(r["toxic"] > 0): r["count"] for r in own.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
+    named = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    size = F.length(F.coalesce(text, F.lit("")))
+    own = named.join(docs.where(size <= longest).select("doc_id"), "doc_id", "left_semi")
+    counts = {int(r["toxic"]): r["count"] for r in own.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     order = F.xxhash64(F.lit(SEED), "doc_id")
     picked = (own.where("toxic > 0").orderBy(order, "doc_id").limit(toxic_docs)
               .unionByName(own.where("toxic <= 0").orderBy(order, "doc_id").limit(clean_docs)))
-    # at most toxic_docs + clean_docs rows
-    rows = (docs.select("doc_id", F.substring(F.coalesce(text, F.lit("")), 1, EXCERPT).alias("text"))
-            .join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-            .orderBy(order, "doc_id").limit(toxic_docs + clean_docs).collect())
+    # at most toxic_docs + clean_docs rows of at most ``longest`` characters, of which ``sample_chars`` come to the driver
+    rows = (docs.where(size <= longest).select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
+            .join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
+    upto = F.sum(F.length("text")).over(Window.orderBy(order, "doc_id"))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= sample_chars).orderBy("upto", order, "doc_id").collect()
     return Model([(r["text"], int(r["toxic"] > 0)) for r in rows], counts.get(1, 0), counts.get(0, 0))
 
 
