@@ -13,7 +13,7 @@ from skylane.session import ensure_checkpoint_dir
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
-#: Most rows a table may have to be sent to every executor; larger ones are joined by a shuffle.
+#: Most rows (or values, where rows hold arrays) a table may have to be sent to every executor; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 

@@ -167,7 +167,8 @@ def identify(rows: DataFrame, model: TextModel, is_html: str | None = None) -> D
     total = domains.agg(*[F.sum(f"d{i}").alias(f"d{i}") for i in range(len(langs))]).first()
     whole = [(x or 0.0) + 1.0 for x in total]
     world = [x / sum(whole) for x in whole]
-    with_domain = hosts.join(small(domains), hosts["domain"].eqNullSafe(domains["domain"])).drop(domains["domain"])
+    # a row holds a number per language (a prior two), so these are counted, not the rows
+    with_domain = hosts.join(small(domains, domains.count() * len(langs)), hosts["domain"].eqNullSafe(domains["domain"])).drop(domains["domain"])
 
     def smoothed(own: list[Column], towards: list[Column], weight: float) -> list[Column]:
         n = sum(own[1:], own[0])
@@ -175,7 +176,7 @@ def identify(rows: DataFrame, model: TextModel, is_html: str | None = None) -> D
     of_domain = smoothed([F.greatest(F.col(f"d{i}") - F.col(f"h{i}"), F.lit(0.0)) for i in range(len(langs))], [F.lit(w) for w in world], DOMAIN_WEIGHT)
     priors = stored(with_domain.select(F.col("host").alias("p_host"), F.col("domain").alias("p_domain"), F.array(*[f"h{i}" for i in range(len(langs))]).alias("of_host"),
                                        F.array(*of_domain).alias("of_domain")), "priors")
-    j = s.join(small(priors), F.col("host").eqNullSafe(F.col("p_host")) & F.col("domain").eqNullSafe(F.col("p_domain")))
+    j = s.join(small(priors, priors.count() * 2 * len(langs)), F.col("host").eqNullSafe(F.col("p_host")) & F.col("domain").eqNullSafe(F.col("p_domain")))
     others = [F.greatest(F.get("of_host", F.lit(i)) - F.get("p", F.lit(i)), F.lit(0.0)) for i in range(len(langs))]
     prior = smoothed(others, [F.get("of_domain", F.lit(i)) for i in range(len(langs))], HOST_WEIGHT)
 

@@ -84,7 +84,9 @@ def with_quality(docs: DataFrame, text: str = "text", host: str = "source", pref
     p = prefix
     t = F.coalesce(F.col(text), F.lit(""))
     base = docs.withColumns({f"{p}host": _host(F.col(host)), f"{p}words": words(t), f"{p}all_lines": F.split(t, "\n")})
-    joined = base.join(small(frequent.withColumnsRenamed({"host": f"{p}host", "frequent": f"{p}frequent"})), f"{p}host", "left")
+    # a host's row holds all its frequent lines, so the hashes are counted, not the rows
+    hashes = frequent.agg(F.sum(F.size("frequent") + 1)).first()[0] or 0
+    joined = base.join(small(frequent.withColumnsRenamed({"host": f"{p}host", "frequent": f"{p}frequent"}), hashes), f"{p}host", "left")
     known = F.col(f"{p}frequent")
 
     def removed(s: Column) -> Column:
