@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import batch_bytes, fresh
 
 #: Bounds of the sample that the model is fitted on: documents of each label, characters of one document and of all.
-TOXIC_DOCS, CLEAN_DOCS, LONGEST, SAMPLE_CHARS = 1000, 1500, 60_000, 8_000_000
+TOXIC_DOCS, CLEAN_DOCS, LONGEST, SAMPLE_CHARS = 1000, 1500, 60_000, 4_000_000
 #: Parts of the sample whose marginals come from a chain trained on the other parts.
 PARTS = 4
 SEGMENT = 400
@@ -226,7 +226,8 @@ class Model:
     """A chain and the calibration of its document sums."""
 
     def __init__(self, sample: list[tuple[str, int]], n_toxic: int, n_clean: int):
-        docs, toxic = [tokens(t) for t, _ in sample], [y for _, y in sample]
+        seen: dict[str, str] = {}  # one string per distinct word
+        docs, toxic = [[seen.setdefault(w, w) for w in tokens(t)] for t, _ in sample], [y for _, y in sample]
         self.share = (n_toxic + 1) / (n_toxic + n_clean + 2)
         self.chain = None
         if 0 < sum(toxic) < len(toxic):
