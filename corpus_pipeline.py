@@ -16,7 +16,7 @@ from skylane.session import prepare
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return op06_quality.keep_good(docs)
+    return op06_quality.keep_good(docs, line_share=0)  # a count alone: lines shared by many stay in no host, however large
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

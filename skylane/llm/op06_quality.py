@@ -13,16 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, let, small, stored, words
+from .common import BROADCAST_ROWS, SPACES, fresh, let, small, stored, words
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]+"
 
-#: A line is boilerplate if more documents of its host than both limits carry it.
+#: A line is boilerplate if more documents of its host than both limits carry it. The share is the rule of the op6 query (and of its
+#: SQL); with a share of 0 the count alone decides, whatever the size of the host.
 LINE_DOCS = 20
 LINE_SHARE = 0.1
+#: Up to so many frequent lines a host, each host's lines are sent to its documents as an array; beyond, lines are joined.
+HOST_LINES = 500
 #: A document is depleted if boilerplate was removed and less than this share of its words, or than MIN_WORDS, remains.
 KEEP_SHARE = 0.3
 
@@ -62,31 +65,48 @@ def _repeat_words(word_array: Column) -> Column:
     return let(windows, lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0)).otherwise(covered(x)))
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", line_docs: int = LINE_DOCS,
-                   line_share: float = LINE_SHARE) -> DataFrame:
-    """(host, lines): per host the hashes of the lines above both limits.
-
-    At most (lines of an average document / line_share) hashes per host, whatever the number of documents.
-    """
+def distinct_lines(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """(host, copy, lines): the distinct line hashes of each distinct text of a host; a stored table."""
     by_doc = docs.select(_host(F.col(host)).alias("host"), F.xxhash64(text).alias("copy"),
                          F.array_distinct(F.transform(_lines(F.col(text)), line_hash)).alias("lines"))
-    distinct = stored(by_doc.dropDuplicates(["host", "copy"]), "lines")
-    docs_of = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    return stored(by_doc.dropDuplicates(["host", "copy"]), "lines")
+
+
+def frequent_lines(distinct: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """(host, line): the hashes of the lines above both limits, of the distinct lines of each text."""
     counts = (distinct.select("host", F.explode("lines").alias("line")).groupBy("host", "line")
               .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs))
-    return (counts.join(docs_of, "host").where(F.col("n") > F.lit(line_share) * F.col("host_docs"))
-            .groupBy("host").agg(F.collect_list("line").alias("frequent")))
+    if line_share > 0:
+        docs_of = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+        counts = counts.join(docs_of, "host").where(F.col("n") > F.lit(line_share) * F.col("host_docs"))
+    return counts.select("host", "line")
+
+
+def _frequent_of(docs: DataFrame, text: str, host: str, **limits) -> tuple[DataFrame, list[str]]:
+    """Arrays of frequent line hashes (column ``frequent``) and the columns that they belong to.
+
+    By host while no host has more than HOST_LINES of them; else by distinct text (host, copy), each with the frequent lines it carries, so that
+    no array outgrows a document.
+    """
+    distinct = distinct_lines(docs, text, host)
+    frequent = stored(frequent_lines(distinct, **limits), "frequent")
+    n, widest = frequent.groupBy("host").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    if n <= BROADCAST_ROWS and widest <= HOST_LINES:
+        return F.broadcast(frequent.groupBy("host").agg(F.collect_list("line").alias("frequent"))), ["host"]
+    carried = (distinct.select("host", "copy", F.explode("lines").alias("line")).join(small(frequent, n), ["host", "line"])
+               .groupBy("host", "copy").agg(F.collect_list("line").alias("frequent")))
+    carried = stored(carried, "carried")
+    # a row holds an array, so the hashes are counted, not the rows
+    return small(carried, carried.agg(F.coalesce(F.sum(F.size("frequent") + 1), F.lit(0))).first()[0]), ["host", "copy"]
 
 
 def with_quality(docs: DataFrame, text: str = "text", host: str = "source", prefix: str = "q_", **limits) -> DataFrame:
     """``docs`` with the base counts, the verdict ``<prefix>kept`` and ``<prefix>clean_text`` (frequent lines removed)."""
-    frequent = stored(frequent_lines(docs, text, host, **limits), "frequent")
+    frequent, keys = _frequent_of(docs, text, host, **limits)
     p = prefix
     t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumns({f"{p}host": _host(F.col(host)), f"{p}words": words(t), f"{p}all_lines": F.split(t, "\n")})
-    # a host's row holds all its frequent lines, so the hashes are counted, not the rows
-    hashes = frequent.agg(F.sum(F.size("frequent") + 1)).first()[0] or 0
-    joined = base.join(small(frequent.withColumnsRenamed({"host": f"{p}host", "frequent": f"{p}frequent"}), hashes), f"{p}host", "left")
+    base = docs.withColumns({f"{p}host": _host(F.col(host)), f"{p}copy": F.xxhash64(text), f"{p}words": words(t), f"{p}all_lines": F.split(t, "\n")})
+    joined = base.join(frequent.withColumnsRenamed({c: f"{p}{c}" for c in frequent.columns}), [f"{p}{c}" for c in keys], "left")
     known = F.col(f"{p}frequent")
 
     def removed(s: Column) -> Column:
@@ -110,7 +130,7 @@ def with_quality(docs: DataFrame, text: str = "text", host: str = "source", pref
     failed = (F.col(f"{p}n_words") < MIN_WORDS) | (
         100 * F.col(f"{p}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{p}n_words"))
     return out.withColumns({f"{p}base_failed": failed, f"{p}kept": ~failed & ~depleted}).drop(
-        f"{p}host", f"{p}words", f"{p}all_lines", f"{p}frequent", f"{p}removed")
+        f"{p}host", f"{p}copy", f"{p}words", f"{p}all_lines", f"{p}frequent", f"{p}removed")
 
 
 def quality(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -224,6 +225,25 @@ def test_quality(docs, empty):
     assert op06_quality.quality(empty).count() == 0
 
 
+@pytest.mark.parametrize("host_lines", [500, 0])
+def test_quality_count_alone_in_a_large_host(spark, sf_small, monkeypatch, host_lines):
+    monkeypatch.setattr(op06_quality, "HOST_LINES", host_lines, raising=False)
+    if not host_lines:
+        monkeypatch.setattr(op06_quality, "BROADCAST_ROWS", 0, raising=False)
+        monkeypatch.setattr("skylane.llm.common.BROADCAST_ROWS", 0)
+    line = "A line that many documents of one large host share"
+    data = [(i, (f"{line} {i % 10}\n" if i < 30 else "") + X.words(30, 3000 + i), "en", "big", 1) for i in range(400)]
+    data += [(400, line + " 1\n" + X.words(2, 1), "en", "big", 1), (401, line + " 1", "en", "other", 1), (401, line + " 1", "en", None, 1), (402, None, "en", None, 1)]
+    data += [data[400]] * 3
+    docs = spark.createDataFrame(data, X.DOCS)
+    removed = {(r["doc_id"], r["removed_words"]) for r in op06_quality.quality(docs, line_share=0).collect()}
+    assert removed == {(i, 11 if i < 30 or i == 400 else 0) for i in range(403)}
+    stage = dict(corpus_pipeline.STAGES)["quality"](spark, docs, sf_small).collect()
+    assert sorted(r["doc_id"] for r in stage) == [*range(400), 401, 401]
+    assert not any(line in r["text"] for r in stage if r["source"] == "big")
+    assert X.by_repr(map(tuple, op06_quality.quality(X.frame(spark)).collect())) == X.by_repr(quality_want(X.rows()))
+
+
 def water(sizes):
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
