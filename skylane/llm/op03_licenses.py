@@ -1,8 +1,8 @@
-"""Licence scans: a positional index of rare template words.
+"""Licence scans: a positional index of the template words.
 
 The words of all licence templates form a small vocabulary; its document frequencies are counted over the whole corpus. A
-file's licence words are ranked by IDF, the rarest RARE distinct ones are looked up in the templates' postings, and
-every hit votes for a template and a relative position (place in the file minus place in the template). Hits that agree
+template is open for a file that holds all words of its mandatory phrases; each of its words in the file is looked up,
+and every hit votes for a relative position (place in the file minus place in the template), weighted by IDF. Hits that agree
 on the position, within SLACK words, are intersected; a template whose aligned words carry enough of its IDF mass is a
 candidate, and counts if each of its mandatory phrases stands, word by word, inside the aligned passage.
 
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import batch_bytes
 
-RARE = 48
 SLACK = 4
 COVER = 0.6
 
@@ -101,11 +100,9 @@ class Index:
             if found:
                 base.add(label)
         labels, score = set(base), 1.0 if base else 0.0
-        open_ = [i for i, need in enumerate(self.needed) if need <= at.keys()]
-        if open_:
-            rare = set(sorted({w for i in open_ for w in self.templates[i][1]} & at.keys(), key=lambda n: (-self.idf[n], n))[:RARE])
-            for i in open_:
-                cover = self._aligned(i, rare, at, sets)
+        for i, need in enumerate(self.needed):
+            if need <= at.keys():
+                cover = self._aligned(i, at, sets)
                 if cover >= COVER:
                     labels.add(self.templates[i][0])
                     score = max(score, cover)
@@ -118,11 +115,11 @@ class Index:
         return [p for p in at[phrase[0]] if low <= p and p + len(phrase) - 1 <= high
                 and all(p + k in sets[n] for k, n in enumerate(phrase))]
 
-    def _aligned(self, i: int, rare: set[int], at, sets) -> float:
+    def _aligned(self, i: int, at, sets) -> float:
         """The largest share of template i's IDF mass at one relative position that holds the mandatory phrases."""
         _, template, phrases = self.templates[i]
         mass = sum(self.idf[n] for n in template)
-        votes = sorted((p - q, q, n) for q, n in enumerate(template) if n in rare for p in at[n])
+        votes = sorted((p - q, q, n) for q, n in enumerate(template) for p in at.get(n, ()))
         best, first, held = 0.0, 0, Counter()
         weight = 0.0
         for k, (offset, q, n) in enumerate(votes):

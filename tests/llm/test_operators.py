@@ -128,6 +128,24 @@ def test_license_templates_need_position_and_phrases():
     assert not index.scan(op03_licenses.file_words(grant.replace("hereby granted", "not granted")))[2]
 
 
+def test_license_file_with_many_licenses():
+    grants = [(label, t) for label, t, _ in op03_licenses.TEMPLATES if len(t) > 70]
+    text = ("\n" + "x y z " * 20).join(t for _, t in grants)
+    # the more files hold a word, the less it weighs; equal weights as well
+    for seen in ({}, {n: 7 * n % 900 for n in range(200)}):
+        index = op03_licenses.Index().weigh(seen, 1000)
+        _, _, labels, score = index.scan(op03_licenses.file_words(text))
+        assert labels == {label for label, _ in grants} and score > 0.99
+        for i, (label, t, _) in enumerate(op03_licenses.TEMPLATES):
+            if (label, t) in grants:
+                w = op03_licenses.file_words(text)
+                at = {}
+                for place, word in enumerate(w):
+                    if word in index.number:
+                        at.setdefault(index.number[word], []).append(place)
+                assert index._aligned(i, at, {n: set(p) for n, p in at.items()}) > 0.99, label
+
+
 def best_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:
