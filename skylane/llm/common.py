@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,15 @@ def fresh(df: DataFrame, prefix: str) -> str:
     while any(c.lower().startswith(prefix.lower()) for c in df.columns):
         prefix += "_"
     return prefix
+
+
+def together(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to ``most`` at most; a larger one is a range of its own."""
+    a, n = 0, 0
+    for z, size in enumerate(sizes):
+        if z > a and n + size > most:
+            yield a, z
+            a, n = z, 0
+        n += size
+    if a < len(sizes):
+        yield a, len(sizes)

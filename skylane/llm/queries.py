@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (op01_langid, op02_toxicity, op03_licenses, op04_sharding, op05_chat, op06_quality, op07_mixing, op08_search,
-               op09_jaccard)
+               op09_jaccard, op11_classifier, op12_runs, op13_importance)
 from . import op10_packing as packing
 from .common import table
 from .oracle import ORACLE
@@ -56,7 +56,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_classifier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_runs.runs(table(spark, sf_dir, "documents"), change=op12_runs.planted)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_importance.weighed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_langid, op2_toxicity, op3_licenses, op4_sharding, op5_chat, op6_quality, op7_mixing, op8_search,
-                                   op9_jaccard, op10_packing)}
+                                   op9_jaccard, op10_packing, op11_classifier_quality, op12_periodic_runs,
+                                   op13_importance_resampling)}
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -11,7 +11,8 @@ import __spark_entry__
 def test_registered():
     names = __spark_entry__.queries()
     assert [n for n in names if n.startswith("op")] == [
-        "op1_langid", "op2_toxicity", "op3_licenses", "op4_sharding", "op5_chat", "op6_quality", "op7_mixing", "op8_search", "op9_jaccard", "op10_packing"]
+        "op1_langid", "op2_toxicity", "op3_licenses", "op4_sharding", "op5_chat", "op6_quality", "op7_mixing", "op8_search", "op9_jaccard", "op10_packing",
+        "op11_classifier_quality", "op12_periodic_runs", "op13_importance_resampling"]
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
