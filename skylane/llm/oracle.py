@@ -83,4 +83,46 @@ from d left join sizes on sizes.r = d.r join reach on reach.r = d.r join d e on
 group by d.r, d.doc_id, sizes.n
 """
 
-ORACLE = {"op5_chat": OP5, "op6_quality": OP6, "op8_search": OP8, "op9_jaccard": OP9}
+#: CRC-32 as sums (xor) of what each byte adds at its distance from the end, from a table that SQL builds.
+OP13 = r"""
+with recursive bits as (
+  select b, b::bigint as c, 0 as k from range(256) r(b)
+  union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8
+), step as (select b, c from bits where k = 8),
+texts as (
+  select row_number() over () as row, doc_id, true as own, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all select -row_number() over (), null, false, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+), placed as (select row, doc_id, own, coalesce(w, []) as w from texts),
+spans as (
+  select row, own, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from placed
+), counted as (select row, own, f, count(*) as n from spans group by all),
+feature as (select f, hex(encode(f)) as h, octet_length(encode(f)) as size from (select distinct f from counted)),
+part as (
+  select 0 as k, b, c from step
+  union all select k + 1, part.b, xor(part.c >> 8, step.c) from part join step on step.b = part.c & 255 where k < (select max(size) from feature)
+), start as (
+  select 0 as k, 4294967295 as z
+  union all select k + 1, xor(z >> 8, step.c) from start join step on step.b = z & 255 where k < (select max(size) from feature)
+), byte as (select f, size, unnest(range(size)) as i, h from feature),
+crc as (
+  select f, size, bit_xor(part.c) as x from byte join part on part.k = size - 1 - i and part.b = ('0x' || substr(h, 2 * i + 1, 2))::int group by f, size
+), bucket as (select f, xor(xor(x, z), 4294967295) % 10000 as b from crc join start on k = size),
+held as (select row, own, b, sum(n)::bigint as n from counted join bucket using (f) group by all),
+total as (select b, coalesce(sum(n) filter (own), 0)::double as s, coalesce(sum(n) filter (not own), 0)::double as t from held group by b),
+whole as (select sum(s) as s, sum(t) as t from total),
+gain as (select b, floor(1000 * ln((total.t + 1) * (whole.s + 10000) / ((total.s + 1) * (whole.t + 10000))))::bigint as g from total, whole),
+weight as (select row, sum(n)::bigint as n, floor(sum(n * g)::double / sum(n))::bigint as weight from held join gain using (b) where own group by row),
+scored as (
+  select doc_id, coalesce(n, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight, len(w)::bigint as n_words, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+  from placed left join weight using (row) where own
+), able as (
+  select *, row_number() over (order by score desc, doc_id nulls last, n_features, weight, n_words) as place, count(*) over () as of from scored where n_words >= 20
+)
+select doc_id, n_features, weight, score, case when place <= 25 * of // 100 then place end as rank, n_words from able
+union all select doc_id, n_features, weight, score, null, n_words from scored where n_words < 20
+"""
+
+ORACLE = {"op5_chat": OP5, "op6_quality": OP6, "op8_search": OP8, "op9_jaccard": OP9, "op13_importance_resampling": OP13}

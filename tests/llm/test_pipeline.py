@@ -43,7 +43,7 @@ def test_stages(spark, sf_small):
         before = after
 
 
-@pytest.mark.parametrize("name", ["op5_chat", "op6_quality", "op8_search", "op9_jaccard"])
+@pytest.mark.parametrize("name", ["op5_chat", "op6_quality", "op8_search", "op9_jaccard", "op13_importance_resampling"])
 def test_oracle(spark, sf_small, name):
     res = compare(__spark_entry__.queries()[name](spark, sf_small), __spark_entry__.oracle_sql()[name], duck(sf_small))
     assert res["names_match"] and res["rows_match"] and res["types_match"] and res["exact"], res
