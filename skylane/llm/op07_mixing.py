@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh, small, stored, uniform, words
 
@@ -152,7 +153,9 @@ def mixed_documents(docs: DataFrame, text: str = "text", **shares) -> DataFrame:
     sized = docs.withColumn(f"{p}words", F.size(words(F.col(text))).cast("long"))
     both = sized.join(taken, F.col("doc_id").eqNullSafe(F.col(f"{p}id")) & F.col("source").eqNullSafe(F.col(f"{p}source"))
                       & (F.col(f"{p}words") == F.col(f"{p}size")))
-    place = F.row_number().over(Window.partitionBy(f"{p}id", f"{p}source", f"{p}size").orderBy(F.lit(0))) - 1
+    # rows of one unit go by their text, then by their other columns, so that spare copies fall to the same rows in every run
+    others = F.xxhash64(*[f.name for f in docs.schema.fields if not isinstance(f.dataType, T.MapType)])
+    place = F.row_number().over(Window.partitionBy(f"{p}id", f"{p}source", f"{p}size").orderBy(text, others)) - 1
     times = _row_copies(F.col(f"{p}place"), F.col(f"{p}copies"), F.col(f"{p}rows"))
     return (both.withColumn(f"{p}place", place).withColumn(f"{p}times", times).where(f"{p}times > 0")
             .withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{p}times")))).select(*docs.columns))

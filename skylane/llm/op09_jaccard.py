@@ -11,10 +11,15 @@ and parts with next to nothing in them, which bring strangers together, are gone
 Sets that share a signature are candidates; only the members of a signature are ever compared:
 
 1. every member with the smallest one (linear in the members), verified on the whole sets, linked into components;
-2. signatures that still join several components: all pairs across components, each verified once. Signatures with
-   many members are compared in blocks inside a task, which gives back no more links than it has members.
-
-So no link between different components is missed, while a large group of near copies costs one comparison per member.
+2. ROUNDS times, in signatures that still join several components: the members of other components with one of the largest
+   component (another one for each signature and round), again linear in the members;
+3. signatures that join several components even then: all pairs across components, each verified once. Large signatures of
+   near copies hold much the same members, so those that overlap are one group, unless the signatures alone are less work. A
+   group's members outside its largest component are compared with all others, in blocks inside tasks, which give
+   back no more links than they have members. A block holds BLOCK members and BLOCK_SHINGLES of either side at most (or one set), so a member is sent to as many
+   blocks as those that are left outside fill.
+
+So no link between different components is missed, while a large group of near copies costs a few comparisons per member.
 Documents with equal sets are one node from the start.
 
 Shingles, sets and signatures are 64-bit hashes. Results in special cases: null and empty texts have no shingles and are
@@ -43,7 +48,9 @@ PERCENT = 85
 SPARE = 3
 #: Signatures with more members are compared in blocks inside tasks, smaller ones as pairs.
 PAIR_MEMBERS = 64
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 8192, 1_000_000
+#: How often the members of open signatures are compared with one more member of the largest component.
+ROUNDS = 3
 SKETCH = 256
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -255,11 +262,11 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
 
 def _block_links(percent: int):
-    """Within two blocks of one signature's members: a spanning set of the links across components."""
+    """Links of the probing members of a block with its members: a spanning set of those across components."""
     def run(_key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["node", "probe"]).reset_index(drop=True)
         sets = [np.frombuffer(x, dtype=np.uint64) for x in block["shingles"]]
-        node, label, sub = block["node"].to_numpy(), block["label"].to_numpy(), block["sub"].to_numpy()
-        low, high = sub.min(), sub.max()
+        node, label, probe = block["node"].to_numpy(), block["label"].to_numpy(), block["probe"].to_numpy()
         root = {x: x for x in label.tolist()}
 
         def find(x):
@@ -268,20 +275,28 @@ def _block_links(percent: int):
                 x = root[x]
             return x
 
+        # near copies are compared by what sets them apart from the shingles that most members hold
         values, where = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         size = np.array([len(s) for s in sets])
-        by_value = np.argsort(where, kind="stable")
+        owner = np.repeat(np.arange(len(sets)), size)
+        common = np.bincount(where, minlength=len(values)) > len(sets) / 2
+        column = np.cumsum(common) - 1
+        lacks = np.ones((len(sets), int(common.sum())), dtype=bool)
+        lacks[owner[common[where]], column[where[common[where]]]] = False
+        lacking, which = np.nonzero(lacks)
+        owner = np.concatenate([owner[~common[where]], lacking])
+        where = np.concatenate([where[~common[where]], np.flatnonzero(common)[which]])
+        by_owner, by_value = np.argsort(owner, kind="stable"), np.argsort(where, kind="stable")
+        apart = np.bincount(owner, minlength=len(sets))
+        first = np.concatenate([[0], np.cumsum(apart)])
         start = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(values)))])
-        first = np.concatenate([[0], np.cumsum(size)])
         out = []
-        for i in range(len(sets)):
-            if low != high and sub[i] != low:
-                continue
-            mine = where[first[i]:first[i + 1]]
+        for i in np.flatnonzero(probe):
+            mine = where[by_owner[first[i]:first[i + 1]]]
             n = start[mine + 1] - start[mine]
             at = np.repeat(start[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            both = np.bincount(owner[by_value[at]], minlength=len(sets))
+            shared = np.bincount(owner[by_value[at]], minlength=len(sets))
+            both = (size[i] + size - (apart[i] + apart - 2 * shared)) // 2
             near = np.flatnonzero(100 * both >= percent * (size[i] + size - both))
             for j in near:
                 x, y = find(label[i]), find(label[j])
@@ -292,6 +307,49 @@ def _block_links(percent: int):
     return run
 
 
+def dealt_members(many: DataFrame) -> DataFrame:
+    """The members of large groups (as ``still_open`` gives them) in blocks (i, j) of a group: as a member of block j
+    once for every block i of probing members, and, outside the main component, as a probing member of its block i once for
+    every j."""
+    probes, blocks = (F.greatest(F.ceil(F.col(c) / BLOCK_SHINGLES), F.ceil(F.col(k) / BLOCK), F.lit(1)).cast("int")
+                      for c, k in (("outside", "n_outside"), ("shingles", "n")))
+    i, j = (F.pmod(F.xxhash64("node", F.lit(k)), n).cast("int") for k, n in enumerate((probes, blocks)))
+    held = many.select("sig", "node", "label", F.explode(F.sequence(F.lit(0), probes - 1)).alias("i"), j.alias("j"), F.lit(False).alias("probe"))
+    probing = many.where("not main").select("sig", "node", "label", i.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"),
+                                            F.lit(True).alias("probe"))
+    return held.unionByName(probing)
+
+
+def still_open(members: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """The members (sig, node, size) of signatures that join several components: with the label, the number of members and of their shingles,
+    both in all and outside the component that has most members, and whether the member is in that (main)."""
+    labelled = members.select("sig", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    held = labelled.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("size"))
+    largest = (held.groupBy("sig").agg(F.sum("c").alias("n"), F.sum("size").alias("shingles"), F.max(F.struct("c", "label", "size")).alias("most"),
+                                       F.count(F.lit(1)).alias("labels"))
+               .where("labels > 1").select("sig", "n", "shingles", (F.col("shingles") - F.col("most.size")).alias("outside"),
+                                           (F.col("n") - F.col("most.c")).alias("n_outside"), F.col("most.label").alias("of")))
+    return stored(labelled.join(largest, "sig").select("sig", "node", "size", "label", "n", "shingles", "outside", "n_outside", (F.col("label") == F.col("of")).alias("main")), name)
+
+
+def overlapping(many: DataFrame, labels: DataFrame) -> DataFrame:
+    """Large signatures that share members as one group of their distinct members, where that takes fewer comparisons than
+    the signatures one by one."""
+    if many.isEmpty():
+        return many
+    group = stored(components(many.select(F.col("sig").alias("a"), F.col("node").alias("b")), "overlap").withColumnRenamed("label", "group"), "groups")
+    named = many.join(group, "node")
+    whole = still_open(named.select(F.col("group").alias("sig"), "node", "size").distinct(), labels, "whole")
+
+    def work(x: DataFrame, key: str, name: str) -> DataFrame:
+        return x.groupBy(key).agg(F.sum((~F.col("main")).cast("long") * F.col("n")).alias(name))
+    cheap = (work(named, "group", "alone").join(work(whole, "sig", "together").withColumnRenamed("sig", "group"), "group")
+             .where("together <= alone").select("group"))
+    cheap = stored(cheap, "cheap")
+    return (whole.join(cheap.withColumnRenamed("group", "sig"), "sig", "left_semi")
+            .unionByName(named.join(cheap, "group", "left_anti").select(*whole.columns)))
+
+
 def linked(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     batch_bytes(docs.sparkSession)
@@ -307,21 +365,25 @@ def linked(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
     sets = stored(found.mapInArrow(_set_rows, "node long, size long, sketch binary, shingles binary").dropDuplicates(["node"]), "sets")
     first = stored(verified(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "links")
     labels = components(first, "first")
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_sigs = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    rest = stored(labelled.join(open_sigs.select("sig", "n"), "sig"), "rest")
-    second = first
+    rest = still_open(members.join(sets.select("node", "size"), "node"), labels, "rest")
+    for k in range(ROUNDS):  # one more member of the largest component with all outside it
+        order = F.struct(F.xxhash64("sig", "node", F.lit(k)), "node")
+        hub = rest.where("main").groupBy("sig").agg(F.max_by("node", order).alias("a"))
+        asked = rest.where("not main").select("sig", F.col("node").alias("b")).join(hub, "sig")
+        more = stored(verified(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "links")
+        if more.isEmpty():
+            break
+        first = first.unionByName(more)
+        labels = components(first, "first")
+        rest = still_open(rest, labels, "rest")
     few = rest.where(F.col("n") <= PAIR_MEMBERS)
-    x = few.where("node <> hub").select("sig", F.col("node").alias("a"), F.col("label").alias("la"))
-    y = few.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
-    across = x.join(y, "sig").where("a < b and la <> lb").select("a", "b").distinct()
-    second = second.unionByName(stored(verified(across, sets, percent), "pairs"))
-    many = rest.where(F.col("n") > PAIR_MEMBERS)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    sub = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    grid = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("sub")).alias("i"), F.greatest(j, F.col("sub")).alias("j")))
-    dealt = (many.withColumn("sub", sub).withColumn("pair", F.explode(grid)).join(sets.select("node", "shingles"), "node")
-             .groupBy("sig", "pair").applyInPandas(_block_links(percent), "a long, b long"))
+    x = few.where("not main").select("sig", F.col("node").alias("x"), F.col("label").alias("lx"))
+    y = few.select("sig", F.col("node").alias("y"), F.col("label").alias("ly"))
+    across = x.join(y, "sig").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    second = first.unionByName(stored(verified(across, sets, percent), "pairs"))
+    many = overlapping(rest.where(F.col("n") > PAIR_MEMBERS), labels)
+    dealt = (dealt_members(many).join(sets.select("node", "shingles"), "node")
+             .groupBy("sig", "i", "j").applyInPandas(_block_links(percent), "a long, b long"))
     second = second.unionByName(stored(dealt, "blocks"))
     final = components(second, "all")
     named = base.select("node", "doc_id").join(final, "node").groupBy("label").agg(F.min("doc_id").alias("of_label"))

@@ -9,7 +9,9 @@ import zlib
 import numpy as np
 import pytest
 
-from skylane.llm import op11_classifier, op12_runs, op13_importance
+from pyspark.sql import functions as F
+
+from skylane.llm import op07_mixing, op09_jaccard, op11_classifier, op12_runs, op13_importance
 
 from . import fixtures as X
 
@@ -223,3 +225,50 @@ def test_resampling(spark, docs, empty):
     assert op13_importance.weighed(empty, bench).count() == 0
     none = [tuple(r) for r in op13_importance.weighed(docs, bench.limit(0)).collect()]
     assert X.by_repr(none) == X.by_repr(resampling_want(rows, []))
+
+
+# --- earlier operators: repeatable mixes, linear rows in large groups of near copies
+
+
+def test_mix_of_rows_with_one_key_agrees_in_every_layout(spark, docs):
+    rows = [(1, f"{w} b c d e", "en", "a", i) for i, w in enumerate("pqrstuv")] + [(2, "x y z " * 40, "en", "b", 1), (3, "k l", "en", "c", 1)]
+    got = []
+    for parts, seed in ((1, 0), (3, 1), (7, 2)):
+        table = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), X.DOCS).repartition(parts)
+        got.append(X.by_repr(tuple(r) for r in op07_mixing.mixed_documents(table).collect()))
+    assert got[0] == got[1] == got[2] and len({r[1] for r in got[0] if r[0] == 1}) > 1
+
+
+def near_copies(n, seed=1):
+    """Copies of a base text with one to three words changed: some link, others miss the similarity by little."""
+    rng, base = random.Random(seed), X.words(90, 4242, 10**6).split()
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 2, 3, 3))):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(10**6)}"
+        out.append((i, " ".join(w), "en", "a", 1))
+    return out
+
+
+def test_large_groups_of_near_copies_take_linear_rows(spark, docs, monkeypatch):
+    made = []
+    deal = op09_jaccard.dealt_members
+
+    def counted(many):
+        dealt = deal(many)
+        made.append(dealt.count())
+        return dealt
+    monkeypatch.setattr(op09_jaccard, "dealt_members", counted)
+    sizes = (800, 4000)
+    for n in sizes:
+        assert op09_jaccard.linked(spark.createDataFrame(near_copies(n), X.DOCS).repartition(3)).count() == n
+    assert 0 < made[1] <= 1.2 * made[0] * sizes[1] / sizes[0], made
+
+
+def test_large_groups_in_several_blocks(spark, docs, monkeypatch):
+    from .test_operators import component_ids
+    monkeypatch.setattr(op09_jaccard, "BLOCK_SHINGLES", 5_000)
+    data = near_copies(300)
+    got = op09_jaccard.linked(spark.createDataFrame(data, X.DOCS).repartition(3)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((a, c) for a, _, c in component_ids(data))
