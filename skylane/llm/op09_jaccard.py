@@ -11,7 +11,7 @@ and parts with next to nothing in them, which bring strangers together, are gone
 Sets that share a signature are candidates; only the members of a signature are ever compared:
 
 1. every member with the smallest one (linear in the members), verified on the whole sets, linked into components;
-2. ROUNDS times, in signatures that still join several components: the members of other components with one of the largest
+2. ROUNDS times (or until that finds nothing), in signatures that still join several components: the members of other components with one of the largest
    component (another one for each signature and round), again linear in the members;
 3. signatures that join several components even then: all pairs across components, each verified once. Large signatures of
    near copies hold much the same members, so those that overlap are one group, unless the signatures alone are less work. A
@@ -50,7 +50,7 @@ SPARE = 3
 PAIR_MEMBERS = 64
 BLOCK, BLOCK_SHINGLES = 8192, 1_000_000
 #: How often the members of open signatures are compared with one more member of the largest component.
-ROUNDS = 3
+ROUNDS = 1
 SKETCH = 256
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
