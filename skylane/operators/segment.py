@@ -5,7 +5,7 @@ and the rank test are aggregations and column expressions. The model steps:
 scaler and PCA are fitted by one aggregate pass each (2·d and d·(d+1)/2 sums;
 the d x d eigen-decomposition is driver-sized) and applied as column
 expressions; K-Means fits every restart of every K with shared data passes
-(``kmeans.py``); silhouette uses Spark ML's linear-time ``ClusteringEvaluator``.
+(``kmeans.py``); the Euclidean silhouette measures all rows against cluster coresets (``silhouette.py``).
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +22,7 @@ from ..session import ensure_checkpoint_dir
 from . import kmeans as km
 from .common import attach
 from .ranking import average_ranks, exact_quantile
+from .silhouette import euclidean_silhouette
 
 # Lead-time bins (right-closed) -> bucket 1..5, tier numbers (other -> 2), feature list.
 LEAD_BINS = [(0, 7), (7, 21), (21, 45), (45, 90), (90, 365)]
@@ -198,35 +197,38 @@ def calinski_harabasz(df: DataFrame, value_cols: Sequence[str], label_col: str =
     return tot.select(*by, "n", "k", b.alias("BETWEEN_SS"), w.alias("WITHIN_SS"), ch.alias("CALINSKI_HARABASZ"))
 
 
+#: Rows that stand for a cluster when labellings are compared.
+K_SEARCH_POINTS = 1024
+
+
 def k_evaluation(df: DataFrame, k_values: Sequence[int] = range(2, 9), features: Sequence[str] = FEATURES,
                  seed: int = 42, use_pca: bool = True, pca_variance: float = 0.90, n_init: int = 15,
                  max_iter: int = 500) -> DataFrame:
-    """H5/H6/H8: per K inertia, silhouette (Spark's squared-Euclidean, linear time), CH; best K flagged.
+    """H5/H6/H8: per K inertia, Euclidean silhouette with its standard error, CH; the K of the best silhouette flagged.
 
-    All K x restarts models are fitted with shared passes; CH for every K comes
-    from one aggregation over the stacked labelings.
+    All K x restarts models are fitted with shared passes; CH and the silhouettes of every K come from one pass each
+    over the stacked labelings.
     """
     x, cols, info = feature_vectors(
         df.drop("CLUSTER").select(*features, *[c for c in ("TRAVELER_ID",) if c in df.columns]), features, use_pca, pca_variance)
     coords = _fit_frame(x, cols, features)
     best = km.best_per_k(km.fit_batched(coords, cols, list(k_values), n_init, seed, max_iter, id_col=ROW_ID))
-    labelled = coords.select(*cols, *[km.assign(cols, best[k].centers).alias(f"L{k}") for k in k_values])
+    labelled = coords.select(ROW_ID, *cols, *[km.assign(cols, best[k].centers).alias(f"L{k}") for k in k_values])
     stacked = labelled.select(*cols, F.explode(F.array(*[
         F.struct(F.lit(int(k)).alias("KVAL"), F.col(f"L{k}").alias("CLUSTER")) for k in k_values])).alias("s")) \
         .select(*cols, "s.KVAL", "s.CLUSTER")
     ch = {r["KVAL"]: r["CALINSKI_HARABASZ"] for r in calinski_harabasz(stacked, cols, "CLUSTER", by=["KVAL"]).collect()}
-    vec = VectorAssembler(inputCols=list(cols), outputCol="features").transform(labelled)
+    sil = {r["LABELS"]: r for r in euclidean_silhouette(labelled, cols, [f"L{k}" for k in k_values], ROW_ID, K_SEARCH_POINTS).collect()}
     rows = []
     for k in k_values:
-        sil = ClusteringEvaluator(featuresCol="features", predictionCol=f"L{k}").evaluate(vec)
-        c = ch.get(int(k))
-        rows.append((int(k), float(round(best[k].inertia, 1)), float(round(sil, 4)),
-                     None if c is None else float(round(c, 1))))
+        c, s = ch.get(int(k)), sil.get(f"L{k}")
+        known = s is not None and s["SILHOUETTE"] is not None
+        rows.append((int(k), float(round(best[k].inertia, 1)), float(round(s["SILHOUETTE"], 4)) if known else None,
+                     float(round(s["STD_ERROR"], 4)) if known else None, None if c is None else float(round(c, 1))))
     coords.unpersist()
-    top = max(rows, key=lambda r: (r[2], -r[0]))[0] if rows else None
-    out = [(k, i, s_, c, k == top) for k, i, s_, c in rows]
-    return df.sparkSession.createDataFrame(out, "K int, INERTIA double, SILHOUETTE_SQ double, "
-                                                "CALINSKI_HARABASZ double, BEST boolean")
+    top = max((r for r in rows if r[2] is not None), key=lambda r: (r[2], -r[0]), default=(None,))[0]
+    return df.sparkSession.createDataFrame([(*r, r[0] == top) for r in rows], "K int, INERTIA double, SILHOUETTE double, "
+                                           "SILHOUETTE_ERROR double, CALINSKI_HARABASZ double, BEST boolean")
 
 
 MODE_COLUMNS = ("TRIP_PURPOSE", "PREFERRED_PRICE_TIER", "BOOKING_CHANNEL", "DEVICE", "FARE_CLASS")

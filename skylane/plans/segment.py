@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import np_round
 from ..operators import kmeans as km
 from ..operators import segment as sg
+from ..operators.silhouette import euclidean_silhouette
 from ..sources.fixtures import fx_travelers, with_views
 from ..sources.io import rename_if_present
 from . import sqlfrag as S
@@ -52,6 +53,12 @@ def q_ch_index(spark, sf):
                     np_round("CALINSKI_HARABASZ", 1).alias("CALINSKI_HARABASZ"))
 
 
+def q_silhouette_euclid(spark, sf):
+    z = sg.standardize(features(spark, sf))
+    r = euclidean_silhouette(z, [f + "_Z" for f in sg.FEATURES])
+    return r.select("N", "K", np_round("SILHOUETTE", 4).alias("SILHOUETTE"))
+
+
 def q_cluster_profile(spark, sf):
     return sg.profile_clusters(travelers(spark, sf))
 
@@ -138,6 +145,7 @@ QUERIES = {
     "traveler_features": q_traveler_features,
     "standardized": q_standardized,
     "ch_index": q_ch_index,
+    "silhouette_euclid": q_silhouette_euclid,
     "cluster_profile": q_cluster_profile,
     "cluster_labels": q_cluster_labels,
     "segment_crosstab": q_segment_crosstab,
@@ -179,6 +187,14 @@ tot as (select sum(n_c) as n, count(*) as k, sum(ss_c) as ss,
   {", ".join(f"sum(s_{i}) as t_{i}" for i in range(len(sg.FEATURES)))} from per),
 chv as (select n, k, sb - ({" + ".join(f"t_{i} * t_{i}" for i in range(len(sg.FEATURES)))}) / n as b, ss - sb as w from tot)"""
 
+#: All pairs.
+_SIL = _Z + ", far as (select a.TRAVELER_ID as id, a.CLUSTER as own, b.CLUSTER as other, avg(sqrt(" + " + ".join(
+    f"(a.{f}_Z - b.{f}_Z) * (a.{f}_Z - b.{f}_Z)" for f in sg.FEATURES) + """)) as d
+  from z a join z b on a.TRAVELER_ID <> b.TRAVELER_ID where a.CLUSTER is not null and b.CLUSTER is not null group by 1, 2, 3),
+ab as (select id, own, min(d) filter (own = other) as a, min(d) filter (own <> other) as b from far group by id, own)
+select count(*) as N, cast(count(distinct own) as integer) as K,
+  round_even(avg(case when a is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end), 4) as SILHOUETTE from ab"""
+
 
 def _mode(col):
     return f"""m_{col} as (select CLUSTER, v as mv_{col}, c / tot as share_{col} from (
@@ -246,6 +262,7 @@ ORACLE = {
     "ch_index": with_views(_CH + """ select cast(n as bigint) as n, k, round_even(b, 4) as BETWEEN_SS, round_even(w, 4) as WITHIN_SS,
   round_even(case when k > 1 and n > k and w > 0 then (b / (k - 1)) / (w / (n - k)) end, 1) as CALINSKI_HARABASZ from chv""",
                            "fx_travelers"),
+    "silhouette_euclid": with_views(_SIL, "fx_travelers"),
     "cluster_profile": with_views(_PROF + " select * from prof", "fx_travelers"),
     "cluster_labels": with_views(_PROF + """ select CLUSTER, SIZE, TOP_PURPOSE, AVG_TOTAL_SPEND, AVG_STAY_NIGHTS,
   PCT_BUSINESS_CLASS, TOP_PRICE_TIER, AVG_GROUP_SIZE, ARCHETYPE from lab""", "fx_travelers"),

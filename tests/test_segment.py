@@ -160,7 +160,7 @@ def test_full_segmentation_invariants(spark, sf_small):
     res = sg.run_full_segmentation(travelers, k=None, n_init=3, k_values=range(2, 5))
     k_eval = res["k_evaluation"].orderBy("K").collect()
     best_k = [r["K"] for r in k_eval if r["BEST"]]
-    assert len(best_k) == 1 and best_k[0] == max(k_eval, key=lambda r: (r["SILHOUETTE_SQ"], -r["K"]))["K"]
+    assert len(best_k) == 1 and best_k[0] == max(k_eval, key=lambda r: (r["SILHOUETTE"], -r["K"]))["K"]
     inertia = [r["INERTIA"] for r in k_eval]
     assert inertia == sorted(inertia, reverse=True)
     prof = res["profiles"].collect()
@@ -187,3 +187,34 @@ def test_lexicon_of_any_size(spark):
     scored = tx.score_lexicon(df, [f"p{i}" for i in range(5000)], [f"n{i}" for i in range(5000)])
     got = tx.aggregate_sentiment(scored, "MARKET").first()
     assert got["AVG_COMPOUND"] == round((1 / 3 - 1) / 2, 3)
+
+
+def _silhouette_by_pairs(x, label):
+    far = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    out = []
+    for i, own in enumerate(label):
+        mean = {c: far[i, label == c].sum() / ((label == c).sum() - (c == own) or 1) for c in np.unique(label)}
+        b = min(v for c, v in mean.items() if c != own)
+        out.append(0.0 if (label == own).sum() == 1 or max(mean[own], b) == 0 else (b - mean[own]) / max(mean[own], b))
+    return float(np.mean(out))
+
+
+def test_euclidean_silhouette(spark):
+    from skylane.operators.silhouette import euclidean_silhouette
+    rng = np.random.default_rng(5)
+    n = 2400
+    label = np.where(rng.random(n) < 0.5, 0, rng.integers(0, 3, n))  # one cluster holds two thirds
+    x = rng.normal(size=(n, 3)) + label[:, None] * np.array([1.5, 0.5, 0.0])
+    other = (x[:, 0] > 1).astype(int)
+    other[7] = 9  # a cluster of one row
+    rows = [(i, *map(float, v), int(a), int(b)) for i, (v, a, b) in enumerate(zip(x, label, other))]
+    rows += [(n, 0.0, None, 0.0, 0, 0), (n + 1, 0.0, 0.0, 0.0, None, None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, A int, B int").repartition(5)
+    got = {r["LABELS"]: r for r in euclidean_silhouette(df, ["x", "y", "z"], ["A", "B"], "id").collect()}
+    for c, want in (("A", _silhouette_by_pairs(x, label)), ("B", _silhouette_by_pairs(x, other))):
+        assert got[c]["EXACT"] and got[c]["STD_ERROR"] == 0 and got[c]["N"] == n and abs(got[c]["SILHOUETTE"] - want) < 1e-12
+    part = [tuple(r) for r in euclidean_silhouette(df, ["x", "y", "z"], ["A"], "id", 256).collect()]
+    assert part[0][5] is False and 0 < part[0][4] < 0.02 and abs(part[0][3] - got["A"]["SILHOUETTE"]) < 4 * part[0][4] + 0.005
+    assert abs(part[0][3] - euclidean_silhouette(df.repartition(2), ["x", "y", "z"], ["A"], "id", 256).first()["SILHOUETTE"]) < 1e-12
+    assert euclidean_silhouette(df.withColumn("C", F.lit(1)), ["x", "y", "z"], ["C"], "id").first()["SILHOUETTE"] is None
+    assert euclidean_silhouette(df.limit(0), ["x", "y", "z"], ["A"], "id").count() == 0
