@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.numeric import np_round
 from ..operators import funnel as fn
 from ..operators import listing as ls
+from ..operators.common import attach
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import FIXTURE_SQL, fx_events, fx_hotels, table, with_views
 from ..sources.io import enrich_if_missing, rename_if_present
+from ..streaming.funnel import EventFunnelStream
 
 # schema normalisation (A6): adapter names -> the analysis names
 HOTEL_NAMES = {"place_id": "PLACE_ID", "name": "NAME", "market": "MARKET", "rating": "RATING",
@@ -89,7 +94,35 @@ def q_event_funnel(spark, sf):
                           "OVERALL_CONVERSION_PCT": np_round("OVERALL_CONVERSION_PCT", R6)})
 
 
+#: How the streamed log lands: in so many files by arrival, up to two days after the event; some users' events come last.
+LANDINGS, SLOW_USERS = 4, 50
+
+
+def arrivals(events):
+    """The event log with the number of the landing that brings each event."""
+    at = F.unix_micros(F.col("ts").cast("timestamp") + F.make_interval(hours=(F.col("user_id") * 7 % 48).cast("int")))
+    one = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi"))
+    x = attach(events.withColumn("at", at), one)
+    slot = F.least(F.expr(f"({LANDINGS} * (at - lo)) div greatest(hi - lo, 1)"), F.lit(LANDINGS - 1))
+    return x.withColumn("landing", F.when(F.col("user_id") % SLOW_USERS == 0, LANDINGS - 1).otherwise(slot).cast("int")).select(*events.columns, "landing")
+
+
+def q_event_funnel_stream(spark, sf):
+    """The event log lands file by file and out of order; the stream goes on after each landing."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/event-funnel-{uuid.uuid4().hex}"
+    landed = arrivals(table(spark, sf, "events").select("user_id", "ts", "event_type"))
+    funnel = EventFunnelStream(spark, f"{root}/state")
+    for i in range(LANDINGS):
+        landed.where(F.col("landing") == i).drop("landing").write.mode("append").parquet(f"{root}/landed")
+        funnel.start(spark.readStream.schema(landed.drop("landing").schema).parquet(f"{root}/landed")).awaitTermination()
+    funnel.finish()
+    late = funnel.late().select(F.lit(None).cast("int").alias("STAGE_NO"), F.lit("late").alias("STAGE"), F.col("LATE_EVENTS").alias("ENTITY_DAYS"),
+                                F.lit(None).cast("double").alias("DROP_OFF_PCT"), F.lit(None).cast("double").alias("OVERALL_CONVERSION_PCT"))
+    return funnel.funnel().withColumns({c: np_round(c, R6) for c in ("DROP_OFF_PCT", "OVERALL_CONVERSION_PCT")}).unionByName(late)
+
+
 QUERIES = {
+    "event_funnel_stream": q_event_funnel_stream,
     "schema_normalize": q_schema_normalize,
     "listing_enrich": q_listing_enrich,
     "market_compare": q_market_compare,
@@ -172,7 +205,20 @@ _FS = "fs as (" + _stage_rows("w", "MARKET, ", fn.EVENT_LABELS, "VISITORS", digi
 
 _DA, _DB = f"DROP_OFF_PCT_{MARKET_A.upper()}", f"DROP_OFF_PCT_{MARKET_B.upper()}"
 
+#: Landing by landing: the clock before it, and the days that were closed by then.
+_EVS = (f"""with a as (select *, epoch_us(ts) + (user_id * 7 % 48) * 3600000000 as came, min(epoch_us(ts)) over () as lo, max(epoch_us(ts)) over () as hi from events),
+l as (select user_id, ts, event_type, cast(ts as date) as d, case when user_id % {SLOW_USERS} = 0 then {LANDINGS - 1}
+  else least(cast(floor(({LANDINGS} * (came - lo)) / greatest(hi - lo, 1)) as bigint), {LANDINGS - 1}) end as landing from a),
+c as (select n, (select max(ts) from l where landing < n) as clock from range({LANDINGS}) r(n)),
+m as (select l.*, coalesce(d < cast(clock - interval 3 day as date), false) as is_late from l join c on c.n = l.landing),
+e as (select * from m where not is_late),
+""" + ",\n".join(_ev_stage(i, s) for i, s in enumerate(fn.EVENT_STAGES))
+        + ",\nw as (select " + ", ".join(f"(select count(*) from t{i}) as s{i}" for i in range(len(fn.EVENT_STAGES))) + ")\n"
+        + _stage_rows("w", "", fn.EVENT_STAGES, "ENTITY_DAYS")
+        + "\nunion all select null, 'late', count(*), null, null from m where is_late")
+
 ORACLE = {
+    "event_funnel_stream": _EVS,
     "schema_normalize": with_views(f", {_H} select * from h", "fx_hotels"),
     "listing_enrich": with_views(f", {_HP} select * from hp", "fx_hotels"),
     "market_compare": with_views(f""", {_HP}
