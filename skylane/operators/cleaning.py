@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import np_round, to_double
 from ..sources.io import require_columns
+from . import scan
 
 
 def series_window(keys: Sequence[str], order: str | Column) -> Window:
@@ -45,15 +46,26 @@ def drop_all_missing(df: DataFrame, value_cols: Sequence[str]) -> DataFrame:
 
 
 def ffill(df: DataFrame, date_col: str, value_cols: Sequence[str], limit: int | None = 2,
-          keys: Sequence[str] = ()) -> DataFrame:
-    """C4 (bounded, ``limit`` rows) / C10 forward part (unbounded when ``limit`` is None)."""
+          keys: Sequence[str] = (), long: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+    """C4 (bounded, ``limit`` rows) / C10 forward part (unbounded when ``limit`` is None).
+
+    ``long`` scans in parts (``scan``) instead of a task per series; ``ties`` then order rows of one date.
+    """
+    if long and limit is None:
+        return scan.filled(df, [date_col, *ties], value_cols, keys, backward=False)
+    if long:
+        return scan.windowed(df, [date_col, *ties], limit, lambda w: {
+            c: F.last(c, ignorenulls=True).over(w.rowsBetween(-limit, 0)) for c in value_cols}, keys)
     w = series_window(keys, date_col)
     w = w.rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in value_cols})
 
 
-def ffill_bfill(df: DataFrame, date_col: str, value_cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Unbounded forward fill, then backward fill of what is still missing."""
+def ffill_bfill(df: DataFrame, date_col: str, value_cols: Sequence[str], keys: Sequence[str] = (), long: bool = False,
+                ties: Sequence[str] = ()) -> DataFrame:
+    """Unbounded forward fill, then backward fill of what is still missing; ``long`` and ``ties`` as in ``ffill``."""
+    if long:
+        return scan.filled(df, [date_col, *ties], value_cols, keys)
     w = series_window(keys, date_col)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
     fwd = w.rowsBetween(0, Window.unboundedFollowing)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import np_round
+from . import scan
 from .cleaning import series_window
 from .common import attach
 
@@ -125,15 +126,21 @@ def seasonal_index(df: DataFrame, value_col: str = "y", date_col: str = "ds", ke
 
 
 def detect_spikes(df: DataFrame, value_col: str, date_col: str = "ds", threshold: float = 1.5, window: int = 6,
-                  min_periods: int = 3, keys: Sequence[str] = ()) -> DataFrame:
-    """Rolling mean/sample-std over the last ``window`` rows incl. the current one; z >= threshold."""
-    x = df.filter(F.col(value_col).isNotNull() & F.col(date_col).isNotNull()).select(*keys, date_col, value_col)
-    w = series_window(keys, date_col).rowsBetween(-(window - 1), 0)
+                  min_periods: int = 3, keys: Sequence[str] = (), long: bool = False, ties: Sequence[str] = ()) -> DataFrame:
+    """Rolling mean/sample-std over the last ``window`` rows incl. the current one; z >= threshold.
+
+    ``long`` scans in parts (``scan``) instead of a task per series; ``ties`` then order rows of one date and stay as columns.
+    """
+    x = df.filter(F.col(value_col).isNotNull() & F.col(date_col).isNotNull()).select(*keys, date_col, *ties, value_col)
     v = F.col(value_col)
-    enough = F.count(v).over(w) >= min_periods
-    mean = F.when(enough, F.avg(v).over(w))
-    std = F.when(enough, F.nullif(F.stddev_samp(v).over(w), F.lit(0.0)))
-    x = x.withColumn("SPIKE_MAGNITUDE", (v - mean) / std)
+
+    def magnitude(w):
+        w = w.rowsBetween(-(window - 1), 0)
+        enough = F.count(v).over(w) >= min_periods
+        mean = F.when(enough, F.avg(v).over(w))
+        std = F.when(enough, F.nullif(F.stddev_samp(v).over(w), F.lit(0.0)))
+        return {"SPIKE_MAGNITUDE": (v - mean) / std}
+    x = scan.windowed(x, [date_col, *ties], window - 1, magnitude, keys) if long else x.withColumns(magnitude(series_window(keys, date_col)))
     return x.filter(F.col("SPIKE_MAGNITUDE") >= threshold)
 
 
@@ -163,13 +170,19 @@ def yoy_growth(df: DataFrame, value_col: str = "y", date_col: str = "ds", keys:
 
 
 def lag_correlation(df: DataFrame, search_col: str, y_col: str = "y", date_col: str = "ds", max_lag: int = 6,
-                    min_n: int = 6, threshold: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
-    """Pearson r of the search signal shifted by 0..max_lag rows against y, on complete rows."""
+                    min_n: int = 6, threshold: float = 0.5, keys: Sequence[str] = (), long: bool = False,
+                    ties: Sequence[str] = ()) -> DataFrame:
+    """Pearson r of the search signal shifted by 0..max_lag rows against y, on complete rows.
+
+    ``long`` scans in parts (``scan``) instead of a task per series; ``ties`` then order rows of one date.
+    """
     x = df.filter(F.col(date_col).isNotNull() & F.col(search_col).isNotNull() & F.col(y_col).isNotNull())
-    w = series_window(keys, date_col)
+
+    def shifts(w):
+        return {f"_l{k}": F.lag(search_col, k).over(w) for k in range(max_lag + 1)}
     # all shifts in one window pass, then unpivot to (lag, shifted value, y)
-    shifted = x.select(*keys, F.col(y_col).alias("yv"),
-                       *[F.lag(search_col, k).over(w).alias(f"_l{k}") for k in range(max_lag + 1)])
+    x = scan.windowed(x, [date_col, *ties], max_lag, shifts, keys) if long else x.withColumns(shifts(series_window(keys, date_col)))
+    shifted = x.select(*keys, F.col(y_col).alias("yv"), *[f"_l{k}" for k in range(max_lag + 1)])
     lags = F.array(*[F.struct(F.lit(k).alias("lag_months"), F.col(f"_l{k}").alias("s")) for k in range(max_lag + 1)])
     long = shifted.select(*keys, "yv", F.explode(lags).alias("l")) \
                   .select(*keys, "yv", "l.lag_months", "l.s").filter(F.col("s").isNotNull())

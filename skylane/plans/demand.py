@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import np_round
 from ..operators import cleaning as cl
 from ..operators import demand as dm
-from ..sources.fixtures import FIXTURE_SQL, fx_capacity, fx_trends
+from ..sources.fixtures import FIXTURE_SQL, fx_capacity, fx_trends, table
 from ..sources.io import rename_if_present
 from ..sources.landing import trend_rows
 
@@ -129,7 +129,36 @@ def q_lag_constant(spark, sf):
     return dm.lag_correlation(forecast_ready(spark, sf).withColumn("flat", F.lit(5.0)), "flat", "y", max_lag=6)
 
 
+#: Rows of one date in the long series of order lines.
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def lines(spark, sf):
+    """All order lines as one series in the order of shipping, with prices and discounts missing in places."""
+    x = table(spark, sf, "lineitem").select("l_shipdate", *LINE, "l_quantity", "l_extendedprice", "l_discount")
+    return x.withColumns({"PRICE": F.when(F.col("l_partkey") % 5 > 1, F.col("l_extendedprice").cast("double")),
+                          "DISCOUNT": F.when(F.col("l_suppkey") % 10 == 0, F.col("l_discount").cast("double"))})
+
+
+def q_lineitem_filled(spark, sf):
+    x = cl.ffill(lines(spark, sf).select("l_shipdate", *LINE, "PRICE", "DISCOUNT"), "l_shipdate", ["PRICE"], 2, long=True, ties=LINE)
+    return cl.ffill_bfill(x, "l_shipdate", ["DISCOUNT"], long=True, ties=LINE)
+
+
+def q_lineitem_spikes(spark, sf):
+    x = dm.detect_spikes(lines(spark, sf), "PRICE", "l_shipdate", threshold=1.9, long=True, ties=LINE)
+    return x.withColumn("SPIKE_MAGNITUDE", np_round("SPIKE_MAGNITUDE", 6))
+
+
+def q_lineitem_lags(spark, sf):
+    x = lines(spark, sf).select("l_shipdate", *LINE, F.col("l_quantity").cast("double").alias("q"), "PRICE")
+    return dm.lag_correlation(x, "q", "PRICE", "l_shipdate", long=True, ties=LINE).withColumn("correlation", np_round("correlation", Z9))
+
+
 QUERIES = {
+    "lineitem_filled": q_lineitem_filled,
+    "lineitem_spikes": q_lineitem_spikes,
+    "lineitem_lags": q_lineitem_lags,
     "trends_monthly": q_trends_monthly,
     "trend_landing": q_trend_landing,
     "lag_constant": q_lag_constant,
@@ -207,6 +236,11 @@ sj as (select prof.*, r.MONTH, mm.AVG_VALUE from prof, (select unnest(range(1, 1
 sm as (select *, avg(AVG_VALUE) over () as mom from sj)
 """
 
+_LINE_ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"
+_LINES = f"""with li as (select {_LINE_ORDER}, cast(l_quantity as double) as q,
+  case when l_partkey % 5 > 1 then cast(l_extendedprice as double) end as PRICE,
+  case when l_suppkey % 10 = 0 then cast(l_discount as double) end as DISCOUNT from lineitem)"""
+
 ORACLE = {
     "trends_monthly": f"""{_BASE}, tg as (select DATE, {", ".join(f"last_value({c} ignore nulls) over w2 as {c}" for c in KW)}
   from (select * from tf where {_NOT_ALL_NULL}) t window w2 as (order by DATE rows between 2 preceding and current row)),
@@ -219,6 +253,17 @@ select rsp.DATE, {", ".join(f"round_even(rm0.{c}, 1) as {c}" for c in KW)} from
   (select count(*) from fr) - k as n from range(0, 7) r(k)""",
     "coerce_clean": f"""{_BASE} select cast(DATE as date) as DATE, kw_urgent, kw_low, kw_sparse from tr""",
     "ffill_limited": f"{_BASE} select * from tf",
+    "lineitem_filled": f"""{_LINES} select {_LINE_ORDER},
+  last_value(PRICE ignore nulls) over (order by {_LINE_ORDER} rows between 2 preceding and current row) as PRICE,
+  coalesce(last_value(DISCOUNT ignore nulls) over (order by {_LINE_ORDER} rows between unbounded preceding and current row),
+    first_value(DISCOUNT ignore nulls) over (order by {_LINE_ORDER} rows between current row and unbounded following)) as DISCOUNT from li""",
+    "lineitem_spikes": f"""{_LINES}, z as (select {_LINE_ORDER}, PRICE, count(*) over w as n, avg(PRICE) over w as m, stddev_samp(PRICE) over w as s
+  from li where PRICE is not null and l_shipdate is not null window w as (order by {_LINE_ORDER} rows between 5 preceding and current row))
+select {_LINE_ORDER}, PRICE, round_even((PRICE - m) / s, 6) as SPIKE_MAGNITUDE from z where n >= 3 and s <> 0 and (PRICE - m) / s >= 1.9e0""",
+    "lineitem_lags": f"""{_LINES}, x as (select q, PRICE, {", ".join(f"lag(q, {k}) over (order by {_LINE_ORDER}) as s{k}" for k in range(7))}
+  from li where PRICE is not null and l_shipdate is not null and q is not null)
+select * from (""" + " union all ".join(f"""select {k} as lag_months, round_even(corr(s{k}, PRICE), {Z9}) as correlation,
+  abs(corr(s{k}, PRICE)) >= 0.5 as significant, count(s{k}) as n from x""" for k in range(7)) + ")",
     "resample_monthly": f"""{_BASE}, rm0 as (select cast(date_trunc('month', DATE) as date) as DATE,
   {", ".join(f"avg({c}) as {c}" for c in KW)} from tf group by 1),
 rsp as (select cast(unnest(generate_series(lo, hi, interval 1 month)) as date) as DATE
