@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import np_round
 from ..operators import text as tx
+from ..operators import topics as tp
 from ..operators import video as vd
-from ..sources.fixtures import fx_hotel_reviews, fx_videos, with_views
+from ..sources.fixtures import fx_hotel_reviews, fx_videos, table, with_views
 from ..sources.io import rename_if_present
 
 # Test lexicon and topic map derived from the most frequent corpus words (FIXTURES.md part 3);
@@ -53,6 +54,22 @@ def q_topic_flags(spark, sf):
     return r.select("PLACE_ID", "REVIEW_INDEX", *[f"TOPIC_{t.upper()}" for t in TEST_TOPICS], "PRIMARY_TOPIC")
 
 
+def keyword_rows(spark, sf):
+    """Thousands of keywords: the third to the sixteenth word of every document, dealt to forty topics."""
+    words = F.slice(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), 3, 14)
+    return (table(spark, sf, "documents").select(F.concat(F.lit("topic"), (F.col("doc_id") % 40).cast("string")).alias("topic"), F.explode(words).alias("keyword"))
+            .where("length(keyword) >= 7").distinct())
+
+
+def q_topic_table(spark, sf):
+    return tp.topic_hits(reviews(spark, sf), keyword_rows(spark, sf))
+
+
+def q_topic_table_flags(spark, sf):
+    rows = spark.createDataFrame([(t, k) for t, ks in TEST_TOPICS.items() for k in ks], "topic string, keyword string")
+    return tp.flag_topics(reviews(spark, sf).select("PLACE_ID", "REVIEW_INDEX", "REVIEW_TEXT"), rows, list(TEST_TOPICS)).drop("REVIEW_TEXT")
+
+
 def q_sentiment_by_market(spark, sf):
     return tx.aggregate_sentiment(scored(spark, sf), "MARKET")
 
@@ -114,6 +131,8 @@ QUERIES = {
     "sentiment_lexicon": q_sentiment_lexicon,
     "sentiment_valence": q_sentiment_valence,
     "topic_flags": q_topic_flags,
+    "topic_table": q_topic_table,
+    "topic_table_flags": q_topic_table_flags,
     "sentiment_by_market": q_sentiment_by_market,
     "sentiment_by_price_tier": q_sentiment_by_price_tier,
     "sentiment_by_topic": q_sentiment_by_topic,
@@ -212,6 +231,11 @@ select PLACE_ID, REVIEW_INDEX, VALENCE_SUM, round_even(c, {Z9}) as VADER_COMPOUN
   case when c >= 0.05e0 then 'Positive' when c <= -0.05e0 then 'Negative' else 'Neutral' end as SENTIMENT_LABEL from vc"""),
     "topic_flags": _t("select PLACE_ID, REVIEW_INDEX, " + ", ".join(f"TOPIC_{t.upper()}" for t in TEST_TOPICS)
                       + ", PRIMARY_TOPIC from st"),
+    "topic_table_flags": _t("select PLACE_ID, REVIEW_INDEX, " + ", ".join(f"TOPIC_{t.upper()}" for t in TEST_TOPICS)
+                            + ", PRIMARY_TOPIC from st"),
+    "topic_table": _t(""", kw as (select distinct 'topic' || (doc_id % 40) as topic, unnest(string_split(lower(coalesce(text, '')), ' ')[3:16]) as keyword from documents)
+select PLACE_ID, REVIEW_INDEX, topic as TOPIC, count(distinct keyword) as N_KEYWORDS from st join kw on length(keyword) >= 7 and contains(lower(REVIEW_TEXT), keyword)
+group by PLACE_ID, REVIEW_INDEX, topic"""),
     "sentiment_by_market": _t(_agg("MARKET")),
     "sentiment_by_price_tier": _t(_agg("PRICE_TIER")),
     "sentiment_by_topic": _t(_agg("PRIMARY_TOPIC")),
