@@ -25,7 +25,7 @@ DIAGNOSIS = {
 DIAGNOSIS_DEFAULT = "Top-of-funnel mismatch"
 
 
-def stage_table(sums: DataFrame, key: str, labels: Sequence[str], count_name: str) -> DataFrame:
+def _stage_table(sums: DataFrame, key: str, labels: Sequence[str], count_name: str) -> DataFrame:
     """Unpivot wide stage sums to rows with drop-off vs previous stage and overall conversion."""
     cols = [f"_s{i}" for i in range(len(labels))]
     items = []
@@ -42,7 +42,7 @@ def stage_table(sums: DataFrame, key: str, labels: Sequence[str], count_name: st
 def funnel_summary(frame: DataFrame, stage_cols: Sequence[str], labels: Sequence[str] = STAGE_LABELS) -> DataFrame:
     """Per market and stage: visitors, drop-off % vs previous, overall % vs first."""
     sums = frame.groupBy("MARKET").agg(*[F.sum(c).alias(f"_s{i}") for i, c in enumerate(stage_cols)])
-    return stage_table(sums, "MARKET", labels, "VISITORS")
+    return _stage_table(sums, "MARKET", labels, "VISITORS")
 
 
 def dropoff_diagnosis(summary: DataFrame, market_a: str, market_b: str) -> DataFrame:
@@ -87,12 +87,17 @@ def stage_times(events: DataFrame, entity_col: str = "user_id", time_col: str =
     return wide
 
 
+def funnel_of_sums(sums: DataFrame, stages: Sequence[str] = EVENT_STAGES) -> DataFrame:
+    """The funnel of one row that holds how many reach each stage (``_s0``, ``_s1``, ...)."""
+    return _stage_table(sums.withColumn("_all", F.lit("all")), "_all", list(stages), "ENTITY_DAYS").drop("_all")
+
+
 def event_funnel(events: DataFrame, entity_col: str = "user_id", time_col: str = "ts",
                  type_col: str = "event_type", stages: Sequence[str] = EVENT_STAGES) -> DataFrame:
     """Per stage the ENTITY_DAYS reaching it, drop-off % and overall %."""
     wide = stage_times(events, entity_col, time_col, type_col, stages)
-    sums = wide.agg(*[F.count(f"_t{i}").alias(f"_s{i}") for i in range(len(stages))]).withColumn("_all", F.lit("all"))
-    return stage_table(sums, "_all", list(stages), "ENTITY_DAYS").drop("_all")
+    sums = wide.agg(*[F.count(f"_t{i}").alias(f"_s{i}") for i in range(len(stages))])
+    return funnel_of_sums(sums, stages)
 
 
 def event_funnel_by_market(events: DataFrame, market_col: str = "MARKET", stages: Sequence[str] = EVENT_STAGES,

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.funnel import EVENT_STAGES, stage_table, stage_times
+from ..operators.funnel import EVENT_STAGES, funnel_of_sums, stage_times
 
 #: The part of days that ``finish`` closes.
 LAST = 1 << 40
@@ -101,7 +101,7 @@ class EventFunnelStream:
             reached = self.spark.createDataFrame([], ", ".join(f"s{i} long" for i in range(len(self.stages))))
         else:  # a day that ``finish`` has closed may have been closed by a later micro-batch too, which knows more events
             reached = reached.groupBy("day").agg(*[F.min_by(f"s{i}", "batch").alias(f"s{i}") for i in range(len(self.stages))])
-        return stage_table(reached.agg(*sums).withColumn("_all", F.lit("all")), "_all", self.stages, "ENTITY_DAYS").drop("_all")
+        return funnel_of_sums(reached.agg(*sums), self.stages)
 
     def late(self) -> DataFrame:
         """One row: events that came after their day was closed, and events without a time."""
