@@ -3,29 +3,51 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField
 
 from ..session import ensure_checkpoint_dir
 
 
-#: Most rows of a table that may be broadcast, and the tasks over which a key is spread beyond.
+#: Most rows and values (array elements and 16 characters of text count one each) of a table that may be
+#: broadcast, and the tasks over which a key is spread beyond.
 BROADCAST_ROWS = 200_000
+BROADCAST_VALUES = 4_000_000
 SALTS = 32
 
 
-def counted(per_key: DataFrame) -> tuple[DataFrame, int]:
-    """A per-key aggregate, computed once into the checkpoint folder, and its row count."""
+@dataclass(frozen=True)
+class Size:
+    rows: int
+    values: int
+
+
+def _values(field: StructField) -> Column:
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, ArrayType):
+        return F.greatest(F.size(c), F.lit(1))
+    if isinstance(field.dataType, StringType):
+        return F.coalesce(F.ceil(F.octet_length(c) / 16), F.lit(1))
+    return F.lit(1)
+
+
+def counted(per_key: DataFrame) -> tuple[DataFrame, Size]:
+    """A per-key aggregate, computed once into the checkpoint folder, with its rows and values counted."""
     ensure_checkpoint_dir(per_key.sparkSession)
     side = per_key.checkpoint(eager=True)
-    return side, side.count()
+    held = reduce(lambda a, b: a + b, [_values(f).cast("bigint") for f in side.schema.fields])
+    rows, values = side.agg(F.count(F.lit(1)), F.coalesce(F.sum(held), F.lit(0))).first()
+    return side, Size(rows, values)
 
 
-def join_counted(df: DataFrame, side: tuple[DataFrame, int], keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a counted per-key table to ``df``: broadcast if small, salted otherwise."""
-    table, rows = side
-    if rows <= BROADCAST_ROWS:
+def join_counted(df: DataFrame, side: tuple[DataFrame, Size], keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a counted per-key table to ``df``: broadcast if few rows and values, salted otherwise."""
+    table, size = side
+    if size.rows <= BROADCAST_ROWS and size.values <= BROADCAST_VALUES:
         return df.join(F.broadcast(table), list(keys), how)
     salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
@@ -38,8 +60,8 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str] = (), how: str
     With no keys the aggregate has exactly one row; it is attached as a single
     scalar subquery (one struct, evaluated once, its fields read per row) --
     no join at all. A keyed aggregate is computed once (checkpointed) and
-    counted: up to ``BROADCAST_ROWS`` rows it is broadcast, so the rows of
-    ``df`` don't move; a larger one is joined by key and salt, so a hot key
+    counted: up to ``BROADCAST_ROWS`` rows and ``BROADCAST_VALUES`` values it is
+    broadcast, so the rows of ``df`` don't move; a larger one is joined by key and salt, so a hot key
     is spread over ``SALTS`` tasks.
     """
     if keys:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import np_round, to_double
 from ..sources.io import require_columns
+from .common import BROADCAST_ROWS
 
 # Default lexicon of the word-set scorer.
 POSITIVE_WORDS = ("good", "great", "amazing", "perfect", "clean", "friendly", "best", "beautiful")
@@ -121,6 +122,8 @@ def score_valence(df: DataFrame, valence: DataFrame | Mapping[str, float], text_
         keys = ["PLACE_ID", "REVIEW_INDEX"] if {"PLACE_ID", "REVIEW_INDEX"} <= set(df.columns) else [text_col]
     lex = valence if isinstance(valence, DataFrame) else df.sparkSession.createDataFrame(
         [(k, float(v)) for k, v in sorted(valence.items())], "word string, valence double")
+    if not isinstance(valence, DataFrame) and len(valence) <= BROADCAST_ROWS:
+        lex = F.broadcast(lex)  # a driver-side dictionary: only the words it holds leave the text's task
     texts = df.select(*dict.fromkeys([*keys, text_col]))
     texts = texts.distinct() if list(keys) == [text_col] else texts
     found = (texts.select(*keys, F.explode(words(text_col, distinct=False)).alias("word")).join(lex, "word")

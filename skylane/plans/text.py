@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import np_round
 from ..operators import text as tx
 from ..operators import topics as tp
+from ..operators import valence as va
 from ..operators import video as vd
 from ..sources.fixtures import fx_hotel_reviews, fx_videos, table, with_views
 from ..sources.io import rename_if_present
@@ -49,6 +50,14 @@ def q_sentiment_valence(spark, sf):
                     "SENTIMENT_LABEL")
 
 
+# Frequent corpus words as boosters, negations and contrast word, so that every rule fires often.
+TEST_RULES = va.Rules(boosters={"a": 0.293, "und": 0.293, "que": -0.293, "is": -0.293}, negations=("for", "en", "with", "die"), contrast="que")
+
+
+def q_sentiment_rules(spark, sf):
+    return va.score_rules(reviews(spark, sf), TEST_VALENCE, TEST_RULES)
+
+
 def q_topic_flags(spark, sf):
     r = tx.topic_flags(reviews(spark, sf), TEST_TOPICS)
     return r.select("PLACE_ID", "REVIEW_INDEX", *[f"TOPIC_{t.upper()}" for t in TEST_TOPICS], "PRIMARY_TOPIC")
@@ -130,6 +139,7 @@ QUERIES = {
     "reviews_extract": q_reviews_extract,
     "sentiment_lexicon": q_sentiment_lexicon,
     "sentiment_valence": q_sentiment_valence,
+    "sentiment_rules": q_sentiment_rules,
     "topic_flags": q_topic_flags,
     "topic_table": q_topic_table,
     "topic_table_flags": q_topic_table_flags,
@@ -204,6 +214,54 @@ drv as (select *, PCT_POSITIVE - PCT_NEGATIVE as NET_SENTIMENT from dr)
 """.format(mean=_MEAN)
 
 
+def _capital(w):
+    return f"({w} = upper({w}) and {w} <> lower({w}))"
+
+
+def _before(k, weight):
+    """One of the three words before: its boost, and the sign it turns."""
+    w = f"lower(b{k})"
+    boost = "case " + " ".join(f"when {w} = '{x}' then {b}e0" for x, b in TEST_RULES.boosters.items()) + " else 0e0 end"
+    loud = f"case when {_capital(f'b{k}')} and mixed then {va.CAPITALS}e0 else 0e0 end"
+    negated = f"({w} in {tuple(TEST_RULES.negations)} or ends_with({w}, 'n''t'))"
+    return (f"(({boost}) + sign({boost}) * ({loud})) * sign(valence) * {weight}e0",
+            f"case when {negated} then {va.NEGATION}e0 else 1e0 end")
+
+
+def _rules_sql():
+    punct = va.EDGES
+    x = f"valence + sign(valence) * case when {_capital('w')} and mixed then {va.CAPITALS}e0 else 0e0 end"
+    for k, weight in enumerate(va.DISTANCE_WEIGHTS, 1):
+        boost, turn = _before(k, weight)
+        x = f"(({x}) + {boost}) * ({turn})"
+    words = "cast(string_split_regex(REVIEW_TEXT, '[\\x20\\x09-\\x0D]+') as varchar[])"
+    asked = "(length(REVIEW_TEXT) - length(replace(REVIEW_TEXT, '?', '')))"
+    return f""", tk as (select PLACE_ID, REVIEW_INDEX,
+  least(length(REVIEW_TEXT) - length(replace(REVIEW_TEXT, '!', '')), {va.MOST_EXCLAMATIONS}) * {va.EXCLAMATION}e0
+    + case when {asked} <= 1 then 0e0 when {asked} <= {va.MOST_QUESTIONS} then {asked} * {va.QUESTION}e0 else {va.MANY_QUESTIONS}e0 end as e,
+  list_filter(list_transform({words}, lambda t: regexp_replace(t, '{punct}', '', 'g')), lambda t: t <> '') as ws from reviews),
+te as (select *, len(list_filter(ws, lambda t: {_capital('t')})) between 1 and len(ws) - 1 as mixed,
+  coalesce(list_position(list_transform(ws, lambda t: lower(t)), '{TEST_RULES.contrast}'), 0) as turn,
+  unnest(case when len(ws) = 0 then [null] else range(1, len(ws) + 1) end) as i from tk),
+tw as (select PLACE_ID, REVIEW_INDEX, e, mixed, turn, i, ws[i] as w, case when i > 1 then ws[i - 1] end as b1,
+  case when i > 2 then ws[i - 2] end as b2, case when i > 3 then ws[i - 3] end as b3 from te),
+lx as (select * from (values {", ".join(f"('{w}', {v}e0)" for w, v in TEST_VALENCE.items())}) t(word, valence)),
+tv as (select tw.*, cast(round_even((({x})
+    * case when turn > 0 and i < turn then {va.BEFORE_CONTRAST}e0 when turn > 0 and i > turn then {va.AFTER_CONTRAST}e0 else 1e0 end) * 1e6, 0) as bigint) as v
+  from tw left join lx on lx.word = lower(tw.w)),
+ts as (select PLACE_ID, REVIEW_INDEX, max(e) as e, cast(coalesce(sum(v), 0) as double) / 1e6 as s0,
+  cast(coalesce(sum(case when v > 0 then v + 1000000 end), 0) as double) / 1e6 as p0, cast(-coalesce(sum(case when v < 0 then v - 1000000 end), 0) as double) / 1e6 as n0,
+  cast(count(case when w is not null and coalesce(v, 0) = 0 then 1 end) as double) as u from tv group by PLACE_ID, REVIEW_INDEX),
+tz as (select PLACE_ID, REVIEW_INDEX, u, s0 + sign(s0) * e as VALENCE_SUM, p0 + case when p0 > n0 then e else 0e0 end as p,
+  n0 + case when p0 < n0 then e else 0e0 end as n from ts),
+tc as (select *, round_even(VALENCE_SUM / sqrt(VALENCE_SUM * VALENCE_SUM + 15e0), 4) as VADER_COMPOUND from tz)
+select PLACE_ID, REVIEW_INDEX, VALENCE_SUM, VADER_COMPOUND,
+  case when p + n + u = 0 then 0e0 else round_even(p / (p + n + u), 3) end as VADER_POS,
+  case when p + n + u = 0 then 0e0 else round_even(u / (p + n + u), 3) end as VADER_NEU,
+  case when p + n + u = 0 then 0e0 else round_even(n / (p + n + u), 3) end as VADER_NEG,
+  case when VADER_COMPOUND >= 0.05e0 then 'Positive' when VADER_COMPOUND <= -0.05e0 then 'Negative' else 'Neutral' end as SENTIMENT_LABEL from tc"""
+
+
 def _t(body):
     return with_views(_RV + body, "fx_hotel_reviews")
 
@@ -272,4 +330,5 @@ select video_id as VIDEO_ID, published_at as PUBLISHED_AT, cast(view_count as bi
   round_even((like_count + comment_count) / greatest(view_count, 1) * 100, 3) as ENGAGEMENT_RATE
 from fx_videos""", "fx_videos"),
 }
+ORACLE["sentiment_rules"] = _t(_rules_sql())
 ORACLE["valence_large_lexicon"] = ORACLE["sentiment_valence"]
