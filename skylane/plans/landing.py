@@ -10,9 +10,14 @@ tables, so it also checks the JSON round trip.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..sources import landing as ld
+from ..session import ensure_checkpoint_dir
+from ..sources import io, publish
 from ..sources.fixtures import table
 
 MARKET = "Dubai"
@@ -137,7 +142,55 @@ def q_video_flatten(spark, sf):
     return ld.merge_video_stats(first, stats)
 
 
+def _scratch(spark, name):
+    """A new folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/skylane-{name}-{uuid.uuid4().hex}"
+
+
+ORDERS = StructType([StructField("o_orderkey", LongType()), StructField("o_orderstatus", StringType()), StructField("o_totalprice", DoubleType()),
+                     StructField("o_orderdate", DateType()), StructField("o_orderpriority", StringType())])
+
+
+def _orders(spark, sf):
+    return table(spark, sf, "orders").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ORDERS.fields])
+
+
+def q_sink_round_trip(spark, sf):
+    """A3/A4: line items published by return flag (half of them under one flag, some without), read back whole."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.when(F.col("l_linenumber") != 7, F.col("l_returnflag")).alias("l_returnflag"))
+    path = _scratch(spark, "sink")
+    publish.publish_table(li, path, ["l_returnflag"])
+    return publish.read_published(spark, path, li.schema)
+
+
+def q_landed_csv(spark, sf):
+    """Orders as landed CSV, loaded with their declared schema behind the guards."""
+    path = _scratch(spark, "landed")
+    io.save_landed_csv(_orders(spark, sf), path)
+    back = io.load_landed_csv(spark, path, ORDERS)
+    return io.require_nonempty(io.require_columns(back, ORDERS.names, "landed orders"), "landed orders")
+
+
+def _broken_csv(spark, sf, path, every):
+    """Orders as header CSV in which the price of each ``every``-th order is no number."""
+    price = F.when(F.col("o_orderkey") % every == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    _orders(spark, sf).withColumn("o_totalprice", price).write.option("header", True).csv(path)
+
+
+def q_first_checked(spark, sf):
+    """A2: a missing candidate and one with half of its rows broken are passed over; broken rows of the third are set aside."""
+    base = _scratch(spark, "candidates")
+    _broken_csv(spark, sf, f"{base}/half.csv", 2)
+    _broken_csv(spark, sf, f"{base}/few.csv", 100)
+    got = publish.load_first_checked(spark, [f"{base}/missing.parquet", f"{base}/half.csv", f"{base}/few.csv"], ORDERS, max_reject_share=0.1)
+    rejects = got.rejects.select(F.split("LINE", ",")[0].cast("long").alias("o_orderkey"), F.lit(None).cast("double").alias("o_totalprice"), F.lit(True).alias("REJECTED"))
+    return got.rows.select("o_orderkey", "o_totalprice", F.lit(False).alias("REJECTED")).unionByName(rejects)
+
+
 QUERIES = {
+    "sink_round_trip": q_sink_round_trip,
+    "landed_csv": q_landed_csv,
+    "first_checked": q_first_checked,
     "dedup_first_seen": q_dedup_first_seen,
     "place_flatten": q_place_flatten,
     "review_rollup": q_review_rollup,
@@ -171,6 +224,11 @@ dr as (select *, cast(len(lines) as bigint) as NUM_REVIEWS_FETCHED,
   array_to_string(list_filter(lines, lambda x: x <> ''), ' ||| ') as REVIEW_TEXTS from dl)"""
 
 ORACLE = {
+    "sink_round_trip": "select l_orderkey, l_linenumber, l_quantity, case when l_linenumber <> 7 then l_returnflag end as l_returnflag from lineitem",
+    "landed_csv": """select o_orderkey, o_orderstatus, cast(o_totalprice as double) as o_totalprice, cast(o_orderdate as date) as o_orderdate, o_orderpriority
+from orders""",
+    "first_checked": """select o_orderkey, case when o_orderkey % 100 <> 0 then cast(o_totalprice as double) end as o_totalprice, o_orderkey % 100 = 0 as REJECTED
+from orders""",
     "dedup_first_seen": f"with {_FIRST} select cast(p_partkey as varchar) as PLACE_ID, QUERY_IDX, POS from first",
     "place_flatten": f"{_PLACES} select * from places",
     "review_rollup": f"""{_PLACES}, {_DETAILS}

@@ -43,6 +43,12 @@ def read_format(spark: SparkSession, path: str, fmt: str, schema: StructType | N
     return reader.format(fmt).load(path)
 
 
+def format_of(path: str) -> str:
+    """Format by file ending; parquet where it says nothing."""
+    fmt = path.rsplit(".", 1)[-1].lower()
+    return fmt if fmt in ("parquet", "csv", "json", "orc") else "parquet"
+
+
 def load_table(spark: SparkSession, base: str, name: str, formats: Sequence[str] = DEFAULT_FORMATS,
                schema: StructType | None = None, options: Mapping[str, str] | None = None) -> DataFrame:
     """A1: load ``base/name.<fmt>`` for the first format that can be read."""
@@ -58,8 +64,7 @@ def load_first(spark: SparkSession, paths: Iterable[str], schema: StructType | N
     """
     tried = []
     for p in paths:
-        fmt = p.rsplit(".", 1)[-1].lower()
-        fmt = fmt if fmt in ("parquet", "csv", "json", "orc") else "parquet"
+        fmt = format_of(p)
         try:
             if schema is not None and fmt in ("parquet", "orc"):
                 read_format(spark, p, fmt, None, options)
