@@ -326,6 +326,21 @@ def segment_market_crosstab(df: DataFrame, labels: DataFrame, markets: Sequence[
     return out.withColumn("ARCHETYPE", F.when(F.col("_g") == 1, F.lit("All")).otherwise(F.col("ARCHETYPE"))).drop("_g")
 
 
+def segment_market_shares(df: DataFrame, labels: DataFrame, label_col: str = "CLUSTER", market_col: str = "PREFERRED_MARKET") -> DataFrame:
+    """H11 in long form: (ARCHETYPE, MARKET, N, PCT) for any number of markets, with the ``All`` rows; nothing is collected.
+
+    Only pairs that occur have a row (the wide form's other cells are 0). Rows are counted per cluster and market
+    before the labels are joined, so the join moves counts, not rows. Null clusters, archetypes and markets count nowhere.
+    """
+    counts = df.where(F.col(market_col).isNotNull()).groupBy(label_col, F.col(market_col).alias("MARKET")).agg(F.count(F.lit(1)).alias("_n"))
+    named = counts.join(labels.select(label_col, "ARCHETYPE").where(F.col("ARCHETYPE").isNotNull()), label_col)
+    cells = named.groupBy("ARCHETYPE", "MARKET").agg(F.sum("_n").alias("N"))
+    every = cells.groupBy("MARKET").agg(F.sum("N").alias("N")).select(F.lit("All").alias("ARCHETYPE"), "MARKET", "N")
+    both = cells.select("ARCHETYPE", "MARKET", "N").unionByName(every)
+    rows = both.groupBy("ARCHETYPE").agg(F.sum("N").alias("_rows"))
+    return attach(both, rows, ["ARCHETYPE"]).select("ARCHETYPE", "MARKET", "N", (np_round(F.col("N") / F.col("_rows"), 3) * 100).alias("PCT"))
+
+
 # Recommendation texts per archetype rule, in match order
 # (pricing, marketing channel, product focus, upsell, retention).
 RECOMMENDATIONS = [

@@ -19,6 +19,26 @@ def q_ab_summary(spark, sf):
     return ab.ab_summary(fx_ab(spark, sf), G, Y)
 
 
+def messy(spark, sf):
+    """The experiment as landed: arm labels in any case, outcomes as text, some of them no numbers."""
+    raw = F.when(F.col("visitor_id") % 17 == 0, F.lit("n/a")).when(F.col("visitor_id") % 5 == 0, F.concat(F.col("converted").cast("string"), F.lit(".9"))) \
+        .otherwise(F.col("converted").cast("string"))
+    arm = F.when(F.col("visitor_id") % 3 == 0, F.upper(G)).when(F.col("visitor_id") % 3 == 1, F.initcap(G)).otherwise(F.col(G))
+    return fx_ab(spark, sf).withColumns({G: arm, Y: raw})
+
+
+def q_ab_sanitized(spark, sf):
+    return ab.sanitize_ab(messy(spark, sf), G, Y).select("visitor_id", G, Y)
+
+
+def q_ab_summary_sanitized(spark, sf):
+    return ab.ab_summary(ab.sanitize_ab(messy(spark, sf), G, Y), G, Y)
+
+
+def q_ab_price_histogram(spark, sf):
+    return ab.histogram(fx_ab(spark, sf), "display_price", 80, [G])
+
+
 def q_ab_ztest(spark, sf):
     r = ab.ab_ztest(fx_ab(spark, sf), G, Y)
     return r.withColumn("p_value", np_round("p_value", P_DIGITS))
@@ -90,6 +110,9 @@ QUERIES = {
     "ab_revenue_missing_fare": q_ab_revenue_missing_fare,
     "ab_bootstrap_check": q_ab_bootstrap_check,
     "ab_summary": q_ab_summary,
+    "ab_sanitized": q_ab_sanitized,
+    "ab_summary_sanitized": q_ab_summary_sanitized,
+    "ab_price_histogram": q_ab_price_histogram,
     "ab_ztest": q_ab_ztest,
     "ab_srm": q_ab_srm,
     "ab_segments": q_ab_segments,
@@ -136,7 +159,24 @@ select {{keep}} seg as SEGMENT_VALUE, n_c as N_CONTROL, n_t as N_TREATMENT,
   case when small then 'min_n_per_arm<50' else '' end as SKIP_REASON
 from ({_ztest_select('n_c', 'x_c', 'n_t', 'x_t', 'segc', extra='*, n_c < 50 or n_t < 50 as small,')}) z"""
 
+_MESSY = """messy as (select visitor_id,
+  case visitor_id % 3 when 0 then upper(ab_group) when 1 then upper(ab_group[1]) || ab_group[2:] else ab_group end as ab_group,
+  case when visitor_id % 17 = 0 then 'n/a' when visitor_id % 5 = 0 then cast(converted as varchar) || '.9' else cast(converted as varchar) end as converted from fx_ab),
+clean as (select visitor_id, lower(ab_group) as ab_group, cast(trunc(coalesce(try_cast(converted as double), 0e0)) as bigint) as converted from messy)"""
+
 ORACLE = {
+    "ab_sanitized": with_views(", " + _MESSY + " select visitor_id, ab_group, converted from clean", "fx_ab"),
+    "ab_summary_sanitized": with_views(", " + _MESSY + """ select ab_group, count(*) as N, cast(sum(converted) as bigint) as CONVERSIONS,
+  sum(converted) / greatest(count(*), 1) as CVR from clean group by ab_group""", "fx_ab"),
+    "ab_price_histogram": with_views(f""",
+s as (select ab_group, min(display_price) as lo, max(display_price) as hi from fx_ab group by ab_group),
+x as (select s.ab_group, display_price as v, lo, hi, (hi - lo) / 80e0 as step, least(cast(trunc((display_price - lo) / (hi - lo) * 80e0) as int), 79) as i0
+      from fx_ab p join s on s.ab_group = p.ab_group),
+x1 as (select *, case when v < i0 * step + lo then i0 - 1 else i0 end as i1 from x),
+x2 as (select *, case when i1 <> 79 and v >= (i1 + 1) * step + lo then i1 + 1 else i1 end as BIN from x1)
+select c.ab_group, c.BIN, c.BIN * ((s.hi - s.lo) / 80e0) + s.lo as BIN_LOW,
+  case when c.BIN = 79 then s.hi else (c.BIN + 1) * ((s.hi - s.lo) / 80e0) + s.lo end as BIN_HIGH, c.COUNT
+from (select ab_group, BIN, count(*) as COUNT from x2 group by ab_group, BIN) c join s on s.ab_group = c.ab_group""", "fx_ab"),
     "ab_summary": with_views(f"""
 select ab_group, count(*) as N, cast(sum({_Y}) as bigint) as CONVERSIONS, sum({_Y}) / greatest(count(*), 1) as CVR
 from fx_ab where ab_group is not null group by ab_group""", "fx_ab"),

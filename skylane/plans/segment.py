@@ -72,6 +72,15 @@ def q_segment_crosstab(spark, sf):
     return sg.segment_market_crosstab(travelers(spark, sf), labels(spark, sf))
 
 
+def many_markets(spark, sf):
+    """Travelers with one of two thousand markets each: more than a pivot takes."""
+    return travelers(spark, sf).withColumn("PREFERRED_MARKET", F.concat(F.lit("m"), (F.col("TRAVELER_ID") % 2003).cast("string")))
+
+
+def q_segment_market_shares(spark, sf):
+    return sg.segment_market_shares(many_markets(spark, sf), labels(spark, sf))
+
+
 def q_segment_recommendations(spark, sf):
     return sg.segment_recommendations(labels(spark, sf))
 
@@ -149,6 +158,7 @@ QUERIES = {
     "cluster_profile": q_cluster_profile,
     "cluster_labels": q_cluster_labels,
     "segment_crosstab": q_segment_crosstab,
+    "segment_market_shares": q_segment_market_shares,
     "segment_recommendations": q_segment_recommendations,
     "kruskal_wallis": q_kruskal_wallis,
     "pca_components": q_pca_components,
@@ -272,6 +282,10 @@ select case when grouping(ARCHETYPE) = 1 then 'All' else ARCHETYPE end as ARCHET
   round_even(avg(case when PREFERRED_MARKET = 'Dubai' then 1e0 else 0e0 end), 3) * 100 as PCT_DUBAI,
   round_even(avg(case when PREFERRED_MARKET = 'NYC' then 1e0 else 0e0 end), 3) * 100 as PCT_NYC
 from x group by rollup(ARCHETYPE)""", "fx_travelers"),
+    "segment_market_shares": with_views(_PROF + """, x as (select 'm' || (tr.TRAVELER_ID % 2003) as MARKET, lab.ARCHETYPE from tr join lab on lab.CLUSTER = tr.CLUSTER
+  where lab.ARCHETYPE is not null),
+c as (select ARCHETYPE, MARKET, count(*) as N from x group by ARCHETYPE, MARKET union all select 'All', MARKET, count(*) from x group by MARKET)
+select ARCHETYPE, MARKET, N, round_even(N / sum(N) over (partition by ARCHETYPE), 3) * 100 as PCT from c""", "fx_travelers"),
     "segment_recommendations": with_views(_PROF + " select ARCHETYPE, " + ", ".join(
         f"{_rec_case(j)} as {c}" for j, c in enumerate(sg.REC_COLUMNS)) + " from lab", "fx_travelers"),
     "kruskal_wallis": with_views(_KW + f""" select METRIC, round_even(H, 2) as H_STATISTIC,
