@@ -272,16 +272,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic_docs: int
 
 
 def spans(text: str, m: np.ndarray) -> str:
-    """Offsets of the tokens with a marginal of a half or more, neighbours joined: ``start-end,start-end``."""
+    """Offsets in the given text of the tokens with a marginal of a half or more, neighbours joined: ``start-end,start-end``."""
     out: list[list[int]] = []
     last = -2
     lowered = text.lower()
+    # a character may become several in lower case; at[k] is where the k-th of the lowered text stands in the given one
+    at = range(len(text)) if len(lowered) == len(text) else [i for i, c in enumerate(text) for _ in c.lower()]
     for i, found in enumerate(_TOKEN.finditer(lowered)):
         if m[i] >= 0.5:
+            start, end = at[found.start()], at[found.end() - 1] + 1
             if last == i - 1:
-                out[-1][1] = found.end()
+                out[-1][1] = end
             else:
-                out.append([found.start(), found.end()])
+                out.append([start, end])
             last = i
     return ",".join(f"{a}-{b}" for a, b in out)
 
@@ -291,7 +294,7 @@ TOGETHER = 1_000_000
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", prefix: str = "tox_") -> DataFrame:
-    """``docs`` with <prefix>score, <prefix>spans (offsets in the lower-cased text) and <prefix>tokens (expected toxic tokens)."""
+    """``docs`` with <prefix>score, <prefix>spans (offsets in the given text) and <prefix>tokens (expected toxic tokens)."""
     batch_bytes(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights, whatever the corpus
     new = [prefix + c for c in ("score", "spans", "tokens")]
