@@ -16,6 +16,8 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,8 @@ SHARE = 1.5
 MOST = 2
 BLOCK = 64
 SEED = 7
+#: Sources that one task puts in order.
+SOURCES_A_TASK = 50_000
 
 
 def targets(units: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -37,22 +41,44 @@ def targets(units: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     sources in the order of cap / weight.
     """
     per_source = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    placed = _in_order(stored(per_source, "sources"), [F.col("source").asc_nulls_last()], ["source_size"])
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = (per_source.withColumn("place", place).withColumn("weight", w)
+    s = (placed.drop("before_source_size", "all_source_size").withColumn("weight", w)
          .withColumn("cap", F.col("source_size") * float(most)).withColumn("ratio", F.col("cap") / F.col("weight")))
-    everything = Window.partitionBy()
-    before = Window.orderBy("ratio", "place").rowsBetween(Window.unboundedPreceding, -1)
-    rest = F.least(F.sum("source_size").over(everything) * share, F.sum("cap").over(everything)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    s = s.withColumn("level", rest / weight_left)
+    s = _in_order(stored(s, "caps"), ["ratio", "place"], ["source_size", "cap", "weight"], "rank")
+    rest = F.least(F.col("all_source_size") * share, F.col("all_cap")) - F.col("before_cap")
+    s = s.withColumn("level", rest / (F.col("all_weight") - F.col("before_weight")))
     # the first source in this order that the level does not fill sets the level of all
-    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "place", "level"))).over(everything)["level"]
-    return s.withColumn("common", level).select(
+    first = s.where(F.col("ratio") >= F.col("level")).agg(F.min(F.struct("ratio", "place", "level"))["level"].alias("level"))
+    return s.withColumn("common", first.scalar()).select(
         "source", "source_size", F.when(F.col("common").isNull(), F.col("cap"))
         .otherwise(F.least(F.col("cap"), F.col("common") * F.col("weight"))).alias("target"))
 
 
+def _in_order(table: DataFrame, order: list, sums: list[str], place: str = "place") -> DataFrame:
+    """A stored table with each row's place (from 1), and per column c of ``sums`` before_c (of the rows before it) and all_c.
+
+    Rows are cut into ranges of about SOURCES_A_TASK in ``order`` (which makes it total), so that no task holds all of them; what lies before
+    a range is added from the sums of the ranges, one row each.
+    """
+    ranges = max(1, math.ceil(table.count() / SOURCES_A_TASK))
+    ranged = stored(table.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("part").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(F.col(c).cast("double")).alias(c) for c in sums])
+    held = totals.agg(F.collect_list(F.struct("part", "n", *sums)).alias("held")).scalar()
+    in_range = Window.partitionBy("part").orderBy(*order)
+    before = in_range.rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumn("held", held)
+
+    def added(c: str, rows: Column) -> Column:
+        return F.aggregate(F.transform(rows, lambda x: x[c]), F.lit(0.0), lambda a, x: a + x)
+    earlier = F.filter("held", lambda x: x["part"] < F.col("part"))
+    new = {place: F.row_number().over(in_range) + added("n", earlier).cast("long")}
+    for c in sums:
+        new[f"before_{c}"] = F.coalesce(F.sum(F.col(c).cast("double")).over(before), F.lit(0.0)) + added(c, earlier)
+        new[f"all_{c}"] = added(c, F.col("held"))
+    return out.withColumns(new).drop("part", "held")
+
+
 def _settle(unit_array: Column) -> Column:
     """The pivotal method along an array of units (p, size, key ...): struct(settled: [(key, up)], left: unit)."""
     start = F.struct(F.element_at(unit_array, 1).alias("left"),

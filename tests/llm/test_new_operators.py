@@ -272,3 +272,35 @@ def test_large_groups_in_several_blocks(spark, docs, monkeypatch):
     data = near_copies(300)
     got = op09_jaccard.linked(spark.createDataFrame(data, X.DOCS).repartition(3)).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((a, c) for a, _, c in component_ids(data))
+
+
+def test_sources_in_ranges_get_the_targets_of_water(spark, monkeypatch):
+    from skylane.llm import op07_mixing
+
+    from .test_operators import water
+    sizes = {f"s{i:04d}": (i * 7919) % 1000 + (100_000 if i == 17 else 0) for i in range(2000)} | {None: 50}
+    units = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, size long, rows long").repartition(5)
+    want = water(sizes)
+    one = {r["source"]: (r["source_size"], r["target"]) for r in op07_mixing.targets(units).collect()}
+    monkeypatch.setattr(op07_mixing, "SOURCES_A_TASK", 100)
+    many = {r["source"]: (r["source_size"], r["target"]) for r in op07_mixing.targets(units).collect()}
+    assert one == many and set(one) == set(sizes)
+    assert all(one[s][0] == sizes[s] and abs(one[s][1] - want[s]) < 1e-6 * max(want[s], 1) for s in sizes)
+    plan = op07_mixing.targets(units)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition, ENSURE_REQUIREMENTS" not in plan.split("Subquery")[0] and "Window" in plan
+    assert op07_mixing.targets(units.limit(0)).count() == 0
+
+
+def test_toxic_spans_are_offsets_of_the_given_text():
+    import numpy as np
+
+    from skylane.llm import op02_toxicity
+    for text in ("İİİ idiot", "an idiot", "İdiot", "x İ", "ΑΣ idiot\tİ idiot"):
+        found = op02_toxicity.tokens(text)
+        for i, token in enumerate(found):
+            a, z = map(int, op02_toxicity.spans(text, np.eye(len(found))[i]).split("-"))
+            assert set(text[a:z].lower()) >= set(token), (text, token)
+    text = "İİİ you idiot scum"
+    marks = np.array([t in ("idiot", "scum") for t in op02_toxicity.tokens(text)], dtype=float)
+    a, z = map(int, op02_toxicity.spans(text, marks).split("-"))
+    assert text[a:z] == "idiot scum"
