@@ -201,6 +201,12 @@ def test_chat(spark):
         assert sum(len(r["text"]) for r in examples) == got[c]["formatted_chars"] and len(examples) == got[c]["n_examples"]
         replies = [op05_chat.unescape(r["text"][r["target_start"]:r["target_end"]]) for r in examples if r["target_start"] is not None]
         assert replies == [t for r, t in said if r == "assistant"]
+    assert {r["conv_id"]: r for r in op05_chat.digests(table, part=7).collect()} == got
+    parts = defaultdict(str)
+    for r in sorted(op05_chat.expanded(table, 5).collect(), key=lambda r: (str(r["conv_id"]), r["example"], r["part"])):
+        assert len(r["text"]) <= 5
+        parts[r["conv_id"], r["example"]] += r["text"]
+    assert parts == {(r["conv_id"], r["example"]): r["text"] for c in whole.values() for r in c}
     assert op05_chat.digests(table.limit(0)).count() == 0
 
 
