@@ -1,43 +1,55 @@
 """Exact top-k search: incremental multi-index hashing over binary codes.
 
-A vector's code is the signs of its components. A code is cut into segments; if a code lies within Hamming distance
-``segments * (r + 1) - 1`` of a query, at least one of its segments lies within r of the query's. So the search looks up, per
-segment, all values at distance 0, 1, 2 ... and stops as soon as the kth verified distance is covered by that bound.
+A vector's code is the signs of its components, as many words of 64 bits as it needs. A code is cut into segments; if a code lies within
+Hamming distance ``segments * (r + 1) - 1`` of a query, at least one of its segments lies within r of the query's. So the search
+looks up, per segment, all values at distance 0, then 1, 2 ... and a query leaves as soon as its kth verified distance is covered by
+that bound.
+
+The index is one posting per code and segment, spread over buckets by the segment's leading bits; there are about as many buckets
+as entries / BUCKET, and a bucket that common values overfill is split into pieces. At radius r a query that is still open goes
+only to the buckets whose leading bits differ from its own in at most r places, so neither postings nor queries are copied to
+all blocks. A code is reported by the first of its nearest segments alone, so no pair comes twice.
 
 Equal codes are one entry with its smallest ids (k + 1 of them answer any query), so a very common vector is one entry.
-Entries and queries are dealt to blocks of bounded size; every query block meets every entry block in a task of its own,
-which holds the segment tables of its entries; the best of all blocks are merged per query.
 
-Results in special cases: rows with a null id or vector have no code: they are neither found nor asked; null or NaN
+Results in special cases: rows with a null id or vector have no code: they are neither found nor asked; null, NaN and missing
 components count as not positive; a row is not its own neighbour, but a copy with another id is; repeated ids count
 once per code; ties in distance go to the smaller id; fewer than k other rows give fewer neighbours; an empty table
-gives an empty result.
+gives an empty result; vectors may have any number of components; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 K = 10
-BITS = 64
-ENTRY_BLOCK = 1 << 14
-QUERY_BLOCK = 256
+WORD = 64
+#: Bits of a segment: about log2 of the number of entries, at most WIDEST.
+WIDEST = 24
+#: Entries of a bucket (of a piece of one, where it is overfull), and queries searched together.
+BUCKET = 1 << 14
+QUERIES = 1 << 10
 SALTS = 64
+#: Most probes of a segment at a radius; beyond, all values of the bucket are compared with the query's (same hits).
+PROBES = 1 << 12
 
 
-def code_of(vector: Column, bits: int = BITS) -> Column:
-    """The signs of the first ``bits`` (at most 64) components as a long: bit i is set if component i is positive."""
-    bit = F.transform(F.slice(vector, 1, bits), lambda x, i: F.when(
-        F.coalesce((x > 0) & ~F.isnan(x), F.lit(False)), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+def code_of(vector: Column) -> Column:
+    """The signs of the components as words: bit i of word w is set if component 64 w + i is positive."""
+    def word(part: Column) -> Column:
+        bit = F.transform(part, lambda x, i: F.when(F.coalesce((x > 0) & ~F.isnan(x), F.lit(False)),
+                                                    F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(vector), F.lit(1)), F.lit(WORD))
+    return F.transform(starts, lambda at: word(F.slice(vector, at, WORD)))
 
 
 def entries_of(coded: DataFrame, keep: int) -> DataFrame:
@@ -49,87 +61,144 @@ def entries_of(coded: DataFrame, keep: int) -> DataFrame:
             .groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
 
 
-def _masks(width: int, radius: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], dtype=np.uint64)
-
-
-def block_search(entries: np.ndarray, queries: np.ndarray, k: int, bits: int = BITS):
-    """Per query the positions and distances of all entries up to its kth distance; arrays (query, entry, distance)."""
-    width = max(1, min(bits, 16, int(math.log2(max(2, len(entries))))))
-    cuts = list(range(0, bits, width))
-    widths = [min(width, bits - c) for c in cuts]
-    tables = []
-    for c, w in zip(cuts, widths):
-        values = ((entries >> np.uint64(c)) & np.uint64((1 << w) - 1)).astype(np.int64)
-        tables.append((np.argsort(values, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(values, minlength=1 << w))])))
-    want = min(k, len(entries))
-    active, found = np.arange(len(queries)), [[] for _ in queries]
-    for radius in range(max(widths) + 1):
-        covered = sum(min(radius, w) + 1 for w in widths) - 1
-        still = []
-        for q in active:
-            hits = []
-            for (order, start), c, w in zip(tables, cuts, widths):
-                if radius <= w:
-                    v = (((queries[q] >> np.uint64(c)) & np.uint64((1 << w) - 1)) ^ _MASKS(w, radius)).astype(np.int64)
-                    lo, n = start[v], start[v + 1] - start[v]
-                    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    hits.append(order[at])
-            found[q].append(np.concatenate(hits))
-            e = np.unique(np.concatenate(found[q]))
-            d = np.bitwise_count(entries[e] ^ queries[q])
-            found[q] = [e]
-            if len(e) >= want and (want == 0 or np.partition(d, want - 1)[want - 1] <= covered):
-                limit = np.partition(d, want - 1)[want - 1] if want else -1
-                found[q] = (e[d <= limit], d[d <= limit])
-            else:
-                still.append(q)
-        active = still
-        if not active:
-            break
-    return found
+def segments(bits: int, entries: int) -> list[tuple[int, int, int]]:
+    """(word, first bit, width) of each segment; none crosses a word, and those of a word are nearly equal."""
+    width = max(1, min(WIDEST, max(2, entries).bit_length()))
+    out = []
+    for w in range(-(-bits // WORD)):
+        size = min(WORD, bits - WORD * w)
+        n = -(-size // width)
+        cuts = [size * i // n for i in range(n + 1)]
+        out += [(w, a, b - a) for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
+def _values(codes: np.ndarray, segment: tuple[int, int, int]) -> np.ndarray:
+    w, at, width = segment
+    return ((codes[:, w] >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
-_CACHE: dict[tuple[int, int], np.ndarray] = {}
+def _masks(width: int, radius: int) -> list[int]:
+    return [sum(1 << b for b in c) for c in combinations(range(width), radius)]
 
 
-def _MASKS(width: int, radius: int) -> np.ndarray:
-    if (width, radius) not in _CACHE:
-        _CACHE[width, radius] = _masks(width, radius)
-    return _CACHE[width, radius]
+def bucket_hits(entries: np.ndarray, queries: np.ndarray, cuts: list[tuple[int, int, int]], s: int, radius: int):
+    """(query, entry, distance) of the entries that segment ``s`` reports at this radius: its values differ in exactly
+    ``radius`` bits, those of the earlier segments in more, those of the later ones in no fewer."""
+    mine, theirs = _values(entries, cuts[s]), _values(queries, cuts[s])
+    width = cuts[s][2]
+    if comb(width, radius) <= min(PROBES, max(1, len(entries))):
+        order = np.argsort(mine, kind="stable")
+        probes = (theirs[:, None] ^ np.array(_masks(width, radius), dtype=np.int64)[None, :]).ravel()
+        low, high = np.searchsorted(mine, probes, "left", sorter=order), np.searchsorted(mine, probes, "right", sorter=order)
+        n = high - low
+        q = np.repeat(np.arange(len(queries)).repeat(comb(width, radius)), n)
+        e = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    else:
+        q, e = np.nonzero(np.bitwise_count(theirs[:, None] ^ mine[None, :]) == radius)
+    for t, cut in enumerate(cuts):
+        if t != s:
+            apart = np.bitwise_count(_values(entries[e], cut) ^ _values(queries[q], cut))
+            keep = apart > radius if t < s else apart >= radius
+            q, e = q[keep], e[keep]
+    return q, e, np.bitwise_count(entries[e] ^ queries[q]).sum(axis=1, dtype=np.int32)
 
 
-def _search_block(k: int, bits: int):
-    def run(_key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        codes = left["code"].to_numpy(np.int64).view(np.uint64)
-        asked = right["code"].to_numpy(np.int64).view(np.uint64)
+_HITS = "code array<long>, entry array<long>, first long, distance int"
+
+
+def _search(k: int, cuts: list[tuple[int, int, int]], radius: int):
+    """Per query the ``k`` nearest of the codes that one bucket (or piece of one) reports."""
+    def matrix(codes: pd.Series) -> np.ndarray:
+        return np.stack(codes.to_numpy()).astype(np.int64).view(np.uint64)
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(codes):
-            for q, (e, d) in enumerate(block_search(codes, asked, k, bits)):
-                out.append(pd.DataFrame({"code": right["code"].iloc[q], "entry": left["code"].to_numpy()[e], "distance": d.astype(np.int32)}))
-        return pd.concat(out) if out else pd.DataFrame({"code": [], "entry": [], "distance": []}).astype(
-            {"code": "int64", "entry": "int64", "distance": "int32"})
+        if len(left) and len(right):
+            entries, first = matrix(left["code"]), left["first"].to_numpy()
+            for a in range(0, len(right), QUERIES):
+                asked = right["code"].iloc[a:a + QUERIES]
+                q, e, d = bucket_hits(entries, matrix(asked), cuts, int(key[0]), radius)
+                order = np.lexsort((first[e], d, q))
+                q, e, d = q[order], e[order], d[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                q, e, d = q[place < k], e[place < k], d[place < k]
+                out.append(pd.DataFrame({"code": asked.to_numpy()[q], "entry": left["code"].to_numpy()[e], "first": first[e], "distance": d}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["code", "entry", "first", "distance"], dtype=object).astype(
+            {"first": "int64", "distance": "int32"})
     return run
 
 
-def top_k(vectors: DataFrame, asked: Column, k: int = K, bits: int = BITS, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _bucket(cut: tuple[int, int, int], lead: int) -> Column:
+    """The leading ``lead`` bits of a segment of the column ``code``."""
+    w, at, width = cut
+    lead = min(lead, width)
+    moved = F.shiftrightunsigned(F.get("code", F.lit(w)), at + width - lead)
+    return moved.bitwiseAND(F.lit((1 << lead) - 1).cast("long"))
+
+
+def _placed(codes: DataFrame, cuts: list[tuple[int, int, int]], lead: int) -> DataFrame:
+    """``codes`` once per segment, with the segment and its bucket."""
+    places = F.array(*[F.struct(F.lit(s).alias("segment"), _bucket(cut, lead).alias("bucket")) for s, cut in enumerate(cuts)])
+    return codes.withColumn("at", F.explode(places)).select(*codes.columns, "at.segment", "at.bucket")
+
+
+def _reached(placed: DataFrame, cuts: list[tuple[int, int, int]], lead: int, radius: int) -> DataFrame:
+    """Queries at every bucket whose leading bits are at most ``radius`` places off theirs."""
+    by_lead = {}
+    for s, cut in enumerate(cuts):
+        by_lead.setdefault(min(lead, cut[2]), []).append(s)
+    masks = F.coalesce(*[F.when(F.col("segment").isin(ss), F.filter(
+        F.sequence(F.lit(0).cast("long"), F.lit((1 << n) - 1).cast("long")), lambda m: F.bit_count(m) <= radius)) for n, ss in by_lead.items()])
+    return placed.withColumn("mask", F.explode(masks)).withColumn("bucket", F.col("bucket").bitwiseXOR(F.col("mask"))).drop("mask")
+
+
+def top_k(vectors: DataFrame, asked: Column, k: int = K, id_col: str = "vec_id", vector: str = "embedding", bucket: int = BUCKET) -> DataFrame:
     """(query_id, rank, neighbour_id, distance): the k nearest other rows, by Hamming distance and id, of each asked row."""
-    coded = stored(vectors.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
-                   .select(F.col(id_col).alias("id"), code_of(F.col(vector), bits).alias("code"), asked.alias("asked")), "codes")
+    raw = stored(vectors.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
+                 .select(F.col(id_col).alias("id"), code_of(F.col(vector)).alias("code"), F.size(vector).alias("bits"), asked.alias("asked")), "codes")
+    bits = max(1, raw.agg(F.max("bits")).first()[0] or 1)
+    words = -(-bits // WORD)
+    coded = raw.withColumn("code", F.concat("code", F.array_repeat(F.lit(0).cast("long"), F.lit(words) - F.size("code"))))
     entries = stored(entries_of(coded.select("id", "code"), k + 1), "entries")
-    queries = stored(coded.where("asked").select("code").distinct(), "queries")
-    n_entries, n_queries = entries.count(), queries.count()
-    e_blocks, q_blocks = -(-n_entries // ENTRY_BLOCK) or 1, -(-n_queries // QUERY_BLOCK) or 1
-    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = entries.select("code", F.pmod(F.xxhash64("code"), F.lit(e_blocks)).cast("int").alias("eb")).withColumn("qb", grid(q_blocks))
-    right = queries.select("code", F.pmod(F.xxhash64(F.lit(1), F.col("code")), F.lit(q_blocks)).cast("int").alias("qb")).withColumn("eb", grid(e_blocks))
+    n_entries = entries.count()
+    cuts = segments(bits, n_entries)
+    lead = max(0, -(-n_entries // bucket) - 1).bit_length()
+
+    postings = stored(_placed(entries.select("code", F.get("ids", F.lit(0)).cast("long").alias("first")), cuts, lead), "postings")
+    filled = postings.groupBy("segment", "bucket").agg(F.ceil(F.count(F.lit(1)) / bucket).cast("int").alias("pieces"))
+    filled = stored(filled.where("pieces > 1"), "pieces")
+    filled = small(filled)
+    piece = F.pmod(F.xxhash64("code"), F.coalesce("pieces", F.lit(1)).cast("long"))
+    left = postings.join(filled, ["segment", "bucket"], "left").withColumn("piece", piece).drop("pieces")
+
     # one more entry than neighbours: the asked row's own code may hold nothing but the row itself
-    near = (left.groupBy("eb", "qb").cogroup(right.groupBy("eb", "qb"))
-            .applyInPandas(_search_block(k + 1, bits), "code long, entry long, distance int"))
-    best = (near.join(entries.withColumnRenamed("code", "entry"), "entry")
-            .select("code", "distance", F.explode("ids").alias("neighbour_id")))
+    want = min(k + 1, n_entries)
+    open_ = stored(coded.where("asked").select("code").distinct(), "queries")
+    best, done = None, []
+    order = Window.partitionBy("code").orderBy("distance", "first")
+    for radius in range(max(c[2] for c in cuts) + 1):
+        right = _reached(_placed(open_, cuts, lead), cuts, lead, radius).join(filled, ["segment", "bucket"], "left")
+        right = right.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)).cast("long") - 1))).drop("pieces")
+        keys = ["segment", "bucket", "piece"]
+        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(k + 1, cuts, radius), _HITS)
+        found = hits if best is None else hits.unionByName(best)
+        best = stored(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n"), "best")
+        covered = sum(min(radius, c[2]) + 1 for c in cuts) - 1
+        kth = best.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
+        closed = kth.where((F.col("n") >= want) & (F.col("kth") <= covered)).select("code")
+        done.append(best.join(closed, "code", "left_semi"))
+        best = best.join(closed, "code", "left_anti")
+        open_ = stored(open_.join(closed, "code", "left_anti"), "open")
+        if open_.isEmpty():
+            break
+    nearest = done[0]
+    for d in done[1:]:
+        nearest = nearest.unionByName(d)
+    named = (nearest.select("code", "entry", "distance").join(entries.withColumnRenamed("code", "entry"), "entry")
+             .select("code", "distance", F.explode("ids").alias("neighbour_id")))
     n = F.row_number().over(Window.partitionBy("code").orderBy("distance", "neighbour_id"))
-    lists = (best.withColumn("n", n).where(F.col("n") <= k + 1).groupBy("code")
+    lists = (named.withColumn("n", n).where(F.col("n") <= k + 1).groupBy("code")
              .agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour_id"))).alias("near")))
     mine = coded.where("asked").select("id", "code").distinct().join(lists, "code")
     others = F.slice(F.filter("near", lambda x: x["neighbour_id"] != F.col("id")), 1, k)

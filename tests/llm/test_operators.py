@@ -340,14 +340,30 @@ def test_search(spark):
     assert sorted(map(tuple, few)) == sorted((a, 1, b, d) for a, b, d in [(20, 40, few[0]["distance"]), (40, 20, few[0]["distance"])])
 
 
-def test_search_blocks_are_exact():
-    import numpy as np
-    rng = np.random.default_rng(1)
-    entries = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64) & np.uint64(0xFFFF00FF))
-    queries = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
-    for q, (e, d) in zip(queries, op08_search.block_search(entries, queries, 7)):
-        all_d = np.bitwise_count(entries ^ q)
-        assert sorted(e) == list(np.flatnonzero(all_d <= np.sort(all_d)[6])) and (all_d[e] == d).all()
+@pytest.mark.parametrize("bits, bucket", [(7, 4), (64, 16), (100, 1 << 14), (128, 32)])
+def test_search_of_any_width_in_small_buckets(spark, bits, bucket):
+    rng = random.Random(bits)
+    data = [(i, [rng.choice([-1.0, 1.0]) if j < 20 or j > bits - 12 else 1.0 for j in range(bits)]) for i in range(400)]
+    data += [(400 + i, [-x if rng.random() < 0.05 else x for x in data[20 * i][1]]) for i in range(20)] + [(500, [1.0] * 3), (520, [])]
+    code = lambda v: tuple(x > 0 for x in v) + (False,) * (bits - len(v))
+    codes = [(i, code(v)) for i, v in data]
+    want = []
+    for q, a in codes:
+        if q % 20 == 0:
+            near = sorted((sum(x != y for x, y in zip(a, b)), i) for i, b in codes if i != q)[:5]
+            want += [(q, n + 1, i, d) for n, (d, i) in enumerate(near)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(4)
+    got = op08_search.top_k(table, F.col("vec_id") % 20 == 0, k=5, bucket=bucket).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_search_sends_queries_to_near_buckets_alone(spark):
+    cuts = op08_search.segments(64, 1 << 20)
+    codes = spark.range(100).select(F.array(F.xxhash64("id")).alias("code"))
+    placed = op08_search._placed(codes, cuts, 10)
+    assert placed.count() == 100 * len(cuts)
+    assert op08_search._reached(placed, cuts, 10, 1).count() == 100 * len(cuts) * 11
+    assert sum(w for _, _, w in cuts) == 64 and sum(w for _, _, w in op08_search.segments(200, 1000)) == 200
 
 
 def component_ids(data):
