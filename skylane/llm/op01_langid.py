@@ -7,9 +7,13 @@ same way. Host prior: the text posteriors of a host's other rows, added up by gr
 those of its registered domain, which are smoothed towards those of all rows. A host with a third of all rows is pre-aggregated
 and its prior is joined back by broadcast (size-checked) or by a shuffle that splits.
 
+A model covers any number of languages: counts stay a table, and texts are scored by blocks of LANGUAGES languages, of which the
+driver and a task hold one at a time. Per row, host and domain there is one number a language, in arrays.
+
 Results in special cases: without any evidence (null or empty text, no declaration, unknown suffix) the host prior decides;
 ties go to the language first in code point order; rows of null hosts share one host; with no training rows the language is null;
-repeated rows come out as often as they come in; an empty table gives an empty result; further columns are ignored.
+repeated rows come out as often as they come in; an empty table gives an empty result; further columns are ignored; texts of
+any length are scored whole.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import batch_bytes, small, stored
 
 BUCKETS = 1 << 15
-#: Most languages of a model.
+#: Languages scored together: a task holds LANGUAGES x BUCKETS numbers, whatever the number of languages.
 LANGUAGES = 64
 TEMPER = 0.25
 DECLARED, ADDRESS = 0.95, 0.8
@@ -72,7 +76,7 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 class TextModel:
-    """log P(trigram | language) per bucket."""
+    """log P(trigram | language) per bucket, for a block of languages."""
 
     def __init__(self, counts: dict[str, np.ndarray]):
         self.languages = sorted(counts)
@@ -88,15 +92,35 @@ class TextModel:
         return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
-    """Trigram counts of all rows with a language. At most LANGUAGES x BUCKETS counts come to the driver."""
+class Counts:
+    """Trigram counts: the languages in code point order, and a table (lang, bucket, n)."""
+
+    def __init__(self, languages: list[str], table: DataFrame):
+        self.languages, self.table = languages, table
+
+    def blocks(self, size: int | None = None) -> Iterator[TextModel]:
+        """The models of ``size`` neighbouring languages at a time; at most size x BUCKETS counts come to the driver."""
+        size = size or LANGUAGES
+        for a in range(0, len(self.languages), size):
+            part = {x: np.zeros(BUCKETS) for x in self.languages[a:a + size]}
+            mine = self.table.where(F.col("lang").between(self.languages[a], self.languages[a:a + size][-1]))
+            for x, rows in mine.toPandas().groupby("lang"):
+                part[x][rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+            yield TextModel(part)
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Counts:
+    """Trigram counts of all rows with a language; the driver gets the languages' names."""
     batch_bytes(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull())
-    found = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
-    if len(found) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sparse(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for x, n in total.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))],
+                                                 ["lang", "bucket", "n"])
+
         total: dict[str, np.ndarray] = {}
         for b in batches:
             langs, texts = np.array(b.column("lang").to_pylist(), dtype=object), b.column("text").to_pylist()
@@ -104,17 +128,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
                 mine = [texts[i] for i in np.flatnonzero(langs == x)]
                 for _, part in _chunks(mine):
                     total[x] = total.get(x, 0) + np.bincount(trigrams(part)[0], minlength=BUCKETS)
-        for x, n in total.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))],
-                                             ["lang", "bucket", "n"])
+                if len(total) >= LANGUAGES:
+                    yield from sparse(total)
+                    total = {}
+        yield from sparse(total)
     counts = (rows.select(F.col(lang).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
               .mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    table = {r["lang"]: np.zeros(BUCKETS) for r in found}
-    got = counts.toPandas()
-    for x, part in got.groupby("lang"):
-        table[x][part["bucket"].to_numpy()] = part["n"].to_numpy()
-    return TextModel(table)
+    found = sorted(r["lang"] for r in rows.select(F.col(lang).alias("lang")).distinct().collect())
+    return Counts(found, stored(counts, "trigrams"))
 
 
 def _host_parts(url: Column) -> dict[str, Column]:
@@ -130,65 +151,96 @@ def declared_language(page: Column) -> Column:
     return F.lower(F.nullif(tag, F.lit("")))
 
 
-def identify(rows: DataFrame, model: TextModel, is_html: str | None = None) -> DataFrame:
+def _text_scores(rows: DataFrame, counts: Counts, keys: list[str], is_html: str | None) -> DataFrame:
+    """``keys`` and ``ll``, the tempered log likelihood per language: one pass over the texts for each block of languages."""
+    from pyspark.sql import types as T
+    spark = rows.sparkSession
+    batch_bytes(spark)
+    n_blocks = -(-len(counts.languages) // LANGUAGES)
+    out = rows.select(*keys, "text", F.array().cast("array<double>").alias("ll"), *([is_html] if is_html else []))
+    schema = T.StructType([*(rows.schema[c] for c in keys), T.StructField("text", T.StringType()), T.StructField("ll", T.ArrayType(T.DoubleType()))])
+
+    def scorer(sent, markup: str | None, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = [t or "" for t in b.column("text").to_pylist()]
+                if markup:
+                    texts = [visible_text(t) if m else t for t, m in zip(texts, b.column(markup).to_pylist())]
+                ll = sent.value.log_likelihood(texts) * TEMPER
+                if len(b) and len(b.column("ll")[0].as_py()):
+                    ll = np.concatenate([np.array(b.column("ll").to_pylist(), dtype=np.float64), ll], axis=1)
+                kept = pa.nulls(len(b), pa.string()) if last else pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), kept, pa.array(list(ll), pa.list_(pa.float64()))], [*keys, "text", "ll"])
+        return run
+
+    for i, model in enumerate(counts.blocks()):
+        sent = spark.sparkContext.broadcast(model)  # at most BUCKETS x LANGUAGES numbers
+        out = out.mapInArrow(scorer(sent, is_html if i == 0 else None, i == n_blocks - 1), schema)
+        if i < n_blocks - 1:
+            out = stored(out, "scored_block")  # a task holds one block's model
+    return out.drop("text")
+
+
+def _summed(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Element-wise sums of the arrays ``value`` per key, pre-aggregated per element."""
+    each = rows.select(*keys, F.posexplode(value).alias("at", "x")).groupBy(*keys, "at").agg(F.sum("x").alias("x"))
+    return each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias(value)).withColumn(value, F.col(value)["x"])
+
+
+def _total(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, b: a + b)
+
+
+def identify(rows: DataFrame, counts: Counts, is_html: str | None = None) -> DataFrame:
     """rows: keys ..., text, host, domain, declared, suffix_lang, path_lang (missing evidence: null).
 
     Adds language, confidence, text_language and host_share (the prior of the language). ``is_html`` names a boolean column
     that tells which texts are markup.
     """
-    langs = model.languages
+    langs = counts.languages
     keys = [c for c in rows.columns if c not in ("text", is_html)]
     if not langs:
         none = F.lit(None).cast("string")
         return rows.select(*keys, none.alias("language"), F.lit(0.0).alias("confidence"), none.alias("text_language"), F.lit(0.0).alias("host_share"))
-    batch_bytes(rows.sparkSession)
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x LANGUAGES numbers
-    kept = rows.select(*keys, "text", *([is_html] if is_html else []))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            if is_html:
-                texts = [visible_text(t) if m else t for t, m in zip(texts, b.column(is_html).to_pylist())]
-            ll = model.log_likelihood(texts) * TEMPER
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array(list(ll), pa.list_(pa.float64()))], [*keys, "ll"])
-
-    from pyspark.sql import types as T
-    schema = T.StructType([*(rows.schema[c] for c in keys), T.StructField("ll", T.ArrayType(T.DoubleType()))])
-    scored = kept.mapInArrow(run, schema)
-    top = F.array_max("ll")
-    e = F.transform("ll", lambda x: F.exp(x - top))
-    s = stored(scored.withColumn("e", e).withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b))).drop("e"), "text_posteriors")
-
-    sums = lambda name: [F.sum(F.get("p", F.lit(i))).alias(f"{name}{i}") for i in range(len(langs))]
-    hosts = stored(s.groupBy("host", "domain").agg(*sums("h")), "hosts")
-    domains = stored(hosts.groupBy("domain").agg(*[F.sum(f"h{i}").alias(f"d{i}") for i in range(len(langs))]), "domains")
-    total = domains.agg(*[F.sum(f"d{i}").alias(f"d{i}") for i in range(len(langs))]).first()
-    whole = [(x or 0.0) + 1.0 for x in total]
-    world = [x / sum(whole) for x in whole]
+    scored = _text_scores(rows, counts, keys, is_html)
+    e = F.transform("ll", lambda x: F.exp(x - F.array_max("ll")))
+    s = stored(scored.withColumn("e", e).withColumn("e_sum", _total(F.col("e"))).withColumn("p", F.transform("e", lambda x: x / F.col("e_sum")))
+               .drop("e", "e_sum"), "text_posteriors")
+
+    hosts = stored(_summed(s, ["host", "domain"], "p").withColumnRenamed("p", "of_host"), "hosts")
+    domains = stored(_summed(hosts, ["domain"], "of_host").withColumnRenamed("of_host", "in_domain"), "domains")
+    total = domains.select(F.posexplode("in_domain").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()  # a number per language
+    whole = [1.0] * len(langs)
+    for r in total:
+        whole[r["at"]] += r["x"]
+    world = F.lit([x / sum(whole) for x in whole])
     # a row holds a number per language (a prior two), so these are counted, not the rows
     with_domain = hosts.join(small(domains, domains.count() * len(langs)), hosts["domain"].eqNullSafe(domains["domain"])).drop(domains["domain"])
 
-    def smoothed(own: list[Column], towards: list[Column], weight: float) -> list[Column]:
-        n = sum(own[1:], own[0])
-        return [(x + weight * y) / (n + F.lit(weight)) for x, y in zip(own, towards)]
-    of_domain = smoothed([F.greatest(F.col(f"d{i}") - F.col(f"h{i}"), F.lit(0.0)) for i in range(len(langs))], [F.lit(w) for w in world], DOMAIN_WEIGHT)
-    priors = stored(with_domain.select(F.col("host").alias("p_host"), F.col("domain").alias("p_domain"), F.array(*[f"h{i}" for i in range(len(langs))]).alias("of_host"),
-                                       F.array(*of_domain).alias("of_domain")), "priors")
+    def others(name: str, all_of: str, own: str) -> tuple[str, Column]:
+        return name, F.zip_with(all_of, own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
+
+    def smoothed(own: str, n: str, towards: Column, weight: float) -> Column:
+        return F.zip_with(own, towards, lambda x, y: (x + F.lit(weight) * y) / (F.col(n) + F.lit(weight)))
+    with_domain = with_domain.withColumn(*others("rest", "in_domain", "of_host")).withColumn("rest_n", _total(F.col("rest")))
+    priors = stored(with_domain.select(F.col("host").alias("p_host"), F.col("domain").alias("p_domain"), "of_host",
+                                       smoothed("rest", "rest_n", world, DOMAIN_WEIGHT).alias("of_domain")), "priors")
     j = s.join(small(priors, priors.count() * 2 * len(langs)), F.col("host").eqNullSafe(F.col("p_host")) & F.col("domain").eqNullSafe(F.col("p_domain")))
-    others = [F.greatest(F.get("of_host", F.lit(i)) - F.get("p", F.lit(i)), F.lit(0.0)) for i in range(len(langs))]
-    prior = smoothed(others, [F.get("of_domain", F.lit(i)) for i in range(len(langs))], HOST_WEIGHT)
-
-    def speaks(evidence: str, x: str, strength: float) -> Column:
-        return F.when(F.col(evidence).isin(langs), F.log(F.when(F.col(evidence) == x, F.lit(strength)).otherwise(
-            F.lit((1 - strength) / max(1, len(langs) - 1))))).otherwise(0.0)
-    log_post = [F.log(prior[i] + 1e-12) + F.get("ll", F.lit(i)) + speaks("declared", x, DECLARED) + speaks("suffix_lang", x, ADDRESS)
-                + speaks("path_lang", x, ADDRESS) for i, x in enumerate(langs)]
-    j = j.withColumn("prior", F.array(*prior)).withColumn("post", F.array(*log_post))
-    best = F.array_position("post", F.array_max("post")).cast("int")
-    j = j.withColumn("best", best).withColumn("high", F.array_max("post"))
-    names = F.array(*[F.lit(x) for x in langs])
+    j = j.withColumn(*others("rest", "of_host", "p")).withColumn("rest_n", _total(F.col("rest")))
+    j = j.withColumn("prior", smoothed("rest", "rest_n", F.col("of_domain"), HOST_WEIGHT))
+
+    names = F.lit(langs)
+    for c in ("declared", "suffix_lang", "path_lang"):
+        j = j.withColumn(f"{c}_at", F.coalesce(F.array_position(names, F.col(c)), F.lit(0)).cast("int") - 1)
+
+    def speaks(evidence: str, i: Column, strength: float) -> Column:
+        rest = float(np.log((1 - strength) / max(1, len(langs) - 1)))
+        at = F.col(f"{evidence}_at")
+        return F.when(at < 0, F.lit(0.0)).when(at == i, F.lit(float(np.log(strength)))).otherwise(F.lit(rest))
+    post = F.transform("prior", lambda x, i: F.log(x + 1e-12) + F.get("ll", i) + speaks("declared", i, DECLARED)
+                       + speaks("suffix_lang", i, ADDRESS) + speaks("path_lang", i, ADDRESS))
+    j = j.withColumn("post", post).withColumn("high", F.array_max("post"))
+    j = j.withColumn("best", F.array_position("post", F.col("high")).cast("int"))
     norm = F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("high")))
     return j.select(*keys, F.element_at(names, F.col("best")).alias("language"), F.round(1 / norm, 9).alias("confidence"),
                     F.element_at(names, F.array_position("ll", F.array_max("ll")).cast("int")).alias("text_language"),

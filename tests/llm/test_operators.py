@@ -1,6 +1,7 @@
 """Every corpus operator against a plain-Python reading of its contract, on documents with every special case."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -51,6 +52,66 @@ def test_langid(spark, docs):
     assert op01_langid.corpus_languages(docs, pages.limit(0)).count() == docs.count()
 
 
+def langid_want(docs, pages):
+    """(kind, id, language, confidence, text_language, host_share) of each row, in plain Python."""
+    def buckets(text):
+        p, mask = [ord(c) for c in f" {text.lower()} "], 0xFFFFFFFF
+        for a, b, c in zip(p, p[1:], p[2:]):
+            h = (a * 0x9E3779B1 & mask) ^ (b * 0x85EBCA77 & mask) ^ (c * 0xC2B2AE3D & mask)
+            yield ((h ^ (h >> 15)) * 0x2C1B3C6D & mask) >> 17
+    learn = [(t or "", lang) for i, t, lang, *_ in docs if zlib.crc32(str(i).encode()) % 5 and lang is not None]
+    langs = sorted({lang for _, lang in learn})
+    counts = {x: Counter(b for t, lang in learn if lang == x for b in buckets(t)) for x in langs}
+    mass = {x: sum(counts[x].values()) + 0.5 * 32768 for x in langs}
+    rows = [("document", i, t or "", "source:" + (source or ""), "documents", {}) for i, t, _, source, _ in docs]
+    for i, url, page in pages:
+        host = (re.match(r"https?://([^/]*)", url or "") or [None, ""])[1]
+        found = {"declared": (re.search(r"<html lang='(..)'", page or "") or [None, None])[1], "path": (re.search(r"://[^/]*/(..)/", url or "") or [None, None])[1],
+                 "suffix": op01_langid.SUFFIXES.get(host.rpartition(".")[2]) if "." in host else None}
+        domain = ".".join(host.split(".")[-2:]) if "." in host else ""
+        rows.append(("page", i, op01_langid.visible_text(page), host, domain, found))
+    ll = [[sum(math.log(counts[x][b] + 0.5) - math.log(mass[x]) for b in buckets(r[2])) * 0.25 for x in langs] for r in rows]
+    p = [[math.exp(v - max(scores)) for v in scores] for scores in ll]
+    p = [[v / sum(e) for v in e] for e in p]
+    n = len(langs)
+    add = lambda chosen: [sum(v[k] for v in chosen) for k in range(n)]
+    world = [v + 1 for v in add(p)]
+    world = [v / sum(world) for v in world]
+    for r, scores, own in zip(rows, ll, p):
+        host = add([q for o, q in zip(rows, p) if o[3:5] == r[3:5]])
+        around = [max(a - b, 0) for a, b in zip(add([q for o, q in zip(rows, p) if o[4] == r[4]]), host)]
+        near = [(a + 20 * w) / (sum(around) + 20) for a, w in zip(around, world)]
+        rest = [max(a - b, 0) for a, b in zip(host, own)]
+        prior = [(a + 5 * w) / (sum(rest) + 5) for a, w in zip(rest, near)]
+        post = [math.log(q + 1e-12) + v for q, v in zip(prior, scores)]
+        for kind, strength in (("declared", 0.95), ("suffix", 0.8), ("path", 0.8)):
+            if r[5].get(kind) in langs:
+                post = [v + math.log(strength if x == r[5][kind] else (1 - strength) / max(1, n - 1)) for v, x in zip(post, langs)]
+        best = post.index(max(post))
+        yield (r[0], r[1], langs[best], 1 / sum(math.exp(v - max(post)) for v in post), langs[scores.index(max(scores))], prior[best])
+
+
+@pytest.mark.parametrize("block", [64, 3])
+def test_langid_is_the_plain_reading_for_any_number_of_languages(spark, monkeypatch, block):
+    monkeypatch.setattr(op01_langid, "LANGUAGES", block)
+    rng = random.Random(6)
+    langs = ["de", "en", "es", "fr", "it", "pl", "pt"] + [f"x{i:02}" for i in range(70 if block == 64 else 1)]
+    say = lambda x, n=12: " ".join(f"{x}{rng.choice('abc')}{x[::-1]}" for _ in range(n))
+    docs = [(i, say(langs[i % len(langs)]), langs[i % len(langs)], f"s{i % 3}", 1) for i in range(6 * len(langs))]
+    docs += [(900, None, None, None, 1), (901, "", "en", "s1", 1), (902, say("de", 4000), None, "s2", 1)]
+    pages = [(i, f"https://h{i % 4}.example{i % 2}.{('de', 'org', 'fr')[i % 3]}/{('it', 'about')[i % 2]}/p", f"<html lang='{langs[i % 9 % 8]}'><p>{say(langs[i % 5], i % 3)}</p></html>")
+             for i in range(24)] + [(50, None, None), (51, "https://h1.example1.org/en/p", "")]
+    got = op01_langid.corpus_languages(spark.createDataFrame(docs, X.DOCS), spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    got = {(r["kind"], r["doc_id"] if r["kind"] == "document" else r["page_id"]): r for r in got}
+    want = list(langid_want(docs, pages))
+    assert len(got) == len(want)
+    for kind, i, language, confidence, text_language, share in want:
+        r = got[kind, i]
+        assert r["confidence"] == pytest.approx(confidence, abs=1e-4) and r["host_share"] == pytest.approx(share, abs=1e-4) or confidence < 0.5
+        assert r["language"] == language or confidence < 0.5
+        assert r["text_language"] == text_language or (kind, i) in (("document", 900), ("document", 901)) or confidence < 0.9
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(1)
     data, labels = [], []
