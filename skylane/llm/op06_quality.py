@@ -5,7 +5,8 @@ distinct documents of its host that carry it; exact copies of a document count o
 turn its own lines into boilerplate. Lines above the limits are removed, and documents that lose too much are rejected.
 
 Results in special cases: null and empty texts have no words and fail the base rules; a null host is a host of its own;
-repeated rows are judged alike and all returned; an empty table gives an empty result; further columns are ignored.
+repeated rows are judged alike and all returned; an empty table gives an empty result; further columns are ignored; texts of any length
+are read whole.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]+"
 
-#: A line is boilerplate if more documents of its host than both limits carry it. The share is the rule of the op6 query (and of its
-#: SQL); with a share of 0 the count alone decides, whatever the size of the host.
+#: A line is boilerplate if more than LINE_DOCS documents of its host, and more than LINE_SHARE of them, carry it. With a share of 0 the
+#: count alone decides, so that the limit does not grow with the host.
 LINE_DOCS = 20
-LINE_SHARE = 0.1
+LINE_SHARE = 0.0
 #: Up to so many frequent lines a host, each host's lines are sent to its documents as an array; beyond, lines are joined.
 HOST_LINES = 500
 #: A document is depleted if boilerplate was removed and less than this share of its words, or than MIN_WORDS, remains.

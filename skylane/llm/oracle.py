@@ -37,10 +37,9 @@ worded as (
   from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
 per_doc as (select r, count(*) - count(distinct line) as dup from worded group by r),
 contents as (select min(r) as r, source, text from d group by source, text),
-hosts as (select source, count(*) as nd from contents group by source),
 frequent as (
   select c.source, plain from worded join contents c using (r) group by c.source, plain
-  having count(distinct r) > 20 and count(distinct r) > 0.1 * (select nd from hosts h where h.source is not distinct from c.source)),
+  having count(distinct r) > 20),
 gone as (
   select x.r, sum(n) as n from worded x join d using (r) join frequent f on f.plain = x.plain and f.source is not distinct from d.source
   group by x.r),

@@ -277,7 +277,7 @@ def test_chat_escape_round_trip(text):
     assert op05_chat.read_turn(op05_chat.format_turn(text, text)[0]) == (text, text)
 
 
-def quality_want(data):
+def quality_want(data, share=0.0):
     plain = lambda s: re.sub("[0-9]", "0", re.sub(r"[\x20\x09-\x0D]+", " ", s.strip(" \t\n\x0b\f\r").lower()))
     in_docs, host_docs = Counter(), Counter()
     for source, text in {(d[3], d[1] or "") for d in data}:
@@ -289,7 +289,7 @@ def quality_want(data):
         lines = [s for s in text.split("\n") if X.split_words(s)]
         windows = Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
         covered = {i + k for i in range(len(w) - 4) if windows[tuple(w[i:i + 5])] > 1 for k in range(5)}
-        gone = sum(len(X.split_words(s)) for s in lines if in_docs[source, plain(s)] > 20 and in_docs[source, plain(s)] > 0.1 * host_docs[source])
+        gone = sum(len(X.split_words(s)) for s in lines if in_docs[source, plain(s)] > 20 and in_docs[source, plain(s)] > share * host_docs[source])
         failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
         left = len(w) - gone
         kept = not failed and not (gone and (left < 10 or left < 0.3 * len(w)))
@@ -308,6 +308,8 @@ def test_quality(docs, empty):
     assert not any("same old line" in r["text"] for r in rows if r["source"] == "c")
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
     assert op06_quality.quality(empty).count() == 0
+    some = op06_quality.quality(docs, line_share=1.0).collect()
+    assert X.by_repr(map(tuple, some)) == X.by_repr(quality_want(X.rows(), 1.0)) != X.by_repr(want)
 
 
 @pytest.mark.parametrize("host_lines", [500, 0])
