@@ -189,6 +189,43 @@ def test_license_templates_need_position_and_phrases():
     assert not index.scan(op03_licenses.file_words(grant.replace("hereby granted", "not granted")))[2]
 
 
+def test_license_rare_words_lose_nothing():
+    """Looking up rare words first finds what a search over all words at every relative position finds."""
+    index = op03_licenses.Index()
+    rng = random.Random(12)
+    index.weigh({i: rng.randrange(1000) for i in range(len(index.number))}, 1000)
+
+    def all_words(words):
+        at = {}
+        for place, w in enumerate(words):
+            at.setdefault(index.number.get(w), []).append(place)
+        labels = set()
+        for label, template, phrases in index.templates:
+            mass = sum(index.idf[n] for n in template)
+            votes = [(p - q, q) for q, n in enumerate(template) for p in at.get(n, ())]
+            for high in {o for o, _ in votes}:
+                inside = [(o, q) for o, q in votes if high - op03_licenses.SLACK <= o <= high]
+                low, top = min(o for o, _ in inside) - op03_licenses.SLACK, high + len(template) + op03_licenses.SLACK
+                if sum(index.idf[template[q]] for q in {q for _, q in inside}) / mass >= op03_licenses.COVER and all(
+                        any(low <= p and p + len(f) - 1 <= top and all(p + k in at.get(n, ()) for k, n in enumerate(f)) for p in at.get(f[0], ()))
+                        for f in phrases):
+                    labels.add(label)
+        return labels
+
+    found = Counter()
+    for _ in range(300):
+        words = []
+        for _ in range(3):
+            said = op03_licenses.file_words(rng.choice(op03_licenses.TEMPLATES)[1])
+            cut = rng.random() * 0.4
+            words += [b"filler"] * rng.randrange(5) + [w for w in said if rng.random() > cut] + rng.sample(said, min(4, len(said)))
+        places, base, labels, score = index.scan(words)
+        assert labels - base == all_words(words) - base and 0 <= score <= 1
+        found.update(labels)
+    assert len(found) > 20
+    assert all(0 < len(index.rare_words(i)) < len(set(t)) or len(set(t)) < 6 for i, (_, t, _) in enumerate(index.templates))
+
+
 def test_license_file_with_many_licenses():
     grants = [(label, t) for label, t, _ in op03_licenses.TEMPLATES if len(t) > 70]
     text = ("\n" + "x y z " * 20).join(t for _, t in grants)
