@@ -3,7 +3,7 @@
 A vector's code is the signs of its components, as many words of 64 bits as it needs. A code is cut into segments; if a code lies within
 Hamming distance ``segments * (r + 1) - 1`` of a query, at least one of its segments lies within r of the query's. So the search
 looks up, per segment, all values at distance 0, then 1, 2 ... and a query leaves as soon as its kth verified distance is covered by
-that bound.
+that bound; until then, only codes within its kth distance so far are reported to it.
 
 The index is one posting per code and segment, spread over buckets by the segment's leading bits; there are about as many buckets
 as entries / BUCKET, and a bucket that common values overfill is split into pieces. At radius r a query that is still open goes
@@ -36,7 +36,7 @@ WORD = 64
 WIDEST = 24
 #: Entries of a bucket (of a piece of one, where it is overfull), and queries searched together.
 BUCKET = 1 << 14
-QUERIES = 1 << 10
+QUERIES = 1 << 8
 SALTS = 64
 #: Most probes of a segment at a radius; beyond, all values of the bucket are compared with the query's (same hits).
 PROBES = 1 << 12
@@ -82,32 +82,47 @@ def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for c in combinations(range(width), radius)]
 
 
-def bucket_hits(entries: np.ndarray, queries: np.ndarray, cuts: list[tuple[int, int, int]], s: int, radius: int):
-    """(query, entry, distance) of the entries that segment ``s`` reports at this radius: its values differ in exactly
-    ``radius`` bits, those of the earlier segments in more, those of the later ones in no fewer."""
+def _found(entries: np.ndarray, low: np.ndarray, queries: np.ndarray, width: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, entry) of the values (of ``width`` bits) that lie exactly ``radius`` apart; ``low`` sorted by ``entries``."""
+    if comb(width, radius) > min(PROBES, max(1, len(low))):
+        q, e = np.nonzero(np.bitwise_count(queries[:, None] ^ low[None, :]) == radius)
+        return q, entries[e]
+    start = np.concatenate([[0], np.cumsum(np.bincount(low, minlength=1 << width))])
+    probes = (queries[:, None] ^ np.array(_masks(width, radius), dtype=np.int64)[None, :]).ravel()
+    at, n = start[probes], start[probes + 1] - start[probes]
+    q = np.repeat(np.arange(len(queries)).repeat(comb(width, radius)), n)
+    return q, entries[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def bucket_hits(entries: np.ndarray, queries: np.ndarray, bounds: np.ndarray, cuts: list[tuple[int, int, int]], s: int, lead: int, radius: int):
+    """(query, entry, distance) of the entries of one bucket, within the queries' bounds, that segment ``s`` reports at this
+    radius: its values differ in exactly ``radius`` bits, those of earlier segments in more, of later ones in no fewer."""
+    width = cuts[s][2] - min(lead, cuts[s][2])
     mine, theirs = _values(entries, cuts[s]), _values(queries, cuts[s])
-    width = cuts[s][2]
-    if comb(width, radius) <= min(PROBES, max(1, len(entries))):
-        order = np.argsort(mine, kind="stable")
-        probes = (theirs[:, None] ^ np.array(_masks(width, radius), dtype=np.int64)[None, :]).ravel()
-        low, high = np.searchsorted(mine, probes, "left", sorter=order), np.searchsorted(mine, probes, "right", sorter=order)
-        n = high - low
-        q = np.repeat(np.arange(len(queries)).repeat(comb(width, radius)), n)
-        e = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    else:
-        q, e = np.nonzero(np.bitwise_count(theirs[:, None] ^ mine[None, :]) == radius)
+    order = np.argsort(mine, kind="stable")
+    low = mine[order] & ((1 << width) - 1)
+    away = np.bitwise_count((theirs ^ mine[0]) >> width)  # the bucket's leading bits are common to its entries
+    pairs = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    for d in np.unique(away[(away <= radius) & (away >= radius - width)]):
+        ask = np.flatnonzero(away == d)
+        q, e = _found(order, low, theirs[ask] & ((1 << width) - 1), width, radius - int(d))
+        pairs.append((ask[q], e))
+    q, e = (np.concatenate(x) for x in zip(*pairs))
+    distance = np.bitwise_count(entries[e] ^ queries[q]).sum(axis=1, dtype=np.int32)
+    near = distance <= bounds[q]
+    q, e, distance = q[near], e[near], distance[near]
     for t, cut in enumerate(cuts):
         if t != s:
             apart = np.bitwise_count(_values(entries[e], cut) ^ _values(queries[q], cut))
             keep = apart > radius if t < s else apart >= radius
-            q, e = q[keep], e[keep]
-    return q, e, np.bitwise_count(entries[e] ^ queries[q]).sum(axis=1, dtype=np.int32)
+            q, e, distance = q[keep], e[keep], distance[keep]
+    return q, e, distance
 
 
 _HITS = "code array<long>, entry array<long>, first long, distance int"
 
 
-def _search(k: int, cuts: list[tuple[int, int, int]], radius: int):
+def _search(k: int, cuts: list[tuple[int, int, int]], lead: int, radius: int):
     """Per query the ``k`` nearest of the codes that one bucket (or piece of one) reports."""
     def matrix(codes: pd.Series) -> np.ndarray:
         return np.stack(codes.to_numpy()).astype(np.int64).view(np.uint64)
@@ -117,8 +132,8 @@ def _search(k: int, cuts: list[tuple[int, int, int]], radius: int):
         if len(left) and len(right):
             entries, first = matrix(left["code"]), left["first"].to_numpy()
             for a in range(0, len(right), QUERIES):
-                asked = right["code"].iloc[a:a + QUERIES]
-                q, e, d = bucket_hits(entries, matrix(asked), cuts, int(key[0]), radius)
+                asked, bounds = right["code"].iloc[a:a + QUERIES], right["bound"].iloc[a:a + QUERIES].to_numpy()
+                q, e, d = bucket_hits(entries, matrix(asked), bounds, cuts, int(key[0]), lead, radius)
                 order = np.lexsort((first[e], d, q))
                 q, e, d = q[order], e[order], d[order]
                 place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -174,22 +189,25 @@ def top_k(vectors: DataFrame, asked: Column, k: int = K, id_col: str = "vec_id",
 
     # one more entry than neighbours: the asked row's own code may hold nothing but the row itself
     want = min(k + 1, n_entries)
-    open_ = stored(coded.where("asked").select("code").distinct(), "queries")
+    open_ = stored(coded.where("asked").select("code").distinct().withColumn("bound", F.lit(bits)), "queries")
     best, done = None, []
     order = Window.partitionBy("code").orderBy("distance", "first")
     for radius in range(max(c[2] for c in cuts) + 1):
         right = _reached(_placed(open_, cuts, lead), cuts, lead, radius).join(filled, ["segment", "bucket"], "left")
         right = right.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)).cast("long") - 1))).drop("pieces")
         keys = ["segment", "bucket", "piece"]
-        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(k + 1, cuts, radius), _HITS)
+        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(k + 1, cuts, lead, radius), _HITS)
         found = hits if best is None else hits.unionByName(best)
         best = stored(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n"), "best")
         covered = sum(min(radius, c[2]) + 1 for c in cuts) - 1
-        kth = best.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
-        closed = kth.where((F.col("n") >= want) & (F.col("kth") <= covered)).select("code")
+        kth = best.groupBy("code").agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= want).drop("n")
+        # farther ones than the kth found can't be among the nearest any more
+        judged = stored(open_.join(kth, "code", "left").select("code", F.coalesce("kth", "bound").alias("bound"), F.coalesce(F.col("kth") <= covered, F.lit(False)).alias("closed")),
+                        "judged")
+        closed = judged.where("closed").select("code")
         done.append(best.join(closed, "code", "left_semi"))
         best = best.join(closed, "code", "left_anti")
-        open_ = stored(open_.join(closed, "code", "left_anti"), "open")
+        open_ = judged.where("not closed").select("code", "bound")
         if open_.isEmpty():
             break
     nearest = done[0]
