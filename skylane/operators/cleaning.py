@@ -68,9 +68,10 @@ def ffill_bfill(df: DataFrame, date_col: str, value_cols: Sequence[str], keys: S
         return scan.filled(df, [date_col, *ties], value_cols, keys)
     w = series_window(keys, date_col)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    fwd = w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back),
-                                         F.first(c, ignorenulls=True).over(fwd)) for c in value_cols})
+    # the rows ahead are read backwards: a frame up to the last row would be read to its end for every row
+    ahead = series_window(keys, F.desc("_nth")).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("_nth", F.row_number().over(w)).withColumns({
+        c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.last(c, ignorenulls=True).over(ahead)) for c in value_cols}).drop("_nth")
 
 
 def clean_series(df: DataFrame, date_col: str, value_cols: Sequence[str], limit: int = 2,

@@ -51,20 +51,22 @@ def filled(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str],
     ends = x.groupBy(*keys, PART).agg(*[F.max(s).alias(f"_z{i}") for i, s in enumerate(present.values())],
                                       *[F.min(s).alias(f"_a{i}") for i, s in enumerate(present.values())])
     along = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(PART)  # a row per part
-    before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    # looking ahead is looking back in reverse order: a frame that ends at the last row is read to its end for every row
+    reverse = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc(PART))
+    before, after = along.rowsBetween(Window.unboundedPreceding, -1), reverse.rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*keys, PART, *[F.last(F.col(f"_z{i}.v"), ignorenulls=True).over(before).alias(f"_before{i}") for i in range(len(present))],
-                          *[F.first(F.col(f"_a{i}.v"), ignorenulls=True).over(after).alias(f"_after{i}") for i in range(len(present))])
+                          *[F.last(F.col(f"_a{i}.v"), ignorenulls=True).over(after).alias(f"_after{i}") for i in range(len(present))])
     # null keys meet as well
     names = [f"_{w}{i}" for i in range(len(keys)) for w in ("null", "key")]
     named = {n: v for i, k in enumerate(keys) for n, v in ((f"_null{i}", F.col(k).isNull()), (f"_key{i}", F.coalesce(F.col(k).cast("string"), F.lit(""))))}
     x = attach(x.withColumns(named) if named else x, (carried.withColumns(named) if named else carried).drop(*keys), [PART, *names], "left")
     inside = Window.partitionBy(PART, *keys).orderBy(POS)
     back = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = inside.rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(PART, *keys).orderBy(F.desc(POS)).rowsBetween(Window.unboundedPreceding, 0)
     out = {}
     for i, c in enumerate(value_cols):
         options = [F.last(c, ignorenulls=True).over(back), F.col(f"_before{i}")]
         if backward:
-            options += [F.first(c, ignorenulls=True).over(ahead), F.col(f"_after{i}")]
+            options += [F.last(c, ignorenulls=True).over(ahead), F.col(f"_after{i}")]
         out[c] = F.coalesce(*options)
     return x.withColumns(out).select(*df.columns)

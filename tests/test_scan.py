@@ -64,3 +64,11 @@ def test_no_task_holds_a_series(spark):
     df = spark.range(8000).select(F.lit("a").alias("k"), F.col("id").alias("t"), F.lit(1.0).alias("v"))
     seen = scan.windowed(df, ["t"], 5, lambda w: {"n": F.count(F.lit(1)).over(w.rowsBetween(-(1 << 30), 1 << 30))}, ["k"], 8)
     assert seen.agg(F.max("n")).first()[0] == 1005
+
+
+def test_fills_look_ahead_in_one_pass(spark):
+    """A frame up to the last row is read to its end for every row: the fills must not use one."""
+    df = spark.createDataFrame(series(), SCHEMA)
+    for frame in (cl.ffill_bfill(df, "t", ["v"], ["k"]), cl.ffill_bfill(df, "t", ["v"], long=True, ties=["id"]), cl.ffill_bfill(df, "t", ["v"], ["k"], True, ["id"])):
+        plan = frame._jdf.queryExecution().toString().lower()
+        assert "windowframe" in plan and "unboundedfollowing" not in plan
