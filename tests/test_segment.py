@@ -218,3 +218,16 @@ def test_euclidean_silhouette(spark):
     assert abs(part[0][3] - euclidean_silhouette(df.repartition(2), ["x", "y", "z"], ["A"], "id", 256).first()["SILHOUETTE"]) < 1e-12
     assert euclidean_silhouette(df.withColumn("C", F.lit(1)), ["x", "y", "z"], ["C"], "id").first()["SILHOUETTE"] is None
     assert euclidean_silhouette(df.limit(0), ["x", "y", "z"], ["A"], "id").count() == 0
+
+
+def test_silhouette_work_is_dealt_to_all_tasks(spark):
+    """One file's rows must not be measured by one task; far from the origin, distances keep their digits."""
+    from skylane.operators.silhouette import euclidean_silhouette
+    rng = np.random.default_rng(8)
+    label = rng.integers(0, 3, 300)
+    x = rng.normal(size=(300, 2)) + label[:, None] + np.where(np.arange(300) % 2 == 0, 1e6, 0.0)[:, None]
+    x[10:14] = x[9]  # copies
+    df = spark.createDataFrame([(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, label))], "id long, x double, y double, A int").coalesce(1)
+    got = euclidean_silhouette(df, ["x", "y"], ["A"], "id")
+    assert abs(got.first()["SILHOUETTE"] - _silhouette_by_pairs(x, label)) < 1e-9
+    assert f"Repartition {spark.conf.get('spark.sql.shuffle.partitions')}, true" in got._jdf.queryExecution().optimizedPlan().toString()
