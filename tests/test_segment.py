@@ -231,3 +231,28 @@ def test_silhouette_work_is_dealt_to_all_tasks(spark):
     got = euclidean_silhouette(df, ["x", "y"], ["A"], "id")
     assert abs(got.first()["SILHOUETTE"] - _silhouette_by_pairs(x, label)) < 1e-9
     assert f"Repartition {spark.conf.get('spark.sql.shuffle.partitions')}, true" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kmeans_passes_run_over_blocks(spark):
+    """The frame is read for its variance and for packing, not once per center and iteration."""
+    from skylane.operators import kmeans as km
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([tuple(map(float, p)) for p in rng.normal(size=(300, 2))], "a double, b double").repartition(2)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    fits = km.fit_batched(df.mapInPandas(counted, df.schema), ["a", "b"], [3], n_init=2, seed=1)
+    assert fits[0].iterations > 2 and read.value == 600
+
+
+def test_labels_of_several_models_in_one_pass(spark):
+    from skylane.operators import kmeans as km
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([tuple(map(float, p)) for p in [*rng.normal(size=(200, 2)), (0, 0), (0, 0)]], "a double, b double")
+    models = {"X": np.array([[1.0, 0.0], [-1.0, 0.0]]), "Y": rng.normal(size=(5, 2))}  # (0, 0) is as near to both of X
+    got = km.label_rows(df, ["a", "b"], models)
+    assert got.columns == ["a", "b", "X", "Y"]
+    assert got.where((F.col("X") != km.assign(["a", "b"], models["X"])) | (F.col("Y") != km.assign(["a", "b"], models["Y"]))).isEmpty()
