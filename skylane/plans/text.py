@@ -9,7 +9,7 @@ from ..operators import text as tx
 from ..operators import topics as tp
 from ..operators import valence as va
 from ..operators import video as vd
-from ..sources.fixtures import fx_hotel_reviews, fx_videos, table, with_views
+from ..sources.fixtures import fx_hotel_reviews, fx_hotel_texts, fx_videos, table, with_views
 from ..sources.io import rename_if_present
 
 # Test lexicon and topic map derived from the most frequent corpus words (FIXTURES.md part 3);
@@ -32,6 +32,11 @@ def reviews(spark, sf):
     return tx.extract_reviews(rename_if_present(fx_hotel_reviews(spark, sf), REVIEW_NAMES))
 
 
+def review_texts(spark, sf):
+    """The reviews' places, indexes and texts; a document with several labels is there once, not once a label."""
+    return tx.extract_reviews(rename_if_present(fx_hotel_texts(spark, sf), REVIEW_NAMES)).select("PLACE_ID", "REVIEW_INDEX", "REVIEW_TEXT")
+
+
 def scored(spark, sf):
     return tx.topic_flags(tx.score_lexicon(reviews(spark, sf), TEST_POS, TEST_NEG), TEST_TOPICS)
 
@@ -71,7 +76,7 @@ def keyword_rows(spark, sf):
 
 
 def q_topic_table(spark, sf):
-    return tp.topic_hits(reviews(spark, sf), keyword_rows(spark, sf))
+    return tp.topic_hits(review_texts(spark, sf), keyword_rows(spark, sf))  # reads texts that share keys as one
 
 
 def q_topic_table_flags(spark, sf):
