@@ -220,6 +220,21 @@ def test_euclidean_silhouette(spark):
     assert euclidean_silhouette(df.limit(0), ["x", "y", "z"], ["A"], "id").count() == 0
 
 
+def test_silhouette_measures_every_pair(spark, monkeypatch):
+    """No sample by default: clusters above any coreset's size are exact, also over several chunks of points and with missing labels."""
+    from skylane.operators import silhouette as si
+    rng = np.random.default_rng(15)
+    n = 1500
+    label, other = rng.integers(0, 2, n), np.where(rng.random(n) < 0.1, -1, rng.integers(0, 4, n))
+    x = rng.normal(size=(n, 2)) + label[:, None]
+    df = spark.createDataFrame([(i, *map(float, v), int(a), None if b < 0 else int(b)) for i, (v, a, b) in enumerate(zip(x, label, other))], "id long, x double, y double, A int, B int")
+    for name, value in (("MOST_POINTS", 64), ("PER_CLUSTER", 64), ("CHUNK", 200), ("TASK_ROWS", 100)):
+        monkeypatch.setattr(si, name, value, raising=False)
+    got = {r["LABELS"]: r for r in si.euclidean_silhouette(df, ["x", "y"], ["A", "B"], "id").collect()}
+    for c, at, want in (("A", np.ones(n, dtype=bool), label), ("B", other >= 0, other)):
+        assert got[c]["EXACT"] and got[c]["N"] == at.sum() and abs(got[c]["SILHOUETTE"] - _silhouette_by_pairs(x[at], want[at])) < 1e-12
+
+
 def test_silhouette_work_is_dealt_to_all_tasks(spark):
     """One file's rows must not be measured by one task; far from the origin, distances keep their digits."""
     from skylane.operators.silhouette import euclidean_silhouette
