@@ -271,3 +271,69 @@ def test_labels_of_several_models_in_one_pass(spark):
     got = km.label_rows(df, ["a", "b"], models)
     assert got.columns == ["a", "b", "X", "Y"]
     assert got.where((F.col("X") != km.assign(["a", "b"], models["X"])) | (F.col("Y") != km.assign(["a", "b"], models["Y"]))).isEmpty()
+
+
+class _Local:
+    """Blocks as an RDD has them, in this process."""
+
+    def __init__(self, parts):
+        self.parts = parts
+
+    def mapPartitions(self, f):
+        return _Local([list(f(iter(p))) for p in self.parts])
+
+    def collect(self):
+        return [x for p in self.parts for x in p]
+
+
+def _local_blocks(ids, x):
+    third = len(ids) // 3
+    return _Local([[(ids[:100], x[:, :100]), (ids[100:third], x[:, 100:third])], [(ids[third:], x[:, third:])], []])
+
+
+def test_seeding_equals_the_plain_keys_and_takes_few_logarithms(monkeypatch):
+    from skylane.operators import kmeans as km
+    rng = np.random.default_rng(21)
+    n, word = 3000, (1 << 64) - 1
+    ids = rng.integers(0, 1 << 63, n).astype(np.uint64)
+    x = rng.normal(size=(3, n)) + 50.0
+    x[:, 500:1500] = x[:, :1000]  # copies of rows: a chosen one must not come again
+
+    def mixed(v):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            v = (v ^ (v >> shift)) * factor & word
+        return v
+
+    def plain(mid, centers, step):
+        salt = mixed(mixed(mixed(8) + mid + 1 & word) + step + 1 & word)
+        u = np.array([((mixed(mixed(int(i)) ^ salt) >> 11) + 0.5) * 2.0 ** -53 for i in ids])
+        if not len(centers):
+            return x[:, np.log(u).argmax()]
+        d2 = np.min([((x - c[:, None]) ** 2).sum(axis=0) for c in centers], axis=0)
+        with np.errstate(divide="ignore"):
+            return x[:, np.where(d2 > 0, np.log(u) / d2, -np.inf).argmax()]
+
+    blocks, real, taken = _local_blocks(ids, x), np.log, []
+    models = {m: np.zeros((0, 3)) for m in (0, 3, 4)}
+    for step in range(4):
+        want = {m: plain(m, c, step) for m, c in models.items()}
+        with monkeypatch.context() as here:
+            here.setattr(np, "log", lambda v, *a, **k: taken.append(np.size(v)) or real(v, *a, **k))
+            got = km._seed_pass(blocks, list(models.items()), step, 7)
+        assert all(np.array_equal(got[m], want[m]) for m in models)
+        models = {m: np.vstack([c, want[m][None]]) for m, c in models.items()}
+    assert sum(taken) < 0.6 * 4 * 3 * n
+
+
+def test_lloyd_sums_with_ties_go_to_the_first_center():
+    from skylane.operators import kmeans as km
+    rng = np.random.default_rng(22)
+    x = rng.integers(-2, 3, size=(2, 1500)).astype(float)  # many rows as near to several centers
+    models = [(0, np.array([[1.0, 0.0], [-1.0, 0.0]])), (1, np.array([[0.0, 1.0], [0.0, 1.0]])), (2, rng.normal(size=(3, 2))), (5, np.array([[0.0, 0.0], [2.0, 0.0], [0.0, 2.0]]))]
+    got = km._lloyd_pass(_local_blocks(np.arange(1500).astype(np.uint64), x), models)
+    for mid, centers in models:
+        d2 = ((x[None] - centers[:, :, None]) ** 2).sum(axis=1)
+        label = d2.argmin(axis=0)
+        count, sums, cost = got[mid]
+        assert list(count) == [(label == k).sum() for k in range(len(centers))] and abs(cost - d2.min(axis=0).sum()) < 1e-8
+        assert np.allclose(sums, [x[:, label == k].sum(axis=1) for k in range(len(centers))])
