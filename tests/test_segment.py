@@ -286,6 +286,30 @@ class _Local:
         return [x for p in self.parts for x in p]
 
 
+def test_labels_leave_other_columns_as_they_are(spark):
+    """Missing and very large whole numbers, texts and flags go through a labelling pass unchanged."""
+    from skylane.operators import kmeans as km
+    rows = [((1 << 60) + 1, None, "a", True, 0.0, [1, None]), (None, 7, None, None, 3.0, None), (-5, 8, "", False, 1.4, [])]
+    df = spark.createDataFrame(rows, "id long, n int, s string, f boolean, x double, l array<int>")
+    got = km.label_rows(df, ["x"], {"C": np.array([[0.0], [3.0]])}).collect()
+    assert [tuple(r) for r in got] == [(*r, c) for r, c in zip(rows, (0, 1, 0))]
+
+
+def test_kmeans_labels_are_no_column_expression(spark):
+    """The labels of ``run_kmeans`` are computed in arrays, not by a fold over literal centers for every row; rows keep their columns."""
+    from skylane.operators import kmeans as km
+    rng = np.random.default_rng(23)
+    df = spark.createDataFrame([(i if i % 5 else None, *map(float, v)) for i, v in enumerate(rng.normal(size=(120, 2)))], "GIVEN long, A double, B double")
+    real, used = km.assign, []
+    km.assign = lambda *a: used.append(1) or real(*a)
+    try:
+        out = sg.run_kmeans(df, 2, ["A", "B"], n_init=2)
+    finally:
+        km.assign = real
+    assert not used and out.columns == ["GIVEN", "A", "B", "CLUSTER", "PCA_1", "PCA_2"]
+    assert sorted((r["A"], r["GIVEN"]) for r in out.collect()) == sorted((r["A"], r["GIVEN"]) for r in df.collect())
+
+
 def _local_blocks(ids, x):
     third = len(ids) // 3
     return _Local([[(ids[:100], x[:, :100]), (ids[100:third], x[:, 100:third])], [(ids[third:], x[:, third:])], []])
